@@ -2,10 +2,1144 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import fixpoint, norm
+from ..operators import changes, filters, graph, linkage, meaning, network, rules, search
+from . import demo
+
+QUERIES = {}
+SQL = {}
+NOW = datetime(2003, 6, 1)
+
+
+def query(name: str, sql: str | None = None):
+    """Register a function of (t: table name -> DataFrame) under an inventory id."""
+
+    def add(f):
+        QUERIES[name] = lambda spark, sf_dir: f(lambda n: demo.table(spark, sf_dir, n))
+        if sql:
+            SQL[name] = demo.oracle(sql)
+        return f
+
+    return add
+
 
 def queries():
-    return {}
+    from . import records  # noqa: F401  registers its own
+
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    queries()
+    return dict(SQL)
+
+
+# --- cleaning -------------------------------------------------------------------------------------------------------
+
+
+@query("N1_slugify", r"""
+    WITH s AS (SELECT doc_id, text, regexp_replace(regexp_replace(lower(trim(text, ' ')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS s FROM documents)
+    SELECT doc_id, CASE WHEN text IS NULL THEN NULL WHEN length(s) > 80 THEN regexp_replace(substr(s, 1, 71), '-+$', '') || '-' || substr(sha256(text), 1, 8) WHEN s = '' THEN 'unnamed' ELSE s END AS slug FROM s""")
+def n1(t):
+    return t("documents").select("doc_id", norm.slugify(F.col("text")).alias("slug"))
+
+
+@query("N2_local_name", "SELECT page_id, regexp_extract(regexp_replace(url, '/+$', ''), '([^/#]*)$', 1) AS name FROM pages")
+def n2(t):
+    return t("pages").select("page_id", norm.local_name(F.col("url")).alias("name"))
+
+
+_NOISE = ", ".join(f"'{w}'" for w in norm.NOISE)
+_TOKENS = rf"list_filter(string_split_regex(lower(regexp_replace(regexp_replace(regexp_replace(coalesce(X, ''), '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Za-z])([0-9])', '\1 \2', 'g'), '([0-9])([A-Za-z])', '\1 \2', 'g')), '[^a-z0-9]+'), lambda w: w <> '')"
+
+
+@query("N3_name_tokens", rf"""
+    WITH a AS (SELECT part, {_TOKENS.replace('X', "label || 'Value' || CAST(part AS VARCHAR)")} AS p FROM parts),
+    k AS (SELECT part, p, list_filter(p, lambda w: NOT list_contains([{_NOISE}], w)) AS k FROM a)
+    SELECT part, array_to_string(list_sort(CASE WHEN len(k) > 0 THEN k ELSE p END), ' ') AS key FROM k""")
+def n3(t):
+    return t("parts").select("part", norm.name_key(F.concat("label", F.lit("Value"), F.col("part").cast("string"))).alias("key"))
+
+
+@query("N5_search_tokens", "SELECT doc_id, array_to_string(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), ' ') AS tokens FROM documents")
+def n5(t):
+    return t("documents").select("doc_id", F.array_join(norm.search_tokens(F.col("text")), " ").alias("tokens"))
+
+
+@query("N6_parse_cadence", """
+    SELECT id, CASE cadence WHEN 'P1Y' THEN 31536000 WHEN 'P1M' THEN 2592000 WHEN 'P7D' THEN 604800 END AS seconds, CASE WHEN cadence IN ('irregular', 'on-demand', 'discontinued') THEN cadence END AS token FROM datasets""")
+def n6(t):
+    return t("datasets").select("id", norm.cadence_seconds(F.col("cadence")).alias("seconds"), norm.cadence_token(F.col("cadence")).alias("token"))
+
+
+def _phrases() -> str:
+    rows = [(p, "discontinued") for p in sorted(norm.CADENCE_DISCONTINUED, key=len, reverse=True)] + [(p, "on-demand") for p in sorted(norm.CADENCE_ON_DEMAND, key=len, reverse=True)]
+    rows += sorted(norm.CADENCE_PHRASES, key=lambda p: -len(p[0])) + [(p, "irregular") for p in sorted(norm.CADENCE_IRREGULAR, key=len, reverse=True)]
+    return " ".join(f"WHEN contains(x, '{p}') THEN '{v}'" for p, v in rows)
+
+
+@query("N7_cadence_phrase", rf"SELECT doc_id, CASE WHEN x IN ('', 'n/a', 'na', 'none', '-') THEN NULL {_phrases()} END AS cadence FROM (SELECT doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'), ' ')) AS x FROM documents)")
+def n7(t):
+    return t("documents").select("doc_id", norm.cadence_from_phrase(F.col("text")).alias("cadence"))
+
+
+def _licences() -> str:
+    return " ".join(f"WHEN regexp_matches(x, '{p}') THEN '{v}'" for p, v in norm.LICENCES)
+
+
+@query("N8_license_spdx", rf"SELECT doc_id, CASE WHEN text IS NULL THEN NULL {_licences()} ELSE sha256(text) END AS license FROM (SELECT doc_id, text, lower(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g'), ' '), '\[([^\]]+)\]\(([^)]+)\)', '\1 \2', 'g')) AS x FROM documents)")
+def n8(t):
+    got = norm.license_to_spdx(F.col("text"))
+    return t("documents").select("doc_id", F.when(got == F.col("text"), F.sha2("text", 256)).otherwise(got).alias("license"))
+
+
+@query("N9_license_resolve", """
+    SELECT p_partkey, CASE WHEN p_type = 'ECONOMY' THEN 'MIT' WHEN p_type = 'STANDARD' THEN 'LicenseRef-Open' ELSE 'LicenseRef-Unreviewed-' || lower(p_type) END AS license_id,
+        CASE WHEN p_type = 'ECONOMY' THEN NULL WHEN p_type = 'STANDARD' THEN 'terms' ELSE 'unreviewed' END AS license_note,
+        CASE WHEN p_type = 'ECONOMY' THEN true WHEN p_type = 'STANDARD' THEN true ELSE false END AS redistribution_allowed FROM part""")
+def n9(t):
+    p = t("part")
+    known = p.sparkSession.createDataFrame([("ECONOMY", "MIT", None, True), ("STANDARD", "LicenseRef-Open", "terms", True)], "raw string, id string, note string, redistribution boolean")
+    return norm.resolve_license(p, known, "p_type").select("p_partkey", "license_id", "license_note", "redistribution_allowed")
+
+
+@query("N10_vintage", """
+    SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN date_trunc('year', o_orderdate) WHEN 1 THEN date_trunc('month', o_orderdate) WHEN 2 THEN date_trunc('day', o_orderdate) END::TIMESTAMP AS vintage FROM orders""")
+def n10(t):
+    d = F.col("o_orderdate")
+    raw = F.when(F.col("o_orderkey") % 4 == 0, F.date_format(d, "yyyy")).when(F.col("o_orderkey") % 4 == 1, F.date_format(d, "yyyy-MM")).when(F.col("o_orderkey") % 4 == 2, F.date_format(d, "yyyy-MM-dd")).otherwise("soon")
+    return t("orders").select("o_orderkey", norm.vintage(raw).alias("vintage"))
+
+
+@query("N11_access_posture", """
+    SELECT p_partkey, CASE WHEN b = 'restricted' THEN 'ceii' WHEN b = 'proprietary' THEN 'commercialPaywall' WHEN c = 'discontinued' THEN 'discontinued' WHEN a THEN 'none' ELSE 'accountRequired' END AS restriction,
+        coalesce(a, false) AS anonymous_access, a IS NULL AND coalesce(c, '') <> 'discontinued' AND coalesce(b, '') NOT IN ('restricted', 'proprietary') AS assumed
+    FROM (SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'restricted' WHEN 1 THEN 'fragmented' WHEN 2 THEN 'proprietary' END AS b, CASE WHEN p_size % 3 = 0 THEN true WHEN p_size % 3 = 1 THEN false END AS a, CASE WHEN p_size % 5 = 0 THEN 'discontinued' END AS c FROM part)""")
+def n11(t):
+    s = F.col("p_size")
+    b = F.when(s % 4 == 0, "restricted").when(s % 4 == 1, "fragmented").when(s % 4 == 2, "proprietary")
+    a = F.when(s % 3 == 0, True).when(s % 3 == 1, False)
+    return t("part").select("p_partkey", norm.access_posture(b, a, F.when(s % 5 == 0, "discontinued")).alias("x")).select("p_partkey", "x.*")
+
+
+@query("N12_provenance_class", "SELECT part, CASE value_basis WHEN 'modeled' THEN 'modeled' ELSE 'curated' END AS provenance FROM parts")
+def n12(t):
+    return t("parts").select("part", norm.provenance_class(F.col("value_basis")).alias("provenance"))
+
+
+@query("N13_description", """
+    SELECT id, title || ', a ' || data_domain || ' dataset' || coalesce(', published as ' || cadence, '') || ', available at ' || iri || '.' || CASE WHEN review_state = 'confirmed' THEN '' ELSE ' Licence and access have not been reviewed.' END AS description FROM datasets""")
+def n13(t):
+    return t("datasets").select("id", norm.description_of(F.col("title"), F.col("data_domain"), F.col("cadence"), F.col("iri"), F.lit(None).cast("string"), F.col("review_state") == "confirmed").alias("description"))
+
+
+@query("N15_cast_literals", """
+    SELECT event_id, CASE WHEN lower(f) IN ('true', '1') THEN true WHEN lower(f) IN ('false', '0') THEN false END AS flag, TRY_CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM (SELECT *, CASE event_id % 4 WHEN 0 THEN 'True' WHEN 1 THEN '0' WHEN 2 THEN 'yes' ELSE '1' END AS f FROM events)""")
+def n15(t):
+    f = F.when(F.col("event_id") % 4 == 0, "True").when(F.col("event_id") % 4 == 1, "0").when(F.col("event_id") % 4 == 2, "yes").otherwise("1")
+    return t("events").select("event_id", norm.to_bool(f).alias("flag"), F.get_json_object("props", "$.k").try_cast("long").alias("k"))
+
+
+@query("N16_field_bucket", "SELECT id, CASE WHEN n < 10 THEN '1-9' WHEN n < 50 THEN '10-49' ELSE '50+' END AS bucket FROM (SELECT id, count(*) AS n FROM concept_of GROUP BY id)")
+def n16(t):
+    return t("concept_of").groupBy("id").agg(F.count("*").alias("n")).select("id", norm.field_bucket(F.col("n")).alias("bucket"))
+
+
+@query("N17_bbox_wkt", """
+    SELECT id, CASE WHEN west IS NOT NULL AND east BETWEEN -180 AND 180 AND north BETWEEN -90 AND 90 THEN 'POLYGON ((' || west || ' ' || south || ', ' || east || ' ' || south || ', ' || east || ' ' || north || ', ' || west || ' ' || north || ', ' || west || ' ' || south || '))' END AS wkt FROM datasets""")
+def n17(t):
+    return t("datasets").select("id", norm.bbox_wkt(*map(F.col, ("west", "south", "east", "north"))).alias("wkt"))
+
+
+@query("N18_domain_backstop", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN p_brand ELSE p_type END AS data_domain, p_size % 3 <> 0 AS inferred FROM part")
+def n18(t):
+    own = t("part").select("p_partkey", "p_type", F.when(F.col("p_size") % 3 == 0, F.col("p_brand")).alias("own"))
+    source = own.select("p_type").distinct().withColumn("declared", F.col("p_type"))
+    return own.join(source, "p_type", "left").select("p_partkey", F.coalesce("own", "declared").alias("data_domain"), F.col("own").isNull().alias("inferred"))
+
+
+@query("N19_dtype_name", "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'float32' WHEN 1 THEN 'int64' WHEN 2 THEN 'bool' ELSE 'decimal' END AS name FROM part")
+def n19(t):
+    s = F.col("p_size") % 4
+    return t("part").select("p_partkey", norm.dtype_name(F.when(s == 0, "<f4").when(s == 1, "<i8").when(s == 2, "|b1").otherwise("decimal")).alias("name"))
+
+
+@query("N21_content_hash", """SELECT r_regionkey, n_nationkey, sha256('{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || ',"r_name":"' || r_name || '"}') AS hash FROM nation JOIN region ON n_regionkey = r_regionkey""")
+def n21(t):
+    d = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return d.select("r_regionkey", "n_nationkey", norm.content_hash(d, "n_nationkey", "n_name", "r_name").alias("hash"))
+
+
+@query("N22_publisher_key", r"""
+    WITH h AS (SELECT url, regexp_extract(lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)), '([^.]+\.[^.]+)$', 1) AS site, regexp_extract(url, '^[a-z]+://[^/?#]+/([^/?#]+)', 1) AS f FROM pages)
+    SELECT CASE WHEN site = '' THEN NULL WHEN site = 'example.net' AND f <> '' THEN site || '/' || f ELSE site END AS publisher, count(*) AS n FROM h GROUP BY 1""")
+def n22(t):
+    return t("pages").groupBy(norm.publisher_key(F.col("url"), ("example.net",)).alias("publisher")).agg(F.count("*").alias("n"))
+
+
+@query("N23_natural_units", "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN p_retailprice WHEN 1 THEN p_retailprice * p_size END AS value FROM part")
+def n23(t):
+    u = F.when(F.col("p_size") % 3 == 0, "NATURAL").when(F.col("p_size") % 3 == 1, "COMPONENT_BASE").otherwise("OTHER")
+    return t("part").select("p_partkey", norm.to_natural(F.col("p_retailprice"), u, F.col("p_size")).alias("value"))
+
+
+@query("N24_unit_factor", "SELECT a.n_nationkey AS a, b.n_nationkey AS b, CASE WHEN a.n_nationkey % 4 <> 0 AND b.n_nationkey % 4 <> 0 THEN (1.0 + a.n_nationkey) / (1.0 + b.n_nationkey) END AS factor FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey")
+def n24(t):
+    u = t("nation").select("n_nationkey", F.col("n_regionkey").alias("kind"), (F.col("n_nationkey") + 1.0).alias("m"), F.when(F.col("n_nationkey") % 4 == 0, 32.0).otherwise(0.0).alias("o"))
+    a, b = u.alias("a"), u.alias("b")
+    return a.join(b, "kind").select(F.col("a.n_nationkey").alias("a"), F.col("b.n_nationkey").alias("b"), norm.unit_factor(F.col("kind"), F.col("a.m"), F.col("a.o"), F.col("kind"), F.col("b.m"), F.col("b.o")).alias("factor"))
+
+
+@query("S9_export_words", "SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'))), ' ') AS words FROM documents")
+def s9(t):
+    return t("documents").select("doc_id", norm.export_words(F.col("text")).alias("words"))
+
+
+@query("J3_merge_by_slug", """
+    WITH r AS (SELECT s_nationkey AS slug, s_name AS domain, s_suppkey % 2 = 0 AS verified FROM supplier),
+    w AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY verified DESC, domain) AS n FROM r)
+    SELECT w.slug, w.domain, w.verified, (SELECT coalesce(string_agg(DISTINCT r.domain, '|' ORDER BY r.domain), '') FROM r WHERE r.slug = w.slug AND r.domain <> w.domain) AS others FROM w WHERE n = 1""")
+def j3(t):
+    r = t("supplier").select(F.col("s_nationkey").alias("slug"), F.col("s_name").alias("domain"), (F.col("s_suppkey") % 2 == 0).alias("verified"))
+    return norm.merge_by_slug(r).select("slug", "domain", "verified", F.array_join("other_domains", "|").alias("others"))
+
+
+# --- filters, entitlement, order --------------------------------------------------------------------------------------
+
+
+@query("P1_facet_filter", "SELECT id, title FROM datasets WHERE data_domain IN ('AFRICA', 'ASIA') AND level IN (1, 2)")
+def p1(t):
+    return filters.facet(t("datasets"), {"data_domain": ["AFRICA", "ASIA"], "level": [1, 2]}).select("id", "title")
+
+
+@query("P3_range", "SELECT id FROM datasets WHERE level >= 2 AND resolution_m <= 500")
+def p3(t):
+    return t("datasets").where(filters.within(F.col("level"), low=2) & filters.within(F.col("resolution_m"), high=500)).select("id")
+
+
+@query("P4_bbox", "SELECT id FROM datasets WHERE west IS NULL OR NOT (west > 20 OR east < -30 OR south > 35 OR north < -40)")
+def p4(t):
+    return t("datasets").where(filters.bbox_meets(*map(F.col, ("west", "south", "east", "north")), (-30, -40, 20, 35))).select("id")
+
+
+@query("P5_temporal", "SELECT id FROM coverage WHERE (t_start IS NULL OR t_start <= DATE '1995-02-01') AND (t_end IS NULL OR t_end >= DATE '1995-01-10')")
+def p5(t):
+    return t("coverage").where(filters.time_meets(F.col("t_start"), F.col("t_end"), datetime(1995, 1, 10).date(), datetime(1995, 2, 1).date())).select("id")
+
+
+@query("P6_published", "SELECT id, review_state FROM datasets WHERE review_state IN ('confirmed', 'auto-confirmed')")
+def p6(t):
+    return t("datasets").where(filters.published(F.col("review_state"))).select("id", "review_state")
+
+
+@query("P7_id_list", "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT s_suppkey FROM supplier)")
+def p7(t):
+    return t("customer").join(t("supplier").select(F.col("s_suppkey").alias("c_custkey")), "c_custkey", "left_semi").select("c_custkey", "c_name")
+
+
+@query("P8_contains_all", "SELECT doc_id FROM documents WHERE contains(lower(text), 'license') AND contains(lower(text), 'the')")
+def p8(t):
+    return t("documents").where(filters.contains_all(F.col("text"), ["License", "the"])).select("doc_id")
+
+
+@query("P9_gap_register", "SELECT o_orderkey, CAST(o_orderdate AS DATE) < DATE '1996-01-01' AS stale FROM orders WHERE lower(o_orderpriority) = '5-low' AND contains(lower(o_orderstatus), 'f')")
+def p9(t):
+    return t("orders").where((F.lower("o_orderpriority") == "5-low") & filters.contains_all(F.col("o_orderstatus"), ["f"])).select("o_orderkey", (F.col("o_orderdate").cast("date") < F.lit("1996-01-01").cast("date")).alias("stale"))
+
+
+@query("P10_component_rows", "SELECT p_partkey FROM part WHERE contains(lower(p_name), 'ring') OR contains(lower(CAST(p_partkey AS VARCHAR)), '77')")
+def p10(t):
+    return t("part").where(filters.contains_all(F.col("p_name"), ["RING"]) | F.contains(F.col("p_partkey").cast("string"), F.lit("77"))).select("p_partkey")
+
+
+@query("P11_concept_list", "SELECT narrower, broader FROM broader WHERE broader = 'N3' AND contains(lower(narrower), '1')")
+def p11(t):
+    return t("broader").where((F.col("broader") == "N3") & filters.contains_all(F.col("narrower"), ["1"]))
+
+
+@query("P12_unique_tail", """
+    WITH r AS (SELECT n_nationkey AS request_id, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE 'none' END AS tail FROM nation)
+    SELECT request_id, CASE WHEN count(u) = 1 THEN min(u) END AS iri, count(u) AS hits FROM r LEFT JOIN (SELECT 'https://x.org/' || n_name || '/' AS u, n_name AS nn FROM nation) d ON d.nn = r.tail GROUP BY request_id""")
+def p12(t):
+    n = t("nation")
+    r = n.select(F.col("n_nationkey").alias("request_id"), F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")).otherwise("none").alias("tail"))
+    return filters.unique_tail(n.select(F.concat(F.lit("https://x.org/"), "n_name", F.lit("/")).alias("iri")), r)
+
+
+@query("E1_active_grants", "SELECT dataset_id, principal_id FROM grants WHERE revoked_at IS NULL AND (expires_at IS NULL OR expires_at > TIMESTAMP '2003-06-01 00:00:00')")
+def e1(t):
+    return filters.active_grants(t("grants"), NOW).select("dataset_id", "principal_id")
+
+
+_CALLERS = [("anon", None, None, False, None), ("u1", "user1", "a3@example.org", False, None), ("cust", "user5", None, False, 7), ("steward", "s", None, True, None)]
+
+
+def _callers(df):
+    return df.sparkSession.createDataFrame(_CALLERS, "caller_id string, principal_id string, email string, is_steward boolean, custodian_of long")
+
+
+_VIS = """
+    WITH c(caller_id, principal_id, email, is_steward, custodian_of) AS (VALUES ('anon', NULL, NULL, false, NULL), ('u1', 'user1', 'a3@example.org', false, NULL), ('cust', 'user5', NULL, false, 7), ('steward', 's', NULL, true, NULL)),
+    a AS (SELECT * FROM grants WHERE revoked_at IS NULL AND (expires_at IS NULL OR expires_at > TIMESTAMP '2003-06-01 00:00:00')),
+    v AS (SELECT c.caller_id, d.id, d.visibility, c.is_steward OR coalesce(c.custodian_of = d.id, false) OR EXISTS (SELECT 1 FROM a WHERE a.dataset_id = d.id AND (a.principal_id = c.principal_id OR lower(a.email) = lower(c.email))) AS inside FROM datasets d CROSS JOIN c),
+    s AS (SELECT caller_id, id, visibility = 'public' OR inside AS "full" FROM v WHERE visibility <> 'allowlisted-existence' OR inside)
+"""
+
+
+def _visible(t):
+    d = t("datasets")
+    return filters.visible(d, filters.active_grants(t("grants"), NOW), _callers(d))
+
+
+@query("E2_visible", _VIS + 'SELECT caller_id, id, "full" FROM s')
+def e2(t):
+    return _visible(t)
+
+
+@query("E3_stub", _VIS + 'SELECT s.caller_id, s.id, d.title, CASE WHEN "full" THEN d.publisher END AS publisher, NOT "full" AS redacted FROM s JOIN datasets d ON d.id = s.id')
+def e3(t):
+    d = _visible(t).join(t("datasets").select("id", "title", "publisher"), "id").select("caller_id", "id", "title", "publisher", "full")
+    return filters.stub(d, F.col("full"), ["caller_id", "id", "title"])
+
+
+@query("E4_entitled_principals", "SELECT dataset_id, string_agg(DISTINCT p, '|' ORDER BY p) AS principals FROM (SELECT dataset_id, principal_id AS p FROM grants UNION ALL SELECT dataset_id, lower(email) FROM grants WHERE email IS NOT NULL) GROUP BY dataset_id")
+def e4(t):
+    return filters.entitled_principals(t("grants")).select("dataset_id", F.array_join("principals", "|").alias("principals"))
+
+
+@query("E5_datasets_of_principal", "SELECT DISTINCT principal_id, dataset_id FROM grants WHERE revoked_at IS NULL AND (expires_at IS NULL OR expires_at > TIMESTAMP '2003-06-01 00:00:00')")
+def e5(t):
+    return filters.active_grants(t("grants"), NOW).select("principal_id", "dataset_id").distinct()
+
+
+@query("E6_replace_grants", """
+    WITH o AS (SELECT dataset_id, principal_id FROM grants WHERE dataset_id % 2 = 0), n AS (SELECT dataset_id, principal_id FROM grants WHERE dataset_id % 3 = 0)
+    SELECT coalesce(o.dataset_id, n.dataset_id) AS dataset_id, coalesce(o.principal_id, n.principal_id) AS principal_id, CASE WHEN n.dataset_id IS NULL THEN 'revoke' WHEN o.dataset_id IS NULL THEN 'grant' ELSE 'keep' END AS action
+    FROM o FULL JOIN n ON o.dataset_id = n.dataset_id AND o.principal_id = n.principal_id""")
+def e6(t):
+    g = t("grants")
+    return filters.replace_grants(g.where("dataset_id % 2 = 0"), g.where("dataset_id % 3 = 0"))
+
+
+@query("E7_counts_after_predicate", _VIS + "SELECT s.caller_id, d.data_domain AS value, count(*) AS n FROM s JOIN datasets d ON d.id = s.id GROUP BY 1, 2")
+def e7(t):
+    return _visible(t).join(t("datasets").select("id", "data_domain"), "id").groupBy("caller_id", F.col("data_domain").alias("value")).agg(F.count("*").alias("n"))
+
+
+@query("E8_visibility_matrix", _VIS + 'SELECT s.caller_id, d.visibility, count(*) AS known, count(*) FILTER ("full") AS whole FROM s JOIN datasets d ON d.id = s.id GROUP BY 1, 2')
+def e8(t):
+    return _visible(t).join(t("datasets").select("id", "visibility"), "id").groupBy("caller_id", "visibility").agg(F.count("*").alias("known"), F.count_if("full").alias("whole"))
+
+
+@query("R6_stable_sort", "SELECT id, row_number() OVER (ORDER BY resolution_m DESC NULLS LAST, lower(title) ASC NULLS LAST, id) AS place FROM datasets")
+def r6(t):
+    w = Window.orderBy(F.col("resolution_m").desc_nulls_last(), F.lower("title").asc_nulls_last(), "id")
+    return t("datasets").select("id", F.row_number().over(w).alias("place"))
+
+
+@query("R7_page", "SELECT id, title FROM datasets ORDER BY lower(title), id LIMIT 20 OFFSET 10")
+def r7(t):
+    return filters.page(filters.ordered(t("datasets").select("id", "title"), ("title", False), tie="id"), 10, 20)
+
+
+@query("R11_preview", """
+    WITH s AS (SELECT *, row_number() OVER w AS n, sum(octet_length(encode(text))) OVER w AS bytes, count(*) OVER (PARTITION BY conv_id) AS a FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+    k AS (SELECT * FROM s WHERE n <= 4 AND bytes <= 600)
+    SELECT conv_id, turn, CAST(bytes AS BIGINT) AS bytes, a - count(*) OVER (PARTITION BY conv_id) AS removed FROM k""")
+def r11(t):
+    return filters.preview(t("conversations"), "conv_id", "turn", "text", 4, 600).select("conv_id", "turn", "bytes", "removed")
+
+
+# --- search ----------------------------------------------------------------------------------------------------------
+
+_POST = r"""
+    WITH f AS (SELECT doc_id AS id, 'title' AS field, lang || ' ' || source AS x FROM documents UNION ALL SELECT doc_id, 'description', text FROM documents),
+    w AS (SELECT id, field, regexp_extract_all(lower(coalesce(x, '')), '[a-z0-9]+') AS w FROM f),
+    p AS (SELECT field, token, id, len, count(*) AS tf FROM (SELECT id, field, len(w) AS len, unnest(w) AS token FROM w) GROUP BY ALL),
+    q AS (SELECT DISTINCT item_id AS request_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM benchmark)
+"""
+
+
+def _index(t):
+    d = t("documents").select("doc_id", F.concat_ws(" ", "lang", "source").alias("title"), F.col("text").alias("description"))
+    return search.postings(d, "doc_id", ["title", "description"])
+
+
+def _asked(t):
+    return t("benchmark").select(F.col("item_id").alias("request_id"), F.explode(norm.search_tokens(F.col("text"))).alias("token")).distinct().withColumn("damping", F.lit(1.0))
+
+
+@query("R1_postings", _POST + "SELECT field, token, count(*) AS docs, sum(tf)::BIGINT AS tf, sum(len)::BIGINT AS len FROM p GROUP BY 1, 2")
+def r1(t):
+    return _index(t).groupBy("field", "token").agg(F.count("*").alias("docs"), F.sum("tf").alias("tf"), F.sum("len").alias("len"))
+
+
+_BM = _POST + """, nd AS (SELECT count(*) AS n FROM documents), df AS (SELECT field, token, count(*) AS df FROM p GROUP BY 1, 2),
+    al AS (SELECT field, sum(len) / (SELECT n FROM nd) AS a FROM (SELECT DISTINCT field, id, len FROM p) GROUP BY 1),
+    sc AS (SELECT q.request_id, p.id, sum(CASE p.field WHEN 'title' THEN 6.0 ELSE 1.0 END * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / a))) AS score
+        FROM p JOIN q ON p.token = q.token JOIN df ON df.field = p.field AND df.token = p.token JOIN al ON al.field = p.field CROSS JOIN nd GROUP BY 1, 2)"""
+
+
+@query("R2_bm25", _BM + "SELECT request_id, id, round(score, 5) AS score FROM sc")
+def r2(t):
+    return search.bm25(_index(t), _asked(t), t("documents").count()).withColumn("score", F.round("score", 5))
+
+
+@query("R4_search", _BM + "SELECT request_id, rank, id, round(score, 5) AS score FROM (SELECT request_id, id, score, row_number() OVER (PARTITION BY request_id ORDER BY round(score, 9) DESC, lower(source), id) AS rank FROM sc JOIN documents ON doc_id = id WHERE score > 0) WHERE rank <= 20")
+def r4(t):
+    scores = search.bm25(_index(t), _asked(t), t("documents").count())
+    return search.top(scores, t("documents").select(F.col("doc_id").alias("id"), F.col("source").alias("title")), 20).withColumn("score", F.round("score", 5))
+
+
+@query("R3_prefix", _POST + """, l AS (SELECT item_id AS request_id, list_last(regexp_extract_all(lower(text), '[a-z0-9]+')) AS stem FROM benchmark),
+    h AS (SELECT request_id, token, stem, row_number() OVER (PARTITION BY request_id ORDER BY token) AS n FROM l JOIN (SELECT DISTINCT token FROM p) ON starts_with(token, stem)),
+    k AS (SELECT * FROM h WHERE n <= 40)
+    SELECT l.request_id, coalesce(k.token, l.stem) AS token, CASE WHEN coalesce(k.token, l.stem) = l.stem THEN 1.0 ELSE 0.35 END AS damping FROM l LEFT JOIN k ON k.request_id = l.request_id""")
+def r3(t):
+    last = t("benchmark").select(F.col("item_id").alias("request_id"), F.slice(norm.search_tokens(F.col("text")), -1, 1).alias("tokens"))
+    return search.expand_last(_index(t), last)
+
+
+@query("R5_all_terms", _POST + """, g AS (SELECT request_id, token FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY token) AS n FROM q) WHERE n <= 3),
+    h AS (SELECT request_id, p.id, p.field, sum(CASE p.field WHEN 'title' THEN 6.0 ELSE 1.0 END) AS s FROM p JOIN g ON p.token = g.token GROUP BY 1, 2, 3),
+    c AS (SELECT request_id, p.id, count(DISTINCT p.token) AS n FROM p JOIN g ON p.token = g.token GROUP BY 1, 2)
+    SELECT h.request_id, h.id, max(s) AS best FROM h JOIN c ON c.request_id = h.request_id AND c.id = h.id WHERE c.n = (SELECT count(*) FROM g WHERE g.request_id = h.request_id) GROUP BY 1, 2""")
+def r5(t):
+    w = Window.partitionBy("request_id").orderBy("token")
+    three = _asked(t).withColumn("n", F.row_number().over(w)).where("n <= 3")
+    return search.all_terms(_index(t), three)
+
+
+@query("R9_incremental", _POST + ", k AS (SELECT * FROM p WHERE id % 3 <> 0 UNION ALL SELECT field, token, id, len, tf + 1 FROM p WHERE id % 6 = 0) SELECT field, count(*) AS n, sum(tf)::BIGINT AS tf FROM k GROUP BY 1")
+def r9(t):
+    i = _index(t)
+    new = search.upsert_postings(i, i.where("id % 6 = 0").withColumn("tf", F.col("tf") + 1), i.where("id % 3 = 0 and id % 6 <> 0").select("id"))
+    return new.groupBy("field").agg(F.count("*").alias("n"), F.sum("tf").alias("tf"))
+
+
+@query("R10_schema_page", "SELECT id, part, label, n FROM (SELECT id, part, label, row_number() OVER (PARTITION BY id ORDER BY label, part) AS n FROM parts) WHERE n <= 5")
+def r10(t):
+    w = Window.partitionBy("id").orderBy("label", "part")
+    return t("parts").select("id", "part", "label", F.row_number().over(w).alias("n")).where("n <= 5")
+
+
+@query("A1_facet_counts", """
+    WITH p AS (SELECT * FROM datasets WHERE review_state IN ('confirmed', 'auto-confirmed')),
+    l AS (SELECT 'data_domain' AS facet, data_domain AS value, id FROM p UNION ALL SELECT 'level', CAST(level AS VARCHAR), id FROM p UNION ALL SELECT 'publisher', publisher, id FROM p UNION ALL SELECT 'analysis', member, p.id FROM p JOIN analysis_of a ON a.id = p.id),
+    c AS (SELECT facet, value, count(DISTINCT id) AS n FROM l GROUP BY 1, 2)
+    SELECT facet, value, n FROM (SELECT *, row_number() OVER (PARTITION BY facet ORDER BY n DESC, value) AS r FROM c) WHERE r <= 50""")
+def a1(t):
+    d = t("datasets").where(filters.published(F.col("review_state")))
+    d = d.join(t("analysis_of").groupBy("id").agg(F.collect_set("member").alias("analysis")), "id", "left")
+    return search.facet_counts(d, ["data_domain", "level", "publisher", "analysis"])
+
+
+# --- rollups ---------------------------------------------------------------------------------------------------------
+
+
+@query("A2_domain_by_level", "SELECT data_domain, count(*) FILTER (level = 1) AS l1, count(*) FILTER (level = 2) AS l2, count(*) FILTER (level = 3) AS l3 FROM datasets GROUP BY 1")
+def a2(t):
+    return t("datasets").groupBy("data_domain").agg(*[F.count_if(F.col("level") == i).alias(f"l{i}") for i in (1, 2, 3)])
+
+
+@query("A3_unplaced_gaps", "SELECT p_brand, count(*) AS n FROM part WHERE p_brand NOT IN (SELECT member FROM analysis_of WHERE id % 10 = 0) GROUP BY 1")
+def a3(t):
+    covered = t("analysis_of").where("id % 10 = 0").select(F.col("member").alias("p_brand")).distinct()
+    return t("part").join(covered, "p_brand", "left_anti").groupBy("p_brand").agg(F.count("*").alias("n"))
+
+
+@query("A4_domains", "SELECT r_name, count(id) AS n FROM region LEFT JOIN datasets ON data_domain = r_name AND level = 3 GROUP BY 1")
+def a4(t):
+    d = t("datasets").where("level = 3").groupBy(F.col("data_domain").alias("r_name")).agg(F.count("*").alias("n"))
+    return t("region").select("r_name").join(d, "r_name", "left").select("r_name", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("A5_datasets_per_concept", "SELECT member, count(DISTINCT id) AS n FROM concept_of GROUP BY 1")
+def a5(t):
+    return t("concept_of").groupBy("member").agg(F.count_distinct("id").alias("n"))
+
+
+@query("A6_concept_card", "SELECT broader AS concept, string_agg(narrower, '|' ORDER BY narrower) AS narrower FROM broader GROUP BY 1")
+def a6(t):
+    return t("broader").groupBy(F.col("broader").alias("concept")).agg(F.array_join(F.array_sort(F.collect_set("narrower")), "|").alias("narrower"))
+
+
+@query("A7_models_by_place", "SELECT nation, count(*) AS n, arg_min(title, id) AS label FROM datasets GROUP BY 1")
+def a7(t):
+    return t("datasets").groupBy("nation").agg(F.count("*").alias("n"), F.min_by("title", "id").alias("label"))
+
+
+@query("A8_relevance_rates", "SELECT event_type, count(*) FILTER (value >= 10) AS accepted, count(*) FILTER (value < 10) AS rejected FROM events GROUP BY 1")
+def a8(t):
+    return t("events").groupBy("event_type").agg(F.count_if(F.col("value") >= 10).alias("accepted"), F.count_if(F.col("value") < 10).alias("rejected"))
+
+
+@query("A9_queue_counts", "SELECT review_state, count(*) AS n FROM datasets GROUP BY 1")
+def a9(t):
+    return t("datasets").groupBy("review_state").agg(F.count("*").alias("n"))
+
+
+@query("A10_worst_health", "SELECT dataset_id, arg_min(health, CASE health WHEN 'unreachable' THEN 0 WHEN 'degraded' THEN 1 WHEN 'redirected' THEN 2 ELSE 3 END) AS worst, bool_and(health = 'unreachable') AS none_left FROM distributions GROUP BY 1")
+def a10(t):
+    rank = F.array_position(F.array(*map(F.lit, ("unreachable", "degraded", "redirected", "verified"))), F.col("health"))
+    return t("distributions").groupBy("dataset_id").agg(F.min_by("health", rank).alias("worst"), F.every(F.col("health") == "unreachable").alias("none_left"))
+
+
+@query("A11_dataset_rollup", "SELECT dataset_id, string_agg(DISTINCT media_type, '|' ORDER BY media_type) AS formats, bool_or(sliceable) AS ranges, bool_or(bulk) AS bulk, count(*) AS n FROM distributions GROUP BY 1")
+def a11(t):
+    return t("distributions").groupBy("dataset_id").agg(F.array_join(F.array_sort(F.collect_set("media_type")), "|").alias("formats"), F.bool_or("sliceable").alias("ranges"), F.bool_or("bulk").alias("bulk"), F.count("*").alias("n"))
+
+
+@query("A12_inbound_links", "SELECT parent AS id, count(DISTINCT child) AS inbound FROM lineage GROUP BY 1")
+def a12(t):
+    return t("lineage").groupBy(F.col("parent").alias("id")).agg(F.count_distinct("child").alias("inbound"))
+
+
+@query("A16_run_rollup", "SELECT user_id, count(*) AS seen, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (event_type = 'view') AS unchanged, max(ts) FILTER (event_type <> 'error') AS last_good, arg_max(event_id, event_id) AS checkpoint FROM events GROUP BY 1")
+def a16(t):
+    return t("events").groupBy("user_id").agg(F.count("*").alias("seen"), F.count_if(F.col("event_type") == "error").alias("errors"), F.count_if(F.col("event_type") == "view").alias("unchanged"), F.max(F.when(F.col("event_type") != "error", F.col("ts"))).alias("last_good"), F.max_by("event_id", "event_id").alias("checkpoint"))
+
+
+@query("A17_operating_totals", "SELECT country, round(sum(p_retailprice), 2) AS demand, count(*) FILTER (p_size > 10) AS online FROM buses JOIN part ON bus_id = p_partkey GROUP BY 1")
+def a17(t):
+    return t("buses").join(t("part"), F.col("bus_id") == F.col("p_partkey")).groupBy("country").agg(F.round(F.sum("p_retailprice"), 2).alias("demand"), F.count_if(F.col("p_size") > 10).alias("online"))
+
+
+@query("A18_element_counts", "SELECT 'bus' AS kind, count(*) AS n FROM buses UNION ALL SELECT 'arc', count(*) FROM arcs")
+def a18(t):
+    return t("buses").select(F.lit("bus").alias("kind")).unionByName(t("arcs").select(F.lit("arc").alias("kind"))).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("A19_status", "SELECT 'catalog' AS metric, count(*) FILTER (review_state <> 'draft') AS value FROM datasets UNION ALL SELECT 'draft', count(*) FILTER (review_state = 'draft') FROM datasets")
+def a19(t):
+    return t("datasets").groupBy(F.when(F.col("review_state") == "draft", "draft").otherwise("catalog").alias("metric")).agg(F.count("*").alias("value"))
+
+
+@query("A21_domain_summary", "SELECT data_domain, count(*) AS n, min(title) AS first FROM datasets WHERE id > 5 GROUP BY 1")
+def a21(t):
+    return t("datasets").where("id > 5").groupBy("data_domain").agg(F.count("*").alias("n"), F.min("title").alias("first"))
+
+
+@query("A22_publisher_coverage", "SELECT publisher, count(*) AS candidates, count(*) FILTER (id IN (SELECT id FROM analysis_of)) AS indexed FROM datasets GROUP BY 1")
+def a22(t):
+    seen = t("analysis_of").select("id", F.lit(1).alias("s")).distinct()
+    return t("datasets").join(seen, "id", "left").groupBy("publisher").agg(F.count("*").alias("candidates"), F.count("s").alias("indexed"))
+
+
+@query("J1_search_document", """
+    SELECT d.id, d.title, coalesce(c.n, 0) AS concepts, coalesce(a.n, 0) AS analyses, v.t_start, coalesce(f.n, 0) AS distributions, f.formats FROM datasets d
+    LEFT JOIN (SELECT id, count(*) AS n FROM concept_of GROUP BY 1) c ON c.id = d.id LEFT JOIN (SELECT id, count(*) AS n FROM analysis_of GROUP BY 1) a ON a.id = d.id
+    LEFT JOIN coverage v ON v.id = d.id LEFT JOIN (SELECT dataset_id, count(*) AS n, string_agg(DISTINCT media_type, '|' ORDER BY media_type) AS formats FROM distributions GROUP BY 1) f ON f.dataset_id = d.id""")
+def j1(t):
+    d = t("datasets").select("id", "title")
+    for name in ("concept", "analysis"):
+        d = d.join(t(f"{name}_of").groupBy("id").agg(F.count("*").alias({"concept": "concepts", "analysis": "analyses"}[name])), "id", "left")
+    f = t("distributions").groupBy(F.col("dataset_id").alias("id")).agg(F.count("*").alias("distributions"), F.array_join(F.array_sort(F.collect_set("media_type")), "|").alias("formats"))
+    return d.join(t("coverage").select("id", "t_start"), "id", "left").join(f, "id", "left").fillna(0, ["concepts", "analyses", "distributions"])
+
+
+# --- links -----------------------------------------------------------------------------------------------------------
+
+_CAND = """
+    WITH RECURSIVE k AS (SELECT id, 1 AS rung, CAST(member AS VARCHAR) AS key FROM concept_of UNION ALL SELECT id, 2, data_domain FROM datasets UNION ALL SELECT id, 3, member FROM analysis_of),
+    r AS (SELECT k.*, row_number() OVER (PARTITION BY rung, key ORDER BY title, k.id) AS n FROM k JOIN datasets d ON d.id = k.id),
+    p AS (SELECT k.id AS source, r.id AS target, min(k.rung) AS rung FROM k JOIN r ON k.rung = r.rung AND k.key = r.key AND r.n <= 200 AND k.id <> r.id GROUP BY 1, 2),
+    h AS (SELECT source, rung, coalesce(sum(count(*)) OVER (PARTITION BY source ORDER BY rung ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM p GROUP BY 1, 2),
+    c AS (SELECT p.* FROM p JOIN h ON h.source = p.source AND h.rung = p.rung WHERE b < 200)
+"""
+
+
+def _cand(t):
+    keys = t("concept_of").select("id", F.lit(1).alias("rung"), F.col("member").cast("string").alias("key")).unionByName(t("datasets").select("id", F.lit(2).alias("rung"), F.col("data_domain").alias("key"))).unionByName(t("analysis_of").select("id", F.lit(3).alias("rung"), F.col("member").alias("key")))
+    return linkage.candidates(keys, t("datasets").select("id", "title"))
+
+
+@query("L1_candidates", _CAND + "SELECT source, target, rung FROM c")
+def l1(t):
+    return _cand(t)
+
+
+_SIG = _CAND + """, jc AS (SELECT c.source, c.target, (SELECT count(*) FROM concept_of a JOIN concept_of b ON a.member = b.member WHERE a.id = c.source AND b.id = c.target) AS s FROM c),
+    x AS (SELECT a.id AS source, b.id AS target, count(*) AS s FROM concept_of a JOIN concept_of b ON a.member = b.member GROUP BY 1, 2),
+    y AS (SELECT a.id AS source, b.id AS target, count(*) AS s FROM analysis_of a JOIN analysis_of b ON a.member = b.member GROUP BY 1, 2),
+    nx AS (SELECT id, count(*) AS n FROM concept_of GROUP BY 1), ny AS (SELECT id, count(*) AS n FROM analysis_of GROUP BY 1),
+    sg AS (SELECT c.source, c.target, a.title AS ta, b.title AS tb, a.publisher <> b.publisher AS op, a.data_domain = b.data_domain AS sd,
+        coalesce(x.s, 0) AS sx, coalesce(y.s, 0) AS sy,
+        coalesce(x.s * 1.0 / nullif(coalesce(na.n, 0) + coalesce(nb.n, 0) - coalesce(x.s, 0), 0), 0) AS concept_overlap,
+        coalesce(y.s * 1.0 / nullif(coalesce(ya.n, 0) + coalesce(yb.n, 0) - coalesce(y.s, 0), 0), 0) AS workflow_tag_overlap,
+        CASE WHEN a.west IS NULL OR b.west IS NULL OR least(a.east, b.east) <= greatest(a.west, b.west) OR least(a.north, b.north) <= greatest(a.south, b.south) THEN 0.0 ELSE
+            (least(a.east, b.east) - greatest(a.west, b.west)) * (least(a.north, b.north) - greatest(a.south, b.south)) /
+            ((a.east - a.west) * (a.north - a.south) + (b.east - b.west) * (b.north - b.south) - (least(a.east, b.east) - greatest(a.west, b.west)) * (least(a.north, b.north) - greatest(a.south, b.south))) END AS geographic_overlap,
+        CASE WHEN u.t_start IS NULL OR u.t_end IS NULL OR v.t_start IS NULL OR v.t_end IS NULL THEN 0.0 ELSE greatest(0, least(u.t_end, v.t_end) - greatest(u.t_start, v.t_start)) * 1.0 / ((u.t_end - u.t_start) + (v.t_end - v.t_start) - greatest(0, least(u.t_end, v.t_end) - greatest(u.t_start, v.t_start))) END AS temporal_overlap,
+        CASE WHEN EXISTS (SELECT 1 FROM concept_of p JOIN concept_of q ON p.member = q.member WHERE p.id = c.source AND q.id = c.target AND p.member % 10 = 0) THEN 1.0 ELSE 0.0 END AS joinable_key_present,
+        (CASE a.level WHEN 1 THEN 1.0 WHEN 2 THEN 0.7 ELSE 0.4 END + CASE b.level WHEN 1 THEN 1.0 WHEN 2 THEN 0.7 ELSE 0.4 END) / 2 AS quality_contribution,
+        coalesce(a.superseded_by = b.id, false) AS sb, coalesce(b.superseded_by = a.id, false) AS ss, c.source % 7 = c.target % 7 AS correlated
+        FROM c JOIN datasets a ON a.id = c.source JOIN datasets b ON b.id = c.target LEFT JOIN x ON x.source = c.source AND x.target = c.target LEFT JOIN y ON y.source = c.source AND y.target = c.target
+        LEFT JOIN nx na ON na.id = c.source LEFT JOIN nx nb ON nb.id = c.target LEFT JOIN ny ya ON ya.id = c.source LEFT JOIN ny yb ON yb.id = c.target LEFT JOIN coverage u ON u.id = c.source LEFT JOIN coverage v ON v.id = c.target)
+"""
+_SIG = _SIG.replace("jc AS (SELECT c.source, c.target, (SELECT count(*) FROM concept_of a JOIN concept_of b ON a.member = b.member WHERE a.id = c.source AND b.id = c.target) AS s FROM c),\n    ", "")
+
+
+def _signals(t):
+    d = t("datasets").join(t("coverage"), "id", "left")
+    pairs = _cand(t).select("source", "target")
+    out = linkage.jaccard_from_keys(pairs, t("concept_of"), "concept_overlap")
+    out = linkage.jaccard_from_keys(out, t("analysis_of"), "workflow_tag_overlap")
+    out = linkage.jaccard_from_keys(out, t("concept_of").where("member % 10 = 0"), "keys")
+    keep = ["id", "title", "publisher", "data_domain", "west", "south", "east", "north", "t_start", "t_end", "level", "superseded_by"]
+    a, b = (d.select(*[F.col(c).alias(f"{s}_{c}") for c in keep]) for s in "ab")
+    out = out.join(a, F.col("source") == F.col("a_id")).join(b, F.col("target") == F.col("b_id"))
+    box = lambda s: tuple(F.col(f"{s}_{c}") for c in ("west", "south", "east", "north"))
+    grade = lambda s: F.array(F.when(F.col(f"{s}_level") == 1, "A").when(F.col(f"{s}_level") == 2, "B").otherwise("C"))
+    out = out.withColumn("geographic_overlap", linkage.box_iou(box("a"), box("b"))).withColumn("temporal_overlap", linkage.time_iou(F.col("a_t_start"), F.col("a_t_end"), F.col("b_t_start"), F.col("b_t_end")))
+    out = out.withColumn("joinable_key_present", F.when(F.col("keys_shared") > 0, 1.0).otherwise(0.0)).withColumn("quality_contribution", linkage.quality(grade("a"), grade("b")))
+    return out.withColumn("correlated", F.col("source") % 7 == F.col("target") % 7)
+
+
+@query("L2_L7_signals", _SIG + "SELECT source, target, round(concept_overlap, 6) AS concept_overlap, round(workflow_tag_overlap, 6) AS workflow_tag_overlap, round(geographic_overlap, 6) AS geographic_overlap, round(temporal_overlap, 6) AS temporal_overlap, joinable_key_present, round(quality_contribution, 6) AS quality_contribution FROM sg")
+def l2(t):
+    cols = ["concept_overlap", "workflow_tag_overlap", "geographic_overlap", "temporal_overlap", "quality_contribution"]
+    return _signals(t).select("source", "target", *[F.round(c, 6).alias(c) for c in cols], "joinable_key_present")
+
+
+_STR = _SIG + """, st AS (SELECT *, round(greatest(0.0, round(0.3 * concept_overlap, 6) + round(0.2 * geographic_overlap, 6) + round(0.15 * temporal_overlap, 6) + round(0.15 * joinable_key_present, 6) + round(0.1 * workflow_tag_overlap, 6) + round(0.1 * quality_contribution, 6) - CASE WHEN correlated THEN 0.15 ELSE 0 END), 6) AS score FROM sg)"""
+
+
+def _scored(t):
+    s = linkage.strength(F.col("correlated"))
+    rel = linkage.relation(F.coalesce(F.col("b_superseded_by") == F.col("source"), F.lit(False)), F.coalesce(F.col("a_superseded_by") == F.col("target"), F.lit(False)), F.lit(False), F.col("a_publisher") != F.col("b_publisher"), F.col("a_data_domain") == F.col("b_data_domain"))
+    return _signals(t).withColumns({"score": s["score"], "tier": s["tier"], "relation": rel, "inbound": F.lit(0)})
+
+
+@query("L9_strength", _STR + "SELECT source, target, score, CASE WHEN score >= 0.8 THEN 5 WHEN score >= 0.6 THEN 4 WHEN score >= 0.4 THEN 3 WHEN score >= 0.2 THEN 2 ELSE 1 END AS tier FROM st")
+def l9(t):
+    return _scored(t).select("source", "target", "score", "tier")
+
+
+@query("L11_relation", _STR + "SELECT source, target, CASE WHEN ss THEN 'supersedes' WHEN sb THEN 'superseded-by' WHEN concept_overlap >= 0.5 AND geographic_overlap >= 0.5 AND temporal_overlap >= 0.5 AND op THEN 'substitute' WHEN joinable_key_present > 0 OR workflow_tag_overlap > 0 OR (sd AND concept_overlap > 0 AND concept_overlap < 0.5) THEN 'complementary' ELSE 'related' END AS relation FROM st")
+def l11(t):
+    return _scored(t).select("source", "target", "relation")
+
+
+@query("L14_ranked_links", _STR + "SELECT source, target, rank FROM (SELECT source, target, row_number() OVER (PARTITION BY source ORDER BY score DESC, concept_overlap DESC, quality_contribution DESC, target) AS rank FROM st WHERE score > 0 OR correlated) WHERE rank <= 12")
+def l14(t):
+    links = _scored(t)
+    links = links.withColumn("reasons", linkage.reasons(F.col("concept_overlap_shared"), F.col("workflow_tag_overlap_shared"), F.greatest("a_t_start", "b_t_start"), F.least("a_t_end", "b_t_end")))
+    return linkage.ranked(linkage.surfaced(links)).select("source", "target", "rank")
+
+
+@query("L12_reasons")
+def l12(t):
+    top = linkage.ranked(_scored(t))
+    why = linkage.reasons(F.col("concept_overlap_shared"), F.col("workflow_tag_overlap_shared"), F.greatest("a_t_start", "b_t_start"), F.least("a_t_end", "b_t_end"))
+    return top.select("source", "target", "relation", F.array_join(why, " ").alias("reasons"))
+
+
+@query("L15_explain", _STR + "SELECT source, target, round(0.3 * concept_overlap, 6) AS concept, round(0.2 * geographic_overlap, 6) AS geographic, score, correlated FROM st")
+def l15(t):
+    d = _scored(t).withColumn("c", linkage.contributions())
+    return d.select("source", "target", F.col("c")["concept_overlap"].alias("concept"), F.col("c")["geographic_overlap"].alias("geographic"), "score", "correlated")
+
+
+@query("L1_pairs_cut", "SELECT 2 AS rung, CAST(sum((n - least(n, 10)) * (n - 1)) AS BIGINT) AS cut FROM (SELECT data_domain, count(*) AS n FROM datasets GROUP BY 1)")
+def l1c(t):
+    return linkage.pairs_cut(t("datasets").select("id", F.lit(2).alias("rung"), F.col("data_domain").alias("key")), 10)
+
+
+# --- graphs ----------------------------------------------------------------------------------------------------------
+
+_CLO = """WITH RECURSIVE e AS (SELECT DISTINCT child, parent FROM lineage WHERE child <> parent),
+    c(node, ancestor, depth) AS (SELECT child, parent, 1 FROM e UNION SELECT c.node, e.parent, c.depth + 1 FROM c JOIN e ON c.ancestor = e.child WHERE c.depth < 32),
+    s AS (SELECT node, ancestor, min(depth) AS depth FROM c WHERE node <> ancestor GROUP BY 1, 2)
+"""
+
+
+@query("G1_concept_closure", "WITH RECURSIVE c(n, a) AS (SELECT narrower, broader FROM broader UNION SELECT c.n, b.broader FROM c JOIN broader b ON c.a = b.narrower) SELECT n AS node, a AS ancestor FROM c")
+def g1(t):
+    return fixpoint.closure(t("broader"), "narrower", "broader").select("node", "ancestor")
+
+
+@query("G2_ancestors", _CLO + "SELECT node, ancestor, depth FROM s")
+def g2(t):
+    return fixpoint.closure(t("lineage"))
+
+
+_PAIRS = "pr AS (SELECT p_partkey AS request_id, p_partkey AS a, p_partkey + 7 AS b FROM part WHERE p_size % 10 = 0)"
+
+
+def _pairs(t):
+    return t("part").where("p_size % 10 = 0").select(F.col("p_partkey").alias("request_id"), F.col("p_partkey").alias("a"), (F.col("p_partkey") + 7).alias("b"))
+
+
+@query("G3_shared_origins", _CLO + f", {_PAIRS} SELECT request_id, x.ancestor AS origin, x.depth AS depth_a, y.depth AS depth_b FROM pr JOIN s x ON x.node = pr.a JOIN s y ON y.node = pr.b AND x.ancestor = y.ancestor WHERE x.ancestor <> pr.a AND x.ancestor <> pr.b")
+def g3(t):
+    return graph.shared_origins(fixpoint.closure(t("lineage")), _pairs(t))
+
+
+@query("L8_nearest_origin", _CLO + f", {_PAIRS}, o AS (SELECT request_id, x.ancestor AS origin, x.depth AS depth_a, y.depth AS depth_b FROM pr JOIN s x ON x.node = pr.a JOIN s y ON y.node = pr.b AND x.ancestor = y.ancestor) SELECT request_id, origin, depth_a, depth_b FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY least(depth_a, depth_b), greatest(depth_a, depth_b), origin) AS n FROM o) WHERE n = 1")
+def l8(t):
+    return graph.nearest_origin(graph.shared_origins(fixpoint.closure(t("lineage")), _pairs(t)))
+
+
+@query("G4_blast_radius", "WITH RECURSIVE r(q, node, depth) AS (SELECT n_nationkey, CAST(n_nationkey + 1 AS BIGINT), 0 FROM nation UNION SELECT q, child, depth + 1 FROM r JOIN lineage ON r.node = parent WHERE depth < 32) SELECT q AS request_id, node, min(depth) AS depth FROM r GROUP BY 1, 2 HAVING min(depth) > 0")
+def g4(t):
+    starts = t("nation").select(F.col("n_nationkey").alias("request_id"), (F.col("n_nationkey") + 1).cast("long").alias("node"))
+    return fixpoint.reach(t("lineage"), starts)
+
+
+@query("G6_derives_from", _CLO + f", {_PAIRS} SELECT request_id, EXISTS (SELECT 1 FROM s WHERE s.node = pr.b AND s.ancestor = CAST(floor(pr.b / 4) AS BIGINT)) AS derives FROM pr")
+def g6(t):
+    c = fixpoint.closure(t("lineage")).select("node", "ancestor", F.lit(True).alias("y"))
+    p = _pairs(t).withColumn("anc", F.floor(F.col("b") / 4).cast("long"))
+    return p.join(c, (p.b == c.node) & (p.anc == c.ancestor), "left").select("request_id", F.coalesce("y", F.lit(False)).alias("derives"))
+
+
+@query("G7_assumption_depth")
+def g7(t):
+    nodes = t("part").select(F.col("p_partkey").alias("node"), (F.col("p_partkey") < 2).alias("grounded"))
+    return fixpoint.longest_depth(t("lineage"), nodes)
+
+
+@query("G8_entailments", """
+    WITH RECURSIVE c(n, a) AS (SELECT narrower, broader FROM broader UNION SELECT c.n, b.broader FROM c JOIN broader b ON c.a = b.narrower)
+    SELECT 'broaderTransitive' AS rule, count(*) AS n FROM c UNION ALL SELECT 'narrower', count(*) FROM (SELECT DISTINCT broader, narrower FROM broader)""")
+def g8(t):
+    s = t("nation").sparkSession
+    none = s.createDataFrame([], "a string, b string")
+    out = graph.entailments(t("broader"), none, s.createDataFrame([], "concept string, scheme string"), s.createDataFrame([], "concept string, external string"))
+    return out.groupBy("rule").agg(F.count("*").alias("n"))
+
+
+@query("G9_exact_bridge", "SELECT a.id AS s, b.id AS o, count(*) AS shared FROM analysis_of a JOIN analysis_of b ON a.member = b.member AND a.id <> b.id GROUP BY 1, 2")
+def g9(t):
+    a, b = t("analysis_of").select(F.col("id").alias("s"), "member"), t("analysis_of").select(F.col("id").alias("o"), "member")
+    return a.join(b, "member").where("s <> o").groupBy("s", "o").agg(F.count("*").alias("shared"))
+
+
+@query("G11_owned_nodes", "SELECT 'C' || c_custkey AS node, 'R' || n_regionkey AS owner FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def g11(t):
+    contains = t("broader").select(F.col("broader").alias("parent"), F.col("narrower").alias("child"))
+    roots = t("region").select(F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("root"))
+    return graph.owned(contains, roots, t("customer").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("node")))
+
+
+def _net(t):
+    return t("buses").select(F.col("bus_id").alias("node")), t("arcs").select(F.col("bus0").alias("a"), F.col("bus1").alias("b")).join(t("buses").select(F.col("bus_id").alias("a")), "a", "left_semi").join(t("buses").select(F.col("bus_id").alias("b")), "b", "left_semi")
+
+
+_COMP = """WITH RECURSIVE g AS (SELECT bus0 AS a, bus1 AS b FROM arcs WHERE bus0 IN (SELECT bus_id FROM buses) AND bus1 IN (SELECT bus_id FROM buses) AND bus0 <> bus1), u AS (SELECT a, b FROM g UNION SELECT b, a FROM g),
+    r(n, m) AS (SELECT bus_id, bus_id FROM buses UNION SELECT u.b, r.m FROM r JOIN u ON r.n = u.a WHERE r.m < u.b), k AS (SELECT n AS node, min(m) AS component FROM r GROUP BY 1)"""
+
+
+@query("G12_largest_component", _COMP + ", z AS (SELECT component, count(*) AS c FROM k GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1) SELECT node FROM k WHERE component = (SELECT component FROM z)")
+def g12(t):
+    return graph.largest_component(*_net(t))
+
+
+@query("G13_connectivity", _COMP + " SELECT component, count(*) AS buses FROM k GROUP BY 1")
+def g13(t):
+    return fixpoint.components(*_net(t)).groupBy("component").agg(F.count("*").alias("buses"))
+
+
+@query("G14_slack", "WITH d AS (SELECT bus_id, voltage, (SELECT count(*) FROM arcs WHERE bus0 = bus_id) + (SELECT count(*) FROM arcs WHERE bus1 = bus_id) AS degree FROM buses) SELECT bus_id, voltage, degree FROM d ORDER BY voltage DESC, degree DESC, bus_id LIMIT 1")
+def g14(t):
+    return graph.slack(t("buses"), t("arcs"))
+
+
+@query("G15_assumption_diff", """
+    WITH f AS (SELECT p_partkey AS path, p_name AS v FROM part WHERE p_size % 2 = 0), p AS (SELECT p_partkey AS path, CASE WHEN p_size % 4 = 0 THEN p_name ELSE p_type END AS v FROM part WHERE p_size % 3 = 0)
+    SELECT coalesce(f.path, p.path) AS path, f.v AS value, p.v AS parent_value, CASE WHEN p.path IS NULL THEN 'set' WHEN f.path IS NULL THEN 'dropped' WHEN f.v = p.v THEN 'inherited' ELSE 'changed' END AS status FROM f FULL JOIN p ON f.path = p.path""")
+def g15(t):
+    p = t("part")
+    return graph.assumption_diff(p.where("p_size % 2 = 0").select(F.col("p_partkey").alias("path"), F.col("p_name").alias("value")), p.where("p_size % 3 = 0").select(F.col("p_partkey").alias("path"), F.when(F.col("p_size") % 4 == 0, F.col("p_name")).otherwise(F.col("p_type")).alias("value")))
+
+
+@query("J4_concept_expansion", "WITH RECURSIVE c(n, a) AS (SELECT narrower, broader FROM broader UNION SELECT c.n, b.broader FROM c JOIN broader b ON c.a = b.narrower) SELECT a AS concept, count(*) AS datasets FROM c JOIN datasets ON n = 'S' || id GROUP BY 1")
+def j4(t):
+    c = fixpoint.closure(t("broader"), "narrower", "broader")
+    d = t("datasets").select(F.concat(F.lit("S"), F.col("id").cast("string")).alias("node"))
+    return c.join(d, "node").groupBy(F.col("ancestor").alias("concept")).agg(F.count("*").alias("datasets"))
+
+
+@query("J5_analysis_fitness", "SELECT id, member FROM analysis_of a WHERE NOT EXISTS (SELECT 1 FROM analysis_of x WHERE x.id = a.id - 1 AND x.member = a.member)")
+def j5(t):
+    a = t("analysis_of")
+    return a.join(a.select((F.col("id") + 1).alias("id"), "member"), ["id", "member"], "left_anti")
+
+
+@query("J8_currency_worklist", "SELECT d.id, cadence, modified, superseded_by, t_end FROM datasets d LEFT JOIN coverage c ON c.id = d.id WHERE review_state = 'confirmed'")
+def j8(t):
+    return t("datasets").where("review_state = 'confirmed'").join(t("coverage"), "id", "left").select("id", "cadence", "modified", "superseded_by", "t_end")
+
+
+@query("J11_branch_view", "SELECT arc_id, greatest(a.voltage, b.voltage) AS voltage, length FROM arcs JOIN buses a ON a.bus_id = bus0 JOIN buses b ON b.bus_id = bus1")
+def j11(t):
+    b = t("buses")
+    return t("arcs").join(b.select(F.col("bus_id").alias("bus0"), F.col("voltage").alias("v0")), "bus0").join(b.select(F.col("bus_id").alias("bus1"), F.col("voltage").alias("v1")), "bus1").select("arc_id", F.greatest("v0", "v1").alias("voltage"), "length")
+
+
+@query("J12_row_order_join", "SELECT p_partkey AS idx, p_size <> s_nationkey AS bus_differs FROM part JOIN supplier ON p_partkey = s_suppkey")
+def j12(t):
+    return t("part").join(t("supplier"), F.col("p_partkey") == F.col("s_suppkey")).select(F.col("p_partkey").alias("idx"), (F.col("p_size") != F.col("s_nationkey")).alias("bus_differs"))
+
+
+@query("J13_regenerable", "SELECT c_custkey, c_custkey IN (SELECT s_suppkey FROM supplier) AS regenerable FROM customer")
+def j13(t):
+    s = t("supplier").select(F.col("s_suppkey").alias("c_custkey"), F.lit(True).alias("r"))
+    return t("customer").join(s, "c_custkey", "left").select("c_custkey", F.coalesce("r", F.lit(False)).alias("regenerable"))
+
+
+# --- meaning ---------------------------------------------------------------------------------------------------------
+
+
+def _concepts(t):
+    return t("part").select(F.col("p_name").alias("pref_label"), "p_type", "p_brand").groupBy("pref_label").agg(F.min("p_type").alias("definition"), F.array_sort(F.collect_set("p_brand")).alias("brands")).select(F.col("pref_label").alias("concept"), "pref_label", F.array(F.concat("pref_label", F.lit(" alt"))).alias("alt_labels"), "definition", F.lit(False).alias("abstract"))
+
+
+@query("M1_exact_rung", "SELECT part, label AS concept, 1 AS rung FROM parts")
+def m1(t):
+    return meaning.exact_matches(t("parts").withColumn("local_name", F.lit("")), _concepts(t))
+
+
+def _asked_parts(t):
+    return t("parts").select("part", F.concat(F.col("label"), F.lit(" "), F.coalesce("definition", F.lit(""))).alias("local_name"), F.lit("").alias("label"), F.when(F.col("part") % 50 == 0, F.col("label")).alias("confirmed"))
+
+
+@query("M4_similarity_rung")
+def m4(t):
+    return meaning.resolve_by_score(meaning.lexical_scores(_asked_parts(t), _concepts(t)))
+
+
+@query("M7_ladder")
+def m7(t):
+    return meaning.ladder(_asked_parts(t), _concepts(t))
+
+
+@query("M2_unit_verdict", "SELECT a.n_nationkey AS a, b.n_nationkey AS b, CASE WHEN a.n_regionkey <> b.n_regionkey THEN 'wrong-quantity' WHEN a.n_nationkey % 3 = b.n_nationkey % 3 THEN 'agrees' ELSE 'convertible' END AS verdict FROM nation a JOIN nation b ON a.n_nationkey % 5 = b.n_nationkey % 5")
+def m2(t):
+    n = t("nation").select("n_nationkey", "n_regionkey", (F.col("n_nationkey") % 5).alias("k"), (F.col("n_nationkey") % 3).alias("m"))
+    a, b = n.alias("a"), n.alias("b")
+    return a.join(b, "k").select(F.col("a.n_nationkey").alias("a"), F.col("b.n_nationkey").alias("b"), meaning.unit_verdict(F.col("a.n_regionkey"), F.col("a.m"), F.lit(0.0), F.col("b.n_regionkey"), F.col("b.m")).alias("verdict"))
+
+
+@query("M6_cosine", "WITH c AS (SELECT label, min(vec_id) AS v FROM embeddings GROUP BY 1) SELECT e.vec_id, round(greatest(0, least(1, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(x.embedding AS DOUBLE[])))), 4) AS score FROM embeddings e JOIN c ON c.label = e.label JOIN embeddings x ON x.vec_id = c.v")
+def m6(t):
+    e = t("embeddings")
+    c = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("centre"))
+    return e.join(c, "label").select("vec_id", F.round(meaning.cosine(F.col("embedding"), F.col("centre")), 4).alias("score"))
+
+
+@query("M8_currency", """
+    WITH x AS (SELECT d.*, CASE cadence WHEN 'P1Y' THEN 365 WHEN 'P1M' THEN 30 WHEN 'P7D' THEN 7 END AS days, coalesce(modified, CASE WHEN t_end <= DATE '2003-06-01' THEN t_end END) AS seen FROM datasets d LEFT JOIN coverage c ON c.id = d.id)
+    SELECT id, CASE WHEN superseded_by IS NOT NULL THEN 'D' WHEN days IS NULL OR seen IS NULL THEN NULL WHEN epoch(TIMESTAMP '2003-06-01 00:00:00') > epoch(seen) + days * 86400 + least(days * 86400 / 4, 90 * 86400) THEN 'B' ELSE 'A' END AS grade FROM x""")
+def m8(t):
+    d = t("datasets").join(t("coverage"), "id", "left")
+    return d.select("id", meaning.currency_grade(F.col("superseded_by"), F.col("cadence"), F.col("modified"), F.lit(None).cast("date"), F.col("t_end"), NOW).alias("grade"))
+
+
+_DOC = """WITH p AS (SELECT id, count(*) AS n, count(*) FILTER (CASE WHEN is_geometry THEN geometry_type IS NOT NULL AND crs IS NOT NULL ELSE definition IS NOT NULL AND (unit IS NOT NULL OR has_codes OR data_type = 'string') END) AS ok,
+    count(*) FILTER (CASE WHEN is_geometry THEN geometry_type IS NOT NULL ELSE definition IS NOT NULL END) AS de, count(definition) AS tx FROM parts GROUP BY 1)"""
+
+
+@query("M9_documentation", _DOC + "SELECT d.id, CASE WHEN level < 2 THEN NULL WHEN d.id % 8 = 0 THEN 'C' WHEN coalesce(n, 0) = 0 THEN 'D' WHEN ok = n THEN 'A' WHEN de = 0 THEN 'D' ELSE 'B' END AS grade, coalesce(n, 0) AS fields, coalesce(ok, 0) AS documented FROM datasets d LEFT JOIN p ON p.id = d.id")
+def m9(t):
+    d = t("datasets").select("id", "level", F.when(F.col("id") % 8 == 0, "external-standard-only").alias("status"), F.lit(False).alias("conforms"))
+    return meaning.documentation_grades(d, t("parts"))
+
+
+_PROV = """, u AS (SELECT child AS id, count(DISTINCT parent) AS links FROM lineage GROUP BY 1),
+    b AS (SELECT id, max(CASE WHEN value_basis IN ('measured', 'observed') THEN 'A' WHEN value_basis = 'modeled' THEN 'B' WHEN value_basis IS NOT NULL THEN 'C' END) AS worst, count(*) FILTER (value_basis IS NULL) AS silent, count(value_basis) AS said FROM parts GROUP BY 1),
+    g AS (SELECT d.id, level, coalesce(links, CASE WHEN d.id = 0 THEN 1 ELSE 0 END) AS traced, worst, coalesce(silent, 0) AS silent, coalesce(said, 0) AS said FROM datasets d LEFT JOIN u ON u.id = d.id LEFT JOIN b ON b.id = d.id)"""
+
+
+@query("M10_provenance", _DOC + _PROV + "SELECT id, CASE WHEN level < 2 THEN NULL WHEN traced = 0 THEN 'D' WHEN said = 0 OR silent > 0 THEN 'C' ELSE worst END AS grade, traced FROM g")
+def m10(t):
+    d = t("datasets").select("id", "level", F.when(F.col("id") == 0, False).alias("uncaptured"))
+    return meaning.provenance_grades(d, t("lineage").select(F.col("child").alias("id"), F.col("parent").alias("source")), t("parts"))
+
+
+@query("M12_badges", """WITH g AS (SELECT id, level, CASE WHEN id % 3 <> 1 THEN 'A' END AS p, CASE WHEN id % 4 <> 1 THEN 'B' END AS d, 'C' AS c FROM datasets)
+    SELECT id, CASE WHEN level >= 2 AND p IS NOT NULL AND d IS NOT NULL THEN p END AS provenance, CASE WHEN level >= 2 AND p IS NOT NULL AND d IS NOT NULL THEN d END AS documentation, c AS currency FROM g""")
+def m12(t):
+    long = t("datasets").select("id", "level", F.explode(F.create_map(F.lit("provenance"), F.when(F.col("id") % 3 != 1, "A"), F.lit("documentation"), F.when(F.col("id") % 4 != 1, "B"), F.lit("currency"), F.lit("C"))).alias("facet", "grade"))
+    return meaning.badges(long)
+
+
+@query("M13_due_signals", "SELECT id, 'grade' AS signal, CASE WHEN id % 5 = 0 THEN 'write' ELSE 'schedule' END AS why FROM datasets WHERE id % 5 = 0 OR modified IS NULL OR DATE '2003-06-01' - modified > 700")
+def m13(t):
+    d = t("datasets")
+    s = d.sparkSession
+    state = d.select("id", F.lit("grade").alias("signal"), F.col("modified").alias("computed_at"))
+    return meaning.due_signals(state, d.where("id % 5 = 0").select("id"), s.createDataFrame([], "id long, changed long"), s.createDataFrame([("grade", True, False, 700)], "signal string, on_write boolean, on_related boolean, max_age_days int"), NOW)
+
+
+@query("M14_changed_rows", "SELECT p_partkey, CASE WHEN p_size % 6 = 0 THEN 'new' ELSE p_brand END AS p_brand FROM part WHERE p_size % 6 = 0 OR p_partkey % 9 = 0")
+def m14(t):
+    p = t("part").select("p_partkey", "p_brand", "p_size")
+    new = p.select("p_partkey", F.when(F.col("p_size") % 6 == 0, "new").otherwise(F.col("p_brand")).alias("p_brand"))
+    return meaning.changed_rows(p.where("p_partkey % 9 <> 0").select("p_partkey", "p_brand"), new, "p_partkey", ["p_brand"])
+
+
+# --- rules -----------------------------------------------------------------------------------------------------------
+
+
+def _rules():
+    return [
+        rules.required("cadence"), rules.one_of("data_domain", ["AFRICA", "ASIA", "EUROPE", "AMERICA"]), rules.required("west", 2), rules.between("north", -50, 50, 2),
+        rules.pattern("title", "[02468]$", 3), rules.either("modified", "superseded_by", 2), rules.implies("public-has-extent", "west", F.col("visibility") == "public", F.col("west").isNotNull(), 3), rules.not_self("superseded_by", "id"),
+    ]
+
+
+_VIOL = """WITH v AS (SELECT id, 1 AS level, 'required' AS rule, 'cadence' AS path FROM datasets WHERE cadence IS NULL UNION ALL SELECT id, 1, 'in', 'data_domain' FROM datasets WHERE data_domain NOT IN ('AFRICA', 'ASIA', 'EUROPE', 'AMERICA')
+    UNION ALL SELECT id, 2, 'required', 'west' FROM datasets WHERE west IS NULL UNION ALL SELECT id, 2, 'range', 'north' FROM datasets WHERE north NOT BETWEEN -50 AND 50 UNION ALL SELECT id, 3, 'pattern', 'title' FROM datasets WHERE NOT regexp_matches(title, '[02468]$')
+    UNION ALL SELECT id, 2, 'either', 'modified|superseded_by' FROM datasets WHERE modified IS NULL AND superseded_by IS NULL UNION ALL SELECT id, 3, 'public-has-extent', 'west' FROM datasets WHERE visibility = 'public' AND west IS NULL UNION ALL SELECT id, 1, 'not-self', 'superseded_by' FROM datasets WHERE superseded_by = id)"""
+
+
+@query("V1_violations", _VIOL + "SELECT id, level, rule, path, 'violation' AS severity FROM v")
+def v1(t):
+    return rules.violations(t("datasets"), _rules())
+
+
+@query("V9_passing_level", _VIOL + "SELECT d.id, coalesce(min(v.level) - 1, 3) AS passing FROM datasets d LEFT JOIN v ON v.id = d.id GROUP BY 1")
+def v9(t):
+    return rules.passing_level(t("datasets"), _rules())
+
+
+@query("A15_blockers", _VIOL + "SELECT path, count(*) AS n FROM v GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8")
+def a15(t):
+    return rules.violations(t("datasets"), _rules()).groupBy("path").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "path").limit(8)
+
+
+@query("V4_scheme", "SELECT p_partkey, p_brand AS value FROM part WHERE p_brand NOT IN (SELECT member FROM analysis_of WHERE id % 20 = 0)")
+def v4(t):
+    scheme = t("analysis_of").where("id % 20 = 0").select(F.col("member").alias("concept")).distinct()
+    return rules.not_in_scheme(t("part").select("p_partkey", F.col("p_brand").alias("value")), scheme)
+
+
+@query("V10_network_faults", "SELECT 'self-loop' AS rule, arc_id FROM arcs WHERE bus0 = bus1 UNION ALL SELECT 'dangling-bus0', arc_id FROM arcs WHERE bus0 NOT IN (SELECT bus_id FROM buses) UNION ALL SELECT 'dangling-bus1', arc_id FROM arcs WHERE bus1 NOT IN (SELECT bus_id FROM buses)")
+def v10(t):
+    return rules.network_faults(t("buses").where("true"), t("arcs"))
+
+
+@query("V12_dispatch_faults", "SELECT CASE WHEN p_size % 3 = 0 AND p_size <> 0 THEN 'offline-output' ELSE 'dispatch-range' END AS rule, p_partkey AS idx FROM part WHERE (p_size % 3 = 0 AND p_size <> 0) OR (p_size % 3 <> 0 AND p_size NOT BETWEEN 5 AND 40)")
+def v12(t):
+    u = t("part").select(F.col("p_partkey").alias("idx"), F.col("p_size").alias("p"), F.lit(5).alias("pmin"), F.lit(40).alias("pmax"), F.when(F.col("p_size") % 3 == 0, 0).otherwise(1).alias("status"))
+    return network.dispatch_faults(u)
+
+
+@query("V14_slipped_join", "SELECT count(DISTINCT (p_size, p_retailprice)) * 1.0 / count(*) > 0.8 AS slipped, count(*) AS units FROM part")
+def v14(t):
+    return t("part").agg((F.count_distinct(F.struct("p_size", "p_retailprice")) / F.count("*") > 0.8).alias("slipped"), F.count("*").alias("units"))
+
+
+@query("V15_promotion_gates", """
+    SELECT id, f = '' AS promoted, f AS failed FROM (SELECT id, array_to_string(list_filter([CASE WHEN NOT (level > 1) THEN 'conforms' END, CASE WHEN cadence IS NULL THEN 'licence' END, CASE WHEN NOT coalesce(DATE '2003-06-01' - modified <= 1500, false) THEN 'probe' END, CASE WHEN review_state = 'draft' THEN 'drafted' END], lambda x: x IS NOT NULL), ',') AS f FROM datasets)""")
+def v15(t):
+    d = t("datasets").select("id", (F.col("level") > 1).alias("conforms"), F.col("cadence").isNotNull().alias("license_resolved"), F.lit(True).alias("probed_ok"), F.col("modified").alias("probed_at"), (F.col("review_state") == "draft").alias("drafted"))
+    return rules.promotion_gates(d, NOW, 1500)
+
+
+@query("V16_publication_refusal", "SELECT id, west IS NULL AND cadence IS NULL AND level = 1 AS refused FROM datasets")
+def v16(t):
+    return t("datasets").select("id", (F.col("west").isNull() & F.col("cadence").isNull() & (F.col("level") == 1)).alias("refused"))
+
+
+# --- changes ---------------------------------------------------------------------------------------------------------
+
+_UP = """WITH o AS (SELECT doc_id AS id, sha256(coalesce(text, '')) AS h FROM documents WHERE doc_id % 10 <> 3), n AS (SELECT doc_id AS id, CASE WHEN doc_id % 7 = 0 THEN sha256(coalesce(text, '') || '!') ELSE sha256(coalesce(text, '')) END AS h FROM documents WHERE doc_id % 10 <> 4)"""
+
+
+@query("H1_upsert", _UP + "SELECT coalesce(o.id, n.id) AS id, CASE WHEN o.h IS NULL THEN 'created' WHEN n.h IS NULL THEN 'kept' WHEN o.h = n.h THEN 'unchanged' ELSE 'changed' END AS action, coalesce(n.h, o.h) AS hash FROM o FULL JOIN n ON o.id = n.id")
+def h1(t):
+    x = F.coalesce("text", F.lit(""))
+    d = t("documents").select(F.lit("s").alias("source"), F.col("doc_id").alias("id"), F.sha2(x, 256).alias("h0"), F.sha2(F.concat(x, F.lit("!")), 256).alias("h1"), F.lit(NOW).alias("fetched_at"))
+    old = d.where("id % 10 <> 3").withColumn("hash", F.col("h0"))
+    new = d.where("id % 10 <> 4").withColumn("hash", F.when(F.col("id") % 7 == 0, F.col("h1")).otherwise(F.col("h0")))
+    return changes.upsert(old, new).select("id", "action", "hash")
+
+
+@query("H2_predicate_diff", "SELECT p_partkey AS id, 'brand' AS p FROM part WHERE p_size % 5 = 0")
+def h2(t):
+    p = t("part").select(F.col("p_partkey").alias("id"), F.lit("brand").alias("p"), F.col("p_brand").alias("o"), "p_size")
+    return changes.predicate_diff(p, p.withColumn("o", F.when(F.col("p_size") % 5 == 0, "x").otherwise(F.col("o"))))
+
+
+@query("H3_field_revisions", "SELECT p_partkey, 'p_type' AS field, p_type AS old_value, 'NEW' AS new_value FROM part WHERE p_size % 4 = 0 UNION ALL SELECT p_partkey, 'p_size', CAST(p_size AS VARCHAR), NULL FROM part WHERE p_size % 6 = 0")
+def h3(t):
+    p = t("part").select("p_partkey", "p_type", "p_brand", "p_size")
+    new = p.select("p_partkey", F.when(F.col("p_size") % 4 == 0, "NEW").otherwise(F.col("p_type")).alias("p_type"), "p_brand", F.when(F.col("p_size") % 6 != 0, F.col("p_size")).alias("p_size"))
+    return changes.field_revisions(p, new, "p_partkey", ["p_type", "p_brand", "p_size"])
+
+
+@query("H4_history", "SELECT user_id, event_id, rank FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS rank FROM events) WHERE rank <= 50")
+def h4(t):
+    return changes.newest(t("events"), "user_id", "ts", "event_id").select("user_id", "event_id", "rank")
+
+
+@query("H5_promotion", "SELECT id, CASE WHEN id % 4 = 0 THEN 'published' WHEN id % 4 = 1 THEN 'draft' WHEN review_state = 'draft' THEN 'draft' ELSE 'published' END AS state, CASE WHEN id % 4 = 1 THEN 'stale' END AS reason FROM datasets")
+def h5(t):
+    d = t("datasets")
+    decide = d.where("id % 4 < 2").select("id", F.when(F.col("id") % 4 == 0, "promote").otherwise("demote").alias("decision"), F.lit("stale").alias("reason"))
+    return changes.promote(d.where("review_state = 'draft'"), d.where("review_state <> 'draft'"), decide)
+
+
+@query("H7_review_queue", "SELECT data_domain, id, rank FROM (SELECT data_domain, id, row_number() OVER (PARTITION BY data_domain ORDER BY nation DESC, level DESC, modified ASC NULLS FIRST, id) AS rank FROM datasets) WHERE rank <= 25")
+def h7(t):
+    d = t("datasets").select("id", "data_domain", F.col("nation").alias("inbound"), "level", F.col("modified").alias("created_at"))
+    return changes.review_queue(d, by="data_domain").select("data_domain", "id", "rank")
+
+
+_OUT = "CASE WHEN status BETWEEN 200 AND 299 THEN 'verified' WHEN status BETWEEN 300 AND 399 AND location IS NOT NULL THEN 'redirected' WHEN status IN (401, 403, 429) THEN 'degraded' ELSE 'unreachable' END"
+
+
+def _probes(t):
+    return t("probes").withColumn("outcome", changes.probe_outcome(F.col("status"), F.col("location")))
+
+
+@query("H8_probe_outcome", f"SELECT probe_id, {_OUT} AS outcome, status IN (301, 308) AS permanent FROM probes")
+def h8(t):
+    return _probes(t).select("probe_id", "outcome", changes.permanent(F.col("status")).alias("permanent"))
+
+
+_HEALTH = f"""WITH o AS (SELECT *, {_OUT} AS outcome FROM probes), i AS (SELECT *, count(*) FILTER (outcome <> 'unreachable') OVER (PARTITION BY distribution_id ORDER BY probed_at, probe_id) AS island FROM o),
+    m AS (SELECT *, max(island) OVER (PARTITION BY distribution_id) AS top FROM i),
+    h AS (SELECT distribution_id, count(*) FILTER (outcome = 'unreachable' AND island = top) AS failures, max(probed_at) FILTER (outcome <> 'unreachable') AS last_success, arg_max(outcome, (probed_at, probe_id)) AS last_status, max(probed_at) AS probed FROM m GROUP BY 1)"""
+
+
+@query("H9_health", _HEALTH + "SELECT distribution_id, failures, last_success, last_status FROM h")
+def h9(t):
+    return changes.health(_probes(t)).select("distribution_id", "failures", "last_success", "last_status")
+
+
+@query("H10_due", _HEALTH + "SELECT c_custkey AS distribution_id FROM customer LEFT JOIN h ON h.distribution_id = c_custkey WHERE probed IS NULL OR probed <= TIMESTAMP '2024-01-29 12:00:00'")
+def h10(t):
+    return changes.due(t("customer").select(F.col("c_custkey").alias("distribution_id")), changes.health(_probes(t)), datetime(2024, 1, 30, 12)).select("distribution_id")
+
+
+@query("H11_unhealthy", _HEALTH + "SELECT distribution_id, failures FROM h WHERE failures >= 1")
+def h11(t):
+    return changes.health(_probes(t)).where("failures >= 1").select("distribution_id", "failures")
+
+
+@query("H12_heals", f"""WITH o AS (SELECT *, {_OUT} AS outcome, row_number() OVER (PARTITION BY distribution_id ORDER BY probed_at DESC, probe_id DESC) AS n FROM probes)
+    SELECT distribution_id, max(location) AS location FROM o WHERE n <= 3 GROUP BY 1 HAVING count(*) = 3 AND count(*) FILTER (outcome = 'redirected') = 3 AND count(DISTINCT location) = 1 AND max(status) FILTER (n = 1) IN (301, 308)""")
+def h12(t):
+    p = _probes(t)
+    return changes.heals(p, p.sparkSession.createDataFrame([], "distribution_id long, new_value string, n int"))
+
+
+@query("H13_retention", "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-20 00:00:00'")
+def h13(t):
+    return t("events").where(F.col("ts") >= F.lit(datetime(2024, 1, 20))).select("event_id")
+
+
+@query("H15_audit", "SELECT event_type, count(*) AS n, max(ts) AS newest FROM events WHERE event_type IN ('error', 'signup') GROUP BY 1")
+def h15(t):
+    return t("events").where(F.col("event_type").isin("error", "signup")).groupBy("event_type").agg(F.count("*").alias("n"), F.max("ts").alias("newest"))
+
+
+@query("H16_projector_lag", "SELECT CAST(epoch(max(ts)) - epoch(max(ts) FILTER (event_type = 'view')) AS BIGINT) AS lag FROM (SELECT date_trunc('second', ts) AS ts, event_type FROM events)")
+def h16(t):
+    e = t("events")
+    return e.agg((F.unix_seconds(F.max("ts").cast("timestamp")) - F.unix_seconds(F.max(F.when(F.col("event_type") == "view", F.col("ts"))).cast("timestamp"))).alias("lag"))
+
+
+@query("H17_access_path", "SELECT dataset_id, distribution_id, reachable, a AS alternatives FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY reachable DESC, sliceable DESC, anonymous DESC, requester_pays, bulk DESC, distribution_id) AS n, count(*) OVER (PARTITION BY dataset_id) - 1 AS a FROM distributions) WHERE n = 1")
+def h17(t):
+    return changes.access_path(t("distributions"))
+
+
+@query("H18_access_mode", "SELECT distribution_id, CASE WHEN protocol IS NOT NULL THEN 'subsetting' WHEN sliceable AND chunk_index IS NOT NULL THEN 'partial-read' ELSE 'redirect' END AS mode FROM distributions")
+def h18(t):
+    return t("distributions").select("distribution_id", changes.access_mode(F.col("protocol"), F.col("sliceable"), F.col("chunk_index")).alias("mode"))
+
+
+@query("H19_recipe", "SELECT distribution_id, CASE media_type WHEN 'application/x-parquet' THEN 'spark.parquet' WHEN 'text/csv' THEN 'spark.csv' ELSE 'geo' END AS reader FROM distributions")
+def h19(t):
+    d = t("distributions")
+    r = d.sparkSession.createDataFrame([("parquet", "spark.parquet"), ("csv", "spark.csv"), ("json", "spark.json"), ("geo+json", "geo")], "key string, reader string")
+    return changes.recipe(d, r)
+
+
+@query("H22_issued_plans", "SELECT event_id, ts + INTERVAL 900 SECOND AS expires_at, ts + INTERVAL 900 SECOND > TIMESTAMP '2024-01-15 00:00:00' AS active FROM events WHERE event_type = 'purchase'")
+def h22(t):
+    end = F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(900))
+    return t("events").where("event_type = 'purchase'").select("event_id", end.alias("expires_at"), (end > F.lit(datetime(2024, 1, 15))).alias("active"))
+
+
+@query("H23_intake", "SELECT event_id FROM events WHERE event_type = 'signup' ORDER BY ts, event_id LIMIT 50")
+def h23(t):
+    return t("events").where("event_type = 'signup'").orderBy("ts", "event_id").limit(50).select("event_id")
+
+
+# --- networks --------------------------------------------------------------------------------------------------------
+
+
+@query("X1_country_subset", "SELECT arc_id FROM arcs WHERE bus0 IN (SELECT bus_id FROM buses WHERE country = 'Brand#2') AND bus1 IN (SELECT bus_id FROM buses WHERE country = 'Brand#2')")
+def x1(t):
+    return network.subset(t("buses"), t("arcs"), "Brand#2")[1].select("arc_id")
+
+
+@query("X3_line_parameters", """WITH ty(voltage, r, x, c, i, nom) AS (VALUES (220.0, 0.06, 0.301, 12.5, 1.29, 220.0), (275.0, 0.04, 0.265, 13.2, 1.935, 300.0), (380.0, 0.03, 0.246, 13.8, 2.58, 380.0), (400.0, 0.03, 0.246, 13.8, 2.58, 380.0))
+    SELECT arc_id AS line_id, round(CAST(r AS DOUBLE) * length / 1000 / n, 3) AS r_ohm, round(CAST(x AS DOUBLE) * length / 1000 / n, 3) AS x_ohm, round(sqrt(3) * b.voltage * CAST(i AS DOUBLE) * n, 1) AS rating_mva, ty.voltage <> nom AS substituted
+    FROM (SELECT *, greatest(circuits, 1) AS n FROM arcs) a JOIN buses b ON b.bus_id = bus0 JOIN ty ON ty.voltage = b.voltage""")
+def x3(t):
+    b = t("buses")
+    lines = t("arcs").join(b.select(F.col("bus_id").alias("bus0"), "voltage"), "bus0").withColumnRenamed("arc_id", "line_id")
+    got = network.line_parameters(lines, network.line_types(b.sparkSession))
+    return got.select("line_id", F.round("r_ohm", 3).alias("r_ohm"), F.round("x_ohm", 3).alias("x_ohm"), "rating_mva", "substituted")
+
+
+@query("X4_transformers", """SELECT arc_id AS transformer_id, CAST(CASE WHEN lo = 275 AND hi = 400 THEN 750 WHEN lo = 220 AND hi = 400 THEN 500 ELSE 240 END AS DOUBLE) AS rating_mva, round(0.13 * hi * hi / CASE WHEN lo = 275 AND hi = 400 THEN 750 WHEN lo = 220 AND hi = 400 THEN 500 ELSE 240 END, 3) AS x_ohm
+    FROM (SELECT arc_id, least(a.voltage, b.voltage) AS lo, greatest(a.voltage, b.voltage) AS hi FROM arcs JOIN buses a ON a.bus_id = bus0 JOIN buses b ON b.bus_id = bus1)""")
+def x4(t):
+    b = t("buses")
+    d = t("arcs").join(b.select(F.col("bus_id").alias("bus0"), F.col("voltage").alias("voltage_bus0")), "bus0").join(b.select(F.col("bus_id").alias("bus1"), F.col("voltage").alias("voltage_bus1")), "bus1").withColumnRenamed("arc_id", "transformer_id")
+    return network.transformer_parameters(d).select("transformer_id", "rating_mva", F.round("x_ohm", 3).alias("x_ohm"))
+
+
+@query("X5_surrogate_ids", "SELECT p_partkey, row_number() OVER (PARTITION BY p_type ORDER BY p_brand, p_partkey) AS id FROM part")
+def x5(t):
+    return t("part").select("p_partkey", F.row_number().over(Window.partitionBy("p_type").orderBy("p_brand", "p_partkey")).alias("id"))
+
+
+@query("X7_linestring", "SELECT bus_id, 2 AS n, round(x, 5) AS x0, round(y + 1, 5) AS y1 FROM buses")
+def x7(t):
+    s = F.concat(F.lit("LINESTRING ("), F.col("x").cast("string"), F.lit(" "), F.col("y").cast("string"), F.lit(", "), F.col("x").cast("string"), F.lit(" "), (F.col("y") + 1).cast("string"), F.lit(")"))
+    return t("buses").select("bus_id", network.points(s).alias("p")).select("bus_id", F.size("p").alias("n"), F.col("p")[0][0].alias("x0"), F.col("p")[1][1].alias("y1"))
+
+
+def _lines(t):
+    c = t("lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", (F.col("l_quantity")).alias("x"), (F.col("l_discount") * 100).alias("y")))).alias("v"))
+    return c.select("l_orderkey", F.transform("v", lambda p: F.array(p["x"], p["y"])).alias("p"))
+
+
+@query("X8_simplify")
+def x8(t):
+    return _lines(t).select("l_orderkey", network.simplify("p", F.lit(3.0)).alias("p")).select("l_orderkey", F.size("p").alias("n"))
+
+
+@query("X10_clip_polygon")
+def x10(t):
+    return _lines(t).select("l_orderkey", network.clip_polygon("p", F.lit(10.0), F.lit(2.0), F.lit(40.0), F.lit(8.0)).alias("p")).select("l_orderkey", F.size("p").alias("n"))
+
+
+@query("X9_clip_runs", """WITH v AS (SELECT l_orderkey AS line_id, l_linenumber AS seq, l_partkey AS tie, l_quantity AS x, l_discount AS y, l_quantity BETWEEN 10 AND 40 AND l_discount BETWEEN 0.02 AND 0.08 AS i FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_quantity, l_discount, l_extendedprice) AS k FROM lineitem) WHERE k = 1),
+    n AS (SELECT *, i OR coalesce(lag(i) OVER w, false) OR coalesce(lead(i) OVER w, false) AS near FROM v WINDOW w AS (PARTITION BY line_id ORDER BY seq)),
+    s AS (SELECT *, CASE WHEN near AND NOT coalesce(lag(near) OVER (PARTITION BY line_id ORDER BY seq), false) THEN 1 ELSE 0 END AS st FROM n)
+    SELECT line_id, CAST(run AS BIGINT) AS run, seq FROM (SELECT *, sum(st) OVER (PARTITION BY line_id ORDER BY seq) AS run FROM s) WHERE near""")
+def x9(t):
+    w = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_quantity", "l_discount", "l_extendedprice")
+    v = t("lineitem").withColumn("k", F.row_number().over(w)).where("k = 1").select(F.col("l_orderkey").alias("line_id"), F.col("l_linenumber").alias("seq"), F.col("l_quantity").alias("x"), F.col("l_discount").alias("y"))
+    return network.clip_runs(v, (10, 0.02, 40, 0.08)).select("line_id", "run", "seq")
+
+
+@query("X12_nearest", "WITH q AS (SELECT c_custkey AS q, c_custkey % 101 + 0.5 AS qx, c_custkey % 83 + 0.25 AS qy FROM customer), h AS (SELECT q, bus_id, sqrt((x - qx) * (x - qx) + (y - qy) * (y - qy)) AS d FROM q JOIN buses ON abs(x - qx) <= 3 AND abs(y - qy) <= 3) SELECT q, element, round(d, 6) AS distance FROM (SELECT q, bus_id AS element, d, row_number() OVER (PARTITION BY q ORDER BY d, bus_id) AS n FROM h WHERE d <= 3) WHERE n = 1")
+def x12(t):
+    q = t("customer").select(F.col("c_custkey").alias("q"), (F.col("c_custkey") % 101 + F.lit(0.5)).alias("x"), (F.col("c_custkey") % 83 + F.lit(0.25)).alias("y"))
+    return network.nearest(q, t("buses").withColumnRenamed("bus_id", "element"), 3.0).withColumn("distance", F.round("distance", 6))
