@@ -7,8 +7,10 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 from pyspark.sql.window import Window
 
+_POINTS = ArrayType(ArrayType(DoubleType()))
 #: Published standard line types by voltage: ohm, ohm and nF per km, kA, and the type's own voltage.
 LINE_TYPES = ((220.0, 0.06, 0.301, 12.5, 1.29, 220.0), (275.0, 0.04, 0.265, 13.2, 1.935, 300.0), (380.0, 0.03, 0.246, 13.8, 2.58, 380.0), (400.0, 0.03, 0.246, 13.8, 2.58, 380.0))
 #: Transformer ratings by voltage pair, the default, reactance per unit and ratio of reactance to resistance.
@@ -58,7 +60,7 @@ def points(linestring: Column) -> Column:
     return F.transform(F.split(inner, r"\s*,\s*"), lambda p: F.transform(F.split(F.trim(p), r"\s+"), lambda x: F.round(x.try_cast("double"), 5)))
 
 
-@F.pandas_udf("array<array<double>>")
+@F.pandas_udf(_POINTS)
 def simplify(lines: pd.Series, tolerance: pd.Series) -> pd.Series:
     """Douglas-Peucker on each line: the ends stay, and so does every point farther from its chord than the tolerance."""
 
@@ -84,7 +86,7 @@ def simplify(lines: pd.Series, tolerance: pd.Series) -> pd.Series:
     return pd.Series([one(p, t) for p, t in zip(lines, tolerance, strict=True)])
 
 
-@F.pandas_udf("array<array<double>>")
+@F.pandas_udf(_POINTS)
 def clip_polygon(rings: pd.Series, west: pd.Series, south: pd.Series, east: pd.Series, north: pd.Series) -> pd.Series:
     """The part of each ring inside a box, one side of the box after the other; an empty array when nothing is left."""
 

@@ -1086,7 +1086,7 @@ def x1(t):
 
 
 @query("X3_line_parameters", """WITH ty(voltage, r, x, c, i, nom) AS (VALUES (220.0, 0.06, 0.301, 12.5, 1.29, 220.0), (275.0, 0.04, 0.265, 13.2, 1.935, 300.0), (380.0, 0.03, 0.246, 13.8, 2.58, 380.0), (400.0, 0.03, 0.246, 13.8, 2.58, 380.0))
-    SELECT arc_id AS line_id, round(CAST(r AS DOUBLE) * length / 1000 / n, 3) AS r_ohm, round(CAST(x AS DOUBLE) * length / 1000 / n, 3) AS x_ohm, round(sqrt(3) * b.voltage * CAST(i AS DOUBLE) * n, 1) AS rating_mva, ty.voltage <> nom AS substituted
+    SELECT arc_id AS line_id, round(CAST(r AS DOUBLE) * length / 1000 / n, 3) AS r_ohm, round(CAST(ty.x AS DOUBLE) * length / 1000 / n, 3) AS x_ohm, round(sqrt(3) * b.voltage * CAST(i AS DOUBLE) * n, 1) AS rating_mva, ty.voltage <> nom AS substituted
     FROM (SELECT *, greatest(circuits, 1) AS n FROM arcs) a JOIN buses b ON b.bus_id = bus0 JOIN ty ON ty.voltage = b.voltage""")
 def x3(t):
     b = t("buses")
