@@ -1,0 +1,367 @@
+"""Each corpus operator against a brute-force version, with nulls, empty and long texts, ties, repeated rows, empty tables and
+extra columns of clashing names."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+from datavane.llm import bpe, exact, jaccard, language, licenses, merkle, packing, queries, shards, substrings, url_rules
+from pyspark.sql import functions as F
+
+WS = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def passage(rng, n, words=400):
+    return [f"w{rng.randrange(words)}" for _ in range(n)]
+
+
+def corpus():
+    rng = random.Random(7)
+    shared = passage(rng, 70, 10_000)
+    rows = []
+    for i in range(60):
+        words = passage(rng, rng.choice([3, 8, 60, 200]), 5000)
+        if i % 6 == 0:
+            words += shared + passage(rng, 20, 5000)
+        rows.append(" ".join(words))
+    base = passage(rng, 150, 5000)
+    for i in range(8):  # a chain of near copies
+        own = list(base)
+        for j in range(i):
+            own[j * 10 + 1] = f"x{i}"
+        rows.append("  ".join(own) if i % 2 else "\n".join(own))
+    rows += [rows[3], rows[3], rows[5] + " ", "\t" + rows[5], None, "", "   ", "É ü 漢字 <|endoftext|> ok", "only one", "Only One", " ".join(passage(rng, 20_000, 3000)), "a  b\n c\x0bd", "aaaa" * 50]
+    return [(i, t, "en" if i % 2 else "de", "s", 0) for i, t in enumerate(rows)]
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return corpus()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    # columns whose names the operators also use inside
+    return spark.createDataFrame(rows, SCHEMA).repartition(5).withColumn("shard", F.lit(1)).withColumn("component_id", F.lit("x")).withColumn("digest", F.lit(None).cast("string")).withColumn("n", F.lit(2)).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def by_id(df):
+    return {r.doc_id: r for r in df.collect()}
+
+
+def test_url_rules(spark):
+    urls = ["http://a.com/en/x", "https://WWW.example.com/en/1?q#f", "http://example.com/en/", "http://example.com/fr", "http://m.example.net/es/2", "http://net/fr/", "nothing", None, "http://", "http://x.com", "http://x.com?y/", "ftp://b.example.com/en/z", "http://notexample.com/en/"] + ["http://hot.net/es/1"] * 50
+    rules = spark.createDataFrame(queries.URL_RULES, "host string, path string, verdict string")
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", F.lit("clash"))
+    got = {r.page_id: r for r in url_rules.url_verdicts(df, rules).collect()}
+    assert len(got) == len(urls)
+    for i, u in enumerate(urls):
+        rest = u.split("://", 1)[1] if u and "://" in u else ""
+        raw = re.match(r"[^/?#]*", rest)[0]
+        host, path = raw.translate({c: c + 32 for c in range(65, 91)}), re.match(r"[^?#]*", rest[len(raw) :])[0]
+        fit = [(len(h + p), h + p, v) for h, p, v in queries.URL_RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        best = max(fit, default=(0, None, "allow"))
+        assert (got[i].host, got[i].path, got[i].rule, got[i].verdict) == (host, path, best[1], best[2]), u
+    assert url_rules.url_verdicts(df.limit(0), rules).count() == 0
+
+
+def test_language(spark, empty):
+    rng = random.Random(3)
+    alphabet = {"aa": "aeiourst", "bb": "mnzwkyp", "cc": "äöüßxq"}
+    rows = []
+    for i in range(90):
+        lang = ["aa", "bb", "cc"][i % 3]
+        rows.append((i, " ".join("".join(rng.choice(alphabet[lang]) for _ in range(5)) for _ in range(40)), lang, "s", 0))
+    rows += [(90, None, "aa", "s", 0), (91, "", None, "s", 0), (92, "123 !!", "bb", "s", 0), (93, "z" * 3_000_000, "bb", "s", 0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    learned = language.learn(df.where(~language.held_out(F.col("doc_id"))))
+    assert set(learned) == {"aa", "bb", "cc"}
+    got = {r.doc_id: r for r in language.identify(df, learned).collect()}
+    assert all(got[i].lang_pred == rows[i][2] for i in range(90)) and got[93].lang_pred == "bb"
+    assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (90, 91, 92)) and all(0 <= r.score <= 1 for r in got.values())
+    held = {r.doc_id for r in df.where(language.held_out(F.col("doc_id"))).collect()}
+    assert held == {i for i, *_ in rows if zlib.crc32(str(i).encode()) % 4 == 2}
+    assert {r.doc_id for r in language.keep_identified(df, learned).collect()} == set(range(90)) | {93}
+    assert language.identify(empty, learned).count() == 0 and language.learn(empty) == {}
+    assert {r.lang_pred for r in language.identify(df, {}).collect()} == {"und"}
+
+
+def test_gram_counts_in_pieces():
+    text = "Straße über den Fluß, und so weiter. " * 40
+    one, two = language.gram_counts(text), language.gram_counts(text, piece=97)
+    assert dict(zip(*map(list, one), strict=True)) == dict(zip(*map(list, two), strict=True))
+
+
+def test_shards(docs, rows, empty):
+    got = shards.byte_shards(docs).collect()
+    assert sorted(r.doc_id for r in got) == list(range(len(rows)))
+    size = {i: len((t or "").encode()) + 1 for i, t, *_ in rows}
+    order = sorted(got, key=lambda r: (r.shard, r.slot))
+    assert [r.doc_id for r in order] == list(range(len(rows)))  # contiguous
+    per = defaultdict(list)
+    for r in order:
+        assert r["size"] == size[r.doc_id] and r.text_crc32 == zlib.crc32((rows[r.doc_id][1] or "").encode()) and r.law == "bytes" and r.grown_shard is None
+        per[r.shard].append(r.slot)
+    assert all(v == list(range(len(v))) for v in per.values()) and set(per) <= set(range(8))
+    total, longest = sum(size.values()), max(size.values())
+    sums = Counter()
+    for r in got:
+        sums[r.shard] += r["size"]
+    assert all(s <= total / 8 + longest for s in sums.values())
+    assert shards.byte_shards(empty).count() == 0
+
+
+def test_licenses(spark):
+    filler = "the of and to " * 30
+    files = [(1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/c/x.txt", filler), (3, "a/b/LICENSE", f"{filler}\n\nLicensed under the Apache License, Version 2.0.\n\nmore"), (4, "a/b/c/y.txt", f"head\nLicensed under CC BY-NC 4.0.\n{filler}"), (5, "z/q.txt", None), (6, None, ""), (7, "a/z.txt", filler), (8, "top.txt", "x" * 100_000)]
+    df = spark.createDataFrame(files, "doc_id long, path string, text string").withColumn("license", F.lit("clash"))
+    got = by_id(licenses.inherit(licenses.scan(df)))
+    assert {i: (r.license, r.basis) for i, r in got.items()} == {1: ("MIT", "own"), 2: ("Apache-2.0", "inherited"), 3: ("Apache-2.0", "own"), 4: ("CC-BY-NC-4.0", "own"), 5: (None, "none"), 6: (None, "none"), 7: ("MIT", "inherited"), 8: (None, "none")}
+    assert got[2].license_dir == "a/b" and licenses.inherit(licenses.scan(df.limit(0))).count() == 0
+
+
+def test_license_anchors_lose_nothing():
+    model = licenses.Templates(licenses.TEMPLATES, 0.6)
+    rng = random.Random(1)
+    words = sorted(model.idf) + ["foo", "bar"]
+    for _ in range(5000):
+        unit = [rng.choice(words) for _ in range(rng.randrange(1, 15))]
+        if model.best(unit)[0] >= 0.6:
+            assert model.any.search(" ".join(unit))
+
+
+def test_bpe(docs, rows, empty):
+    from tokenizers import Tokenizer
+
+    path = f"{queries.TOKENIZERS}/byte_bpe_50k.json"
+    t = Tokenizer.from_file(path)
+    got, ids = by_id(bpe.round_trip(docs, path)), by_id(bpe.encode(docs, path))
+    texts = by_id(bpe.decode(bpe.encode(docs, path), path))
+    for i, text, *_ in rows:
+        want = t.encode(text or "", add_special_tokens=False).ids
+        assert ids[i].ids == want and got[i].n_tokens == len(want)
+        assert got[i].ids_sha256 == hashlib.sha256(",".join(map(str, want)).encode()).hexdigest()
+        back = t.decode(want, skip_special_tokens=False)
+        assert got[i].decoded_sha256 == hashlib.sha256(back.encode()).hexdigest() and texts[i].text == back == (text or "")
+    assert bpe.round_trip(empty, path).count() == 0
+
+
+def brute_removed(rows, size=50):
+    first, at = {}, {}
+    for i, text, *_ in sorted(rows, key=lambda r: r[0]):
+        w = WS.findall(text or "")
+        at[i] = w
+        for j in range(len(w) - size + 1):
+            first.setdefault(tuple(w[j : j + size]), i)
+    out = {}
+    for i, w in at.items():
+        gone = set()
+        for j in range(len(w) - size + 1):
+            if first[tuple(w[j : j + size])] < i:
+                gone.update(range(j, j + size))
+        out[i] = (len(w), len(gone), [x for j, x in enumerate(w) if j not in gone])
+    return out
+
+
+def test_substrings(docs, rows, empty):
+    got, want = by_id(substrings.removed_words(docs)), brute_removed(rows)
+    assert set(got) == set(want) and sum(w[1] for w in want.values()) > 500
+    for i, (n, m, kept) in want.items():
+        assert (got[i].n_words, got[i].n_removed, got[i].kept_sha256) == (n, m, hashlib.sha256(" ".join(kept).encode()).hexdigest()), i
+    out = by_id(substrings.remove_repeats(docs))
+    assert all(out[i].text == (" ".join(kept) if m else rows[i][1]) for i, (n, m, kept) in want.items())
+    assert substrings.removed_words(empty).count() == 0
+
+
+def test_a_small_sketch_only_passes_more(docs, rows):
+    want = {i for i, w in brute_removed(rows).items() if w[1]}
+    assert {r.doc_id for r in substrings.repeated_windows(docs.select("doc_id", "text"), max_bits=18).collect()} == want
+
+
+def test_packing(docs, rows, empty):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(f"{queries.TOKENIZERS}/byte_bpe_50k.json")
+    got = packing.pack(packing.token_pieces(docs, f"{queries.TOKENIZERS}/byte_bpe_50k.tiktoken", queries.SPECIAL)).collect()
+    per = defaultdict(list)
+    for r in got:
+        per[r.doc_id].append(r)
+    for i, text, *_ in rows:
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
+        own = sorted(per[i], key=lambda r: r.piece)
+        assert [r.piece for r in own] == list(range(len(own))) and sum(r.length for r in own) == len(ids)
+        assert all(r.length == 1024 for r in own[1:])
+        for r in own:
+            part = ids[r.start : r.start + r.length]
+            assert r.ids_crc32 == zlib.crc32(b"".join(x.to_bytes(4, "little") for x in part))
+    seqs = defaultdict(list)
+    for r in got:
+        seqs[r.sequence_id].append((r.offset, r.length))
+    for s in seqs.values():
+        end = 0
+        for offset, length in sorted(s):
+            assert offset == end
+            end += length
+        assert end <= 1024
+    assert len(seqs) <= -(-sum(r.length for r in got) // 1024) * 1.1 + 1
+    assert packing.pack(packing.token_pieces(empty, f"{queries.TOKENIZERS}/byte_bpe_50k.tiktoken", queries.SPECIAL)).count() == 0
+
+
+def test_patterns_hold_the_demand():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    lengths = np.minimum(1024, rng.lognormal(5.5, 0.9, 20_000).astype(int) + 1)
+    demand = np.bincount(lengths, minlength=1025)
+    found = packing.patterns(demand)
+    assert (sum(k * p for p, k in found) == demand).all() and all((p * np.arange(1025)).sum() <= 1024 for p, _ in found)
+    assert sum(k for _, k in found) <= 1.02 * -(-(demand * np.arange(1025)).sum() // 1024)
+
+
+def test_exact(docs, rows, empty):
+    got = docs.transform(exact.exact_duplicates).collect()
+    groups = defaultdict(list)
+    for i, text, *_ in rows:
+        groups[re.sub(r"[\x20\x09-\x0D]", "", text or "")].append((-len(text or ""), i))
+    assert len(got) == len(rows)
+    for r in got:
+        norm = re.sub(r"[\x20\x09-\x0D]", "", rows[r.doc_id][1] or "")
+        keep = min(groups[norm])[1]
+        assert (r.keep_id, r.group_size, r.kept, r.text_sha256) == (keep, len(groups[norm]), r.doc_id == keep, hashlib.sha256(norm.encode()).hexdigest())
+    assert {r.doc_id for r in exact.drop_duplicates(docs).collect()} == {min(g)[1] for g in groups.values()}
+    assert exact.exact_duplicates(empty).count() == 0
+
+
+def test_exact_with_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "a b", None, None, 0)] * 3 + [(2, "ab", None, None, 0), (None, "q", None, None, 0), (None, "q", None, None, 0)], SCHEMA)
+    got = exact.exact_duplicates(df).collect()
+    assert len(got) == 6 and sum(r.kept for r in got) == 2
+    out = exact.drop_duplicates(df).collect()
+    assert sorted(str(r.doc_id) for r in out) == ["1", "None", "None"]
+
+
+def test_a_clash_of_digests_is_found(spark):
+    """The state says that two texts are equal; their bytes do not."""
+    base = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
+    d = hashlib.sha256(b"b").hexdigest()
+    state = spark.createDataFrame([(d, 2, 1, 0, 1)], "digest string, n long, keep_id long, keep_uid long, keep_chars long")
+    texts = base.withColumn("text", F.lit("b"))
+    assert exact._clashes(texts, state).count() == 0
+    assert {(r.doc_id, r.kept) for r in exact._by_text(base, spark.createDataFrame([(d,)], "digest string")).collect()} == {(2, True)}
+
+
+def brute_components(rows, k=5):
+    sets = {}
+    for i, text, *_ in rows:
+        w = WS.findall((text or "").translate({c: c + 32 for c in range(65, 91)}))
+        sets[i] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids:
+            if a < b and sets[a] and sets[b]:
+                both = len(sets[a] & sets[b])
+                if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                    x, y = find(a), find(b)
+                    root[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+@pytest.mark.parametrize(("tile_bytes", "cap"), [(16 << 20, 32), (2000, 32), (4000, 2)])
+def test_near_duplicates(docs, rows, tile_bytes, cap):
+    got, want = by_id(jaccard.near_duplicates(docs, tile_bytes=tile_bytes, cap=cap)), brute_components(rows)
+    assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == want
+    assert len({c for _, c in want.values()}) <= len(want) - 8
+
+
+def test_near_duplicates_odd_rows(spark, empty):
+    assert jaccard.near_duplicates(empty).count() == 0
+    df = spark.createDataFrame([(None, "a b c d e f", None, None, 0), (4, "a b c d e f", None, None, 0), (4, "a b c d e f", None, None, 0), (9, "A b c d e f", None, None, 0)], SCHEMA)
+    assert sorted((str(r.doc_id), str(r.component_id)) for r in jaccard.near_duplicates(df).collect()) == [("4", "4"), ("4", "4"), ("9", "4"), ("None", "None")]
+
+
+def test_linked_in_tile_keeps_every_connection():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    base = np.unique(rng.integers(0, 2**63, 60, dtype=np.uint64))
+    sets = []
+    for i in range(40):
+        s = base.copy()
+        s[: i % 12] = rng.integers(0, 2**63, i % 12, dtype=np.uint64)
+        sets.append(np.unique(s))
+    links = jaccard.linked_in_tile(np.arange(40), sets, 80)
+    def comps(pairs):
+        root = list(range(40))
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+        for a, b in pairs:
+            root[max(find(a), find(b))] = min(find(a), find(b))
+        return [find(i) for i in range(40)]
+    every = [(a, b) for a in range(40) for b in range(a) if 180 * len(np.intersect1d(sets[a], sets[b])) >= 80 * (len(sets[a]) + len(sets[b]))]
+    assert comps(links) == comps(every) and len(links) < 40
+
+
+def test_merkle(docs, rows, empty):
+    got = by_id(merkle.fingerprints(docs))
+    texts = [t or "" for _, t, *_ in rows]
+    for i, text in enumerate(texts):
+        nxt = texts[(i + 1) % len(texts)]
+        edited = text[: len(text) - len(text) // 2] + nxt[: len(text) // 2]
+        r = got[i]
+        assert r.n_chars == len(text) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+        assert (r.fingerprint == r.edited_fingerprint) == (text == edited)
+    same = defaultdict(set)
+    for i, t in enumerate(texts):
+        same[t].add(got[i].fingerprint)
+    assert all(len(v) == 1 for v in same.values()) and len({got[i].fingerprint for i in got}) == len(same)
+    assert merkle.fingerprints(empty).count() == 0
+    assert merkle.fingerprints(docs.where("doc_id = 1")).first().near_next == 1.0
+
+
+def test_merkle_finds_the_edit(spark):
+    df = spark.createDataFrame([("One a. Two b. Three c.\nFour d.", "One a. Two X. Three c.\nFour d.")], "a string, b string")
+    got = df.select(merkle.edits(merkle.tree(F.col("a")), merkle.tree(F.col("b"))).alias("e")).first().e
+    assert [x["at"] for x in got] == [1]
+
+
+def test_pipeline(spark, rows, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    live = [r for r in rows if r[1] and re.search(r"[^\W\d_]", r[1])]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.common.saved(stage(spark, docs, str(tmp_path)), "t")
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
+        if name == "exact_dedup":
+            groups = defaultdict(list)
+            for r in live:
+                groups[re.sub(r"[\x20\x09-\x0D]", "", r[1])].append((-len(r[1]), r[0], r))
+            live = [min(g)[2] for g in groups.values()]
+        elif name == "ngram_jaccard":
+            comp = brute_components(live)
+            live = [r for r in live if comp[r[0]][1] == r[0]]
+        elif name == "substring_dedup":
+            cut = brute_removed(live)
+            live = [(r[0], " ".join(cut[r[0]][2]) if cut[r[0]][1] else r[1], *r[2:]) for r in live]
+        assert {r.doc_id: r.text for r in docs.collect()} == {r[0]: r[1] for r in live}, name
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in out} == {r[0] for r in live}
