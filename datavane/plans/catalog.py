@@ -29,7 +29,7 @@ def query(name: str, sql: str | None = None):
 
 
 def queries():
-    from . import records  # noqa: F401  registers its own
+    from . import coverage, records  # noqa: F401  these register their own
 
     return dict(QUERIES)
 
@@ -1086,13 +1086,13 @@ def x1(t):
 
 
 @query("X3_line_parameters", """WITH ty(voltage, r, x, c, i, nom) AS (VALUES (220.0, 0.06, 0.301, 12.5, 1.29, 220.0), (275.0, 0.04, 0.265, 13.2, 1.935, 300.0), (380.0, 0.03, 0.246, 13.8, 2.58, 380.0), (400.0, 0.03, 0.246, 13.8, 2.58, 380.0))
-    SELECT arc_id AS line_id, round(CAST(r AS DOUBLE) * length / 1000 / n, 3) AS r_ohm, round(CAST(ty.x AS DOUBLE) * length / 1000 / n, 3) AS x_ohm, round(sqrt(3) * b.voltage * CAST(i AS DOUBLE) * n, 1) AS rating_mva, ty.voltage <> nom AS substituted
+    SELECT arc_id AS line_id, round(CAST(r AS DOUBLE) * length / 1000 / n, 4) AS r_ohm, round(CAST(ty.x AS DOUBLE) * length / 1000 / n, 4) AS x_ohm, round(sqrt(3) * b.voltage * CAST(i AS DOUBLE) * n, 1) AS rating_mva, ty.voltage <> nom AS substituted
     FROM (SELECT *, greatest(circuits, 1) AS n FROM arcs) a JOIN buses b ON b.bus_id = bus0 JOIN ty ON ty.voltage = b.voltage""")
 def x3(t):
     b = t("buses")
     lines = t("arcs").join(b.select(F.col("bus_id").alias("bus0"), "voltage"), "bus0").withColumnRenamed("arc_id", "line_id")
     got = network.line_parameters(lines, network.line_types(b.sparkSession))
-    return got.select("line_id", F.round("r_ohm", 3).alias("r_ohm"), F.round("x_ohm", 3).alias("x_ohm"), "rating_mva", "substituted")
+    return got.select("line_id", "r_ohm", "x_ohm", "rating_mva", "substituted")
 
 
 @query("X4_transformers", """SELECT arc_id AS transformer_id, CAST(CASE WHEN lo = 275 AND hi = 400 THEN 750 WHEN lo = 220 AND hi = 400 THEN 500 ELSE 240 END AS DOUBLE) AS rating_mva, round(0.13 * hi * hi / CASE WHEN lo = 275 AND hi = 400 THEN 750 WHEN lo = 220 AND hi = 400 THEN 500 ELSE 240 END, 3) AS x_ohm
