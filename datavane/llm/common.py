@@ -171,11 +171,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-_ID_BUCKETS = 1 << 18
+_ID_BUCKETS = 1 << 20
 
 
 def split_by_ids(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows surely without one of the ids, the others): by a bucket of the id, in a broadcast table of at most 2**18 rows
+    """(rows surely without one of the ids, the others): by a bucket of the id, in a broadcast table of at most 2**20 rows
     whatever the corpus, so that most texts need no shuffle when few ids are wanted."""
     bucket = F.pmod(F.xxhash64("doc_id"), F.lit(_ID_BUCKETS))
     hit = ids.select(bucket.alias("__bucket")).distinct()

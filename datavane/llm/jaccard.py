@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Cells of the frequency sketch that orders shingles: 2**21 counts of 4 bytes, 8 MB, whatever the corpus.
-SKETCH_BITS = 21
+#: Most cells of the frequency sketch that orders shingles: 2**23 counts of 2 bytes, 16 MB, whatever the corpus.
+MAX_BITS = 23
+#: Two similar sets must share this part of the smaller one's size among their prefixes, which are longer by as much.
+DEPTH = 20
 
 
 def _row_shingles(raw, offs, k: int):
@@ -48,13 +50,16 @@ def _sets(batch: pa.RecordBatch, k: int):
 
 
 def _frequencies(docs: DataFrame, k: int) -> np.ndarray:
-    """How often the shingles of each sketch cell occur in the whole corpus; partition sketches are merged block by block."""
+    """How often the shingles of each sketch cell occur in the whole corpus, 65535 at most; partition sketches are merged
+    block by block. There is about a cell for 32 words that the bytes let expect, within 2**18 and 2**MAX_BITS."""
+    total_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    sketch_bits = int(min(MAX_BITS, max(18, np.ceil(np.log2(total_bytes / 6 / 32 + 1)))))
 
     def count(batches):
-        total, waiting, held = np.zeros(1 << SKETCH_BITS, dtype=np.int64), [], 0
+        total, waiting, held = np.zeros(1 << sketch_bits, dtype=np.int64), [], 0
         for b in batches:
             for _, _, raw, offs in common.text_slices(b):
-                cells = (_row_shingles(raw, offs, k)[0] >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+                cells = (_row_shingles(raw, offs, k)[0] >> np.uint64(64 - sketch_bits)).astype(np.int64)
                 waiting.append(cells)
                 held += len(cells)
                 if held > 4_000_000:
@@ -63,30 +68,30 @@ def _frequencies(docs: DataFrame, k: int) -> np.ndarray:
         if waiting:
             total += np.bincount(np.concatenate(waiting), minlength=len(total))
         if total.any():
-            part = np.minimum(total, 2**31 - 1).astype("<u4").reshape(64, -1)
+            part = np.minimum(total, 65535).astype("<u2").reshape(64, -1)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(64)), pa.array([p.tobytes() for p in part], pa.binary())], ["block", "counts"])
 
     def merge(f: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros((1 << SKETCH_BITS) // 64, dtype=np.int64)
+        total = np.zeros((1 << sketch_bits) // 64, dtype=np.int64)
         for c in f["counts"]:
-            total += np.frombuffer(c, dtype="<u4")
-        return pd.DataFrame({"block": f["block"].iloc[:1], "counts": [np.minimum(total, 2**32 - 1).astype("<u4").tobytes()]})
+            total += np.frombuffer(c, dtype="<u2")
+        return pd.DataFrame({"block": f["block"].iloc[:1], "counts": [np.minimum(total, 65535).astype("<u2").tobytes()]})
 
-    out = np.zeros((64, (1 << SKETCH_BITS) // 64), dtype=np.uint32)
+    out = np.zeros((64, (1 << sketch_bits) // 64), dtype=np.uint16)
     for r in docs.select("text").mapInArrow(count, "block long, counts binary").groupBy("block").applyInPandas(merge, "block long, counts binary").collect():
-        out[r.block] = np.frombuffer(r.counts, dtype="<u4")
+        out[r.block] = np.frombuffer(r.counts, dtype="<u2")
     return out.reshape(-1)
 
 
 def _signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """doc_id, n, digest (of the sorted set), node (its first 8 bytes), prefix (shingles that a similar set must share one of).
 
-    Two sets with Jaccard similarity of percent / 100 or more share one of the first n - ceil(percent * n / 100) + 1 shingles
-    in any common order. The order puts shingles of often-hit sketch cells last, so that passages which many documents share are
-    seldom among the first; it only steers the work, never the result."""
+    Two sets with Jaccard similarity of percent / 100 or more share at least l of the first n - ceil(percent * n / 100) + l
+    shingles of each in any common order, for every l; here l = max(1, n // DEPTH) of the smaller one. The order takes shingles of seldom-hit sketch cells first, so that passages which other documents share
+    are seldom among the first; it only steers the work, never the result."""
     spark = docs.sparkSession
     freq = _frequencies(docs, k)
-    usual = int(2 * freq.mean()) + 50
+    shift = np.uint64(64 - int(np.log2(len(freq))))
     counts = spark.sparkContext.broadcast(freq)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -101,33 +106,44 @@ def _signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 digest.append(d)
                 node.append(int.from_bytes(d[:8], "little", signed=True))
                 if m:
-                    p = m - (percent * m + 99) // 100 + 1
-                    f = table[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                    if f.max() > usual:
-                        s = s[np.argsort(np.where(f > usual, f, 0), kind="stable")]
-                    s = s[:p]
+                    p = m - (percent * m + 99) // 100 + max(1, m // DEPTH)
+                    s = s[np.argsort(table[(s >> shift).astype(np.int64)], kind="stable")[:p]]
                 prefix.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(node, pa.int64()), pa.array(prefix, pa.binary())], ["doc_id", "n", "digest", "node", "prefix"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, digest binary, node long, prefix binary")
 
 
-def _stars(token: np.ndarray, node: np.ndarray):
-    """(a, b): each node of a token joined with the token's smallest node; the tokens and these smallest nodes."""
-    o = np.lexsort((node, token))
-    token, node = token[o], node[o]
-    new = np.concatenate([[True], token[1:] != token[:-1]])
-    low = node[new][np.cumsum(new) - 1]
-    off = node != low
-    pairs = np.unique(np.stack([node[off], low[off]], axis=1), axis=0) if off.any() else np.zeros((0, 2), np.int64)
-    return pairs, token[new], node[new]
+def _sorted(token: np.ndarray, *more: np.ndarray):
+    o = np.lexsort((more[0], token))
+    token = token[o]
+    starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    return token, starts, np.diff(np.append(starts, len(token))), [x[o] for x in more]
 
 
-def _shared_prefixes(sig: DataFrame, parts: int) -> DataFrame:
-    """a, b: edges that connect all sets which share a prefix shingle.
+def _spread(starts: np.ndarray, sizes: np.ndarray):
+    """The places start .. start + size - 1 of every run, and the run of each."""
+    run = np.repeat(np.arange(len(starts)), sizes)
+    return np.arange(len(run)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + starts[run], run
 
-    Each batch first joins its own sets (so a shingle with a third of all rows leaves one row a batch), then ships each
-    distinct shingle once with the smallest set that has it, packed by hash range."""
+
+def _pairs_of(node: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
+    """(a, b), a < b, of all nodes of each run; runs are short."""
+    out = []
+    for m in np.unique(sizes):
+        at = starts[sizes == m]
+        i, j = np.triu_indices(int(m), 1)
+        out.append(np.stack([node[at[:, None] + i].ravel(), node[at[:, None] + j].ravel()], axis=1))
+    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+
+
+def _shared_prefixes(sig: DataFrame, parts: int, cap: int) -> DataFrame:
+    """a, b: edges that connect all sets which may be similar by their prefixes.
+
+    The sets of a prefix shingle are counted pair by pair where there are at most `cap`; pairs with too few shared shingles
+    go. A shingle with more sets connects all of them with its smallest one instead, without a count, so the work
+    follows the number of sets either way and nothing is lost. A batch ships each shingle's sets packed by hash range, or the
+    smallest alone where it has more than `cap` itself; so a shingle with a third of all rows is a few rows a batch."""
     step = np.uint64(2**64 // parts + 1)
 
     def pack(batches):
@@ -139,25 +155,53 @@ def _shared_prefixes(sig: DataFrame, parts: int) -> DataFrame:
             token = np.frombuffer(b"".join(raw), dtype="<u8")
             if not len(token):
                 continue
-            pairs, token, low = _stars(token, np.repeat(node[one], size))
-            at = (token // step).astype(np.int64)
-            cuts = np.flatnonzero(at[1:] != at[:-1]) + 1
-            keys = at[np.concatenate([[0], cuts])]
-            rows = [(int(k), t.tobytes(), m.tobytes(), False) for k, t, m in zip(keys, np.split(token, cuts), np.split(low, cuts), strict=True)]
-            if len(pairs):
-                rows.append((int(pairs[0, 0] % parts), pairs[:, 0].tobytes(), pairs[:, 1].tobytes(), True))
+            token, starts, sizes, (ids,) = _sorted(token, np.repeat(node[one], size))
+            hot = sizes > cap
+            keep = np.repeat(~hot, sizes)
+            keep[starts[hot]] = True
+            at, run = _spread(starts[hot], sizes[hot])
+            star = np.unique(np.stack([ids[at], ids[starts[hot][run]]], axis=1), axis=0)
+            star = star[star[:, 0] != star[:, 1]]
+            flag = np.repeat(hot, sizes)[keep]
+            token, ids = token[keep], ids[keep]
+            part = (token // step).astype(np.int64)
+            cuts = np.flatnonzero(part[1:] != part[:-1]) + 1
+            keys = part[np.concatenate([[0], cuts])]
+            rows = [(int(k), t.tobytes(), m.tobytes(), h.tobytes(), False) for k, t, m, h in zip(keys, np.split(token, cuts), np.split(ids, cuts), np.split(flag, cuts), strict=True)]
+            if len(star):
+                rows.append((int(star[0, 0] % parts), star[:, 0].tobytes(), star[:, 1].tobytes(), b"", True))
             cols = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.bool_())], ["part", "x", "y", "edge"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.bool_())], ["part", "x", "y", "hot", "edge"])
 
     def merge(f: pd.DataFrame) -> pd.DataFrame:
         e, t = f[f["edge"]], f[~f["edge"]]
         a, b = np.frombuffer(b"".join(e["x"]), dtype=np.int64), np.frombuffer(b"".join(e["y"]), dtype=np.int64)
+        n = np.zeros(len(a), dtype=np.int64)
         if len(t):
-            pairs, _, _ = _stars(np.frombuffer(b"".join(t["x"]), dtype="<u8"), np.frombuffer(b"".join(t["y"]), dtype=np.int64))
-            a, b = np.concatenate([a, pairs[:, 0]]), np.concatenate([b, pairs[:, 1]])
-        return pd.DataFrame({"a": a, "b": b})
-
-    return sig.where("n > 0").select("node", "prefix").mapInArrow(pack, "part long, x binary, y binary, edge boolean").groupBy("part").applyInPandas(merge, "a long, b long").distinct()
+            token, starts, sizes, (ids, flag) = _sorted(np.frombuffer(b"".join(t["x"]), dtype="<u8"), np.frombuffer(b"".join(t["y"]), dtype=np.int64), np.frombuffer(b"".join(t["hot"]), dtype=bool))
+            fresh = np.concatenate([[True], (token[1:] != token[:-1]) | (ids[1:] != ids[:-1])])  # a set in two batches
+            hot_token = np.logical_or.reduceat(flag, starts)
+            token, ids, run = token[fresh], ids[fresh], np.repeat(np.arange(len(starts)), sizes)[fresh]
+            starts = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+            sizes = np.diff(np.append(starts, len(run)))
+            many = hot_token | (sizes > cap)
+            at, r = _spread(starts[many], sizes[many])
+            star = np.unique(np.stack([ids[at], ids[starts[many][r]]], axis=1), axis=0)
+            star = star[star[:, 0] != star[:, 1]]
+            few = ~many & (sizes > 1)
+            pair, times = np.unique(_pairs_of(ids, starts[few], sizes[few]), axis=0, return_counts=True)
+            a, b = np.concatenate([a, star[:, 0], pair[:, 0]]), np.concatenate([b, star[:, 1], pair[:, 1]])
+            n = np.concatenate([n, np.zeros(len(star), np.int64), times])
+        return pd.DataFrame({"a": a, "b": b, "n": n})
+
+    found = sig.where("n > 0").select("node", "prefix").mapInArrow(pack, "part long, x binary, y binary, hot binary, edge boolean").groupBy("part").applyInPandas(merge, "a long, b long, n long")
+    found = common.saved(found, "prefix-pairs")
+    star = found.where("n = 0").select("a", "b").distinct()
+    pairs = found.where("n > 0").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    size = sig.where("n > 0").groupBy("node").agg(F.min("n").alias("m"))
+    for side in ("a", "b"):
+        pairs = pairs.join(size.select(F.col("node").alias(side), F.col("m").alias(f"m_{side}")), side)
+    return pairs.where(f"n >= greatest(1, least(m_a, m_b) div {DEPTH})").select("a", "b").unionByName(star)
 
 
 def linked_in_tile(ids: np.ndarray, sets: list[np.ndarray], percent: int, width: int = 2048) -> list[tuple[int, int]]:
@@ -203,15 +247,15 @@ def linked_in_tile(ids: np.ndarray, sets: list[np.ndarray], percent: int, width:
     return out
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, tile_bytes: int = 16 << 20) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, tile_bytes: int = 16 << 20, cap: int = 32) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text), exactly.
 
     Words are runs without white space, A-Z lower-cased; a set holds the distinct k-word shingles, or the whole sequence
     where there are fewer words. Two documents link when 100 * intersection >= percent * union; component_id is the
     smallest doc_id that links reach. A null or empty text, or one without words, has no shingles and no link.
 
-    1. Equal sets are one class (by a 128-bit digest). 2. Sets that share a prefix shingle, which similar ones must, form
-    clusters. 3. Each cluster is cut into tiles: one where it is small, else one for each pair of salted parts of the same or
+    1. Equal sets are one class (by a 128-bit digest). 2. Sets that share as many prefix shingles as similar ones
+    must form clusters (shingles that more than `cap` sets have in their prefix connect all of these). 3. Each cluster is cut into tiles: one where it is small, else one for each pair of salted parts of the same or
     neighbouring size bands, so a tile holds about twice tile_bytes and no hot cluster is in one task. 4. In a tile, sizes,
     bitmap bounds and exact intersections give links enough to connect what is linked; their components are the result.
 
@@ -220,7 +264,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, tile_bytes:
     spark = docs.sparkSession
     base = docs.select("doc_id", "text")
     sig = common.saved(_signatures(base, k, percent), "sets")
-    edges = _shared_prefixes(sig, 4 * common.partitions(spark))
+    edges = _shared_prefixes(sig, 4 * common.partitions(spark), cap)
     clusters = common.components(edges)
     members = common.saved(clusters.select("node", "root").unionByName(clusters.select(F.col("root").alias("node"), "root")).distinct(), "clusters")
     classes = sig.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("node").alias("node"))
@@ -251,12 +295,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, tile_bytes:
 
     def arrays(batches):
         for b in batches:
-            got = [(s.tobytes(), hashlib.blake2b(s.tobytes(), digest_size=16).digest()) for _, s in _sets(b, k)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([g[1] for g in got], pa.binary()), pa.array([g[0] for g in got], pa.binary())], ["rep", "digest", "items"])
+            ids, seen, rows, digests, items = b.column("doc_id").to_pylist(), set(), [], [], []
+            for i, s in _sets(b, k):
+                d = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+                if (ids[i], d) not in seen:  # a repeated row
+                    seen.add((ids[i], d))
+                    rows.append(i)
+                    digests.append(d)
+                    items.append(s.tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(digests, pa.binary()), pa.array(items, pa.binary())], ["rep", "digest", "items"])
 
     texts = common.split_by_ids(base, reps.select(F.col("rep").alias("doc_id")))[1]
     items = texts.mapInArrow(arrays, f"rep {kind}, digest binary, items binary")
-    full = placed.join(items, ["rep", "digest"]).dropDuplicates(["rep", "digest"]).select("rep", "cluster", "items", F.explode("tiles").alias("tile"))
+    full = placed.join(items, ["rep", "digest"]).select("rep", "cluster", "items", F.explode("tiles").alias("tile"))
 
     def tile_links(f: pd.DataFrame) -> pd.DataFrame:
         sets = [np.frombuffer(x, dtype="<u8") for x in f["items"]]
