@@ -80,18 +80,18 @@ def m15(t):
     return meaning.documentation_grades(d, t("parts")).select("id", F.format_string("%d of %d fields are fully documented", "documented", "fields").alias("rationale"))
 
 
-def _rule(name: str, rule: rules.Rule, sql: str):
+def _rule(name: str, rule, sql: str):
     @query(name, f"SELECT id FROM datasets WHERE {sql}")
     def one(t):
-        return rules.violations(t("datasets").withColumn("tags", F.when(F.col("level") > 1, F.array("title"))), [rule]).select("id")
+        return rules.violations(t("datasets").withColumn("tags", F.when(F.col("level") > 1, F.array("title"))), [rule()]).select("id")
 
 
-_rule("V2_cardinality", rules.min_count("tags", 1), "level = 1")
-_rule("V3_value_rules", rules.between("resolution_m", 10, 500), "resolution_m NOT BETWEEN 10 AND 500")
-_rule("V5_either_or", rules.either("cadence", "modified"), "cadence IS NULL AND modified IS NULL")
-_rule("V6_conditional", rules.implies("extent", "west", F.col("level") == 3, F.col("west").isNotNull() & F.col("cadence").isNotNull()), "level = 3 AND (west IS NULL OR cadence IS NULL)")
-_rule("V7_self_reference", rules.not_self("nation", "id"), "nation = id")
-_rule("V8_registry_rules", rules.pattern("iri", "[0-9]{9}$"), "NOT regexp_matches(iri, '[0-9]{9}$')")
+_rule("V2_cardinality", lambda: rules.min_count("tags", 1), "level = 1")
+_rule("V3_value_rules", lambda: rules.between("resolution_m", 10, 500), "resolution_m NOT BETWEEN 10 AND 500")
+_rule("V5_either_or", lambda: rules.either("cadence", "modified"), "cadence IS NULL AND modified IS NULL")
+_rule("V6_conditional", lambda: rules.implies("extent", "west", F.col("level") == 3, F.col("west").isNotNull() & F.col("cadence").isNotNull()), "level = 3 AND (west IS NULL OR cadence IS NULL)")
+_rule("V7_self_reference", lambda: rules.not_self("nation", "id"), "nation = id")
+_rule("V8_registry_rules", lambda: rules.pattern("iri", "[0-9]{9}$"), "NOT regexp_matches(iri, '[0-9]{9}$')")
 
 
 @query("V11_located", "SELECT bus_id FROM buses WHERE bus_id NOT IN (SELECT bus0 FROM arcs) AND bus_id NOT IN (SELECT bus1 FROM arcs)")
