@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -163,3 +166,20 @@ def question_classes(rows: DataFrame) -> DataFrame:
     rank = F.coalesce(F.array_position(F.array(F.lit("robust"), F.lit("fragile")), F.col("verdict")).cast("int"), F.lit(0))
     key = F.struct(F.when(rank == 0, 3).otherwise(rank).alias("r"), F.col("name").alias("name"))
     return rows.where("name is not null and basis is not null").groupBy("id").agg(F.array_sort(F.collect_list(key)).alias("l")).select("id", F.transform("l", lambda x: x["name"]).alias("classes"))
+
+
+@dataclass(frozen=True)
+class Backend:
+    """A similarity backend: score builds a column from two columns; a match needs the threshold."""
+
+    name: str
+    threshold: float
+    score: Callable[[Column, Column], Column]
+
+
+def _word_overlap(a: Column, b: Column) -> Column:
+    x, y = F.array_distinct(name_tokens(a)), F.array_distinct(name_tokens(b))
+    return F.coalesce(F.size(F.array_intersect(x, y)) / F.nullif(F.size(F.array_union(x, y)), F.lit(0)), F.lit(0.0))
+
+
+BACKENDS = {b.name: b for b in (Backend("lexical", 0.25, _word_overlap), Backend("embedding-cosine", 0.82, cosine))}

@@ -56,6 +56,11 @@ def load_wide_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFra
     return lines.select(*[F.get(cells, i).alias(c) for i, c in enumerate(columns)])
 
 
+def load_vocabulary(spark: SparkSession, path: str, names: list[str]) -> dict[str, DataFrame]:
+    """The Parquet tables of a vocabulary (concepts, edges, units, crosswalks) by name."""
+    return {n: spark.read.parquet(f"{path}/{n}") for n in names}
+
+
 def load_network(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """buses, arcs and loads of system documents {components: {buses, arcs, loads}}."""
     schema = "components struct<buses: array<struct<id: long, name: string, voltage: double>>, arcs: array<struct<id: long, from: long, to: long>>, loads: array<struct<id: long, bus: long, p: double, q: double>>>"
