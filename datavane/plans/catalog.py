@@ -336,9 +336,9 @@ def e8(t):
     return _visible(t).join(t("datasets").select("id", "visibility"), "id").groupBy("caller_id", "visibility").agg(F.count("*").alias("known"), F.count_if("full").alias("whole"))
 
 
-@query("R6_stable_sort", "SELECT id, row_number() OVER (ORDER BY resolution_m DESC NULLS LAST, lower(title) ASC NULLS LAST, id) AS place FROM datasets")
+@query("R6_stable_sort", "SELECT id, row_number() OVER (PARTITION BY data_domain ORDER BY resolution_m DESC NULLS LAST, lower(title) ASC NULLS LAST, id) AS place FROM datasets")
 def r6(t):
-    w = Window.orderBy(F.col("resolution_m").desc_nulls_last(), F.lower("title").asc_nulls_last(), "id")
+    w = Window.partitionBy("data_domain").orderBy(F.col("resolution_m").desc_nulls_last(), F.lower("title").asc_nulls_last(), "id")
     return t("datasets").select("id", F.row_number().over(w).alias("place"))
 
 

@@ -25,9 +25,9 @@ def n14(t):
     return rec.select("p_partkey", "slug", "review_state", "provenance", F.size("d").alias("distributions"))
 
 
-@query("R8_relevance_order", "SELECT id, row_number() OVER (ORDER BY round(acctbal, 0) DESC, lower(title), id) AS place FROM datasets")
+@query("R8_relevance_order", "SELECT id, row_number() OVER (PARTITION BY data_domain ORDER BY round(acctbal, 0) DESC, lower(title), id) AS place FROM datasets")
 def r8(t):
-    return t("datasets").select("id", F.row_number().over(Window.orderBy(F.desc(F.round("acctbal", 0)), F.lower("title"), "id")).alias("place"))
+    return t("datasets").select("id", F.row_number().over(Window.partitionBy("data_domain").orderBy(F.desc(F.round("acctbal", 0)), F.lower("title"), "id")).alias("place"))
 
 
 def _signal(name: str, column: str, sql: str):
