@@ -10,8 +10,7 @@ from pyspark.sql.window import Window
 
 from . import common
 
-_BUCKETS = 1 << 18
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_BUCKETS = 1 << 20
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -36,8 +35,10 @@ def run_stream(stream: DataFrame, folder: str) -> DataFrame:
     stopped. Each micro-batch writes the keys that it changed under its own number; a batch that is repeated replaces them."""
     spark = stream.sparkSession
     out, schema = f"{folder}/updates", digest_state(stream).schema
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, _ROCKS)
+    own = {"spark.sql.streaming.stateStore.providerClass": _ROCKS, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}  # many small stores: no space ahead
+    before = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
     try:
 
         def keep(batch: DataFrame, number: int) -> None:
@@ -47,10 +48,8 @@ def run_stream(stream: DataFrame, folder: str) -> DataFrame:
         query.awaitTermination()
         last = query.lastProgress
     finally:
-        if before is None:
-            spark.conf.unset(_PROVIDER)
-        else:
-            spark.conf.set(_PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     if last is None:
         return spark.createDataFrame([], schema)
     rows = spark.read.schema(schema).parquet(out)
@@ -97,13 +96,13 @@ def drop_duplicates(docs: DataFrame) -> DataFrame:
 
 def _clashes(base: DataFrame, state: DataFrame) -> DataFrame:
     """Hits whose bytes differ from the kept row's. Only rows in groups go through the join: a bucket of their digest is
-    looked up first, in a table of at most 2**18 rows."""
+    looked up first, in a table of at most 2**20 rows."""
     many = state.where("n > 1")
     bucket = F.pmod(F.xxhash64("digest"), F.lit(_BUCKETS))
     hit = many.select(bucket.alias("__b")).distinct()
     texts = base.select(F.col("doc_id").cast("long").alias("doc_id"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), normalised(F.col("text")).alias("bytes"))
     texts = texts.withColumn("digest", F.sha2("bytes", 256)).withColumn("__b", bucket).join(F.broadcast(hit), "__b", "left_semi").drop("__b")
-    held = texts.join(many, "digest")
+    held = common.saved(texts, "hits").join(many, "digest")
     keeper = held.where(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("keep_chars"))).groupBy("digest").agg(F.min("bytes").alias("keeper"))
     return held.join(keeper, "digest").where("bytes <> keeper").select("digest")
 
