@@ -8,12 +8,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_OWN: dict[str, str] = {}
+
+
 def folder(spark: SparkSession, name: str) -> str:
     """A new folder under spark.checkpoint.dir; under a local one only where the session names none, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="datavane-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _OWN.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="datavane-"))
     return f"{base.rstrip('/')}/datavane/{name}-{uuid.uuid4().hex}"
 
 

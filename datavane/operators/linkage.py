@@ -35,12 +35,24 @@ def pairs_cut(keys: DataFrame, cap: int = 200) -> DataFrame:
     return n.groupBy("rung").agg(F.sum((F.col("n") - kept) * (F.col("n") - F.lit(1))).cast("long").alias("cut"))
 
 
+def shared_members(pairs: DataFrame, sets: DataFrame, hot: int = 1000) -> DataFrame:
+    """source, target, s: how many members of sets (id, member) each pair shares; pairs without any don't appear.
+
+    Members that at most `hot` sets have meet in a self-join by member, at most `hot` rows for each; the few others are looked up pair
+    by pair, so a member that everybody has never makes the square of its sets."""
+    rows = sets.select("id", "member").distinct()
+    n = rows.groupBy("member").agg(F.count("*").alias("n"))
+    tagged = rows.join(n, "member")
+    rare, common = tagged.where(F.col("n") <= hot), tagged.where(F.col("n") > hot)
+    one = rare.select(F.col("id").alias("source"), "member").join(rare.select(F.col("id").alias("target"), "member"), "member").where("source <> target").groupBy("source", "target").agg(F.count("*").alias("s"))
+    two = pairs.select("source", "target").join(common.select(F.col("id").alias("source"), "member"), "source").join(common.select(F.col("id").alias("target"), "member"), ["target", "member"]).groupBy("source", "target").agg(F.count("*").alias("s"))
+    return one.unionByName(two).groupBy("source", "target").agg(F.sum("s").alias("s"))
+
+
 def jaccard_from_keys(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
     """pairs with a column `name`: shared over all members of sets (id, member), 0 without any; and name_shared."""
     size = sets.groupBy("id").agg(F.count_distinct("member").alias("n"))
-    a = pairs.select("source", "target").join(sets.select(F.col("id").alias("source"), "member"), "source")
-    both = a.join(sets.select(F.col("id").alias("target"), "member"), ["target", "member"]).groupBy("source", "target").agg(F.count_distinct("member").alias("s"))
-    out = pairs.join(both, ["source", "target"], "left")
+    out = pairs.join(shared_members(pairs, sets), ["source", "target"], "left")
     for side in ("source", "target"):
         out = out.join(size.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}")), side, "left")
     shared = F.coalesce("s", F.lit(0))

@@ -193,3 +193,12 @@ def test_sinks_replace_their_own_buckets(spark, tmp_path):
     assert got.where("v = 2").count() == 1 and got.count() < 20
     loaders.export_snapshot({"index": a}, f"{tmp_path}/snap")
     assert spark.read.json(f"{tmp_path}/snap/index").count() == 20
+
+
+def test_shared_members_of_hot_and_rare_keys(spark):
+    rng = random.Random(4)
+    sets = {i: {rng.randrange(40) for _ in range(15)} | {99} for i in range(12)}
+    df = spark.createDataFrame([(i, m) for i, s in sets.items() for m in s], "id long, member long")
+    pairs = spark.createDataFrame([(a, b) for a in sets for b in sets if a != b], "source long, target long")
+    got = {(r.source, r.target): r.s for r in linkage.shared_members(pairs, df, hot=5).collect()}
+    assert got == {(a, b): len(sets[a] & sets[b]) for a in sets for b in sets if a != b}
