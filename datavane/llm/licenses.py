@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 #: Short public notices. The wording of each licence's own recommended notice.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
@@ -124,7 +126,7 @@ def inherit(scanned: DataFrame, file_names: str = "LICENSE") -> DataFrame:
     directory can be split by skew handling. A null path inherits nothing.
     Adds license, basis (own, inherited, none) and license_dir."""
     folder = F.regexp_replace("path", "/?[^/]*$", "")
-    rows = scanned.withColumn("dir", folder)
+    rows = common.saved(scanned, "licenses").withColumn("dir", folder)  # read three times below, scanned once
     name = F.regexp_extract("path", "[^/]*$", 0)
     held = rows.where(F.col("own_license").isNotNull() & name.rlike(f"^(?:{file_names})$"))
     held = held.groupBy("dir").agg(F.max(F.struct("own_score", F.col("own_license").alias("l"))).alias("m")).select(F.col("dir").alias("anc"), F.col("m.l").alias("inherited"))
