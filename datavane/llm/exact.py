@@ -102,9 +102,11 @@ def _clashes(base: DataFrame, state: DataFrame) -> DataFrame:
     hit = many.select(bucket.alias("__b")).distinct()
     texts = base.select(F.col("doc_id").cast("long").alias("doc_id"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), normalised(F.col("text")).alias("bytes"))
     texts = texts.withColumn("digest", F.sha2("bytes", 256)).withColumn("__b", bucket).join(F.broadcast(hit), "__b", "left_semi").drop("__b")
-    held = common.saved(texts, "hits").join(many, "digest")
-    keeper = held.where(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("keep_chars"))).groupBy("digest").agg(F.min("bytes").alias("keeper"))
-    return held.join(keeper, "digest").where("bytes <> keeper").select("digest")
+    hits = common.saved(texts, "hits")
+    best = many.select("digest", "keep_id", "keep_chars")
+    keeper = hits.join(best, (hits.digest == best.digest) & hits.doc_id.eqNullSafe(best.keep_id) & (hits.n_chars == best.keep_chars)).groupBy(hits.digest).agg(F.min("bytes").alias("keeper"))
+    # a table of its own, so that the last join shuffles both sides for itself and a hot digest can be split
+    return hits.join(common.saved(keeper, "keepers"), "digest").where("bytes <> keeper").select("digest")
 
 
 def _by_text(base: DataFrame, digests: DataFrame) -> DataFrame:
