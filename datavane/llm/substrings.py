@@ -76,7 +76,7 @@ def sketch(docs: DataFrame, size: int, bits: int) -> np.ndarray:
                 new = np.concatenate([[True], (low[1:] != low[:-1]) | (row[1:] != row[:-1])])
                 kept.append(low[new])
                 n += int(new.sum())
-                if n > 2_000_000:
+                if n > 500_000:
                     yield from flush()
                     kept, n = [], 0
         if kept:
@@ -133,6 +133,7 @@ def repeated_windows(docs: DataFrame, size: int = 50, cells_per_item: int = 5, m
     kind = docs.schema["doc_id"].dataType.simpleString()
     windows = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(emit, f"doc_id {kind}, start int, h1 long, h2 int")
     first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("hi > lo").select("h1", "h2", "lo")
+    first = common.saved(first, "repeated")  # so that both sides of the join are shuffled for it, which lets a hot window be split
     return windows.join(first, ["h1", "h2"]).where("doc_id > lo").groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
 
 
