@@ -56,17 +56,10 @@ def _frequencies(docs: DataFrame, k: int) -> np.ndarray:
     sketch_bits = int(min(MAX_BITS, max(18, np.ceil(np.log2(total_bytes / 6 / 32 + 1)))))
 
     def count(batches):
-        total, waiting, held = np.zeros(1 << sketch_bits, dtype=np.int64), [], 0
+        total = np.zeros(1 << sketch_bits, dtype=np.uint32)
         for b in batches:
             for _, _, raw, offs in common.text_slices(b):
-                cells = (_row_shingles(raw, offs, k)[0] >> np.uint64(64 - sketch_bits)).astype(np.int64)
-                waiting.append(cells)
-                held += len(cells)
-                if held > 4_000_000:
-                    total += np.bincount(np.concatenate(waiting), minlength=len(total))
-                    waiting, held = [], 0
-        if waiting:
-            total += np.bincount(np.concatenate(waiting), minlength=len(total))
+                np.add.at(total, (_row_shingles(raw, offs, k)[0] >> np.uint64(64 - sketch_bits)).astype(np.int64), np.uint32(1))
         if total.any():
             part = np.minimum(total, 65535).astype("<u2").reshape(64, -1)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(64)), pa.array([p.tobytes() for p in part], pa.binary())], ["block", "counts"])
@@ -268,6 +261,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, tile_bytes:
     clusters = common.components(edges)
     members = common.saved(clusters.select("node", "root").unionByName(clusters.select(F.col("root").alias("node"), "root")).distinct(), "clusters")
     classes = sig.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("node").alias("node"))
+    classes = common.saved(classes, "classes")
     reps = common.saved(classes.join(members, "node").select("rep", "digest", "n", F.col("root").alias("cluster")), "reps")
 
     # band: sizes between neighbouring powers of 1 / share, so similar sets are in the same or the next band
