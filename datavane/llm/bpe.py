@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from .common import text_slices, word_hashes
 
 #: Text that is encoded at once; a longer text makes a group of its own.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 3 << 20
 #: The white space of Unicode, as the pre-tokenizer's \s has it.
 _WS = "\t-\r \x85\xa0  -     　"
 _BLANKS = {c for lo, hi in re.findall("(.)-(.)", _WS) for c in map(chr, range(ord(lo), ord(hi) + 1))} | set(re.sub(".-.", "", _WS))

@@ -88,6 +88,7 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 2
         hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + limit, "right")) - 1)
         yield lo, hi - lo, raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
         lo = hi
+    pa.default_memory_pool().release_unused()  # a worker lives on for later stages
 
 
 def word_spans(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
