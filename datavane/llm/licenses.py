@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import math
 import re
 from collections import Counter
@@ -12,23 +14,156 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Short public notices. The wording of each licence's own recommended notice.
-TEMPLATES = (
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
-    ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."),
-)
+_CC = "Attribution", "Attribution-NonCommercial", "Attribution-NonCommercial-NoDerivatives", "Attribution-NonCommercial-ShareAlike", "Attribution-NoDerivatives", "Attribution-ShareAlike"
+_SHORT = {"Attribution": "BY", "NonCommercial": "NC", "NoDerivatives": "ND", "ShareAlike": "SA"}
+
+
+def _notices():
+    """(licence id, notice): titles and bodies first, then the usual short notices with every name of the licence."""
+    gnu = {"GPL": ("GNU General Public License", ("1.0", "2.0", "3.0")), "LGPL": ("GNU Lesser General Public License", ("2.1", "3.0")), "AGPL": ("GNU Affero General Public License", ("3.0",))}
+    dates = {"GPL-2.0": "June 1991", "GPL-3.0": "29 June 2007", "LGPL-2.1": "February 1999", "LGPL-3.0": "29 June 2007", "AGPL-3.0": "19 November 2007"}
+    names: dict[str, list[str]] = {}
+    out = []
+    for kind, (name, versions) in gnu.items():
+        for v in versions:
+            short = v.removesuffix(".0")
+            if f"{kind}-{v}" in dates:
+                out.append((f"{kind}-{v}-only", f"{name} Version {short}, {dates[f'{kind}-{v}']}"))
+            names[f"{kind}-{v}-only"] = [f"{name}, version {short}", f"{name} v{v}", f"{kind} v{short}", f"{kind}v{short}", f"{kind} {v}"]
+            names[f"{kind}-{v}-or-later"] = [f"{name}, version {short} or later", f"{name}, version {short} or any later version", f"{kind} v{short} or later", f"{kind}v{short} or later", f"{kind} {v} or later"]
+            what = "library" if kind == "LGPL" else "program"
+            for start in (f"This {what} is free software: you can", f"This {what} is free software; you can"):
+                out.append((f"{kind}-{v}-or-later", f"{start} redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation, either version {short} of the License, or (at your option) any later version."))
+            out.append((f"{kind}-{v}-only", f"This {what} is free software; you can redistribute it and/or modify it under the terms of the {name} version {short} as published by the Free Software Foundation."))
+    for kind in _CC:
+        code = "-".join(["CC", *(_SHORT[x] for x in kind.split("-"))])
+        for v in ("1.0", "2.0", "2.5", "3.0", "4.0"):
+            scope = {"4.0": "International", "3.0": "Unported"}.get(v, "Generic")
+            names[f"{code}-{v}"] = [f"Creative Commons {kind} {v} {scope} License", f"Creative Commons {kind} {v}", f"CC {code[3:]} {v}"]
+            out.append((f"{code}-{v}", f"Creative Commons {kind} {v} {scope} Public License"))
+    out += [
+        ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+        ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
+        ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction."),
+        ("X11", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction. Except as contained in this notice, the name"),
+        ("MIT-0", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction. THE SOFTWARE IS PROVIDED \"AS IS\""),
+        *((name, "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met. Redistributions in binary form must reproduce the above copyright notice." + more) for name, more in (("BSD-2-Clause", ""), ("BSD-3-Clause", " Neither the name of the copyright holder"), ("BSD-4-Clause", " All advertising materials"))),
+        ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+        ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
+        ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+        ("Unlicense", "This is free and unencumbered software released into the public domain."),
+        ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights under CC0."),
+        ("CC0-1.0", "CC0 1.0 Universal"),
+    ]
+    names |= {"MIT": ["MIT License"], "MIT-0": ["MIT No Attribution License"], "Apache-1.1": ["Apache License, Version 1.1"], "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0"], "BSD-2-Clause": ["BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License"], "BSD-3-Clause": ["BSD 3-Clause License", "3-Clause BSD License", "New BSD License"], "BSD-4-Clause": ["BSD 4-Clause License"], "0BSD": ["Zero-Clause BSD License"]}
+    names |= {"ISC": ["ISC License"], "Unlicense": ["Unlicense"], "CC0-1.0": ["CC0 1.0", "CC0 1.0 Universal", "Creative Commons Zero 1.0"], **{f"MPL-{v}": [f"Mozilla Public License {v}", f"Mozilla Public License, version {v}", f"MPL {v}"] for v in ("1.0", "1.1", "2.0")}, **{f"EPL-{v}": [f"Eclipse Public License {v}", f"Eclipse Public License v{v}", f"EPL {v}"] for v in ("1.0", "2.0")}}
+    for label, all_names in names.items():
+        out.append((label, f"SPDX-License-Identifier: {label}"))
+        for name in all_names:
+            for cue in ("Licensed under {}.", "Licensed under the {}.", "Released under the {}.", "Distributed under the {}.", "Available under the {}.", "This work is licensed under the {}.", "This work is licensed under a {}.", "Licensed under the terms of the {}.", "License: {}"):
+                out.append((label, cue.format(name)))
+    return tuple(out)
+
+
+TEMPLATES = _notices()
 _TOKEN = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
+_PLUS = re.compile(r"\+(?<=[0-9]\+)(?![0-9])")
+
+
+def plain(text: str) -> str:
+    """text in small letters, with one spelling of license and of the `+` after a version."""
+    return _PLUS.sub(" or later", text.lower().replace("licence", "license"))
 
 
 def tokens(text: str) -> list[str]:
-    return _TOKEN.findall(text.lower())
+    return _TOKEN.findall(plain(text))
+
+
+_N = r"(?P<%s>[1-4](?:\.[0-9])?)(?= |$)"
+_LATER = r"or (?:at your option )?(?:any )?(?:later|newer)(?: version)?(?= |$)|(?:and|or) (?:above|higher)(?= |$)"
+_FREE = r"permission is hereby granted free of charge to any person obtaining a copy"
+_ISC = r"permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted"
+_FORMS = r"redistribution and use in source and binary forms with or without modification are permitted"
+#: What names a licence, with all its words that tell variants apart, in a text of tokens with a blank between them.
+_NAMED = re.compile(
+    r"(?<![^ ])(?:"
+    rf"(?P<gnu>(?:(?:version |v ?){_N % 'g0'} (?P<l0>(?:{_LATER}) )?of the )?(?:gnu )?(?:(?P<kind>affero|lesser|library) )?(?:general public license|(?P<abbr>[al]?gpl))(?: license)?(?: [al]?gpl)?(?: as published by the free software foundation)?"
+    rf"(?:(?: either)?(?: version | v ?| |(?<=gpl)v?){_N % 'g1'}(?: of the (?:gnu )?(?:[a-z]+ )?(?:general public )?license)?)?(?P<l1> (?:{_LATER}))?(?: only(?= |$))?)"
+    rf"|(?P<cc>(?:creative commons|cc)(?: license)? (?:attribution|by)(?P<flags>(?: (?:non ?commercial|nc|share ?alike|sa|no ?deriv(?:ative)?s?(?: works)?|nd))*)(?: (?:international|unported|generic|public|license))*(?: version| v)? v?{_N % 'c1'}(?P<port> (?:united states|us|germany|de|austria|australia|au|netherlands|nl|france|fr|united kingdom|uk|england|japan|jp|igo)(?= |$))?)"
+    rf"|(?P<zero>(?:cc0|cc zero|creative commons (?:zero|0|cc0))(?: public domain dedication)?(?: universal)?(?: (?:version |v ?)?{_N % 'z1'})?)"
+    rf"|(?P<apache>apache(?: software)?(?: license)?(?: version| v)? v?{_N % 'a1'})"
+    rf"|(?P<mpl>(?:mozilla public license|mpl)(?: mpl)?(?: version| v)? ?v?{_N % 'm1'})"
+    rf"|(?P<epl>(?:eclipse public license|epl)(?: version| v)? ?v?{_N % 'e1'})"
+    r"|(?P<mit>(?:mit|expat) license(?:d)?|license(?:d under)?(?: identifier)?(?: the)? mit)(?P<none> no attribution| 0)?(?= |$)"
+    r"|(?P<zeromit>mit (?:no attribution|0))(?= |$)"
+    r"|(?P<bsd>(?:(?P<b0>0|2|3|4|zero|two|three|four) clause |(?P<b1>new|modified|revised|simplified|freebsd|original) )*bsd(?: (?P<b2>0|2|3|4|zero|two|three|four) clause)?)(?= |$)|(?P<zbsd>0bsd)(?= |$)"
+    r"|(?P<isc>isc license|license(?:d under)?(?: identifier)?(?: the)? isc)(?= |$)"
+    rf"|(?P<unl>unlicense)(?= |$)|(?P<unb>free and unencumbered software released into the public domain)"
+    rf"|(?P<free>{_FREE})|(?P<iscbody>{_ISC})(?P<prov> provided)?|(?P<forms>{_FORMS})"
+    r")(?P<with> with (?:the )?(?:[a-z0-9.]+ ){0,3}exception)?"
+)
+#: Every name above holds one of these; other texts need no further look.
+_HINT = re.compile(r"licen|gpl|bsd|apache|commons|cc0|hereby|redistribution|unencumbered|cc(?<![a-z0-9]cc)(?![a-z0-9])|[me]pl(?<![a-z0-9][a-z]pl)(?:v?[0-9]|[^a-z]|$)|mit(?<![a-z0-9]mit)[^a-z0-9]+(?:no[^a-z0-9]+attribution|0)(?![a-z0-9])")
+_CLAUSES = {"0": "0BSD", "zero": "0BSD", "2": "BSD-2-Clause", "two": "BSD-2-Clause", "simplified": "BSD-2-Clause", "freebsd": "BSD-2-Clause", "3": "BSD-3-Clause", "three": "BSD-3-Clause", "new": "BSD-3-Clause", "modified": "BSD-3-Clause", "revised": "BSD-3-Clause", "4": "BSD-4-Clause", "four": "BSD-4-Clause", "original": "BSD-4-Clause"}
+_BODY = 3000  # characters after its first words in which a licence's own text shows its variant
+
+
+def _label(m: re.Match) -> str | None:
+    """The licence that a match of _NAMED stands for; None where a word that tells variants apart is missing."""
+    g = m.groupdict()
+    full = lambda v: v if "." in v else v + ".0"
+    after = m.string[m.end() : m.end() + _BODY]
+    if g["with"]:
+        return None
+    if g["gnu"]:
+        v = {full(x) for x in (g["g0"], g["g1"]) if x}
+        if len(v) != 1 or re.match(r" (?:and|or) (?:version |v ?)?[1-4]", after):
+            return None
+        kind = {"affero": "AGPL", "lesser": "LGPL", "library": "LGPL"}.get(g["kind"]) or (g["abbr"] or "gpl").upper()
+        return f"{kind}-{v.pop()}-{'or-later' if g['l0'] or g['l1'] else 'only'}"
+    if g["cc"]:
+        flags = g["flags"].replace("non commercial", "nc").replace("noncommercial", "nc").replace("share alike", "sa").replace("sharealike", "sa")
+        flags = {"nd" if f.startswith(("no", "nd", "deriv", "works")) else f for f in flags.split()}
+        if g["port"] or {"sa", "nd"} <= flags:
+            return None
+        return "-".join(["CC-BY", *(f.upper() for f in sorted(flags)), full(g["c1"])])
+    if g["zero"]:
+        return "CC0-1.0" if full(g["z1"] or "1") == "1.0" else None
+    for key, v, name in (("apache", "a1", "Apache"), ("mpl", "m1", "MPL"), ("epl", "e1", "EPL")):
+        if g[key]:
+            return f"{name}-{full(g[v])}"
+    if g["mit"] or g["zeromit"]:
+        return "MIT-0" if g["none"] or g["zeromit"] else "MIT"
+    if g["bsd"] or g["zbsd"]:
+        found = {"0BSD"} if g["zbsd"] else {_CLAUSES[g[k]] for k in ("b0", "b1", "b2") if g[k]}
+        return found.pop() if len(found) == 1 else None
+    if g["unl"] or g["unb"]:
+        return "Unlicense"
+    if g["isc"]:
+        return "ISC"
+    if g["free"]:
+        if "except as contained in this notice" in after:
+            return "X11"
+        return "MIT-0" if "software is provided as is" in after and "notice shall be included" not in after else "MIT"
+    if g["iscbody"]:
+        return "ISC" if g["prov"] else "0BSD"
+    for mark, name in (("all advertising materials", "BSD-4-Clause"), ("neither the name", "BSD-3-Clause"), ("redistributions in binary form must reproduce", "BSD-2-Clause")):
+        if mark in after:
+            return name
+    return None
+
+
+def named(words: list[str]) -> list[tuple[str, int, int]]:
+    """(licence, first word, word after the last) of all that words name with every word that tells variants apart."""
+    text = " ".join(words)
+    ends = [len(w) + 1 for w in words]
+    starts = [0, *itertools.accumulate(ends)]
+    out = []
+    for m in _NAMED.finditer(text):
+        label = _label(m)
+        if label:
+            out.append((label, bisect.bisect_right(starts, m.start()) - 1, bisect.bisect_left(starts, m.end())))
+    return out
 
 
 class Templates:
@@ -41,45 +176,35 @@ class Templates:
         n = len(bags)
         self.idf = {w: 1 + math.log((1 + n) / (1 + c)) for w, c in df.items()}
         self.other = 1 + math.log(1 + n)
-        self.index: dict[str, list] = {}
-        anchors = set()
+        self.floor = floor
+        self.of: dict[str, list] = {}
         for j, bag in enumerate(bags):
             weight = {w: c * self.idf[w] for w, c in bag.items()}
             norm = math.sqrt(sum(x * x for x in weight.values()))
-            for w, x in weight.items():
-                self.index.setdefault(w, []).append((j, x / norm))
-            # a text without any of the heaviest words can reach at most the norm of the others
-            left = 1.0
-            for w, x in sorted(weight.items(), key=lambda p: (-p[1], p[0])):
-                if math.sqrt(max(0.0, left)) < floor - 1e-9:
-                    break
-                anchors.add(w)
-                left -= (x / norm) ** 2
-        self.anchors = sorted(anchors)
-        self.any = re.compile(r"(?<![a-z0-9])(?:" + "|".join(map(re.escape, self.anchors)) + r")(?![a-z0-9])")
+            self.of.setdefault(self.names[j], []).append((j, sum(bag.values()), {w: x / norm for w, x in weight.items()}))
+        self.any = _HINT
+
+    def cosine(self, words: list[str], label: str) -> tuple[float, int]:
+        """The best cosine of words to a template of one licence, and that template (the earlier one of equal ones)."""
+        weight = {w: c * self.idf.get(w, self.other) for w, c in Counter(words).items()}
+        norm = math.sqrt(sum(x * x for x in weight.values()))
+        cos, j = max(((round(sum(x * v[w] for w, x in weight.items() if w in v) / norm, 9), -j) for j, _, v in self.of.get(label, ())), default=(0.0, 1))
+        return cos, -j
 
     def best(self, words: list[str]) -> tuple[float, int]:
-        bag = Counter(words)
-        dots: dict[int, float] = {}
-        norm = 0.0
-        for w, c in bag.items():
-            x = c * self.idf.get(w, self.other)
-            norm += x * x
-            for j, y in self.index.get(w, ()):
-                dots[j] = dots.get(j, 0.0) + x * y
-        if not dots:
-            return 0.0, -1
-        cos, j = max((round(d / math.sqrt(norm), 9), -j) for j, d in dots.items())
+        """The best cosine of words to a template of a licence that they name."""
+        cos, j = max(((c, -j) for c, j in (self.cosine(words, x) for x in {x for x, _, _ in named(words)})), default=(0.0, 1))
         return cos, -j
 
 
 def scan(files: DataFrame, templates=TEMPLATES, floor: float = 0.6) -> DataFrame:
     """doc_id, path, own_license, own_score, own_line of every whole text of files (doc_id, path, text).
 
-    Units are all lines and all runs of lines between blank lines; the unit with the highest cosine to a template names
-    the licence when it reaches floor (ties: earlier template, then earlier unit). A line without any anchor word cannot
-    reach the floor (the anchors are the heaviest words of each template, so the bound is exact) and isn't scored.
-    Null or empty texts, and texts without a match, have null results. Repeated rows are scanned one by one."""
+    Units are all lines and all runs of lines between blank lines. A unit can only get a licence that it names with all
+    words that tell variants apart (version, `or later`, clauses, NC, ND, SA); what names none, or one without templates,
+    gets no label. The unit with the highest cosine to a template of the licence that it names wins when it reaches floor
+    (ties: earlier template, then earlier unit). Null or empty texts, and texts without a match, have null results.
+    Repeated rows are scanned one by one."""
     model = Templates(templates, floor)
 
     def units(text):
@@ -99,9 +224,9 @@ def scan(files: DataFrame, templates=TEMPLATES, floor: float = 0.6) -> DataFrame
 
     def look(text):
         hit = (0.0, 0, 0)
-        if text and model.any.search(text.lower()):
+        if text and model.any.search(plain(text)):
             for n, unit in units(text):
-                if model.any.search(unit.lower()):
+                if model.any.search(plain(unit)):
                     cos, j = model.best(tokens(unit))
                     if j >= 0 and (cos, -j, -n) > hit:
                         hit = (cos, -j, -n)

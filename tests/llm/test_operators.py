@@ -129,6 +129,21 @@ def test_licenses(spark):
     assert got[2].license_dir == "a/b" and licenses.inherit(licenses.scan(df.limit(0))).count() == 0
 
 
+def test_license_variants_are_told_apart(spark):
+    notices = [
+        ("Licensed under CC BY 4.0.", "CC-BY-4.0"), ("Licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0"), ("Licensed under CC BY-NC 3.0.", "CC-BY-NC-3.0"),
+        ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "CC-BY-ND-4.0"), ("Released under CC0 1.0.", "CC0-1.0"),
+        ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0-only"), ("This work is licensed under the GNU General Public License, version 2 or later.", "GPL-2.0-or-later"),
+        ("This work is licensed under the GNU Affero General Public License, version 3.", "AGPL-3.0-only"), ("Licensed under the GNU Lesser General Public License, version 2.1.", "LGPL-2.1-only"),
+        ("Licensed under the Apache License, Version 1.1.", "Apache-1.1"), ("Licensed under the Mozilla Public License, version 2.0.", "MPL-2.0"), ("Licensed under the BSD 2-Clause License.", "BSD-2-Clause"),
+        ("Released under the ISC License.", "ISC"), ("Released under the Unlicense.", "Unlicense"), ("SPDX-License-Identifier: GPL-3.0+", "GPL-3.0-or-later"), ("SPDX-License-Identifier: MIT-0", "MIT-0"),
+        ("Licensed under the BSD License.", None), ("Licensed under CC BY.", None), ("SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0", None), ("Licensed under the GNU General Public License.", None), ("Den mit Lizenz.", None),
+    ]
+    got = by_id(licenses.scan(spark.createDataFrame([(i, "x", t) for i, (t, _) in enumerate(notices)], "doc_id long, path string, text string")))
+    assert [(t, got[i].own_license) for i, (t, _) in enumerate(notices)] == notices
+    assert all({name} == {x for x, _, _ in licenses.named(licenses.tokens(t))} for name, t in licenses.TEMPLATES)
+
+
 def test_license_anchors_lose_nothing():
     model = licenses.Templates(licenses.TEMPLATES, 0.6)
     rng = random.Random(1)
