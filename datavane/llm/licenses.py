@@ -166,22 +166,39 @@ def named(words: list[str]) -> list[tuple[str, int, int]]:
     return out
 
 
+#: Words of fewer than one in so many files weigh alike, so the table of frequencies has at most RARE x words a file rows.
+RARE = 100
+
+
+def frequencies(files: DataFrame, always: set[str]) -> tuple[int, dict[str, int]]:
+    """(files, {word: files that hold it}) of all words in at least one of RARE files, and of the words in always."""
+    words = F.array_distinct(F.regexp_extract_all(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "licence", "license"), F.lit(f"({_TOKEN.pattern})"), 1))
+    counts = files.select(F.explode(F.concat(words, F.array(F.lit("")))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))  # '' stands for all files
+    counts = common.saved(counts, "license_words")
+    total = counts.where("word = ''").agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    kept = counts.where(F.col("word").isin(sorted(always)) | (F.col("n") * RARE >= total)).where("word <> ''").collect()
+    return total, {r.word: r.n for r in kept}
+
+
 class Templates:
-    """Sparse TF-IDF vectors of the templates: idf = 1 + ln((1 + N) / (1 + df)) over the N templates, df = 0 for other words."""
+    """Sparse TF-IDF vectors of the templates: idf = 1 + ln((1 + N) / (1 + df)), where df counts as N / RARE at least.
+
+    N and df are those of the files when counts (see frequencies()) are given, else those of the templates."""
 
-    def __init__(self, templates, floor: float):
+    def __init__(self, templates, floor: float, counts: tuple[int, dict[str, int]] | None = None):
         self.names = [t[0] for t in templates]
         bags = [Counter(tokens(t[1])) for t in templates]
-        df = Counter(w for bag in bags for w in bag)
-        n = len(bags)
-        self.idf = {w: 1 + math.log((1 + n) / (1 + c)) for w, c in df.items()}
-        self.other = 1 + math.log(1 + n)
+        n, df = counts or (len(bags), Counter(w for bag in bags for w in bag))
+        least = n / RARE if counts else 0
+        self.other = 1 + math.log((1 + n) / (1 + least))
+        self.idf = {w: 1 + math.log((1 + n) / (1 + max(c, least))) for w, c in df.items()}
         self.floor = floor
         self.of: dict[str, list] = {}
         for j, bag in enumerate(bags):
-            weight = {w: c * self.idf[w] for w, c in bag.items()}
+            weight = {w: c * self.idf.get(w, self.other) for w, c in bag.items()}
             norm = math.sqrt(sum(x * x for x in weight.values()))
             self.of.setdefault(self.names[j], []).append((j, sum(bag.values()), {w: x / norm for w, x in weight.items()}))
+        self.sizes = {label: sorted({size for _, size, _ in own}) for label, own in self.of.items()}
         self.any = _HINT
 
     def cosine(self, words: list[str], label: str) -> tuple[float, int]:
@@ -197,39 +214,66 @@ class Templates:
         return cos, -j
 
 
+def _laid_out(text: str) -> tuple[list[str], list[int], dict[str, list[int]]]:
+    """Tokens of a text, the line of each, and where the lines, sentences and blocks of lines begin (as token numbers)."""
+    words, lines, first = [], [], {"line": [0], "sentence": [0], "block": [0]}
+    line, end = 0, 0
+    for m in _TOKEN.finditer(text):
+        gap = text[end : m.start()]
+        breaks = gap.count("\n")
+        if words:
+            if breaks:
+                first["line"].append(len(words))
+            blank = _BLANK.search(gap) is not None
+            if blank:
+                first["block"].append(len(words))
+            if blank or _STOP.search(gap):
+                first["sentence"].append(len(words))
+        line += breaks
+        words.append(m.group())
+        lines.append(line)
+        end = m.end()
+    return words, lines, first
+
+
+_BLANK, _STOP = re.compile(r"\n\s*\n"), re.compile(r"[.!?]\W*\s")
+
+
 def scan(files: DataFrame, templates=TEMPLATES, floor: float = 0.6) -> DataFrame:
     """doc_id, path, own_license, own_score, own_line of every whole text of files (doc_id, path, text).
 
-    Units are all lines and all runs of lines between blank lines. A unit can only get a licence that it names with all
-    words that tell variants apart (version, `or later`, clauses, NC, ND, SA); what names none, or one without templates,
-    gets no label. The unit with the highest cosine to a template of the licence that it names wins when it reaches floor
-    (ties: earlier template, then earlier unit). Null or empty texts, and texts without a match, have null results.
-    Repeated rows are scanned one by one."""
-    model = Templates(templates, floor)
-
-    def units(text):
-        block, first = [], 0
-        for n, line in enumerate(text.split("\n")):
-            if line.strip():
-                if not block:
-                    first = n
-                block.append(line)
-                yield n, line
-            else:
-                if len(block) > 1:
-                    yield first, "\n".join(block)
-                block = []
-        if len(block) > 1:
-            yield first, "\n".join(block)
+    A licence counts where the text names it with all words that tell variants apart (version, `or later`, clauses, NC,
+    ND, SA), also across line breaks; what names none, or one without templates, gets no label. Around each such place
+    these units are scored: its lines, its sentences, its runs of lines between blank lines, and all windows as long as a
+    template of that licence. The unit with the highest cosine to a template of the licence that it names wins when it
+    reaches floor (ties: earlier template, then earlier line). Document frequencies are counted over all files.
+    own_line is the line of the unit's first word.
+    Null or empty texts, and texts without a match, have null results. Repeated rows are scanned one by one."""
+    model = Templates(templates, floor, frequencies(files, {w for t in templates for w in tokens(t[1])}))
 
     def look(text):
-        hit = (0.0, 0, 0)
-        if text and model.any.search(plain(text)):
-            for n, unit in units(text):
-                if model.any.search(plain(unit)):
-                    cos, j = model.best(tokens(unit))
-                    if j >= 0 and (cos, -j, -n) > hit:
-                        hit = (cos, -j, -n)
+        text = plain(text) if text else ""
+        if not model.any.search(text):
+            return None, None, None
+        words, lines, first = _laid_out(text)
+        hit, seen = (0.0, 0, 0), set()
+        for label, a, b in named(words):
+            own = model.of.get(label)
+            if not own or (hit[0] == 1.0 and -hit[1] <= own[0][0]):
+                continue  # a later place of the same score loses the tie
+            spans = {(at[bisect.bisect_right(at, a) - 1], (at[x] if (x := bisect.bisect_left(at, b)) < len(at) else len(words))) for at in first.values()}
+            for size in model.sizes[label]:
+                if size <= b - a:
+                    spans.add((a, b))
+                else:
+                    spans.update((lo, min(lo + size, len(words))) for lo in range(max(0, b - size), a + 1))
+            for lo, hi in spans:
+                if (label, lo, hi) not in seen:
+                    if hi - lo > b - a + 200:
+                        seen.add((label, lo, hi))  # long units hold many places
+                    cos, j = model.cosine(words[lo:hi], label)
+                    if j >= 0 and (cos, -j, -lines[lo]) > hit:
+                        hit = (cos, -j, -lines[lo])
         return (model.names[-hit[1]], round(hit[0], 6), -hit[2]) if hit[0] >= floor else (None, None, None)
 
     def run(frames):

@@ -144,6 +144,26 @@ def test_license_variants_are_told_apart(spark):
     assert all({name} == {x for x, _, _ in licenses.named(licenses.tokens(t))} for name, t in licenses.TEMPLATES)
 
 
+def test_licenses_with_words_around_them(spark):
+    rng = random.Random(11)
+    many = " ".join(passage(rng, 400))
+    notices = [
+        ("Distributed under the MIT License. See LICENSE for details.", "MIT", 0),
+        ("Copyright 2021 Jane Doe. Licensed under the Apache License, Version 2.0.", "Apache-2.0", 0),
+        ("SPDX-License-Identifier: MIT", "MIT", 0),
+        (f"{many} This work is licensed under the GNU General Public License, version 3. {many}", "GPL-3.0-only", 0),
+        (f"{many}\n{many}\nThis work is licensed under the GNU\nGeneral Public\nLicense, version 2.\n{many}", "GPL-2.0-only", 2),
+        (f"{many}\nThis work is licensed under a Creative Commons\nAttribution-ShareAlike 4.0 International License {many}", "CC-BY-SA-4.0", 1),
+        (many, None, None),
+    ]
+    files = [(i, "x", t) for i, (t, *_) in enumerate(notices)] + [(i, "x", " ".join(passage(rng, 50))) for i in range(10, 60)]
+    df = spark.createDataFrame(files, "doc_id long, path string, text string")
+    got = by_id(licenses.scan(df))
+    assert [(t, got[i].own_license, got[i].own_line) for i, (t, *_) in enumerate(notices)] == notices
+    total, counts = licenses.frequencies(df, {"mit"})
+    assert total == len(files) and counts["mit"] == 2 and all(c == sum(w in licenses.tokens(t) for *_, t in files) for w, c in counts.items())
+
+
 def test_license_anchors_lose_nothing():
     model = licenses.Templates(licenses.TEMPLATES, 0.6)
     rng = random.Random(1)
