@@ -145,29 +145,29 @@ def _best_fit(left: np.ndarray, capacity: int) -> np.ndarray:
     room = capacity - top
     have = left.copy()
     have[top] -= 1
-    # fewest[c]: fewest items with sum exactly c; copies of one length are bounded by what is there
+    # items are 1, 2, 4, ... copies of one length, all that are there and fit; each sum keeps the item that reached it first
     lengths = np.flatnonzero(have[: room + 1])[::-1]
     reach = np.zeros(room + 1, dtype=bool)
     reach[0] = True
-    came = np.zeros(room + 1, dtype=np.int64)
+    came = np.zeros((room + 1, 2), dtype=np.int64)
     for size in lengths.tolist():
-        for _ in range(min(int(have[size]), room // size, 4)):
+        copies, many = min(int(have[size]), room // size), 1
+        while copies:
+            many = min(many, copies)
             new = np.zeros_like(reach)
-            new[size:] = reach[:-size]
+            new[size * many :] = reach[: len(reach) - size * many]
             new &= ~reach
-            if not new.any():
-                break
-            came[new] = size
+            came[new] = size, many
             reach |= new
+            copies, many = copies - many, many * 2
         if reach[room]:
             break
     c = int(np.flatnonzero(reach)[-1])
-    counts = np.zeros(capacity + 1, dtype=np.int64)
     while c > 0:
-        counts[came[c]] += 1
-        c -= int(came[c])
-    counts[: room + 1] = np.minimum(counts[: room + 1], have[: room + 1])
-    return p + counts
+        size, many = came[c].tolist()
+        p[size] += many
+        c -= size * many
+    return p
 
 
 def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:

@@ -262,6 +262,19 @@ def test_patterns_hold_the_demand():
     assert sum(k for _, k in found) <= 1.02 * -(-(demand * np.arange(1025)).sum() // 1024)
 
 
+@pytest.mark.parametrize("demand", [{10: 1000}, {10: 100_000}, {3: 40_000, 700: 1000, 900: 500}, {1: 5000, 7: 3, 1024: 2}])
+def test_patterns_fill_with_hot_short_lengths(demand):
+    import numpy as np
+
+    want = np.zeros(1025, dtype=np.int64)
+    for size, n in demand.items():
+        want[size] = n
+    found = packing.patterns(want)
+    assert (sum(k * p for p, k in found) == want).all() and all((p * np.arange(1025)).sum() <= 1024 for p, _ in found)
+    least = max(-(-int((want * np.arange(1025)).sum()) // 1024), int(want[513:].sum()), -(-int(want[10]) // 102))
+    assert sum(k for _, k in found) <= 1.01 * least + 1
+
+
 def test_exact(docs, rows, empty):
     got = docs.transform(exact.exact_duplicates).collect()
     groups = defaultdict(list)
