@@ -9,7 +9,8 @@ from datavane.llm import common, exact, jaccard, language, packing, queries, sub
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows with a letter whose language is one of those learned from the rows at hand; `und` rows go."""
+    """Rows with a letter whose language is one of those learned from the rows at hand; `und` rows go. Without labelled
+    rows, those with a letter stay."""
     profiles = language.learn(docs.where(~language.held_out(F.col("doc_id"))))
     return language.keep_identified(docs, profiles)
 

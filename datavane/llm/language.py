@@ -108,13 +108,19 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], k: int = 400) ->
 
 
 def keep_identified(docs: DataFrame, profiles: dict[str, np.ndarray], k: int = 400, min_score: float = 0.0) -> DataFrame:
-    """The rows of docs, with all their columns, that identify() gives a language with a score of min_score or more."""
+    """The rows of docs, with all their columns, that identify() gives a language with a score of min_score or more; where
+    nothing was learned, so that every text is `und`, the rows that have a letter."""
     judge = _judge(profiles, k)
 
+    def keep(text):
+        if not profiles:
+            return bool(text) and len(gram_counts(text)[0]) > 0
+        lang, score = judge(text)
+        return lang != "und" and score >= min_score
+
     def run(batches):
         for b in batches:
-            got = [judge(t) for t in b.column("text").to_pylist()]
-            yield b.filter(pa.array([x[0] != "und" and x[1] >= min_score for x in got], pa.bool_()))
+            yield b.filter(pa.array([keep(t) for t in b.column("text").to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -95,6 +95,13 @@ def test_language(spark, empty):
     assert {r.lang_pred for r in language.identify(df, {}).collect()} == {"und"}
 
 
+def test_language_without_labels_keeps_texts(spark):
+    rows = [(0, "some words", None, "s", 0), (1, "Öl 1", None, "s", 0), (2, "12 !", None, "s", 0), (3, None, None, "s", 0), (4, "", None, "s", 0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    learned = language.learn(df)
+    assert learned == {} and {r.doc_id for r in language.keep_identified(df, learned).collect()} == {0, 1}
+
+
 def test_gram_counts_in_pieces():
     text = "Straße über den Fluß, und so weiter. " * 40
     one, two = language.gram_counts(text), language.gram_counts(text, piece=97)
