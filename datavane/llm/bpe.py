@@ -12,7 +12,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import text_slices, word_hashes
+from .common import same_bytes, text_slices, word_hashes
 
 #: Text that is encoded at once; a longer text makes a group of its own.
 GROUP_BYTES = 3 << 20
@@ -41,6 +41,12 @@ def chunk_starts(raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
+def special_tokens(path: str) -> dict[str, int]:
+    """The tokens of a vocabulary file that keep their own id wherever they occur in a text."""
+    with open(path, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+
+
 def _byte_letters() -> dict[str, int]:
     """The printable stand-in of each byte in the vocabulary file, as its letter -> the byte."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -158,8 +164,8 @@ class PairIndexBPE:
 
 
 class ChunkEncoder:
-    """ids of whole texts, for one task. Chunks are told apart by two 64-bit hashes of their bytes; the unseen ones of a group
-    of texts are encoded together by encode_many and kept until there are `limit` of them."""
+    """ids of whole texts, for one task. Chunks are told apart by a 64-bit hash, and where two have the same, by all their
+    bytes. The unseen ones of a group of texts are encoded together by encode_many and kept until there are `limit` of them."""
 
     def __init__(self, encode_many, special: dict[str, int], limit: int = 400_000):
         self.encode_many, self.special, self.limit = encode_many, special, limit
@@ -167,7 +173,8 @@ class ChunkEncoder:
         self._empty()
 
     def _empty(self) -> None:
-        self.one, self.two = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.key, self.data = np.zeros(0, np.uint64), np.zeros(0, np.uint8)
+        self.place, self.bytes = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.at, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def _one(self, text: str) -> np.ndarray:
@@ -185,7 +192,7 @@ class ChunkEncoder:
             odd = np.array([any(t.encode() in data[x:y] for t in self.special) for x, y in zip(s.tolist(), e.tolist(), strict=True)], dtype=bool)
         a, b = np.flatnonzero(safe & ~odd), np.flatnonzero(~safe & ~odd)
         size = e[a] - s[a]
-        joined = raw[np.repeat(s[a] - np.cumsum(size) + size, size) + np.arange(size.sum())].tobytes()
+        joined = _taken(raw, s[a], size).tobytes()
         flat, n = self.encode_many(joined, size, [data[x:y].decode() for x, y in zip(s[b].tolist(), e[b].tolist(), strict=True)])
         own = [self._one(data[s[i] : e[i]].decode()) for i in np.flatnonzero(odd)]
         order = np.concatenate([a, b, np.flatnonzero(odd)])
@@ -195,43 +202,66 @@ class ChunkEncoder:
         back = np.argsort(order, kind="stable")
         return flat, begin[back], n[back]
 
+    def _distinct(self, raw: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The hash of each distinct chunk, one chunk that has it, and the distinct chunk of each chunk."""
+        key = word_hashes(raw, starts, starts + size)
+        order = np.argsort(key, kind="stable")
+        a, at, n = key[order], starts[order], size[order]
+        again = np.flatnonzero(a[1:] == a[:-1])
+        same = (n[again] == n[again + 1]) & same_bytes(raw, at[again], raw, at[again + 1], np.minimum(n[again], n[again + 1]))
+        if same.all():
+            new = np.concatenate([[True], a[1:] != a[:-1]])
+            group = np.empty(len(order), dtype=np.int64)
+            group[order] = np.cumsum(new) - 1
+            return a[new], order[new], group
+        data, seen = raw.tobytes(), {}  # a hash fell together: by the bytes themselves
+        group = np.array([seen.setdefault(data[x : x + y], len(seen)) for x, y in zip(starts.tolist(), size.tolist(), strict=True)], dtype=np.int64)
+        first = np.unique(group, return_index=True)[1]
+        return key[first], first, group
+
     def encode(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in raw, one after another, and where each text begins among them (and the end)."""
         starts = chunk_starts(raw, offs)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offs), np.int64)
-        ends = np.append(starts[1:], len(raw))
-        h1, h2 = word_hashes(raw, starts, ends), word_hashes(raw, starts, ends, second=True)
-        order = np.argsort(h1)
-        a, b = h1[order], h2[order]
-        new = np.concatenate([[True], a[1:] != a[:-1]])
-        if (b[1:] != b[:-1])[~new[1:]].any():  # the first hash fell together: go by both
-            order = np.lexsort((h2, h1))
-            a, b = h1[order], h2[order]
-            new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        group = np.empty(len(order), dtype=np.int64)
-        group[order] = np.cumsum(new) - 1
-        a, b, first = a[new], b[new], order[new]
-        at = np.minimum(np.searchsorted(self.one, a), max(0, len(self.one) - 1))
-        seen = (self.one[at] == a) & (self.two[at] == b) if len(self.one) else np.zeros(len(a), bool)
+        width = np.diff(np.append(starts, len(raw)))
+        key, first, group = self._distinct(raw, starts, width)
+        begin, size = np.empty(len(key), np.int64), np.empty(len(key), np.int64)
+        seen, known = np.zeros(len(key), bool), np.zeros(len(key), bool)
+        if len(self.key):
+            at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+            known = self.key[at] == key
+            seen = known & (self.bytes[at] == width[first])
+            some = np.flatnonzero(seen)
+            seen[some] = same_bytes(self.data, self.place[at[some]], raw, starts[first[some]], self.bytes[at[some]])
+            begin[seen], size[seen] = self.at[at[seen]], self.size[at[seen]]
         todo = np.flatnonzero(~seen)
-        got, came, more = self._many(raw, starts[first[todo]], ends[first[todo]])
+        got, came, more = self._many(raw, starts[first[todo]], starts[first[todo]] + width[first[todo]])
         flat = np.concatenate([self.flat, got])
-        begin, size = np.empty(len(a), np.int64), np.empty(len(a), np.int64)
-        begin[seen], size[seen] = self.at[at[seen]], self.size[at[seen]]
         begin[todo], size[todo] = len(self.flat) + came, more
         n = size[group]
         upto = np.concatenate([[0], np.cumsum(n)])
         ids = flat[np.repeat(begin[group] - upto[:-1], n) + np.arange(upto[-1])]
-        if len(self.one) + len(todo) > self.limit:
+        if len(self.key) + len(todo) > self.limit:
             self._empty()
         else:
-            where = np.searchsorted(self.one, a[todo])
-            self.one, self.two = np.insert(self.one, where, a[todo]), np.insert(self.two, where, b[todo])
-            self.at, self.size, self.flat = np.insert(self.at, where, begin[todo]), np.insert(self.size, where, size[todo]), flat
+            keep = np.unique(key[todo], return_index=True)[1]  # of chunks with one hash, the first
+            keep = todo[keep[~known[todo[keep]]]]
+            keep = keep[np.argsort(key[keep], kind="stable")]
+            where, wide = np.searchsorted(self.key, key[keep]), width[first[keep]]
+            self.key = np.insert(self.key, where, key[keep])
+            self.place = np.insert(self.place, where, len(self.data) + np.cumsum(wide) - wide)
+            self.bytes = np.insert(self.bytes, where, wide)
+            self.at, self.size = np.insert(self.at, where, begin[keep]), np.insert(self.size, where, size[keep])
+            self.data, self.flat = np.concatenate([self.data, _taken(raw, starts[first[keep]], wide)]), flat
         return ids, upto[np.searchsorted(starts, offs, "left")]
 
 
+def _taken(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of all spans, one after another."""
+    return raw[np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())]
+
+
 def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, ids array<int> of every whole text (null: empty) of docs (doc_id, text).
 
@@ -285,5 +315,3 @@ def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, n), pa.array(np.diff(at)), pa.array(one, pa.string()), pa.array(two, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
-
-

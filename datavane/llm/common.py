@@ -1,4 +1,4 @@
-"""Helpers shared by the corpus operators: scratch tables, and words of whole Arrow batches."""
+"""Helpers shared by the corpus operators: scratch tables, joins by id, key ranges, and words of whole Arrow batches."""
 
 from __future__ import annotations
 
@@ -14,22 +14,21 @@ from pyspark.sql import functions as F
 #: Bytes 0x20 and 0x09-0x0D, the white space of every word contract here.
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_RNG = np.random.Generator(np.random.PCG64(20240229))
-_BYTE = _RNG.integers(1, 2**64, size=256, dtype=np.uint64)
-_BYTE2 = _RNG.integers(1, 2**64, size=256, dtype=np.uint64)
-_FOLD = _BYTE.copy()
-_FOLD[65:91] = _BYTE[97:123]
-ONE = np.uint64(1)
-_R, _R_INV = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Rows of a broadcast table of keys: 2**20, about 60 MB in a JVM. A larger one is joined by a shuffle.
+MAX_KEYS = 1 << 20
 
 _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a local one only where none is set."""
+    """The folder that the cluster names in spark.checkpoint.dir. Only a local master, as in tests, may do without: its one machine
+    then gets a temporary folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = _OWN.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="datavane-"))
     return named.rstrip("/")
 
@@ -62,10 +61,11 @@ def powers(n: int, base: np.uint64, key: str) -> np.ndarray:
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser, so that the high and low bits are both usable."""
     x = x ^ (x >> np.uint64(32))
-    x = x * np.uint64(0xD6E8FEB86659FD93)
-    x = x ^ (x >> np.uint64(32))
-    x = x * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(32)
+    return x
 
 
 def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 20):
@@ -109,28 +109,68 @@ def word_spans(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, np.searchsorted(offs, starts, "right") - 1
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False, second: bool = False) -> np.ndarray:
-    """A 64-bit hash of the bytes of each word; fold=True takes A-Z as a-z; second=True is an independent one."""
-    out = np.empty(len(starts), dtype=np.uint64)
-    table, seg, lo = _BYTE2 if second else _FOLD if fold else _BYTE, 1 << 20, 0
-    while lo < len(starts):
-        base = starts[lo]
-        hi = int(np.searchsorted(ends, base + seg, "right"))
-        if hi <= lo:  # one word that is longer than a segment
-            whole = raw[starts[lo] : ends[lo]].tobytes()
-            if fold:
-                whole = whole.lower()
-            out[lo] = int.from_bytes(hashlib.blake2b(whole, digest_size=8, salt=bytes([second])).digest(), "little")
-            lo += 1
-            continue
-        part = raw[base : ends[hi - 1]]
-        total = np.empty(len(part) + 1, dtype=np.uint64)
-        total[0] = 0
-        np.cumsum(table[part] * powers(len(part), _R, "r"), out=total[1:])
-        s, e = starts[lo:hi] - base, ends[lo:hi] - base
-        out[lo:hi] = (total[e] - total[s]) * powers(len(part), _R_INV, "ri")[s] + (e - s).astype(np.uint64)
-        lo = hi
-    return mixed(out)
+#: Spans up to this many bytes are read eight bytes at a time; longer ones one by one.
+_LONG = 64
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=np.uint64)
+
+
+def _eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes that begin at each place of raw, as one number; zeros follow its end."""
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    return np.ndarray((len(raw) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+
+
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span; fold=True takes A-Z as a-z.
+
+    Each eight bytes go through a whole finaliser, so that, unlike in a polynomial, no pattern of letters cancels out; spans
+    over 64 bytes are hashed by BLAKE2b. Spans of one length up to eight bytes never collide."""
+    if fold:
+        raw = _LOWER[raw]
+    size = ends - starts
+    out = (size.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    eights = _eights(raw)
+    at, left, some = starts, size, None
+    done = 0
+    while done < _LONG and len(at):
+        h = mixed((out if some is None else out[some]) ^ (eights[at] & _MASK[np.minimum(left, 8)]))
+        if some is None:
+            out, some = h, np.arange(len(h))
+        else:
+            out[some] = h
+        done += 8
+        more = (left > 8) & (size[some] <= _LONG)
+        some, at, left = some[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > _LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def same_bytes(a: np.ndarray, a0: np.ndarray, b: np.ndarray, b0: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Are the `size` bytes of a from a0 those of b from b0?"""
+    ok = np.ones(len(size), dtype=bool)
+    x, y = _eights(a), _eights(b)
+    some = np.flatnonzero((size > 0) & (size <= _LONG))
+    done = 0
+    while len(some):
+        mask = _MASK[np.minimum(size[some] - done, 8)]
+        ok[some] &= (x[a0[some] + done] & mask) == (y[b0[some] + done] & mask)
+        done += 8
+        some = some[size[some] > done]
+    for i in np.flatnonzero(size > _LONG).tolist():
+        ok[i] = np.array_equal(a[a0[i] : a0[i] + size[i]], b[b0[i] : b0[i] + size[i]])
+    return ok
+
+
+def runs(h: np.ndarray, k: int) -> np.ndarray:
+    """A 64-bit hash of every run of k words from the words' hashes, finalised word by word; for short runs."""
+    n = len(h) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out = np.full(n, k, dtype=np.uint64)
+    for i in range(k):
+        out = mixed(out + h[i : i + n])
+    return out
 
 
 _M = np.uint64(0xBF58476D1CE4E5B9)
@@ -145,13 +185,29 @@ def rolling_sums(h: np.ndarray) -> np.ndarray:
 
 
 def grams(total: np.ndarray, k: int) -> np.ndarray:
-    """The hash of every run of k words, from rolling_sums()."""
+    """A quick hash of every run of k words, from rolling_sums(). Equal runs have equal hashes; it steers work, and nothing takes
+    runs for equal because of it."""
     n = len(total) - k
     if n <= 0:
         return np.zeros(0, np.uint64)
     return mixed((total[k:] - total[:-k]) * powers(n, _M_INV, "mi"))
 
 
+def with_ranges(rows: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """rows with `bin`: the number of the range of the keys, in ascending order (nulls first), that a row falls into.
+
+    Spark's own range partitioning of the keys alone gives the ranges' first keys, one row a range, which are written; a row
+    finds its range among them by a coarse and a fine look-up. No key reaches the driver or the plan."""
+    lows = rows.select(*keys).repartitionByRange(n, *keys).groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct(*keys)).alias("lo"))
+    every = saved(lows.select("lo"), "ranges").agg(F.array_sort(F.collect_list("lo")).alias("lows"))
+    wide = max(1, round(n**0.5))
+    found = rows.withColumns({"__fine": every.scalar(), "__coarse": every.select(F.filter("lows", lambda c, i: i % wide == 0)).scalar()})
+    key = F.struct(*keys)
+    low = F.greatest(F.lit(0), F.size(F.filter("__coarse", lambda c: c <= key)) - 1) * wide
+    place = low + F.size(F.filter(F.slice("__fine", low + 1, F.lit(wide)), lambda c: c <= key))
+    return found.withColumn("bin", place.cast("int")).drop("__fine", "__coarse")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): the smallest node that each node of an undirected edge list reaches.
 
@@ -174,19 +230,35 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-_ID_BUCKETS = 1 << 20
+def few_keys(keys: DataFrame) -> DataFrame | None:
+    """The distinct rows of keys, marked for a broadcast, if they are MAX_KEYS at most; else None."""
+    keys = keys.distinct()
+    return F.broadcast(keys) if keys.count() <= MAX_KEYS else None
+
+
+def left_by_id(docs: DataFrame, table: DataFrame) -> DataFrame:
+    """docs, left-joined with a written table (doc_id, ...). Where its ids are few, a broadcast of their hashes tells which rows
+    need the join, and the texts of the others aren't shuffled; else all are."""
+    key = F.xxhash64("doc_id")
+    hit = few_keys(table.select(key.alias("__key")))
+    if hit is None:
+        return docs.join(table, "doc_id", "left")
+    rows, more = docs.withColumn("__key", key), [c for c in table.columns if c != "doc_id"]
+    clean = rows.join(hit, "__key", "left_anti").drop("__key")
+    maybe = rows.join(hit, "__key", "left_semi").drop("__key").join(table, "doc_id", "left").select(*docs.columns, *more)
+    return clean.select("*", *[F.lit(None).cast(table.schema[c].dataType).alias(c) for c in more]).unionByName(maybe)
 
 
-def split_by_ids(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows surely without one of the ids, the others): by a bucket of the id, in a broadcast table of at most 2**20 rows
-    whatever the corpus, so that most texts need no shuffle when few ids are wanted."""
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(_ID_BUCKETS))
-    hit = ids.select(bucket.alias("__bucket")).distinct()
-    rows = docs.withColumn("__bucket", bucket)
-    return rows.join(F.broadcast(hit), "__bucket", "left_anti").drop("__bucket"), rows.join(F.broadcast(hit), "__bucket", "left_semi").drop("__bucket")
+def only_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is in a written table ids (doc_id), and perhaps a few others."""
+    key = F.xxhash64("doc_id")
+    hit = few_keys(ids.select(key.alias("__key")))
+    if hit is None:
+        return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
+    return docs.withColumn("__key", key).join(hit, "__key", "left_semi").drop("__key")
 
 
 def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs less the rows whose doc_id is among ids (doc_id); rows with a null id stay."""
-    clean, maybe = split_by_ids(docs, ids)
-    return clean.unionByName(maybe.join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns))
+    """docs less the rows whose doc_id is in a written table ids (doc_id); rows with a null id stay."""
+    marked = left_by_id(docs, ids.select("doc_id").distinct().withColumn("__gone", F.lit(True)))
+    return marked.where("__gone is null").drop("__gone")

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, exact, jaccard, language, licenses, merkle, packing, shards, substrings, url_rules
 
-#: The folder with the public vocabulary files; every executor needs it at the same place.
-TOKENIZERS = os.environ.get("DATAVANE_TOKENIZERS", "/opt/tokenizers")
+#: The vocabulary as a tokenizers file, and as ranks; every executor needs both at the same place.
+VOCABULARY, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 URL_RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
-SPECIAL = {"<|endoftext|>": 50256}
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,14 +34,20 @@ def op3_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document is a file source/thousand/fifty/name; the first of each fifty is that directory's LICENSE file."""
-    name = F.when(F.col("doc_id") % 50 == 0, "LICENSE").otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    files = documents(spark, sf_dir).select("doc_id", "text", F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.expr("doc_id div 1000"), F.expr("doc_id div 50"), name).alias("path"))
-    return licenses.inherit(licenses.scan(files))
+    """Every document is a file. Each tenth is a licence file (LICENSE-<id>) of a directory source, source/thousand or
+    source/thousand/fifty, in turn; the others lie in source/thousand/fifty and inherit from the nearest of these."""
+    docs = documents(spark, sf_dir)
+    i, top = F.col("doc_id"), F.coalesce("source", F.lit("unknown"))
+    thousand, fifty = F.expr("doc_id div 1000").cast("string"), F.expr("doc_id div 50").cast("string")
+    depth = F.pmod(F.expr("doc_id div 10"), F.lit(3))
+    held = F.concat(F.lit("LICENSE-"), i.cast("string"))
+    path = F.when(i % 10 != 0, F.concat_ws("/", top, thousand, fifty, F.concat(i.cast("string"), F.lit(".txt"))))
+    path = path.when(depth == 0, F.concat_ws("/", top, held)).when(depth == 1, F.concat_ws("/", top, thousand, held)).otherwise(F.concat_ws("/", top, thousand, fifty, held))
+    return licenses.inherit(licenses.scan(docs.select("doc_id", "text", path.alias("path"))), "LICENSE(?:-.*)?")
 
 
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(documents(spark, sf_dir), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return bpe.round_trip(documents(spark, sf_dir), VOCABULARY)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +55,7 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.token_pieces(documents(spark, sf_dir), f"{TOKENIZERS}/byte_bpe_50k.tiktoken", SPECIAL))
+    return packing.pack(packing.token_pieces(documents(spark, sf_dir), RANKS, VOCABULARY))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +74,16 @@ def queries():
     return {f.__name__: f for f in (op1_url_rules, op2_language_id, op3_byte_shards, op4_license_scan, op5_bpe_round_trip, op6_substring_dedup, op7_best_fit_packing, op8_exact_dedup, op9_ngram_jaccard, op10_merkle_fingerprints)}
 
 
+def _tree(text: str) -> str:
+    return f"list_transform(string_split({text}, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)), lambda p: list_transform(regexp_extract_all(p, '{merkle.LEAF}'), lambda x: sha256(x))))"
+
+
+def _print(nodes: str) -> str:
+    node = "sha256(array_to_string(list_transform(s, lambda p: sha256(array_to_string(p, ''))), ''))"
+    leaves = "substr(sha256(array_to_string(p, '')), 1, 12) || '.' || array_to_string(list_transform(p, lambda x: substr(x, 1, 12)), '.')"
+    return f"sha256(array_to_string(list_transform({nodes}, lambda s: {node}), '')) || '|' || array_to_string(list_transform({nodes}, lambda s: substr({node}, 1, 12) || ':' || array_to_string(list_transform(s, lambda p: {leaves}), ',')), '|')"
+
+
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -106,25 +120,22 @@ def oracle_sql() -> dict[str, str]:
             l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
             r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
             SELECT r.a AS doc_id, coalesce(max(n.n), 0) AS n_shingles, min(r.b) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.a GROUP BY r.a""",
-        "op10_merkle_fingerprints": r"""
+        "op10_merkle_fingerprints": rf"""
             WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
             e AS (SELECT doc_id, t, length(t) AS n, coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id)) AS nt FROM d),
             f AS (SELECT doc_id, n, t, nt, substr(t, 1, n - n // 2) || substr(nt, 1, n // 2) AS ed FROM e),
-            g AS (SELECT doc_id, n, ed,
-                list_transform(string_split(t, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)), lambda p: list_transform(string_split(p, '. '), lambda x: sha256(x)))) AS a,
-                list_transform(string_split(ed, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)), lambda p: list_transform(string_split(p, '. '), lambda x: sha256(x)))) AS b,
-                list_transform(string_split(nt, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)), lambda p: list_transform(string_split(p, '. '), lambda x: sha256(x)))) AS c FROM f),
+            g AS (SELECT doc_id, n, ed, {_tree('t')} AS a, {_tree('ed')} AS b, {_tree('nt')} AS c FROM f),
             h AS (SELECT doc_id, n, ed, a, b,
                 list_distinct(list_transform(flatten(flatten(a)), lambda x: substr(x, 1, 12))) AS la,
                 list_distinct(list_transform(flatten(flatten(b)), lambda x: substr(x, 1, 12))) AS lb,
-                list_distinct(list_transform(flatten(flatten(c)), lambda x: substr(x, 1, 12))) AS lc FROM g)
-            SELECT doc_id, n AS n_chars, sha256(ed) AS edited_sha256,
-                sha256(array_to_string(list_transform(a, lambda s: sha256(array_to_string(list_transform(s, lambda p: sha256(array_to_string(p, ''))), ''))), '')) || '|' ||
-                array_to_string(list_transform(a, lambda s: substr(sha256(array_to_string(list_transform(s, lambda p: sha256(array_to_string(p, ''))), '')), 1, 12) || ':' ||
-                    array_to_string(list_transform(s, lambda p: substr(sha256(array_to_string(p, '')), 1, 12) || '.' || array_to_string(list_transform(p, lambda x: substr(x, 1, 12)), '.')), ',')), '|') AS fingerprint,
-                sha256(array_to_string(list_transform(b, lambda s: sha256(array_to_string(list_transform(s, lambda p: sha256(array_to_string(p, ''))), ''))), '')) || '|' ||
-                array_to_string(list_transform(b, lambda s: substr(sha256(array_to_string(list_transform(s, lambda p: sha256(array_to_string(p, ''))), '')), 1, 12) || ':' ||
-                    array_to_string(list_transform(s, lambda p: substr(sha256(array_to_string(p, '')), 1, 12) || '.' || array_to_string(list_transform(p, lambda x: substr(x, 1, 12)), '.')), ',')), '|') AS edited_fingerprint,
-                2.0::DOUBLE * len(list_intersect(la, lb)) / (len(la) + len(lb)) AS near_edited,
-                2.0::DOUBLE * len(list_intersect(la, lc)) / (len(la) + len(lc)) AS near_next FROM h""",
+                list_distinct(list_transform(flatten(flatten(c)), lambda x: substr(x, 1, 12))) AS lc,
+                list_filter(range(0, greatest(len(a), len(b))), lambda i: a[i + 1] IS DISTINCT FROM b[i + 1])[1] AS ds FROM g),
+            i AS (SELECT *, coalesce(a[ds + 1], [['-']]) AS sa, coalesce(b[ds + 1], [['-']]) AS sb FROM h),
+            j AS (SELECT *, list_filter(range(0, greatest(len(sa), len(sb))), lambda i: sa[i + 1] IS DISTINCT FROM sb[i + 1])[1] AS dp FROM i),
+            k AS (SELECT *, coalesce(sa[dp + 1], []) AS pa, coalesce(sb[dp + 1], []) AS pb FROM j),
+            m AS (SELECT *, coalesce(list_filter(range(0, greatest(len(pa), len(pb))), lambda i: pa[i + 1] IS DISTINCT FROM pb[i + 1])[1], 0) AS dl FROM k)
+            SELECT doc_id, n AS n_chars, sha256(ed) AS edited_sha256, {_print('a')} AS fingerprint, {_print('b')} AS edited_fingerprint,
+                CASE WHEN len(la) + len(lb) = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(la, lb)) / (len(la) + len(lb)) END AS near_edited,
+                CASE WHEN len(la) + len(lc) = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(la, lc)) / (len(la) + len(lc)) END AS near_next,
+                CASE WHEN ds IS NOT NULL THEN ds || '.' || dp || '.' || dl END AS first_edit FROM m""",
     }
