@@ -15,12 +15,13 @@ from pyspark.sql.window import Window
 from . import bpe, common
 
 
-def token_pieces(docs: DataFrame, ranks_file: str, special: dict[str, int], end_id: int = 2, capacity: int = 1024) -> DataFrame:
+def token_pieces(docs: DataFrame, ranks_file: str, vocabulary: str, end_id: int = 2, capacity: int = 1024) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of the pieces of every whole text of docs (doc_id, text).
 
     A document is its ids and then end_id. Longer ones are cut into pieces of `capacity` ids, of which the first may be
-    shorter. ranks_file: the vocabulary as base64 bytes and rank a line (its ids are those of the tokenizers file of the
-    same vocabulary); special: ids of special tokens in texts."""
+    shorter. ranks_file: the vocabulary as base64 bytes and rank a line; its ids are those of the tokenizers file
+    `vocabulary`, which tells the special tokens that keep their own id in a text. A null text is empty and gives one piece;
+    repeated rows and null ids are documents like any other."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -39,7 +40,7 @@ def token_pieces(docs: DataFrame, ranks_file: str, special: dict[str, int], end_
             rest = [np.array(core.encode_ordinary(t), dtype=np.uint32) for t in others]
             return np.concatenate([ids, *rest]), np.concatenate([np.diff(upto), np.array([len(r) for r in rest], dtype=np.int64)])
 
-        coder = bpe.ChunkEncoder(many, special)
+        coder = bpe.ChunkEncoder(many, bpe.special_tokens(vocabulary))
         tail = end_id.to_bytes(4, "little")
         for batch in batches:
             for first, n_docs, raw, offs in common.text_slices(batch, limit=bpe.GROUP_BYTES):
@@ -60,120 +61,81 @@ def token_pieces(docs: DataFrame, ranks_file: str, special: dict[str, int], end_
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def _knapsack(value: np.ndarray, capacity: int) -> np.ndarray:
-    """The pattern (copies of each length) of largest value that fits, by dynamic programming over capacities."""
-    n = len(value) - 1  # value[l] for l = 1..n
+def _priced(price: np.ndarray, left: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """(patterns, lengths): for each length that is left, one copy of it and the filling of largest price that fits beside it.
+
+    One knapsack by dynamic programming, whose items are 1, 2, 4, ... copies of a length, as many as are left, gives the best
+    filling of every capacity; all patterns are then read off it together."""
+    lengths = np.flatnonzero(left)
+    items = []
+    for size in lengths[::-1].tolist():
+        copies, many = min(int(left[size]), capacity // size), 1
+        while copies:
+            many = min(many, copies)
+            items.append((size, many))
+            copies, many = copies - many, many * 2
     best = np.zeros(capacity + 1)
-    pick = np.zeros(capacity + 1, dtype=np.int64)
-    for c in range(1, capacity + 1):
-        m = min(c, n)
-        got = value[1 : m + 1] + best[c - 1 :: -1][:m]
-        j = int(np.argmax(got))
-        best[c], pick[c] = (got[j], j + 1) if got[j] > best[c - 1] + 1e-15 else (best[c - 1], 0)
-    pattern = np.zeros(n + 1, dtype=np.int64)
-    c = capacity
-    while c > 0:
-        if pick[c]:
-            pattern[pick[c]] += 1
-            c -= pick[c]
-        else:
-            c -= 1
-    return pattern
-
-
-def patterns(demand: np.ndarray, capacity: int = 1024, rounds: int = 250, step: float = 0.25) -> list[tuple[np.ndarray, int]]:
-    """Patterns (copies of each length, index = length) with how often each is used; together they hold the demand.
-
-    The linear program: fewest patterns that cover the demand. Multiplicative weights: each round prices the lengths
-    by their weights, takes the pattern of largest price (knapsack by dynamic programming) and lowers the weights of
-    what it covers. The average over the rounds, scaled to cover, is rounded down to whole patterns; what is left
-    is packed by best fit, longest first, on the histogram, where one pattern is used as often as it can be. The work
-    depends on the number of lengths, not of documents."""
+    took = np.zeros((len(items), capacity + 1), dtype=bool)
+    for i, (size, many) in enumerate(items):
+        w = size * many
+        with_it = best[: capacity + 1 - w] + price[size] * many
+        better = with_it > best[w:] + 1e-12
+        took[i, w:] = better
+        best[w:][better] = with_it[better]
+    out = np.zeros((len(lengths), capacity + 1), dtype=np.int64)
+    rows = np.arange(len(lengths))
+    out[rows, lengths] = 1
+    room = capacity - lengths
+    for i in range(len(items) - 1, -1, -1):
+        size, many = items[i]
+        on = took[i, room]
+        if on.any():
+            out[on, size] += many
+            room[on] -= size * many
+    return np.minimum(out, left), lengths
+
+
+def patterns(demand: np.ndarray, capacity: int = 1024, rounds: int = 3, step: float = 1.0, power: float = 1.1) -> tuple[list[tuple[np.ndarray, int]], dict]:
+    """[(pattern, times)] that hold the demand exactly (a pattern: copies of each length, index = length), and a report.
+
+    The linear program: fewest patterns that cover the demand. Multiplicative weights: a length starts at the price of its
+    share of the capacity to `power`, a little over 1, as short pieces are easier to place; each round prices patterns by the
+    knapsack, gives each length's uncovered share to its best pattern, and lowers the price of what is covered too far,
+    exponentially in how far. The program's patterns are then rounded, those with the longest lengths first, each as often as
+    the program uses it (once at least) where that is left; and it is solved again for what is left, until nothing is. So all sequences
+    come from the program, at every size; work follows the number of lengths, not of documents.
+
+    report: sequences, solutions, and bound: no packing has fewer sequences (whole sizes; lengths over half the capacity)."""
     left = demand.astype(np.int64).copy()
+    sizes = np.arange(capacity + 1)
     out: list[tuple[np.ndarray, int]] = []
-    some = left > 0
-    if not some.any():
-        return out
-    full = int(left[capacity])
-    if full:
-        one = np.zeros(capacity + 1, dtype=np.int64)
-        one[capacity] = 1
-        out.append((one, full))
-        left[capacity] = 0
-    if left.sum() > 2000:
-        weight = np.zeros(capacity + 1)
-        have = left > 0
-        lengths = np.arange(capacity + 1)
-        weight[have] = lengths[have] / capacity  # a length's own size: the dual of a perfect packing
-        used: dict[bytes, list] = {}
-        cover = np.zeros(capacity + 1)
-        for _ in range(rounds):
-            p = _knapsack(np.where(have, weight, 0.0), capacity)
-            p = np.where(have, p, 0)
-            on = p > 0
-            if not on.any():
-                break
-            t = float((left[on] / p[on]).min()) * step  # no length is covered faster than by this share a round
-            used.setdefault(p.tobytes(), [p, 0.0])[1] += t
-            cover += t * p
-            weight[on] *= np.exp(-step * 0.5 * t * p[on] / left[on] / step)
-        for p, t in sorted(used.values(), key=lambda x: -x[1]):
+    report = {"bound": int(max(-(-int((left * sizes).sum()) // capacity), int(left[capacity // 2 + 1 :].sum()))), "solutions": 0}
+    while left.any():
+        report["solutions"] += 1
+        price = own = (sizes / capacity) ** power
+        cover, used = np.zeros(capacity + 1), {}
+        for r in range(rounds):
+            found, seeds = _priced(price, left, capacity)
+            share = np.maximum(left[seeds] - cover[seeds], 0.0) / (rounds - r)
+            for p, t in zip(found, share, strict=True):
+                if t > 0:
+                    used.setdefault(p.tobytes(), [p, 0.0])[1] += t
+            cover += share @ found
+            price = own * np.exp(-step * np.maximum(cover / np.maximum(left, 1) - (r + 1) / rounds, 0.0))
+        for p, t in sorted(used.values(), key=lambda x: (-int(np.flatnonzero(x[0])[-1]), -int((x[0] * sizes).sum()), -x[1])):
             on = p > 0
-            scale = 1.0 / max(1.0, float((cover[have] / left_or_one(demand[have])).max()))
-            k = min(int(t * scale), int((left[on] // p[on]).min()))
+            k = min(max(1, int(t)), int((left[on] // p[on]).min()))
             if k > 0:
                 out.append((p, k))
                 left -= k * p
-    while left.any():
-        p = _best_fit(left, capacity)
-        on = p > 0
-        k = int((left[on] // p[on]).min())
-        out.append((p, k))
-        left -= k * p
-    return out
-
-
-def left_or_one(x: np.ndarray) -> np.ndarray:
-    return np.maximum(x, 1)
-
-
-def _best_fit(left: np.ndarray, capacity: int) -> np.ndarray:
-    """The longest remaining length, filled to the brim where a subset sum of the remaining lengths (longest first) allows."""
-    p = np.zeros(capacity + 1, dtype=np.int64)
-    top = int(np.flatnonzero(left)[-1])
-    p[top] = 1
-    room = capacity - top
-    have = left.copy()
-    have[top] -= 1
-    # items are 1, 2, 4, ... copies of one length, all that are there and fit; each sum keeps the item that reached it first
-    lengths = np.flatnonzero(have[: room + 1])[::-1]
-    reach = np.zeros(room + 1, dtype=bool)
-    reach[0] = True
-    came = np.zeros((room + 1, 2), dtype=np.int64)
-    for size in lengths.tolist():
-        copies, many = min(int(have[size]), room // size), 1
-        while copies:
-            many = min(many, copies)
-            new = np.zeros_like(reach)
-            new[size * many :] = reach[: len(reach) - size * many]
-            new &= ~reach
-            came[new] = size, many
-            reach |= new
-            copies, many = copies - many, many * 2
-        if reach[room]:
-            break
-    c = int(np.flatnonzero(reach)[-1])
-    while c > 0:
-        size, many = came[c].tolist()
-        p[size] += many
-        c -= size * many
-    return p
+    report["sequences"] = sum(k for _, k in out)
+    return out, report
 
 
 def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     """Add sequence_id and offset to pieces (doc_id, piece, length, ...), whose lengths are 1 to capacity.
 
-    Only the histogram of lengths (capacity rows) reaches the driver, where patterns() solves it. Every piece then finds its
+    All sequences are patterns of the rounded configuration program. Only the histogram of lengths (capacity rows) reaches the driver, where patterns() solves it. Every piece then finds its
     place by its rank among the pieces of its length: ranks come from totals per partition and length, so a length with
     a third of all rows is never in one task. Offsets in a sequence go down the lengths, gapless from 0.
     Repeated rows and null ids are pieces like any other; an empty table gives an empty result."""
@@ -184,8 +146,8 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     demand = np.zeros(capacity + 1, dtype=np.int64)
     for r in histogram:
         demand[r.length] = r.n
-    starts, ranks, rows, seq = np.zeros(capacity + 1, dtype=np.int64), [], [], 0
-    for p, k in patterns(demand, capacity):
+    starts, rows, seq = np.zeros(capacity + 1, dtype=np.int64), [], 0
+    for p, k in patterns(demand, capacity)[0]:
         offset = 0
         for size in np.flatnonzero(p)[::-1].tolist():
             c = int(p[size])
@@ -193,12 +155,11 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
             starts[size] += k * c
             offset += size * c
         seq += k
-    del ranks
     table: dict[int, list] = {}
     for size, first, c, s, offset in rows:
         table.setdefault(size, []).append((first, c, s, offset))
     arrays = {size: np.array(x, dtype=np.int64) for size, x in table.items()}
-    places = kept.sparkSession.sparkContext.broadcast(arrays)  # at most capacity entries a pattern; bounded by the lengths
+    places = kept.sparkSession.sparkContext.broadcast(arrays)  # entries follow the lengths (about 20,000 for 10**6 pieces), not the pieces
     own = Window.partitionBy("__p", "length").orderBy("doc_id", "piece", "start")
     ranked = kept.withColumn("__r", F.row_number().over(own) - 1).join(counts.select("__p", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__b")), ["__p", "length"])
 
