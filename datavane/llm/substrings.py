@@ -28,30 +28,57 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def _windows(raw, offs, size):
-    """(row, start word, rolling sums, minimiser) of every window of `size` words that lies in one row.
+    """(row, start word in it, start word, word spans, minimiser) of every window of `size` words that lies in one row.
 
     The minimiser is the least hash among the window's runs of size // 2 + 1 words. Equal windows have equal minimisers, so a
     window can only be repeated where its minimiser is, and neighbours mostly share theirs."""
     starts, ends, row = common.word_spans(raw, offs)
     if len(starts) < size:
         return None
-    sums = common.rolling_sums(common.word_hashes(raw, starts, ends))
     k = size // 2 + 1
-    low = _least(common.grams(sums, k), size - k + 1)
+    low = _least(common.grams(common.rolling_sums(common.word_hashes(raw, starts, ends)), k), size - k + 1)
     at = np.flatnonzero(row[: len(low)] == row[size - 1 : size - 1 + len(low)])
     first = np.searchsorted(row, row[at], "left")
-    return row[at], at - first, at, sums, low[at]
+    return row[at], at - first, at, (starts, ends), low[at]
+
+
+def _minimisers(batches, size):
+    """(batch, row of the batch, minimiser) of every run of windows of one row that share theirs; in parts."""
+    for b in batches:
+        for lo, _, raw, offs in common.text_slices(b):
+            if (w := _windows(raw, offs, size)) is None or not len(w[4]):
+                continue
+            row, low = w[0], w[4]
+            new = np.concatenate([[True], (low[1:] != low[:-1]) | (row[1:] != row[:-1])])
+            yield b, lo + row[new], low[new]
+
+
+def _plain(raw, starts, ends):
+    """The words with one space between them, and where each begins and ends there."""
+    n = ends - starts
+    at = np.cumsum(n + 1) - n - 1
+    out = np.full(int(n.sum() + len(n)), 0x20, dtype=np.uint8)
+    out[np.repeat(at - np.cumsum(n) + n, n) + np.arange(n.sum())] = raw[np.repeat(starts - np.cumsum(n) + n, n) + np.arange(n.sum())]
+    return out.tobytes(), at, at + n
 
 
 def _cells(low: np.ndarray, bits: int) -> list[np.ndarray]:
     return [(low * m) >> np.uint64(64 - bits) for m in _ROWS]
 
 
+def _bits(docs: DataFrame, size: int, cells_per_item: int) -> int:
+    """The sketch has about cells_per_item cells for each minimiser that the bytes let expect, at every size of the corpus."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    items = total / 6 / (size // 4)
+    return int(min(60, max(_BLOCK, np.ceil(np.log2(max(1.0, items * cells_per_item))))))
+
+
 def sketch(docs: DataFrame, size: int, bits: int) -> np.ndarray:
     """For each of two count-min rows, one bit a cell: is the merged count 2 or more?
 
     Each partition counts the minimisers of its windows (once for each run of windows that share one) into sparse blocks of
-    cells; the blocks are merged by adding, cell by cell. A cell holds at least the true count of each of its minimisers."""
+    cells; the blocks are merged by adding, cell by cell. A cell counts all runs of each of its minimisers, and a window that two rows
+    hold has its minimiser in both, so a cell is at least the number of rows that hold any window it stands for."""
 
     def count(batches):
         kept, n = [], 0
@@ -66,19 +93,12 @@ def sketch(docs: DataFrame, size: int, bits: int) -> np.ndarray:
                 parts = np.split(inside, cuts)
                 yield pa.RecordBatch.from_arrays([pa.array((r << 40) + block[np.concatenate([[0], cuts])]), pa.array([p.tobytes() for p in parts], pa.binary())], ["block", "cells"])
 
-        for b in batches:
-            for _, _, raw, offs in common.text_slices(b):
-                if (w := _windows(raw, offs, size)) is None:
-                    continue
-                row, low = w[0], w[4]
-                if not len(low):
-                    continue
-                new = np.concatenate([[True], (low[1:] != low[:-1]) | (row[1:] != row[:-1])])
-                kept.append(low[new])
-                n += int(new.sum())
-                if n > 500_000:
-                    yield from flush()
-                    kept, n = [], 0
+        for _, _, low in _minimisers(batches, size):
+            kept.append(low)
+            n += len(low)
+            if n > 500_000:
+                yield from flush()
+                kept, n = [], 0
         if kept:
             yield from flush()
 
@@ -97,41 +117,73 @@ def sketch(docs: DataFrame, size: int, bits: int) -> np.ndarray:
     return out
 
 
-def repeated_windows(docs: DataFrame, size: int = 50, cells_per_item: int = 5, max_bits: int = 28) -> DataFrame:
+def sketched_rows(docs: DataFrame, size: int, bits: int) -> DataFrame:
+    """doc_id, lows: the minimisers of each row that both count-min rows estimate at 2 or more. The same sketch as a table
+    spread over the executors: Spark adds up the cells of each partition, then of all; nothing is broadcast or collected."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def emit(batches):
+        for b, row, low in _minimisers(batches, size):
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row)), pa.array(low.view(np.int64)), *[pa.array(c.astype(np.int64)) for c in _cells(low, bits)]], ["doc_id", "low", "c0", "c1"])
+
+    left = common.saved(docs.select("doc_id", "text").mapInArrow(emit, f"doc_id {kind}, low long, c0 long, c1 long"), "minimisers")
+    for c in ("c0", "c1"):
+        twice = left.groupBy(c).agg(F.count("*").alias("n")).where("n > 1").select(c)
+        left = left.join(common.saved(twice, "cells"), c, "left_semi")
+    return common.saved(left.groupBy("doc_id").agg(F.collect_set("low").alias("lows")), "minimisers")
+
+
+def repeated_windows(docs: DataFrame, size: int = 50, cells_per_item: int = 5, broadcast_bytes: int = 64 << 20) -> DataFrame:
     """doc_id, starts: the first words of all windows of docs (doc_id, text) whose word sequence also starts in a row with a
     smaller doc_id.
 
-    First pass: the merged sketch. It has about cells_per_item cells for each minimiser that the bytes let expect, 2**max_bits
-    at most, so what is broadcast is at most 2 * 2**max_bits bits (64 MB); beyond that it passes more windows, never fewer.
-    Second pass: only windows whose minimiser is estimated at 2 or more go on, as a 96-bit hash of all their words; these are
-    grouped exactly for their smallest doc_id (combined before the shuffle), and joined with the windows again (open to
+    First pass: the merged sketch, about cells_per_item cells a minimiser whatever the corpus, so about one in thirty never-repeated
+    windows passes at any size. Up to broadcast_bytes (about 2 GB of text by default) its bits are broadcast; beyond
+    that the same sketch is a table, joined with the rows' minimisers. A smaller sketch passes more windows, never fewer.
+    Second pass: only windows whose minimiser is estimated at 2 or more go on, as a 128-bit BLAKE2b digest of all their words; these
+    are grouped exactly for their smallest doc_id (combined before the shuffle), and joined with the windows again (open to
     skew splitting). Null ids are never smaller than others and never removed from."""
     spark = docs.sparkSession
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    items = total / 6 / (size // 4)
-    bits = int(min(max_bits, max(_BLOCK, np.ceil(np.log2(max(1.0, items * cells_per_item))))))
-    twice = spark.sparkContext.broadcast(sketch(docs, size, bits))
+    docs = docs.where("doc_id is not null")
+    bits = _bits(docs, size, cells_per_item)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    if len(_ROWS) << (bits - 3) <= broadcast_bytes:
+        twice = spark.sparkContext.broadcast(sketch(docs, size, bits))
+        rows = docs.select("doc_id", "text")
+    else:
+        twice = None
+        some = sketched_rows(docs, size, bits)
+        rows = common.left_by_id(docs.select("doc_id", "text"), some).where("lows is not null")
+
+    def passed(b, lo, row, low):
+        ok = np.ones(len(low), dtype=bool)
+        if twice is not None:
+            for bitmap, cell in zip(twice.value, _cells(low, bits), strict=True):
+                ok &= (bitmap[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            return ok
+        lists = b.column("lows")
+        for r in np.unique(row).tolist():
+            a, z = np.searchsorted(row, [r, r + 1])
+            ok[a:z] = np.isin(low[a:z], np.array(lists[lo + r].as_py(), dtype=np.int64).view(np.uint64))
+        return ok
 
     def emit(batches):
-        bitmaps = twice.value
         for b in batches:
             ids = b.column("doc_id")
             for lo, _, raw, offs in common.text_slices(b):
                 if (w := _windows(raw, offs, size)) is None:
                     continue
-                row, start, at, sums, low = w
-                ok = np.ones(len(low), dtype=bool)
-                for r, cell in enumerate(_cells(low, bits)):
-                    ok &= (bitmaps[r][(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                row, start, at, spans, low = w
+                ok = passed(b, lo, row, low)
                 if not ok.any():
                     continue
                 row, start, at = row[ok], start[ok], at[ok]
-                one = common.grams(sums, size)[at]
-                two = common.mixed(one ^ low[ok]) ^ common.grams(sums, 7)[at]
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(lo + row)), pa.array(start.astype(np.int32)), pa.array(one.view(np.int64)), pa.array((two >> np.uint64(32)).astype(np.uint32).view(np.int32))], ["doc_id", "start", "h1", "h2"])
+                words, begin, end = _plain(raw, *spans)
+                keys = b"".join([hashlib.blake2b(words[x:y], digest_size=16).digest() for x, y in zip(begin[at].tolist(), end[at + size - 1].tolist(), strict=True)])
+                key = np.frombuffer(keys, dtype="<i8").reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(lo + row)), pa.array(start.astype(np.int32)), pa.array(key[:, 0].copy()), pa.array(key[:, 1].copy())], ["doc_id", "start", "h1", "h2"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    windows = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(emit, f"doc_id {kind}, start int, h1 long, h2 int")
+    windows = rows.mapInArrow(emit, f"doc_id {kind}, start int, h1 long, h2 long")
     first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("hi > lo").select("h1", "h2", "lo")
     first = common.saved(first, "repeated")  # so that both sides of the join are shuffled for it, which lets a hot window be split
     return windows.join(first, ["h1", "h2"]).where("doc_id > lo").groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
@@ -148,10 +200,8 @@ def _covered(n_words: int, starts, size: int) -> np.ndarray:
 
 
 def _with_starts(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs and the starts of their repeated windows, null for none; only rows that may have some are shuffled."""
-    clean, maybe = common.split_by_ids(docs, gone)
-    none = F.lit(None).cast("array<int>").alias("__starts")
-    return clean.select("*", none).unionByName(maybe.join(gone.select("doc_id", F.col("starts").alias("__starts")), "doc_id", "left").select(*docs.columns, "__starts"))
+    """docs and the starts of their repeated windows, null for none."""
+    return common.left_by_id(docs, gone.withColumnRenamed("starts", "__starts"))
 
 
 def removed_words(docs: DataFrame, size: int = 50) -> DataFrame:
