@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common
 
@@ -24,16 +25,17 @@ def _row_shingles(raw, offs, k: int):
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     h = common.word_hashes(raw, starts, ends, fold=True)
-    sums = common.rolling_sums(h)
-    g = common.grams(sums, k)
+    g = common.runs(h, k)
     ok = row[: len(g)] == row[k - 1 : k - 1 + len(g)]
     g, grow = g[ok], row[: len(ok)][ok]
     n = np.bincount(row, minlength=len(offs) - 1)
     short = np.flatnonzero((n > 0) & (n < k))
     if len(short):
         first = np.searchsorted(row, short, "left")
-        inv = common.powers(len(sums), common._M_INV, "mi")
-        whole = common.mixed((sums[first + n[short]] - sums[first]) * inv[first] + n[short].astype(np.uint64) * np.uint64(0x94D049BB133111EB))
+        whole = n[short].astype(np.uint64)  # starts from the number of words, as runs() does
+        for i in range(k - 1):
+            on = n[short] > i
+            whole[on] = common.mixed(whole[on] + h[first[on] + i])
         g, grow = np.concatenate([g, whole]), np.concatenate([grow, short])
         o = np.argsort(grow, kind="stable")
         g, grow = g[o], grow[o]
@@ -130,15 +132,38 @@ def _pairs_of(node: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
     return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
 
-def _shared_prefixes(sig: DataFrame, parts: int, cap: int) -> DataFrame:
+def _shared_prefixes(sig: DataFrame, cap: int, group_bytes: int = 4 << 20) -> DataFrame:
     """a, b: edges that connect all sets which may be similar by their prefixes.
 
     The sets of a prefix shingle are counted pair by pair where there are at most `cap`; pairs with too few shared shingles
     go. A shingle with more sets connects all of them with its smallest one instead, without a count, so the work
     follows the number of sets either way and nothing is lost. A batch ships each shingle's sets packed by hash range, or the
-    smallest alone where it has more than `cap` itself; so a shingle with a third of all rows is a few rows a batch."""
+    smallest alone where it has more than `cap` itself. Batches are merged in two steps, first in salted groups, of which each
+    again passes on a shingle's sets, or the smallest alone; so a shingle with a third of all rows is a few rows a group. The number of
+    hash ranges follows the bytes of all prefixes, so a group holds about group_bytes at every size."""
+    total, n_rows = sig.agg(F.coalesce(F.sum(F.octet_length("prefix")), F.lit(0)), F.count("*")).first()
+    parts = max(common.partitions(sig.sparkSession), -(-2 * total // group_bytes))
+    salts = max(8, n_rows // 5_000_000)
     step = np.uint64(2**64 // parts + 1)
 
+    def folded(token, ids, flag):
+        """Rows of packed sets and of star edges, from the sets (ids) of shingles (token) and whether others have gone before."""
+        token, starts, sizes, (ids, flag) = _sorted(token, ids, flag)
+        fresh = np.concatenate([[True], (token[1:] != token[:-1]) | (ids[1:] != ids[:-1])])  # a set in two batches
+        hot = np.logical_or.reduceat(flag, starts)
+        token, ids, run = token[fresh], ids[fresh], np.repeat(np.arange(len(starts)), sizes)[fresh]
+        starts = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+        sizes = np.diff(np.append(starts, len(run)))
+        hot |= sizes > cap
+        keep = np.repeat(~hot, sizes)
+        keep[starts[hot]] = True
+        at, r = _spread(starts[hot], sizes[hot])
+        star = np.unique(np.stack([ids[at], ids[starts[hot][r]]], axis=1), axis=0)
+        return token[keep], ids[keep], np.repeat(hot, sizes)[keep], star[star[:, 0] != star[:, 1]]
+
+    def edge_row(star):
+        return (int(star[0, 0] % parts), 0, star[:, 0].tobytes(), star[:, 1].tobytes(), b"", True)
+
     def pack(batches):
         for b in batches:
             node = np.array(b.column("node"), dtype=np.int64)
@@ -148,46 +173,51 @@ def _shared_prefixes(sig: DataFrame, parts: int, cap: int) -> DataFrame:
             token = np.frombuffer(b"".join(raw), dtype="<u8")
             if not len(token):
                 continue
-            token, starts, sizes, (ids,) = _sorted(token, np.repeat(node[one], size))
-            hot = sizes > cap
-            keep = np.repeat(~hot, sizes)
-            keep[starts[hot]] = True
-            at, run = _spread(starts[hot], sizes[hot])
-            star = np.unique(np.stack([ids[at], ids[starts[hot][run]]], axis=1), axis=0)
-            star = star[star[:, 0] != star[:, 1]]
-            flag = np.repeat(hot, sizes)[keep]
-            token, ids = token[keep], ids[keep]
+            token, ids, flag, star = folded(token, np.repeat(node[one], size), np.zeros(len(token), bool))
             part = (token // step).astype(np.int64)
             cuts = np.flatnonzero(part[1:] != part[:-1]) + 1
             keys = part[np.concatenate([[0], cuts])]
-            rows = [(int(k), t.tobytes(), m.tobytes(), h.tobytes(), False) for k, t, m, h in zip(keys, np.split(token, cuts), np.split(ids, cuts), np.split(flag, cuts), strict=True)]
+            salt = int(node[0]) % salts
+            rows = [(int(k), salt, t.tobytes(), m.tobytes(), h.tobytes(), False) for k, t, m, h in zip(keys, np.split(token, cuts), np.split(ids, cuts), np.split(flag, cuts), strict=True)]
             if len(star):
-                rows.append((int(star[0, 0] % parts), star[:, 0].tobytes(), star[:, 1].tobytes(), b"", True))
+                rows.append(edge_row(star))
             cols = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.bool_())], ["part", "x", "y", "hot", "edge"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.bool_()), strict=True)], ["part", "salt", "x", "y", "hot", "edge"])
 
-    def merge(f: pd.DataFrame) -> pd.DataFrame:
+    def unpacked(f: pd.DataFrame):
         e, t = f[f["edge"]], f[~f["edge"]]
-        a, b = np.frombuffer(b"".join(e["x"]), dtype=np.int64), np.frombuffer(b"".join(e["y"]), dtype=np.int64)
-        n = np.zeros(len(a), dtype=np.int64)
-        if len(t):
-            token, starts, sizes, (ids, flag) = _sorted(np.frombuffer(b"".join(t["x"]), dtype="<u8"), np.frombuffer(b"".join(t["y"]), dtype=np.int64), np.frombuffer(b"".join(t["hot"]), dtype=bool))
-            fresh = np.concatenate([[True], (token[1:] != token[:-1]) | (ids[1:] != ids[:-1])])  # a set in two batches
-            hot_token = np.logical_or.reduceat(flag, starts)
-            token, ids, run = token[fresh], ids[fresh], np.repeat(np.arange(len(starts)), sizes)[fresh]
-            starts = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
-            sizes = np.diff(np.append(starts, len(run)))
-            many = hot_token | (sizes > cap)
-            at, r = _spread(starts[many], sizes[many])
-            star = np.unique(np.stack([ids[at], ids[starts[many][r]]], axis=1), axis=0)
-            star = star[star[:, 0] != star[:, 1]]
-            few = ~many & (sizes > 1)
+        star = np.stack([np.frombuffer(b"".join(e[c]), dtype=np.int64) for c in "xy"], axis=1)
+        return star, np.frombuffer(b"".join(t["x"]), dtype="<u8"), np.frombuffer(b"".join(t["y"]), dtype=np.int64), np.frombuffer(b"".join(t["hot"]), dtype=bool)
+
+    def fold(f: pd.DataFrame) -> pd.DataFrame:
+        star, token, ids, flag = unpacked(f)
+        part = int(f["part"].iloc[0])
+        rows = [edge_row(star)] if len(star) else []
+        if len(token):
+            token, ids, flag, star = folded(token, ids, flag)
+            rows.append((part, 0, token.tobytes(), ids.tobytes(), flag.tobytes(), False))
+            if len(star):
+                rows.append(edge_row(star))
+        return pd.DataFrame(rows, columns=["part", "salt", "x", "y", "hot", "edge"])
+
+    def merge(f: pd.DataFrame) -> pd.DataFrame:
+        star, token, ids, flag = unpacked(f)
+        out = [star]
+        n = np.zeros(len(star), dtype=np.int64)
+        if len(token):
+            token, ids, flag, star = folded(token, ids, flag)
+            starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            sizes = np.diff(np.append(starts, len(token)))
+            few = ~flag[starts] & (sizes > 1)
             pair, times = np.unique(_pairs_of(ids, starts[few], sizes[few]), axis=0, return_counts=True)
-            a, b = np.concatenate([a, star[:, 0], pair[:, 0]]), np.concatenate([b, star[:, 1], pair[:, 1]])
+            out += [star, pair]
             n = np.concatenate([n, np.zeros(len(star), np.int64), times])
+        a, b = np.concatenate(out).T
         return pd.DataFrame({"a": a, "b": b, "n": n})
 
-    found = sig.where("n > 0").select("node", "prefix").mapInArrow(pack, "part long, x binary, y binary, hot binary, edge boolean").groupBy("part").applyInPandas(merge, "a long, b long, n long")
+    packed = "part long, salt int, x binary, y binary, hot binary, edge boolean"
+    found = sig.where("n > 0").select("node", "prefix").mapInArrow(pack, packed)
+    found = found.groupBy("part", "salt").applyInPandas(fold, packed).groupBy("part").applyInPandas(merge, "a long, b long, n long")
     found = common.saved(found, "prefix-pairs")
     star = found.where("n = 0").select("a", "b").distinct()
     pairs = found.where("n > 0").groupBy("a", "b").agg(F.sum("n").alias("n"))
@@ -197,13 +227,15 @@ def _shared_prefixes(sig: DataFrame, parts: int, cap: int) -> DataFrame:
     return pairs.where(f"n >= greatest(1, least(m_a, m_b) div {DEPTH})").select("a", "b").unionByName(star)
 
 
-def linked_in_tile(ids: np.ndarray, sets: list[np.ndarray], percent: int, width: int = 2048) -> list[tuple[int, int]]:
-    """Links that connect all linked sets of one tile: (id, id), at most one fewer than the sets.
+def linked_in_tile(ids: np.ndarray, sets: list[np.ndarray], percent: int, joined: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that connect all linked sets of one tile: (id, id), at most one fewer than the sets. Sets marked as joined are known to be
+    connected with one another, so only their links to the others are looked for.
 
     From each set in turn the not yet reached ones are tried: first by size, then by the bitmap bound (a bit that only one
     side has proves an element that the other lacks, so bit counts bound the overlap from above), then exactly. A set
     that is already connected needn't be tried again, so a tile of near copies costs about one comparison each."""
     n = np.array([len(s) for s in sets], dtype=np.int64)
+    width = int(min(2048, max(64, 1 << int(np.ceil(np.log2(4 * max(1.0, float(np.median(n)))))))))
     bits = np.zeros((len(sets), width), dtype=bool)
     for i, s in enumerate(sets):
         bits[i, (s & np.uint64(width - 1)).astype(np.int64)] = True
@@ -211,13 +243,13 @@ def linked_in_tile(ids: np.ndarray, sets: list[np.ndarray], percent: int, width:
     del bits
     left = np.argsort(n, kind="stable")
     out, front = [], []
-    while len(left) or front:
+    if joined is not None:
+        front, left = np.flatnonzero(joined).tolist(), left[~joined[left]]
+    while len(left):
         if front:
             i = front.pop()
         else:
             i, left = int(left[-1]), left[:-1]
-        if not len(left):
-            continue
         m = n[left]
         fit = 100 * np.minimum(m, n[i]) >= percent * np.maximum(m, n[i])
         cand = left[fit]
@@ -240,52 +272,10 @@ def linked_in_tile(ids: np.ndarray, sets: list[np.ndarray], percent: int, width:
     return out
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, tile_bytes: int = 16 << 20, cap: int = 32) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs (doc_id, text), exactly.
-
-    Words are runs without white space, A-Z lower-cased; a set holds the distinct k-word shingles, or the whole sequence
-    where there are fewer words. Two documents link when 100 * intersection >= percent * union; component_id is the
-    smallest doc_id that links reach. A null or empty text, or one without words, has no shingles and no link.
-
-    1. Equal sets are one class (by a 128-bit digest). 2. Sets that share as many prefix shingles as similar ones
-    must form clusters (shingles that more than `cap` sets have in their prefix connect all of these). 3. Each cluster is cut into tiles: one where it is small, else one for each pair of salted parts of the same or
-    neighbouring size bands, so a tile holds about twice tile_bytes and no hot cluster is in one task. 4. In a tile, sizes,
-    bitmap bounds and exact intersections give links enough to connect what is linked; their components are the result.
-
-    Rows that share a doc_id count as one document; a null id gets a null component and no link. An empty table gives an
-    empty result; other columns are not read."""
-    spark = docs.sparkSession
-    base = docs.select("doc_id", "text")
-    sig = common.saved(_signatures(base, k, percent), "sets")
-    edges = _shared_prefixes(sig, 4 * common.partitions(spark), cap)
-    clusters = common.components(edges)
-    members = common.saved(clusters.select("node", "root").unionByName(clusters.select(F.col("root").alias("node"), "root")).distinct(), "clusters")
-    classes = sig.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("node").alias("node"))
-    classes = common.saved(classes, "classes")
-    reps = common.saved(classes.join(members, "node").select("rep", "digest", "n", F.col("root").alias("cluster")), "reps")
-
-    # band: sizes between neighbouring powers of 1 / share, so similar sets are in the same or the next band
-    reps = reps.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) - 1e-9).cast("int"))
-    per_band = reps.groupBy("cluster", "band").agg(F.sum(F.col("n") * 8).alias("bytes"))
-    total = per_band.groupBy("cluster").agg(F.sum("bytes").alias("all"))
-    per_band = common.saved(per_band.join(total, "cluster").where(F.col("all") > tile_bytes).select("cluster", "band", F.ceil(F.col("bytes") / tile_bytes).cast("int").alias("parts")), "bands")
-    near = per_band.select("cluster", "band", "parts")
-    for name, step in (("up", -1), ("down", 1)):
-        near = near.join(per_band.select("cluster", (F.col("band") + step).alias("band"), F.col("parts").alias(name)), ["cluster", "band"], "left")
-    big = reps.join(near, ["cluster", "band"], "left").withColumn("salt", F.pmod(F.xxhash64("digest"), F.coalesce("parts", F.lit(1))).cast("int"))
-
-    def name(b1, s1, b2, s2):
-        return F.concat_ws("-", b1, s1, b2, s2)
-
-    band, salt = F.col("band"), F.col("salt")
-    zero = F.array().cast("array<string>")
-    same = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: name(band, F.least(i, salt), band, F.greatest(i, salt)))
-    above = F.when(F.col("up").isNotNull(), F.transform(F.sequence(F.lit(0), F.col("up") - 1), lambda i: name(band, salt, band + 1, i))).otherwise(zero)
-    below = F.when(F.col("down").isNotNull(), F.transform(F.sequence(F.lit(0), F.col("down") - 1), lambda i: name(band - 1, i, band, salt))).otherwise(zero)
-    tiles = F.when(F.col("parts").isNull(), F.array(F.lit("all"))).otherwise(F.concat(same, above, below))
-    placed = big.select("rep", "digest", "cluster", tiles.alias("tiles"))
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def _tile_links(base: DataFrame, placed: DataFrame, k: int, percent: int) -> DataFrame:
+    """a, b: the links of linked_in_tile() in each tile of placed (rep, digest, cluster, tile, joined)."""
+    kind = base.schema["doc_id"].dataType.simpleString()
+    placed = common.saved(placed, "tiles")
 
     def arrays(batches):
         for b in batches:
@@ -299,16 +289,84 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, tile_bytes:
                     items.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(digests, pa.binary()), pa.array(items, pa.binary())], ["rep", "digest", "items"])
 
-    texts = common.split_by_ids(base, reps.select(F.col("rep").alias("doc_id")))[1]
-    items = texts.mapInArrow(arrays, f"rep {kind}, digest binary, items binary")
-    full = placed.join(items, ["rep", "digest"]).select("rep", "cluster", "items", F.explode("tiles").alias("tile"))
-
     def tile_links(f: pd.DataFrame) -> pd.DataFrame:
         sets = [np.frombuffer(x, dtype="<u8") for x in f["items"]]
-        got = linked_in_tile(f["rep"].to_numpy(), sets, percent)
+        got = linked_in_tile(f["rep"].to_numpy(), sets, percent, f["joined"].to_numpy(dtype=bool))
         return pd.DataFrame(got, columns=["a", "b"], dtype=np.int64)
 
-    links = common.saved(full.groupBy("cluster", "tile").applyInPandas(tile_links, "a long, b long"), "links")
+    texts = common.only_ids(base, placed.select(F.col("rep").alias("doc_id")))
+    items = texts.mapInArrow(arrays, f"rep {kind}, digest binary, items binary")
+    full = placed.join(items, ["rep", "digest"]).select("rep", "cluster", "tile", "joined", "items")
+    return common.saved(full.groupBy("cluster", "tile").applyInPandas(tile_links, "a long, b long"), "links")
+
+
+def _paired_tiles(rows: DataFrame, work, percent: int) -> DataFrame:
+    """Tiles of rows (rep, digest, n, cluster, joined) in which each pair of which one row is not joined, and whose sizes may fit,
+    meets: one tile for each pair of salted parts of the same or neighbouring size bands."""
+    # band: sizes between neighbouring powers of 1 / share, so similar sets are in the same or the next band
+    rows = rows.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) - 1e-9).cast("int"))
+    parts = lambda on: F.ceil(F.coalesce(F.sum(F.when(on, work)), F.lit(0.0))).cast("int")
+    bands = common.saved(rows.groupBy("cluster", "band").agg(parts(F.col("joined")).alias("j0"), parts(~F.col("joined")).alias("r0")), "bands")
+    for name, step in (("+", -1), ("-", 1)):
+        near = bands.select("cluster", (F.col("band") + step).alias("band"), F.col("j0").alias(f"j{name}"), F.col("r0").alias(f"r{name}"))
+        rows = rows.join(near, ["cluster", "band"], "left")
+    rows = rows.join(bands, ["cluster", "band"])
+    band, own = F.col("band"), F.when(F.col("joined"), F.col("j0")).otherwise(F.col("r0"))
+    salt = F.pmod(F.xxhash64("digest"), own).cast("int")
+    each = lambda c, f: F.when(F.coalesce(F.col(f"`{c}`"), F.lit(0)) > 0, F.transform(F.sequence(F.lit(0), F.col(f"`{c}`") - 1), f)).otherwise(F.array().cast("array<string>"))
+    name = lambda kind, b1, s1, b2, s2: F.concat_ws(" ", F.lit(kind), b1, s1, b2, s2)
+    steps = (("0", band), ("+", band + 1), ("-", band - 1))
+    of_joined = F.concat(*[each(f"r{c}", lambda i: name("j", band, salt, other, i)) for c, other in steps])
+    with_joined = [each(f"j{c}", lambda i: name("j", other, i, band, salt)) for c, other in steps]
+    same = each("r0", lambda i: name("r", band, F.least(i, salt), band, F.greatest(i, salt)))
+    above, below = each("r+", lambda i: name("r", band, salt, band + 1, i)), each("r-", lambda i: name("r", band - 1, i, band, salt))
+    tiles = F.when(F.col("joined"), of_joined).otherwise(F.concat(same, above, below, *with_joined))
+    return rows.select("rep", "digest", "cluster", F.explode(tiles).alias("tile"), "joined")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, tile_bytes: int = 16 << 20, tile_rows: int = 256, guests: int = 16, cap: int = 32) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of docs (doc_id, text), exactly.
+
+    Words are runs without white space, A-Z lower-cased; a set holds the distinct k-word shingles, or the whole sequence
+    where there are fewer words; a shingle is a 64-bit hash that is finalised after every eight bytes and every word. Two
+    documents link when 100 * intersection >= percent * union; component_id is the smallest doc_id that links reach. A null or empty text, or one without words, has no shingles and no link.
+
+    1. Equal sets are one class (by a 128-bit digest). 2. Sets that share as many prefix shingles as similar ones
+    must form clusters (shingles that more than `cap` sets have in their prefix connect all of these). 3. A cluster is one tile of
+    about tile_bytes and tile_rows where it fits, else it is dealt over several, each with the same `guests` of its sets.
+    In a tile, sizes, bitmap bounds and exact intersections give links enough to connect what is linked. 4. In clusters of several
+    tiles only sets outside the largest component so far can still change anything: they are paired with all others, in
+    tiles of salted parts of the same or neighbouring size bands. So a family of near copies, even one with a third of all rows,
+    costs about one comparison a set. 5. The components of all links are the result.
+
+    Rows that share a doc_id count as one document; a null id gets a null component and no link. An empty table gives an
+    empty result; other columns are not read."""
+    spark = docs.sparkSession
+    base = docs.select("doc_id", "text")
+    sig = common.saved(_signatures(base, k, percent), "sets")
+    edges = _shared_prefixes(sig, cap)
+    clusters = common.components(edges)
+    members = common.saved(clusters.select("node", "root").unionByName(clusters.select(F.col("root").alias("node"), "root")).distinct(), "clusters")
+    classes = sig.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("node").alias("node"))
+    classes = common.saved(classes, "classes")
+    reps = common.saved(classes.join(members, "node").select("rep", "digest", "n", F.col("root").alias("cluster")), "reps")
+
+    # work: the share of a tile that a row takes, by its bytes or as one of tile_rows
+    work = F.greatest(F.col("n") * 8 / tile_bytes, F.lit(1 / tile_rows))
+    large = reps.groupBy("cluster").agg(F.sum(work).alias("work")).where("work > 1").select("cluster", F.ceil("work").cast("int").alias("parts"))
+    large = common.saved(large, "large")
+    dealt = reps.join(large, "cluster", "left").withColumn("own", F.pmod(F.xxhash64("digest"), F.coalesce("parts", F.lit(1))).cast("int"))
+    first = Window.partitionBy("cluster").orderBy("digest")
+    guides = dealt.where("parts is not null").withColumn("r", F.row_number().over(first)).where(F.col("r") <= guests).withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("tile <> own")
+    cols = ["rep", "digest", "cluster", F.col("tile").cast("string").alias("tile"), F.lit(False).alias("joined")]
+    links = _tile_links(base, dealt.withColumn("tile", F.col("own")).select(*cols).unionByName(guides.select(*cols)), k, percent)
+    if not large.isEmpty():
+        roots = common.components(links).select(F.col("node").alias("rep"), "root")
+        rows = reps.join(large.select("cluster"), "cluster").join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+        rows = common.saved(rows, "joined")
+        most = rows.groupBy("cluster", "root").agg(F.count("*").alias("m")).groupBy("cluster").agg(F.max_by("root", "m").alias("main"))
+        rows = rows.join(most, "cluster").withColumn("joined", F.col("root") == F.col("main"))
+        links = links.unionByName(_tile_links(base, _paired_tiles(rows, work, percent), k, percent))
     joined = common.components(links)
     reach = classes.select("digest", "rep").join(joined.select(F.col("node").alias("rep"), "root"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("__c"))
     out = sig.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(reach, "digest", "left")
