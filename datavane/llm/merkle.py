@@ -8,25 +8,31 @@ from pyspark.sql.window import Window
 
 from . import common
 
+#: A leaf: from 60 characters on, up to the first word that ends in a, e or o; 300 characters where there is none in 240.
+LEAF = "(?s).{60,240}?[aeo] |.{1,300}"
+
 
 def tree(text: Column) -> Column:
-    """array<section: array<paragraph: array<leaf hash>>>. Sections are parted by an empty line, paragraphs by a line break,
-    leaves (sentences) by a full stop and blank. Joining with these separators restores the text, so equal trees are
-    equal texts."""
-    leaves = lambda p: F.transform(F.split(p, "[.] ", -1), lambda s: F.sha2(s, 256))
+    """array<section: array<paragraph: array<leaf hash>>>. Sections are parted by an empty line, paragraphs by a line break;
+    leaves are runs of words that end where their own letters say, so texts that agree from some place on soon share
+    leaves again. Putting leaves and line breaks together restores the text, so equal trees are equal texts."""
+    leaves = lambda p: F.transform(F.regexp_extract_all(p, F.lit(LEAF), F.lit(0)), lambda s: F.sha2(s, 256))
     return F.transform(F.split(text, "\n\n", -1), lambda s: F.transform(F.split(s, "\n", -1), leaves))
 
 
+def _node(parts: Column) -> Column:
+    return F.sha2(F.array_join(parts, ""), 256)
+
+
 def fingerprint(nodes: Column) -> Column:
     """root|section:paragraph.leaf.leaf,paragraph.leaf|section:...
 
     A node is the SHA-256 of its children's; the root has all 64 digits, a branch or leaf its first 12. Roots test equality;
-    where they differ, comparing branches of equal position leads down to the edited sentences."""
-    node = lambda parts: F.sha2(F.array_join(parts, ""), 256)
-    para = lambda p: F.concat(F.substring(node(p), 1, 12), F.lit("."), F.array_join(F.transform(p, lambda x: F.substring(x, 1, 12)), "."))
-    section_node = lambda s: node(F.transform(s, node))
+    where they differ, comparing branches of equal position leads down to the edited leaves, as first_edit() does."""
+    para = lambda p: F.concat(F.substring(_node(p), 1, 12), F.lit("."), F.array_join(F.transform(p, lambda x: F.substring(x, 1, 12)), "."))
+    section_node = lambda s: _node(F.transform(s, _node))
     section = lambda s: F.concat(F.substring(section_node(s), 1, 12), F.lit(":"), F.array_join(F.transform(s, para), ","))
-    return F.concat(node(F.transform(nodes, section_node)), F.lit("|"), F.array_join(F.transform(nodes, section), "|"))
+    return F.concat(_node(F.transform(nodes, section_node)), F.lit("|"), F.array_join(F.transform(nodes, section), "|"))
 
 
 def leaf_set(nodes: Column) -> Column:
@@ -35,45 +41,50 @@ def leaf_set(nodes: Column) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     """Twice the shared distinct leaves over all distinct leaves of both, from 0 to 1; 1 for equal fingerprints."""
-    return F.lit(2.0) * F.size(F.array_intersect(a, b)) / (F.size(a) + F.size(b))
+    both = F.size(a) + F.size(b)
+    return F.when(both == 0, F.lit(1.0)).otherwise(F.lit(2.0) * F.size(F.array_intersect(a, b)) / both)
+
+
+def first_edit(a: Column, b: Column) -> Column:
+    """section.paragraph.leaf (each from 0) of the first place where two fingerprints part, null for equal ones: the first section
+    whose nodes differ, in it the first paragraph, in that the first leaf. Branches with equal nodes are not looked into."""
+
+    def step(x, y, sep, node):
+        """The first position at which the branches' nodes differ, and both branches there ('' where one has none)."""
+        u, v = F.split(x, sep, -1), F.split(y, sep, -1)
+        at = lambda i: F.struct(i.alias("at"), F.coalesce(F.get(u, i), F.lit("")).alias("x"), F.coalesce(F.get(v, i), F.lit("")).alias("y"))
+        every = F.transform(F.sequence(F.lit(0), F.greatest(F.size(u), F.size(v)) - 1), at)
+        return F.get(F.filter(every, lambda e: node(e["x"]) != node(e["y"])), F.lit(0))
 
+    def below(x, sep):
+        return F.substring_index(x, sep, -1) if sep == ":" else F.regexp_replace(x, r"^[^.]*\.?", "")
 
-def edits(a: Column, b: Column) -> Column:
-    """array<position, leaf> of leaves of b (in order) that a lacks: where a changed text differs from its original."""
-    return F.filter(F.transform(F.flatten(F.flatten(b)), lambda x, i: F.struct(i.alias("at"), x.alias("leaf"))), lambda e: ~F.array_contains(F.flatten(F.flatten(a)), e["leaf"]))
+    section = step(F.substring(a, 66, 1 << 30), F.substring(b, 66, 1 << 30), "[|]", lambda s: F.substring(s, 1, 12))
+    para = step(below(section["x"], ":"), below(section["y"], ":"), ",", lambda p: F.substring(p, 1, 12))
+    leaf = step(below(para["x"], "."), below(para["y"], "."), "[.]", lambda x: x)
+    return F.when(F.substring(a, 1, 64) != F.substring(b, 1, 64), F.concat_ws(".", section["at"], para["at"], leaf["at"]))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row of docs
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, first_edit of every row of docs
     (doc_id, text); null texts are empty.
 
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many (or all) of the next row in
-    ascending (doc_id, text hash) order; after the last comes the first, so a single row is its own next.
-    Rows are dealt into ranges of doc_id; each range also gets the first row of the next one, so one shuffle of the texts
-    is enough and no range needs another. Only the ranges' first keys (a few for each partition) reach the driver.
-    A null id sorts first; an empty table gives an empty result; other columns are not read."""
+    ascending (doc_id, text checksum) order; after the last comes the first, so a single row is its own next.
+    Rows are dealt into ranges of that order, so one id with many different texts is spread; each range also gets the
+    first row of the next one, so one shuffle of the texts is enough and no range needs another. The ranges' first keys are a
+    small table (a row a range, 4096 at most); none reaches the driver or the plan.
+    A null id sorts first; repeated rows follow one another; an empty table gives an empty result; other columns are not read."""
     spark = docs.sparkSession
     parts = common.partitions(spark)
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("crc", F.crc32("text"))
-    n_rows = docs.count()
-    n = int(min(200_000, max(4 * parts, n_rows // 2000)))
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n)).first()[0] or []
-    cuts = sorted(set(cuts))
-    wide = max(1, round(len(cuts) ** 0.5))
-    if cuts:
-        fine, coarse = F.array(*map(F.lit, cuts)), F.array(*map(F.lit, cuts[::wide]))
-        low = F.greatest(F.lit(0), F.size(F.filter(coarse, lambda c: c <= F.col("doc_id"))) - 1) * wide
-        bin_of = F.when(F.col("doc_id").isNull(), 0).otherwise(low + F.size(F.filter(F.slice(fine, low + 1, F.lit(wide)), lambda c: c <= F.col("doc_id"))))
-    else:
-        bin_of = F.lit(0)
-    base = base.withColumn("bin", bin_of.cast("int"))
-    heads = base.groupBy("bin").agg(F.min(F.struct("doc_id", "crc")).alias("h")).orderBy("bin").collect()
-    if not heads:
-        heads = []
-    into = [(heads[i - 1].bin, r.h.doc_id, r.h.crc) for i, r in enumerate(heads)]
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    table = spark.createDataFrame(into, f"to int, h_id {kind}, h_crc long")  # a row for each range
-    guard = base.join(F.broadcast(table), F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("crc") == F.col("h_crc")))
+    n = int(min(4096, max(4 * parts, docs.count() // 2000)))
+    base = common.with_ranges(base, ["doc_id", "crc"], n)
+    heads = base.groupBy("bin").agg(F.min(F.struct("doc_id", "crc")).alias("h"))
+    order = Window.orderBy("bin")  # a row for each range
+    into = heads.select(F.coalesce(F.lag("bin").over(order), F.max("bin").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("to"), F.col("h.doc_id").alias("h_id"), F.col("h.crc").alias("h_crc"))
+    into = common.saved(into, "heads")
+    guard = base.join(F.broadcast(into), F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("crc") == F.col("h_crc")))
     guard = guard.groupBy("to").agg(F.min(F.struct("doc_id", "crc", "text")).alias("r")).select("r.doc_id", "r.text", "r.crc", F.col("to").alias("bin"), F.lit(1).alias("last"))
     rows = base.withColumn("last", F.lit(0)).unionByName(guard).repartition(max(parts, 1), "bin")
     own = rows.withColumn("nodes", tree(F.col("text"))).withColumn("leaves", leaf_set(F.col("nodes"))).withColumn("fingerprint", fingerprint(F.col("nodes"))).drop("nodes")
@@ -84,4 +95,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     both = both.withColumn("n_chars", chars.cast("long")).withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), chars - half), F.substring(F.col("next_text"), F.lit(1), half)))
     both = both.select("doc_id", "n_chars", "edited", "leaves", "fingerprint", "next_leaves", tree(F.col("edited")).alias("nodes"))
     both = both.withColumn("edited_leaves", leaf_set(F.col("nodes"))).withColumn("edited_fingerprint", fingerprint(F.col("nodes")))
-    return both.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", likeness(F.col("leaves"), F.col("edited_leaves")).alias("near_edited"), likeness(F.col("leaves"), F.col("next_leaves")).alias("near_next"))
+    return both.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+        likeness(F.col("leaves"), F.col("edited_leaves")).alias("near_edited"), likeness(F.col("leaves"), F.col("next_leaves")).alias("near_next"),
+        first_edit(F.col("fingerprint"), F.col("edited_fingerprint")).alias("first_edit"),
+    )
