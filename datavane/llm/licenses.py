@@ -290,20 +290,22 @@ def inherit(scanned: DataFrame, file_names: str = "LICENSE") -> DataFrame:
     """Give each file its licence: its own, else that of the nearest ancestor directory which holds a licence file.
 
     scanned: the result of scan(). A licence file is one whose name is in file_names (a regular expression of whole names);
-    of several in a directory the best score, then the smaller name counts. Distinct directories, not files, are
+    of several in a directory that name a licence the best score, then the smaller name counts, then the smaller licence id. Distinct directories, not files, are
     joined with their ancestors, so a directory with a third of all files is one row there; the last join on the
     directory can be split by skew handling. A null path inherits nothing.
     Adds license, basis (own, inherited, none) and license_dir."""
     folder = F.regexp_replace("path", "/?[^/]*$", "")
-    rows = common.saved(scanned, "licenses").withColumn("dir", folder)  # read three times below, scanned once
+    rows = common.saved(scanned, "licenses").withColumn("dir", folder)  # read several times below, scanned once
     name = F.regexp_extract("path", "[^/]*$", 0)
     held = rows.where(F.col("own_license").isNotNull() & name.rlike(f"^(?:{file_names})$"))
-    held = held.groupBy("dir").agg(F.max(F.struct("own_score", F.col("own_license").alias("l"))).alias("m")).select(F.col("dir").alias("anc"), F.col("m.l").alias("inherited"))
+    held = held.groupBy("dir").agg(F.min(F.struct((-F.col("own_score")).alias("s"), name.alias("n"), F.col("own_license").alias("l"))).alias("m")).select(F.col("dir").alias("anc"), F.col("m.l").alias("inherited"))
     dirs = rows.where("dir is not null").select("dir").distinct()
     parts = F.split("dir", "/")
     up = dirs.select("dir", F.posexplode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.array_join(F.slice(F.split(F.col("dir"), "/"), F.lit(1), i), "/"))).alias("depth", "anc"))
     near = up.join(held, "anc").groupBy("dir").agg(F.max(F.struct("depth", "anc", "inherited")).alias("m")).select("dir", F.col("m.anc").alias("anc"), F.col("m.inherited").alias("inherited"))
-    out = rows.join(near, "dir", "left")
+    near = common.saved(near, "inherited")  # so that both sides of the join are shuffled for it, which lets a hot directory be split
+    nowhere = rows.where("dir is null").select("*", F.lit(None).cast("string").alias("anc"), F.lit(None).cast("string").alias("inherited"))
+    out = rows.where("dir is not null").join(near, "dir", "left").select(*rows.columns, "anc", "inherited").unionByName(nowhere)
     own = F.col("own_license").isNotNull()
     return out.select(
         "doc_id", "path", "own_license", "own_score", "own_line",

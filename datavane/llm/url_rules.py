@@ -47,7 +47,7 @@ def url_verdicts(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     base = urls.select(F.col(id_col).alias("__id"), F.col(url_col).alias("__u")).select("__id", host.alias("host"), path.alias("path"))
     salt = F.lpad(F.hex(F.xxhash64(F.col("__id"))), 16, "0")
     base = base.withColumn("__key", F.concat(_host_key(F.col("host")), F.lit("\x01"), "path", F.lit("\x01"), salt))
-    n = common.partitions(spark)
+    n = 8 * common.partitions(spark)  # several buckets a task, so that tasks come out even
     # 32 keys a bucket, cut to 200 characters: they only steer the balance, never the result
     sample = base.select(F.substring("__key", 1, 200).alias("k"), salt.alias("o")).select("k", F.xxhash64("k", "o").alias("o")).orderBy("o").limit(32 * n)
     keys = sorted(r.k for r in sample.collect())
@@ -98,6 +98,6 @@ def url_verdicts(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url
                 out.append((i, host, path, best[1] if best else None, best[2] if best else default))
             yield pd.DataFrame(out, columns=["id", "host", "path", "rule", "verdict"]).astype({"id": f["__id"].dtype if len(out) == 0 else object})
 
-    dealt_out = left.unionByName(right).repartition(n, "__b").sortWithinPartitions("__b", "__key", "__kind")
+    dealt_out = left.unionByName(right).repartition(common.partitions(spark), "__b").sortWithinPartitions("__b", "__key", "__kind")
     out = dealt_out.mapInPandas(sweep, f"id {id_type}, host string, path string, rule string, verdict string")
     return out.withColumnRenamed("id", id_col)

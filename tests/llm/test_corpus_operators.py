@@ -8,7 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
-from datavane.llm import bpe, exact, jaccard, language, licenses, merkle, packing, queries, shards, substrings, url_rules
+from datavane.llm import bpe, common, exact, jaccard, language, licenses, merkle, packing, queries, shards, substrings, url_rules
 from pyspark.sql import functions as F
 
 WS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -74,6 +74,14 @@ def test_url_rules(spark):
     assert url_rules.url_verdicts(df.limit(0), rules).count() == 0
 
 
+def test_url_rules_ties_nulls_and_repeated_rows(spark):
+    rules = spark.createDataFrame([("a.com", "/x", "block"), ("a.com", "/x", "allow"), ("com", "/x/abc", "block"), ("b.a.com", "/", "block"), (None, "/", "block"), ("COM", None, "block")], "host string, path string, verdict string")
+    df = spark.createDataFrame([(None, "h://a.com/x"), (None, "h://a.com/x"), (1, "h://z.a.com/x/abc"), (1, "h://z.a.com/x/abc"), (2, "h://b.a.com/x"), (3, None), (4, "h://q.com/x/abc?")], "page_id long, url string")
+    got = Counter((r.page_id, r.rule, r.verdict) for r in url_rules.url_verdicts(df, rules).collect())
+    # equal rules: the smaller verdict; a.com/x and com/x/abc: the longer; b.a.com/ and a.com/x: the longer
+    assert got == Counter({(None, "a.com/x", "allow"): 2, (1, "com/x/abc", "block"): 2, (2, "b.a.com/", "block"): 1, (3, None, "allow"): 1, (4, "com/x/abc", "block"): 1})
+
+
 def test_language(spark, empty):
     rng = random.Random(3)
     alphabet = {"aa": "aeiourst", "bb": "mnzwkyp", "cc": "äöüßxq"}
@@ -95,6 +103,42 @@ def test_language(spark, empty):
     assert {r.lang_pred for r in language.identify(df, {}).collect()} == {"und"}
 
 
+def brute_grams(text):
+    words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+    count = Counter()
+    for w in words:
+        count.update(w)
+    line = " " + " ".join(words) + " " if words else ""
+    count.update(line[i : i + 2] for i in range(len(line) - 1))
+    count.update(line[i : i + 3] for i in range(len(line) - 2) if line[i + 1] != " ")
+    code = lambda g: sum((0 if c == " " else ord(c)) + 1 << 21 * i for i, c in enumerate(g))
+    return {code(g): n for g, n in count.items()}
+
+
+def test_language_against_brute_force(spark):
+    rng = random.Random(9)
+    words = {"xx": ["the", "and", "über", "night"], "yy": ["der", "und", "the", "nacht"], "zz": ["el", "y", "noche", "und"]}
+    rows = [(i, " ".join(rng.choices(words[lang] + ["same"], k=rng.choice([1, 2, 5, 30]))) + rng.choice(["", "!", " 12 É"]), lang, None, 0) for i, lang in enumerate(["xx", "yy", "zz"] * 40)]
+    rows += [(200, "the the", "xx", None, 0), (200, "the the", "xx", None, 0), (None, "und", None, None, 0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    k = 20
+    total = {lang: Counter() for lang in words}
+    for _, t, lang, *_ in rows:
+        if lang:
+            total[lang].update(brute_grams(t))
+    best = {lang: sorted(c, key=lambda g: (-c[g], g))[:k] for lang, c in total.items()}
+    learned = language.learn(df, k=k)
+    assert {lang: list(map(int, p)) for lang, p in learned.items()} == best
+    want = Counter()
+    for i, t, *_ in rows:
+        c = brute_grams(t)
+        mine = sorted(c, key=lambda g: (-c[g], g))[:k]
+        far = {lang: sum(min(k, abs(n - p.index(g))) if g in p else k for n, g in enumerate(mine)) for lang, p in best.items()}
+        lang = min(far, key=lambda x: (far[x], x))
+        want[i, lang, round(1 - far[lang] / (k * len(mine)), 9)] += 1
+    assert Counter((r.doc_id, r.lang_pred, round(r.score, 9)) for r in language.identify(df, learned, k=k).collect()) == want
+
+
 def test_language_without_labels_keeps_texts(spark):
     rows = [(0, "some words", None, "s", 0), (1, "Öl 1", None, "s", 0), (2, "12 !", None, "s", 0), (3, None, None, "s", 0), (4, "", None, "s", 0)]
     df = spark.createDataFrame(rows, SCHEMA)
@@ -124,6 +168,11 @@ def test_shards(docs, rows, empty):
     for r in got:
         sums[r.shard] += r["size"]
     assert all(s <= total / 8 + longest for s in sums.values())
+    start, want = 0, {}
+    for i in range(len(rows)):
+        want[i] = min(7, int((2 * start + size[i]) * 8 // (2 * total)))
+        start += size[i]
+    assert {r.doc_id: r.shard for r in got} == want
     assert shards.byte_shards(empty).count() == 0
 
 
@@ -136,6 +185,56 @@ def test_licenses(spark):
     assert got[2].license_dir == "a/b" and licenses.inherit(licenses.scan(df.limit(0))).count() == 0
 
 
+def test_license_inheritance_against_brute_force(spark):
+    rng = random.Random(4)
+    texts = ["Released under the MIT License.", "Licensed under the Apache License, Version 2.0.", "Licensed under CC BY 4.0.", "no word of it", None, "some words. Released under the ISC License. more words"]
+    files = []
+    for i in range(120):
+        folder = "/".join(rng.choice("ab") for _ in range(rng.randrange(4)))
+        name = rng.choice(["LICENSE", "LICENSE-1", "LICENSE-2", "x.txt"])
+        files.append((i, f"{folder}/{name}" if folder else name, rng.choice(texts)))
+    files += [(200, None, texts[0]), (201, None, None), (202, "a/x.txt", texts[0]), (202, "a/x.txt", texts[0])]
+    df = spark.createDataFrame(files, "doc_id long, path string, text string")
+    scanned = licenses.scan(df)
+    label = {r.doc_id: (r.own_license, r.own_score) for r in scanned.collect()}
+    split = lambda p: p.rpartition("/")[::2]
+    held = defaultdict(list)
+    for i, p, _ in files:
+        if p and split(p)[1].startswith("LICENSE") and label[i][0]:
+            held[split(p)[0]].append((-label[i][1], split(p)[1], label[i][0]))
+    want = Counter()
+    for i, p, _ in files:
+        own, got = label[i][0], (None, None)
+        if p is not None:
+            at = split(p)[0].split("/") if split(p)[0] else []
+            near = next((d for d in ("/".join(at[:n]) for n in range(len(at), -1, -1)) if held.get(d)), None)
+            got = (min(held[near])[2], near) if near is not None else got
+        want[(i, own, "own", split(p)[0] if p else None) if own else (i, got[0], "inherited" if got[0] else "none", got[1])] += 1
+    assert Counter((r.doc_id, r.license, r.basis, r.license_dir) for r in licenses.inherit(scanned, "LICENSE(?:-.*)?").collect()) == want
+    assert len({w[2] for w in want}) == 3
+
+
+def test_license_scan_against_brute_force(spark):
+    """The scan's label and score are those of the best of all units around the places that name a licence."""
+    rng = random.Random(8)
+    notices = [t for _, t in licenses.TEMPLATES[::23]]
+    files = [(i, "x", "\n".join(" ".join(passage(rng, 6)) if rng.random() < 0.7 else rng.choice(notices) for _ in range(4))) for i in range(40)]
+    df = spark.createDataFrame(files, "doc_id long, path string, text string")
+    model = licenses.Templates(licenses.TEMPLATES, 0.6, licenses.frequencies(df, {w for t in licenses.TEMPLATES for w in licenses.tokens(t[1])}))
+    got = by_id(licenses.scan(df))
+    for i, _, text in files:
+        words, best = licenses.tokens(text), (0.0, 1)
+        lines = [n for n, line in enumerate(text.split("\n")) for _ in licenses.tokens(line)]
+        for label, a, b in licenses.named(words):
+            spans = {(lo, hi) for lo in range(a + 1) for hi in range(b, len(words) + 1) if hi - lo in model.sizes[label] or (lo == a and hi == b) or (lo == 0 and hi == len(words))}
+            spans.add((min(n for n, x in enumerate(lines) if x == lines[a]), max(n for n, x in enumerate(lines) if x == lines[b - 1]) + 1))
+            best = max([best, *((c, -j) for c, j in (model.cosine(words[lo:hi], label) for lo, hi in spans))])
+        if best[0] < 0.6:
+            assert got[i].own_license is None or got[i].own_score >= 0.6
+        else:
+            assert got[i].own_score >= round(best[0], 6) and got[i].own_license is not None
+
+
 def test_license_variants_are_told_apart(spark):
     notices = [
         ("Licensed under CC BY 4.0.", "CC-BY-4.0"), ("Licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0"), ("Licensed under CC BY-NC 3.0.", "CC-BY-NC-3.0"),
@@ -184,7 +283,7 @@ def test_license_anchors_lose_nothing():
 def test_bpe(docs, rows, empty):
     from tokenizers import Tokenizer
 
-    path = f"{queries.TOKENIZERS}/byte_bpe_50k.json"
+    path = queries.VOCABULARY
     t = Tokenizer.from_file(path)
     got, ids = by_id(bpe.round_trip(docs, path)), by_id(bpe.encode(docs, path))
     texts = by_id(bpe.decode(bpe.encode(docs, path), path))
@@ -224,16 +323,73 @@ def test_substrings(docs, rows, empty):
     assert substrings.removed_words(empty).count() == 0
 
 
-def test_a_small_sketch_only_passes_more(docs, rows):
+def test_a_sketch_of_any_size_or_kind_gives_the_same(docs, rows):
     want = {i for i, w in brute_removed(rows).items() if w[1]}
-    assert {r.doc_id for r in substrings.repeated_windows(docs.select("doc_id", "text"), max_bits=18).collect()} == want
+    base = docs.select("doc_id", "text")
+    for more in ({"cells_per_item": 0}, {"broadcast_bytes": 0}, {"broadcast_bytes": 0, "cells_per_item": 0}):
+        assert {r.doc_id for r in substrings.repeated_windows(base, **more).collect()} == want
+
+
+def test_without_broadcast_keys(docs, rows, monkeypatch):
+    """Where ids are too many for a broadcast the texts are shuffled; nothing else changes."""
+    monkeypatch.setattr(common, "MAX_KEYS", 0)
+    want = brute_removed(rows)
+    assert {i: r.n_removed for i, r in by_id(substrings.removed_words(docs)).items()} == {i: w[1] for i, w in want.items()}
+    assert {i: r.component_id for i, r in by_id(jaccard.near_duplicates(docs)).items()} == {i: c for i, (_, c) in brute_components(rows).items()}
+    assert exact.drop_duplicates(docs).count() == len({re.sub(r"[\x20\x09-\x0D]", "", t or "") for _, t, *_ in rows})
+
+
+def thue_morse(size):
+    s = "a"
+    while len(s) < size:
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s
+
+
+@pytest.fixture(scope="module")
+def twins(spark):
+    """Documents that differ in one word only: a Thue-Morse word and its complement, which cancel out in polynomials."""
+    rng, rows = random.Random(1), []
+    for size in (64, 1024, 2048, 4096):
+        word = thue_morse(size)
+        for w in (word, word.translate(str.maketrans("ab", "ba"))):
+            rows += [(len(rows), f"{w} {w}", None, None, 0), (len(rows) + 1, " ".join(passage(random.Random(size), 30) + [w] + passage(random.Random(size + 1), 25)), None, None, 0)]
+        rng.random()
+    return rows, spark.createDataFrame(rows, SCHEMA).coalesce(1)
+
+
+def test_words_that_cancel_out_in_polynomials_stay_apart(spark, twins):
+    from tokenizers import Tokenizer
+
+    rows, df = twins
+    t = Tokenizer.from_file(queries.VOCABULARY)
+    ids = {i: t.encode(text, add_special_tokens=False).ids for i, text, *_ in rows}
+    assert {r.doc_id: r.ids for r in bpe.encode(df, queries.VOCABULARY).collect()} == ids
+    crc = {i: zlib.crc32(b"".join(x.to_bytes(4, "little") for x in [*v, 2])) for i, v in ids.items() if len(v) < 1024}
+    got = {r.doc_id: r.ids_crc32 for r in packing.token_pieces(df, queries.RANKS, queries.VOCABULARY).collect() if r.doc_id in crc}
+    assert got == crc
+    assert {i: r.n_removed for i, r in by_id(substrings.removed_words(df)).items()} == {i: w[1] for i, w in brute_removed(rows).items()}
+    assert {i: (r.n_shingles, r.component_id) for i, r in by_id(jaccard.near_duplicates(df)).items()} == brute_components(rows)
+
+
+def test_chunks_with_one_hash_are_told_apart_by_their_bytes(monkeypatch, rows):
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(bpe, "word_hashes", lambda raw, s, e: np.full(len(s), 7, dtype=np.uint64))
+    model, t = bpe.PairIndexBPE(queries.VOCABULARY), Tokenizer.from_file(queries.VOCABULARY)
+    coder = bpe.ChunkEncoder(model.encode_many, model.special)
+    for text in [r[1] or "" for r in rows[:5]] * 2 + ["a b a b c", "b c", ""]:
+        raw = np.frombuffer(text.encode(), dtype=np.uint8)
+        got, at = coder.encode(raw, np.array([0, len(raw)]))
+        assert got.tolist() == t.encode(text, add_special_tokens=False).ids and at.tolist() == [0, len(got)]
 
 
 def test_packing(docs, rows, empty):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(f"{queries.TOKENIZERS}/byte_bpe_50k.json")
-    got = packing.pack(packing.token_pieces(docs, f"{queries.TOKENIZERS}/byte_bpe_50k.tiktoken", queries.SPECIAL)).collect()
+    t = Tokenizer.from_file(queries.VOCABULARY)
+    got = packing.pack(packing.token_pieces(docs, queries.RANKS, queries.VOCABULARY)).collect()
     per = defaultdict(list)
     for r in got:
         per[r.doc_id].append(r)
@@ -254,8 +410,18 @@ def test_packing(docs, rows, empty):
             assert offset == end
             end += length
         assert end <= 1024
-    assert len(seqs) <= -(-sum(r.length for r in got) // 1024) * 1.1 + 1
-    assert packing.pack(packing.token_pieces(empty, f"{queries.TOKENIZERS}/byte_bpe_50k.tiktoken", queries.SPECIAL)).count() == 0
+    histogram = [0] * 1025
+    for r in got:
+        histogram[r.length] += 1
+    assert len(seqs) <= best_fit_alone(histogram) + 1
+    assert packing.pack(packing.token_pieces(empty, queries.RANKS, queries.VOCABULARY)).count() == 0
+
+
+def test_packing_with_repeated_rows_and_null_ids(spark):
+    df = spark.createDataFrame([(1, "a b c " * 500, None, None, 0)] * 3 + [(None, None, None, None, 0)] * 2 + [(None, "x", None, None, 0)], SCHEMA)
+    got = packing.pack(packing.token_pieces(df, queries.RANKS, queries.VOCABULARY)).collect()
+    assert sum(r.doc_id is None for r in got) == 3 and len({(r.sequence_id, r.offset) for r in got}) == len(got)
+    assert len({r.ids_crc32 for r in got if r.doc_id == 1}) * 3 == sum(r.doc_id == 1 for r in got)
 
 
 def test_patterns_hold_the_demand():
@@ -264,11 +430,51 @@ def test_patterns_hold_the_demand():
     rng = np.random.default_rng(5)
     lengths = np.minimum(1024, rng.lognormal(5.5, 0.9, 20_000).astype(int) + 1)
     demand = np.bincount(lengths, minlength=1025)
-    found = packing.patterns(demand)
+    found, _ = packing.patterns(demand)
     assert (sum(k * p for p, k in found) == demand).all() and all((p * np.arange(1025)).sum() <= 1024 for p, _ in found)
     assert sum(k for _, k in found) <= 1.02 * -(-(demand * np.arange(1025)).sum() // 1024)
 
 
+def best_fit_alone(demand, capacity=1024):
+    """Sequences that best fit needs: the longest piece first, filled by a subset sum of the others, longest first."""
+    left, n = {i: int(x) for i, x in enumerate(demand) if x}, 0
+    while left:
+        top = max(left)
+        room, came = capacity - top, {0: None}
+        for size in sorted(left, reverse=True):
+            copies, many = min(left[size] - (size == top), room // size), 1
+            while copies > 0:
+                many = min(many, copies)
+                for c in [c for c in came if c + size * many <= room and c + size * many not in came]:
+                    came[c + size * many] = (c, size, many)
+                copies, many = copies - many, many * 2
+            if room in came:
+                break
+        p, c = Counter({top: 1}), max(came)
+        while came[c]:
+            c, size, many = came[c]
+            p[size] += many
+        k = min(left[x] // m for x, m in p.items())
+        n += k
+        for x, m in p.items():
+            left[x] -= k * m
+            if not left[x]:
+                del left[x]
+    return n
+
+
+@pytest.mark.parametrize("pieces", [500, 5000, 500_000])
+def test_the_program_packs_as_well_as_best_fit(pieces):
+    import numpy as np
+
+    rng = np.random.default_rng(pieces)
+    for lengths in (rng.lognormal(5.5, 0.9, pieces).astype(int) + 1, rng.integers(300, 700, pieces)):
+        demand = np.bincount(np.minimum(1024, lengths), minlength=1025)
+        found, report = packing.patterns(demand)
+        assert (sum(k * p for p, k in found) == demand).all() and all((p * np.arange(1025)).sum() <= 1024 for p, _ in found)
+        assert report["bound"] <= report["sequences"] == sum(k for _, k in found) <= 1.0005 * best_fit_alone(demand) + 1
+
+
 @pytest.mark.parametrize("demand", [{10: 1000}, {10: 100_000}, {3: 40_000, 700: 1000, 900: 500}, {1: 5000, 7: 3, 1024: 2}])
 def test_patterns_fill_with_hot_short_lengths(demand):
     import numpy as np
@@ -276,7 +482,7 @@ def test_patterns_fill_with_hot_short_lengths(demand):
     want = np.zeros(1025, dtype=np.int64)
     for size, n in demand.items():
         want[size] = n
-    found = packing.patterns(want)
+    found, _ = packing.patterns(want)
     assert (sum(k * p for p, k in found) == want).all() and all((p * np.arange(1025)).sum() <= 1024 for p, _ in found)
     least = max(-(-int((want * np.arange(1025)).sum()) // 1024), int(want[513:].sum()), -(-int(want[10]) // 102))
     assert sum(k for _, k in found) <= 1.01 * least + 1
@@ -304,13 +510,16 @@ def test_exact_with_repeated_rows(spark):
     assert sorted(str(r.doc_id) for r in out) == ["1", "None", "None"]
 
 
-def test_a_clash_of_digests_is_found(spark):
+def test_a_clash_of_digests_is_found(spark, monkeypatch):
     """The state says that two texts are equal; their bytes do not."""
     base = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
     d = hashlib.sha256(b"b").hexdigest()
-    state = spark.createDataFrame([(d, 2, 1, 0, 1)], "digest string, n long, keep_id long, keep_uid long, keep_chars long")
+    state = spark.createDataFrame([(d, 2, 1, 0, 1, "")], "digest string, n long, keep_id long, keep_uid long, keep_chars long, keep_locator string")
     texts = base.withColumn("text", F.lit("b"))
     assert exact._clashes(texts, state).count() == 0
+    monkeypatch.setattr(exact.F, "sha2", lambda c, n: F.lit(d))  # every digest falls together
+    assert {r.digest for r in exact._clashes(base, state).collect()} == {d}
+    monkeypatch.undo()
     assert {(r.doc_id, r.kept) for r in exact._by_text(base, spark.createDataFrame([(d,)], "digest string")).collect()} == {(2, True)}
 
 
@@ -337,13 +546,38 @@ def brute_components(rows, k=5):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize(("tile_bytes", "cap"), [(16 << 20, 32), (2000, 32), (4000, 2)])
-def test_near_duplicates(docs, rows, tile_bytes, cap):
-    got, want = by_id(jaccard.near_duplicates(docs, tile_bytes=tile_bytes, cap=cap)), brute_components(rows)
+@pytest.mark.parametrize(("tile_bytes", "tile_rows", "guests", "cap"), [(16 << 20, 256, 16, 32), (2000, 256, 1, 32), (4000, 3, 0, 2), (16 << 20, 2, 2, 1)])
+def test_near_duplicates(docs, rows, tile_bytes, tile_rows, guests, cap):
+    got, want = by_id(jaccard.near_duplicates(docs, tile_bytes=tile_bytes, tile_rows=tile_rows, guests=guests, cap=cap)), brute_components(rows)
     assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == want
     assert len({c for _, c in want.values()}) <= len(want) - 8
 
 
+def test_near_duplicates_of_large_families(spark):
+    """A chain of near copies and many copies of one text, in far more tiles than one; and many small sets with one common run."""
+    rng, rows = random.Random(6), []
+    base = passage(rng, 80, 5000)
+    for i in range(120):  # neighbours in the chain link, its ends don't
+        own = list(base)
+        own[i % 80] = f"c{i}"
+        if i % 3 == 0:
+            base = own
+        rows.append(" ".join(own))
+    rows += [" ".join(passage(rng, 6, 10_000) + "one common run of words".split()) for _ in range(300)]
+    rng.shuffle(rows)
+    rows = [(i, t, None, None, 0) for i, t in enumerate(rows)]
+    got = by_id(jaccard.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(6), tile_rows=16, guests=2, cap=4))
+    assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == brute_components(rows)
+
+
+def test_joined_sets_are_compared_with_the_others_only():
+    import numpy as np
+
+    s = [np.arange(10, dtype=np.uint64), np.arange(9, dtype=np.uint64), np.arange(8, dtype=np.uint64), np.arange(100, 110, dtype=np.uint64)]
+    assert jaccard.linked_in_tile(np.arange(4), s, 80, np.array([True, True, False, False])) == [(1, 2)]
+    assert jaccard.linked_in_tile(np.arange(4), s, 80, np.array([True] * 4)) == []
+
+
 def test_near_duplicates_odd_rows(spark, empty):
     assert jaccard.near_duplicates(empty).count() == 0
     df = spark.createDataFrame([(None, "a b c d e f", None, None, 0), (4, "a b c d e f", None, None, 0), (4, "a b c d e f", None, None, 0), (9, "A b c d e f", None, None, 0)], SCHEMA)
@@ -374,15 +608,38 @@ def test_linked_in_tile_keeps_every_connection():
     assert comps(links) == comps(every) and len(links) < 40
 
 
+def brute_tree(text):
+    return [[[hashlib.sha256(x.encode()).hexdigest() for x in re.findall(merkle.LEAF, p)] for p in s.split("\n")] for s in text.split("\n\n")]
+
+
+def brute_first_edit(a, b):
+    if a == b:
+        return None
+    at = []
+    for empty in ([["-"]], ["-"], "-"):
+        i = next(i for i in range(max(len(a), len(b))) if a[i : i + 1] != b[i : i + 1])
+        a, b = (x[i] if i < len(x) else empty for x in (a, b))
+        at.append(i)
+        if empty == ["-"] and a == b:
+            break
+    return ".".join(map(str, at))
+
+
 def test_merkle(docs, rows, empty):
     got = by_id(merkle.fingerprints(docs))
     texts = [t or "" for _, t, *_ in rows]
+    flat = lambda tree: {x[:12] for s in tree for p in s for x in p}
     for i, text in enumerate(texts):
         nxt = texts[(i + 1) % len(texts)]
         edited = text[: len(text) - len(text) // 2] + nxt[: len(text) // 2]
         r = got[i]
-        assert r.n_chars == len(text) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+        assert r.n_chars == len(text) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
         assert (r.fingerprint == r.edited_fingerprint) == (text == edited)
+        a, b, c = map(brute_tree, (text, edited, nxt))
+        for near, other in ((r.near_edited, b), (r.near_next, c)):
+            x, y = flat(a), flat(other)
+            assert near == (2 * len(x & y) / (len(x) + len(y)) if x or y else 1.0)
+        assert r.first_edit == brute_first_edit(a, b), (text[:50], edited[:50])
     same = defaultdict(set)
     for i, t in enumerate(texts):
         same[t].add(got[i].fingerprint)
@@ -391,10 +648,27 @@ def test_merkle(docs, rows, empty):
     assert merkle.fingerprints(docs.where("doc_id = 1")).first().near_next == 1.0
 
 
-def test_merkle_finds_the_edit(spark):
-    df = spark.createDataFrame([("One a. Two b. Three c.\nFour d.", "One a. Two X. Three c.\nFour d.")], "a string, b string")
-    got = df.select(merkle.edits(merkle.tree(F.col("a")), merkle.tree(F.col("b"))).alias("e")).first().e
-    assert [x["at"] for x in got] == [1]
+def test_merkle_shares_leaves_within_long_sentences(spark):
+    text = " ".join(passage(random.Random(5), 3000)) + "!!"
+    df = spark.createDataFrame([(0, text, None, None, 0), (1, "other " * 3000, None, None, 0)], SCHEMA)
+    r = by_id(merkle.fingerprints(df))[0]
+    assert 0.3 < r.near_edited < 1 and r.near_next == 0.0 and r.first_edit.startswith("0.0.")
+
+
+def test_merkle_and_shards_with_repeated_and_null_ids(spark):
+    rows = [(None, "x y", None, None, 0)] * 2 + [(3, f"text {i}", None, None, 0) for i in range(200)] + [(3, "text 1", None, None, 0), (9, None, None, None, 0)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = merkle.fingerprints(df).collect()
+    assert len(got) == len(rows) and sum(r.doc_id is None for r in got) == 2
+    order = sorted(((r[0] is not None, r[0] or 0, zlib.crc32((r[1] or "").encode())), r[1] or "") for r in rows)
+    want = Counter()
+    for i, (_, t) in enumerate(order):
+        nxt = order[(i + 1) % len(order)][1]
+        want[hashlib.sha256((t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]).encode()).hexdigest()] += 1
+    assert Counter(r.edited_sha256 for r in got) == want
+    placed = shards.byte_shards(df, 4).collect()
+    assert Counter((r.doc_id, r.text_crc32) for r in placed) == Counter((r[0], zlib.crc32((r[1] or "").encode())) for r in rows)
+    assert [(r.doc_id is not None, r.doc_id or 0, r.text_crc32) for r in sorted(placed, key=lambda r: (r.shard, r.slot))] == [k for k, _ in order]
 
 
 def test_pipeline(spark, rows, tmp_path):
@@ -420,3 +694,12 @@ def test_pipeline(spark, rows, tmp_path):
         assert {r.doc_id: r.text for r in docs.collect()} == {r[0]: r[1] for r in live}, name
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in out} == {r[0] for r in live}
+
+
+def test_pipeline_on_empty_and_letterless_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    for name, some in (("none", []), ("und", [(1, "12 34", None, "s", 5), (2, None, "en", "s", 0), (3, "", "de", "s", 0)])):
+        spark.createDataFrame(some, SCHEMA).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        assert out.count() == 0 and {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns)
