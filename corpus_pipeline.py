@@ -33,7 +33,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all rows, packed into sequences of 1024 tokens."""
-    return packing.pack(packing.token_pieces(docs, f"{queries.TOKENIZERS}/byte_bpe_50k.tiktoken", queries.SPECIAL))
+    return packing.pack(packing.token_pieces(docs, queries.RANKS, queries.VOCABULARY))
 
 
 STAGES = [("language_id", language_id), ("exact_dedup", exact_dedup), ("ngram_jaccard", ngram_jaccard), ("substring_dedup", substring_dedup), ("best_fit_packing", best_fit_packing)]
