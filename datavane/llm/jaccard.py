@@ -13,8 +13,8 @@ from pyspark.sql.window import Window
 
 from . import common
 
-#: Most cells of the frequency sketch that orders shingles: 2**23 counts of 2 bytes, 16 MB, whatever the corpus.
-MAX_BITS = 23
+#: Cells of the frequency sketch that orders shingles: 2**21, 2 MB a task and 4 MB when merged, whatever the corpus.
+BITS = 21
 #: Two similar sets must share this part of the smaller one's size among their prefixes, which are longer by as much.
 DEPTH = 20
 
@@ -53,26 +53,24 @@ def _sets(batch: pa.RecordBatch, k: int):
 
 def _frequencies(docs: DataFrame, k: int) -> np.ndarray:
     """How often the shingles of each sketch cell occur in the whole corpus, 65535 at most; partition sketches are merged
-    block by block. There is about a cell for 32 words that the bytes let expect, within 2**18 and 2**MAX_BITS."""
-    total_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    sketch_bits = int(min(MAX_BITS, max(18, np.ceil(np.log2(total_bytes / 6 / 32 + 1)))))
+    block by block. A task ships each count as a byte, 255 at most."""
 
     def count(batches):
-        total = np.zeros(1 << sketch_bits, dtype=np.uint32)
+        total = np.zeros(1 << BITS, dtype=np.uint32)
         for b in batches:
             for _, _, raw, offs in common.text_slices(b):
-                np.add.at(total, (_row_shingles(raw, offs, k)[0] >> np.uint64(64 - sketch_bits)).astype(np.int64), np.uint32(1))
+                np.add.at(total, (_row_shingles(raw, offs, k)[0] >> np.uint64(64 - BITS)).astype(np.int64), np.uint32(1))
         if total.any():
-            part = np.minimum(total, 65535).astype("<u2").reshape(64, -1)
+            part = np.minimum(total, 255).astype(np.uint8).reshape(64, -1)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(64)), pa.array([p.tobytes() for p in part], pa.binary())], ["block", "counts"])
 
     def merge(f: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros((1 << sketch_bits) // 64, dtype=np.int64)
+        total = np.zeros((1 << BITS) // 64, dtype=np.int64)
         for c in f["counts"]:
-            total += np.frombuffer(c, dtype="<u2")
+            total += np.frombuffer(c, dtype=np.uint8)
         return pd.DataFrame({"block": f["block"].iloc[:1], "counts": [np.minimum(total, 65535).astype("<u2").tobytes()]})
 
-    out = np.zeros((64, (1 << sketch_bits) // 64), dtype=np.uint16)
+    out = np.zeros((64, (1 << BITS) // 64), dtype=np.uint16)
     for r in docs.select("text").mapInArrow(count, "block long, counts binary").groupBy("block").applyInPandas(merge, "block long, counts binary").collect():
         out[r.block] = np.frombuffer(r.counts, dtype="<u2")
     return out.reshape(-1)
@@ -86,7 +84,7 @@ def _signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
     are seldom among the first; it only steers the work, never the result."""
     spark = docs.sparkSession
     freq = _frequencies(docs, k)
-    shift = np.uint64(64 - int(np.log2(len(freq))))
+    shift = np.uint64(64 - BITS)
     counts = spark.sparkContext.broadcast(freq)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -132,18 +130,19 @@ def _pairs_of(node: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
     return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
 
-def _shared_prefixes(sig: DataFrame, cap: int, group_bytes: int = 4 << 20) -> DataFrame:
+def _shared_prefixes(sig: DataFrame, cap: int, group_bytes: int = 4 << 20, fold_rows: int = 50_000_000) -> DataFrame:
     """a, b: edges that connect all sets which may be similar by their prefixes.
 
     The sets of a prefix shingle are counted pair by pair where there are at most `cap`; pairs with too few shared shingles
     go. A shingle with more sets connects all of them with its smallest one instead, without a count, so the work
     follows the number of sets either way and nothing is lost. A batch ships each shingle's sets packed by hash range, or the
-    smallest alone where it has more than `cap` itself. Batches are merged in two steps, first in salted groups, of which each
-    again passes on a shingle's sets, or the smallest alone; so a shingle with a third of all rows is a few rows a group. The number of
-    hash ranges follows the bytes of all prefixes, so a group holds about group_bytes at every size."""
+    smallest alone where it has more than `cap` itself. Where there are so many batches that even `cap` sets of one shingle from each
+    would make a large group (from fold_rows rows on), they are merged in salted groups first, of which each again passes on a
+    shingle's sets, or the smallest alone. The number of hash ranges follows the bytes of all prefixes, so a group holds
+    about group_bytes at every size, and a shingle with a third of all rows is a few rows of it."""
     total, n_rows = sig.agg(F.coalesce(F.sum(F.octet_length("prefix")), F.lit(0)), F.count("*")).first()
     parts = max(common.partitions(sig.sparkSession), -(-2 * total // group_bytes))
-    salts = max(8, n_rows // 5_000_000)
+    salts = 1 + n_rows // fold_rows
     step = np.uint64(2**64 // parts + 1)
 
     def folded(token, ids, flag):
@@ -217,7 +216,9 @@ def _shared_prefixes(sig: DataFrame, cap: int, group_bytes: int = 4 << 20) -> Da
 
     packed = "part long, salt int, x binary, y binary, hot binary, edge boolean"
     found = sig.where("n > 0").select("node", "prefix").mapInArrow(pack, packed)
-    found = found.groupBy("part", "salt").applyInPandas(fold, packed).groupBy("part").applyInPandas(merge, "a long, b long, n long")
+    if salts > 1:
+        found = found.groupBy("part", "salt").applyInPandas(fold, packed)
+    found = found.groupBy("part").applyInPandas(merge, "a long, b long, n long")
     found = common.saved(found, "prefix-pairs")
     star = found.where("n = 0").select("a", "b").distinct()
     pairs = found.where("n > 0").groupBy("a", "b").agg(F.sum("n").alias("n"))
@@ -324,7 +325,7 @@ def _paired_tiles(rows: DataFrame, work, percent: int) -> DataFrame:
     return rows.select("rep", "digest", "cluster", F.explode(tiles).alias("tile"), "joined")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, tile_bytes: int = 16 << 20, tile_rows: int = 256, guests: int = 16, cap: int = 32) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, tile_bytes: int = 16 << 20, tile_rows: int = 64, pair_rows: int = 512, guests: int = 8, cap: int = 32) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text), exactly.
 
     Words are runs without white space, A-Z lower-cased; a set holds the distinct k-word shingles, or the whole sequence
@@ -336,7 +337,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, tile_bytes:
     about tile_bytes and tile_rows where it fits, else it is dealt over several, each with the same `guests` of its sets.
     In a tile, sizes, bitmap bounds and exact intersections give links enough to connect what is linked. 4. In clusters of several
     tiles only sets outside the largest component so far can still change anything: they are paired with all others, in
-    tiles of salted parts of the same or neighbouring size bands. So a family of near copies, even one with a third of all rows,
+    tiles of salted parts (pair_rows rows) of the same or neighbouring size bands. So a family of near copies, even one with a third of all rows,
     costs about one comparison a set. 5. The components of all links are the result.
 
     Rows that share a doc_id count as one document; a null id gets a null component and no link. An empty table gives an
@@ -364,9 +365,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, tile_bytes:
         roots = common.components(links).select(F.col("node").alias("rep"), "root")
         rows = reps.join(large.select("cluster"), "cluster").join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
         rows = common.saved(rows, "joined")
-        most = rows.groupBy("cluster", "root").agg(F.count("*").alias("m")).groupBy("cluster").agg(F.max_by("root", "m").alias("main"))
+        most = rows.groupBy("cluster", "root").agg(F.count("*").alias("m")).groupBy("cluster").agg(F.max(F.struct("m", "root")).alias("x")).select("cluster", F.col("x.root").alias("main"))
         rows = rows.join(most, "cluster").withColumn("joined", F.col("root") == F.col("main"))
-        links = links.unionByName(_tile_links(base, _paired_tiles(rows, work, percent), k, percent))
+        links = links.unionByName(_tile_links(base, _paired_tiles(rows, F.greatest(F.col("n") * 8 / tile_bytes, F.lit(1 / pair_rows)), percent), k, percent))
     joined = common.components(links)
     reach = classes.select("digest", "rep").join(joined.select(F.col("node").alias("rep"), "root"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("__c"))
     out = sig.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(reach, "digest", "left")

@@ -548,7 +548,7 @@ def brute_components(rows, k=5):
 
 @pytest.mark.parametrize(("tile_bytes", "tile_rows", "guests", "cap"), [(16 << 20, 256, 16, 32), (2000, 256, 1, 32), (4000, 3, 0, 2), (16 << 20, 2, 2, 1)])
 def test_near_duplicates(docs, rows, tile_bytes, tile_rows, guests, cap):
-    got, want = by_id(jaccard.near_duplicates(docs, tile_bytes=tile_bytes, tile_rows=tile_rows, guests=guests, cap=cap)), brute_components(rows)
+    got, want = by_id(jaccard.near_duplicates(docs, tile_bytes=tile_bytes, tile_rows=tile_rows, pair_rows=2 * tile_rows, guests=guests, cap=cap)), brute_components(rows)
     assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == want
     assert len({c for _, c in want.values()}) <= len(want) - 8
 
@@ -566,10 +566,16 @@ def test_near_duplicates_of_large_families(spark):
     rows += [" ".join(passage(rng, 6, 10_000) + "one common run of words".split()) for _ in range(300)]
     rng.shuffle(rows)
     rows = [(i, t, None, None, 0) for i, t in enumerate(rows)]
-    got = by_id(jaccard.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(6), tile_rows=16, guests=2, cap=4))
+    got = by_id(jaccard.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(6), tile_rows=16, pair_rows=40, guests=2, cap=4))
     assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == brute_components(rows)
 
 
+def test_salted_prefix_groups_give_the_same_edges(docs):
+    sig = jaccard._signatures(docs.select("doc_id", "text"), 5, 80).cache()
+    roots = [{(r.node, r.root) for r in common.components(jaccard._shared_prefixes(sig, 2, **more)).collect()} for more in ({}, {"fold_rows": 10, "group_bytes": 1000})]
+    assert roots[0] == roots[1] and len(roots[0]) > 5
+
+
 def test_joined_sets_are_compared_with_the_others_only():
     import numpy as np
 
