@@ -28,7 +28,7 @@ def fingerprint(nodes: Column) -> Column:
     """root|section:paragraph.leaf.leaf,paragraph.leaf|section:...
 
     A node is the SHA-256 of its children's; the root has all 64 digits, a branch or leaf its first 12. Roots test equality;
-    where they differ, comparing branches of equal position leads down to the edited leaves, as first_edit() does."""
+    where they differ, comparing branches of equal position leads down to the edited leaves, as with_first_edit() does."""
     para = lambda p: F.concat(F.substring(_node(p), 1, 12), F.lit("."), F.array_join(F.transform(p, lambda x: F.substring(x, 1, 12)), "."))
     section_node = lambda s: _node(F.transform(s, _node))
     section = lambda s: F.concat(F.substring(section_node(s), 1, 12), F.lit(":"), F.array_join(F.transform(s, para), ","))
@@ -45,24 +45,20 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(both == 0, F.lit(1.0)).otherwise(F.lit(2.0) * F.size(F.array_intersect(a, b)) / both)
 
 
-def first_edit(a: Column, b: Column) -> Column:
-    """section.paragraph.leaf (each from 0) of the first place where two fingerprints part, null for equal ones: the first section
-    whose nodes differ, in it the first paragraph, in that the first leaf. Branches with equal nodes are not looked into."""
-
-    def step(x, y, sep, node):
-        """The first position at which the branches' nodes differ, and both branches there ('' where one has none)."""
-        u, v = F.split(x, sep, -1), F.split(y, sep, -1)
-        at = lambda i: F.struct(i.alias("at"), F.coalesce(F.get(u, i), F.lit("")).alias("x"), F.coalesce(F.get(v, i), F.lit("")).alias("y"))
-        every = F.transform(F.sequence(F.lit(0), F.greatest(F.size(u), F.size(v)) - 1), at)
-        return F.get(F.filter(every, lambda e: node(e["x"]) != node(e["y"])), F.lit(0))
-
-    def below(x, sep):
-        return F.substring_index(x, sep, -1) if sep == ":" else F.regexp_replace(x, r"^[^.]*\.?", "")
-
-    section = step(F.substring(a, 66, 1 << 30), F.substring(b, 66, 1 << 30), "[|]", lambda s: F.substring(s, 1, 12))
-    para = step(below(section["x"], ":"), below(section["y"], ":"), ",", lambda p: F.substring(p, 1, 12))
-    leaf = step(below(para["x"], "."), below(para["y"], "."), "[.]", lambda x: x)
-    return F.when(F.substring(a, 1, 64) != F.substring(b, 1, 64), F.concat_ws(".", section["at"], para["at"], leaf["at"]))
+def with_first_edit(df: DataFrame, a: str, b: str, name: str = "first_edit") -> DataFrame:
+    """df with section.paragraph.leaf (each from 0) of the first place where the fingerprints in columns a and b part, null for
+    equal ones: the first section whose nodes differ, in it the first paragraph, in that the first leaf. Branches with equal
+    nodes are not looked into. Each level is a step of its own, so that what it finds is worked out once."""
+    whole = df.columns
+    node = lambda x: F.substring(x, 1, 12)
+    d = df.withColumns({"__x": F.substring(a, 66, 1 << 30), "__y": F.substring(b, 66, 1 << 30)})
+    for level, sep, below in (("s", "[|]", "^[^:]*:"), ("p", ",", "^[^.]*[.]"), ("l", "[.]", None)):
+        d = d.withColumns({"__u": F.split("__x", sep, -1), "__v": F.split("__y", sep, -1)})
+        d = d.withColumn(f"__{level}", F.array_position(F.zip_with("__u", "__v", lambda x, y: ~node(x).eqNullSafe(node(y))), True) - 1)
+        if below:
+            part = lambda c: F.regexp_replace(F.coalesce(F.get(c, F.col(f"__{level}").cast("int")), F.lit("")), below, "")  # noqa: E731, B023
+            d = d.withColumns({"__x": part("__u"), "__y": part("__v")})
+    return d.select(*whole, F.when(F.col(a) != F.col(b), F.concat_ws(".", *[F.greatest(F.col(f"__{x}"), F.lit(0)) for x in "spl"])).alias(name))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -95,8 +91,5 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     both = both.withColumn("n_chars", chars.cast("long")).withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), chars - half), F.substring(F.col("next_text"), F.lit(1), half)))
     both = both.select("doc_id", "n_chars", "edited", "leaves", "fingerprint", "next_leaves", tree(F.col("edited")).alias("nodes"))
     both = both.withColumn("edited_leaves", leaf_set(F.col("nodes"))).withColumn("edited_fingerprint", fingerprint(F.col("nodes")))
-    return both.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
-        likeness(F.col("leaves"), F.col("edited_leaves")).alias("near_edited"), likeness(F.col("leaves"), F.col("next_leaves")).alias("near_next"),
-        first_edit(F.col("fingerprint"), F.col("edited_fingerprint")).alias("first_edit"),
-    )
+    out = both.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", likeness(F.col("leaves"), F.col("edited_leaves")).alias("near_edited"), likeness(F.col("leaves"), F.col("next_leaves")).alias("near_next"))
+    return with_first_edit(out, "fingerprint", "edited_fingerprint")
