@@ -2,61 +2,72 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import shared
+
 
 def cut(df: DataFrame) -> DataFrame:
-    """df.checkpoint() in the folder of spark.checkpoint.dir; a local folder only where the session names none."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="datavane-"))
+    """df.checkpoint() in the folder of spark.checkpoint.dir; only a local master, as in tests, may do without one."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared.base(df.sparkSession))
     return df.checkpoint()
 
 
-def closure(edges: DataFrame, child: str = "child", parent: str = "parent", max_depth: int = 32) -> DataFrame:
-    """node, ancestor, depth: every ancestor at its shortest depth; cycles end, and a node is never its own ancestor.
+def closure(edges: DataFrame, child: str = "child", parent: str = "parent", max_depth: int | None = None) -> DataFrame:
+    """node, ancestor, depth: every ancestor at its shortest depth, up to max_depth if given; cycles end, and a node is never its
+    own ancestor.
 
-    Breadth first: each round extends the pairs found last by one edge and drops those known already."""
-    e = cut(edges.select(F.col(child).alias("c"), F.col(parent).alias("p")).where("c <> p").distinct())
-    seen = front = cut(e.select(F.col("c").alias("node"), F.col("p").alias("ancestor"), F.lit(1).alias("depth")))
-    for depth in range(2, max_depth + 1):
-        step = front.join(e, F.col("ancestor") == F.col("c")).select("node", F.col("p").alias("ancestor")).where("node <> ancestor").distinct()
-        front = cut(step.join(seen, ["node", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)))
+    Path doubling: when all pairs up to depth d are known, a pair at depth d + 1 to 2 d is one at exactly d followed by a known
+    one, so the rounds follow the logarithm of the depth. Only the pairs at depth d are extended, and the
+    shortest depth of a pair is combined before the shuffle."""
+    e = edges.select(F.col(child).alias("node"), F.col(parent).alias("ancestor")).where("node <> ancestor").distinct()
+    seen, depth = cut(e.withColumn("depth", F.lit(1))), 1
+    while max_depth is None or depth < max_depth:
+        front = seen.where(F.col("depth") == depth)
         if front.isEmpty():
             break
-        seen = cut(seen.unionByName(front)) if depth % 4 == 0 else seen.unionByName(front)
-    return seen
+        tail = seen.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("far"), F.col("depth").alias("more"))
+        new = front.join(tail, "ancestor").select("node", F.col("far").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth")).where("node <> ancestor")
+        seen, depth = cut(seen.unionByName(new).groupBy("node", "ancestor").agg(F.min("depth").alias("depth"))), 2 * depth
+    return seen if max_depth is None else seen.where(F.col("depth") <= max_depth)
 
 
-def reach(edges: DataFrame, starts: DataFrame, child: str = "child", parent: str = "parent", max_depth: int = 32) -> DataFrame:
-    """request_id, node, depth: all that lies below the start (request_id, node) over child -> parent edges, the start left out."""
+def reach(edges: DataFrame, starts: DataFrame, child: str = "child", parent: str = "parent", max_depth: int | None = None) -> DataFrame:
+    """request_id, node, depth: all that lies below the start (request_id, node) over child -> parent edges, the start left out;
+    down to max_depth if given."""
     e = cut(edges.select(F.col(child).alias("c"), F.col(parent).alias("p")).where("c <> p").distinct())
     seen = front = cut(starts.select("request_id", "node", F.lit(0).alias("depth")).distinct())
-    for depth in range(1, max_depth + 1):
+    depth = 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
         step = front.join(e, F.col("node") == F.col("p")).select("request_id", F.col("c").alias("node")).distinct()
         front = cut(step.join(seen, ["request_id", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             break
-        seen = seen.unionByName(front)
+        seen = cut(seen.unionByName(front)) if depth % 8 == 0 else seen.unionByName(front)
     return seen.where("depth > 0")
 
 
-def longest_depth(edges: DataFrame, nodes: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """node, depth for nodes (node, grounded): the longest chain down to grounded roots (depth 0). Null where an ancestor is not in
-    nodes, is a root that isn't grounded, or lies in a cycle: a node is resolved in the round after its last parent."""
+def longest_depth(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, depth for nodes (node, grounded): the longest chain down to grounded roots (depth 0), however long. Null where an
+    ancestor is not in nodes, is a root that isn't grounded, or lies in a cycle: a node is resolved in the round after its
+    last parent, and each round hands only the nodes of the round before on to their children."""
     e = cut(edges.select(F.col("child").alias("c"), F.col("parent").alias("p")).distinct())
     need = e.groupBy("c").agg(F.count("*").alias("need"))
-    todo = cut(nodes.join(need, F.col("node") == F.col("c"), "left").select("node", "grounded", F.coalesce("need", F.lit(0)).alias("need")))
-    known = cut(todo.where("need = 0 and grounded").select("node", F.lit(0).alias("depth")))
-    for _ in range(max_rounds):
-        up = e.join(known, F.col("p") == F.col("node")).groupBy("c").agg(F.count("*").alias("got"), F.max("depth").alias("d"))
-        more = cut(todo.join(up, F.col("node") == F.col("c")).where("need = got").select("node", (F.col("d") + 1).alias("depth")).join(known, "node", "left_anti"))
-        if more.isEmpty():
-            break
-        known = cut(known.unionByName(more))
+    todo = nodes.join(need, F.col("node") == F.col("c"), "left").select("node", "grounded", F.coalesce("need", F.lit(0)).alias("need"))
+    known = front = cut(todo.where("need = 0 and grounded").select("node", F.lit(0).alias("depth")))
+    todo, rounds = cut(todo.where("need > 0").select("node", "need", F.lit(0).alias("high"))), 0
+    while not front.isEmpty():
+        rounds += 1
+        up = e.join(front, F.col("p") == F.col("node")).groupBy(F.col("c").alias("node")).agg(F.count("*").alias("got"), F.max("depth").alias("d"))
+        open_ = todo.join(up, "node", "left").select("node", (F.col("need") - F.coalesce("got", F.lit(0))).alias("need"), F.greatest("high", "d").alias("high"))
+        open_ = cut(open_)
+        front = open_.where("need = 0").select("node", (F.col("high") + 1).alias("depth"))
+        todo = open_.where("need > 0")
+        known = cut(known.unionByName(front)) if rounds % 8 == 0 else known.unionByName(front)
     return nodes.select("node").join(known, "node", "left")
 
 

@@ -11,12 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 _OWN: dict[str, str] = {}
 
 
+def base(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a temporary one only on a local master whose session names none, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = _OWN.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="datavane-"))
+    return named.rstrip("/")
+
+
 def folder(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir; under a local one only where the session names none, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = _OWN.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="datavane-"))
-    return f"{base.rstrip('/')}/datavane/{name}-{uuid.uuid4().hex}"
+    """A new folder under base()."""
+    return f"{base(spark)}/datavane/{name}-{uuid.uuid4().hex}"
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import shared
+
 PUBLISHED = ("confirmed", "auto-confirmed")
 
 
@@ -73,15 +75,20 @@ def entitled_principals(grants: DataFrame) -> DataFrame:
 
 def visible(datasets: DataFrame, grants: DataFrame, callers: DataFrame) -> DataFrame:
     """caller_id, id, full for every dataset that a caller may know of. callers: caller_id, principal_id, email, is_steward,
-    custodian_of (a dataset id or null). Public and metadata-restricted records are known to all; existence-restricted ones
-    to stewards, custodians and holders of a grant; full: may see more than the stub."""
-    holders = grants.select("dataset_id", F.explode(F.array_compact(F.array("principal_id", F.lower("email")))).alias("p")).distinct()
+    custodian_of (a dataset id or null); one request batch. Public and metadata-restricted records are known to all;
+    existence-restricted ones to stewards, custodians and holders of a grant; full: may see more than the stub.
+
+    Grants and custodians are equi-joins, which give the pairs that are inside; the callers of the batch travel as one array, so
+    only records that all callers know are listed for each."""
+    holders = grants.select(F.col("dataset_id").alias("id"), F.explode(F.array_compact(F.array("principal_id", F.lower("email")))).alias("p")).distinct()
     asks = callers.select("caller_id", F.explode(F.array_compact(F.array("principal_id", F.lower("email")))).alias("p"))
-    granted = holders.join(asks, "p").select("caller_id", F.col("dataset_id").alias("id"), F.lit(True).alias("granted")).distinct()
-    base = datasets.select("id", "visibility").join(F.broadcast(callers.select("caller_id", "is_steward", "custodian_of")))  # callers of one request batch
-    base = base.join(granted, ["caller_id", "id"], "left")
-    inside = F.coalesce(F.col("granted") | F.col("is_steward") | (F.col("custodian_of") == F.col("id")), F.col("is_steward"))
-    return base.withColumn("inside", inside).where((F.col("visibility") != "allowlisted-existence") | F.col("inside")).select("caller_id", "id", ((F.col("visibility") == "public") | F.col("inside")).alias("full"))
+    inside = holders.join(asks, "p").select("caller_id", "id").unionByName(callers.where("custodian_of is not null").select("caller_id", F.col("custodian_of").alias("id"))).distinct()
+    batch = callers.agg(F.collect_list(F.struct("caller_id", "is_steward")).alias("c")).scalar()
+    each = datasets.select("id", "visibility").withColumn("__c", batch)
+    known = F.filter("__c", lambda c: (F.col("visibility") != "allowlisted-existence") | c["is_steward"])
+    each = each.select("id", "visibility", F.explode(known).alias("c")).select("c.caller_id", "id", ((F.col("visibility") == "public") | F.col("c.is_steward")).alias("full"))
+    mine = inside.join(datasets.select("id"), "id", "left_semi").select("caller_id", "id", F.lit(True).alias("full"))
+    return each.unionByName(mine).groupBy("caller_id", "id").agg(F.bool_or("full").alias("full"))
 
 
 def stub(df: DataFrame, full: Column, kept: list[str]) -> DataFrame:
@@ -106,6 +113,15 @@ def ordered(df: DataFrame, *keys: tuple[str, bool], tie: str) -> DataFrame:
     return df.orderBy(*[one(*k) for k in keys], F.col(tie).asc_nulls_last())
 
 
+def placed(df: DataFrame, *keys: tuple[str, bool], tie: str) -> DataFrame:
+    """df with `place`, each row's number in the order of ordered(), from 1. The rows are sorted by ranges and written once; a
+    row's number is its place in its range after those of the ranges before, so no task sees more than one range."""
+    rows = shared.saved(ordered(df, *keys, tie=tie).withColumns({"__p": F.spark_partition_id(), "__i": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}), "ordered")
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = rows.groupBy("__p").agg(F.count("*").alias("n")).select("__p", before.alias("__b"))  # a row for each range
+    return rows.join(F.broadcast(starts), "__p").withColumn("place", F.col("__b") + F.col("__i") + 1).drop("__p", "__i", "__b")
+
+
 def page(df: DataFrame, offset: int, limit: int, cap: int = 200) -> DataFrame:
     return df.offset(offset).limit(min(limit, cap))
 

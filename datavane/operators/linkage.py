@@ -35,29 +35,28 @@ def pairs_cut(keys: DataFrame, cap: int = 200) -> DataFrame:
     return n.groupBy("rung").agg(F.sum((F.col("n") - kept) * (F.col("n") - F.lit(1))).cast("long").alias("cut"))
 
 
-def shared_members(pairs: DataFrame, sets: DataFrame, hot: int = 1000) -> DataFrame:
-    """source, target, s: how many members of sets (id, member) each pair shares; pairs without any don't appear.
-
-    Members that at most `hot` sets have meet in a self-join by member, at most `hot` rows for each; the few others are looked up pair
-    by pair, so a member that everybody has never makes the square of its sets."""
+def shared_members(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """source, target, s: how many members of sets (id, member) each pair of pairs (source, target) shares; pairs without any don't
+    appear. Each pair looks up its own members, so a member that everybody has never makes the square of its sets."""
     rows = sets.select("id", "member").distinct()
-    n = rows.groupBy("member").agg(F.count("*").alias("n"))
-    tagged = rows.join(n, "member")
-    rare, common = tagged.where(F.col("n") <= hot), tagged.where(F.col("n") > hot)
-    one = rare.select(F.col("id").alias("source"), "member").join(rare.select(F.col("id").alias("target"), "member"), "member").where("source <> target").groupBy("source", "target").agg(F.count("*").alias("s"))
-    two = pairs.select("source", "target").join(common.select(F.col("id").alias("source"), "member"), "source").join(common.select(F.col("id").alias("target"), "member"), ["target", "member"]).groupBy("source", "target").agg(F.count("*").alias("s"))
-    return one.unionByName(two).groupBy("source", "target").agg(F.sum("s").alias("s"))
+    own = pairs.select("source", "target").join(rows.select(F.col("id").alias("source"), "member"), "source")
+    return own.join(rows.select(F.col("id").alias("target"), "member"), ["target", "member"]).groupBy("source", "target").agg(F.count("*").alias("s"))
 
 
 def jaccard_from_keys(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
-    """pairs with a column `name`: shared over all members of sets (id, member), 0 without any; and name_shared."""
-    size = sets.groupBy("id").agg(F.count_distinct("member").alias("n"))
-    out = pairs.join(shared_members(pairs, sets), ["source", "target"], "left")
+    """pairs with a column `name`: shared over all members of sets (id, member), 0 without any; and name_shared.
+
+    A set travels as one sorted array, and is met with the other of its pair once, so the work follows pairs x set size."""
+    each = sets.groupBy("id").agg(F.array_sort(F.collect_set("member")).alias("m"))
+    out = pairs
     for side in ("source", "target"):
-        out = out.join(size.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}")), side, "left")
-    shared = F.coalesce("s", F.lit(0))
-    union = F.coalesce("n_source", F.lit(0)) + F.coalesce("n_target", F.lit(0)) - shared
-    return out.withColumn(name, F.when(union > 0, shared / union).otherwise(F.lit(0.0))).withColumn(f"{name}_shared", shared).drop("s", "n_source", "n_target")
+        out = out.join(each.select(F.col("id").alias(side), F.col("m").alias(f"__{side}")), side, "left")
+    size = lambda c: F.coalesce(F.size(c), F.lit(0))
+    shared = F.coalesce(F.size(F.array_intersect("__source", "__target")), F.lit(0))
+    out = out.withColumn(f"{name}_shared", F.when(F.col("__source").isNull() | F.col("__target").isNull(), 0).otherwise(shared).cast("long"))
+    have = lambda c: F.when(F.col(c).isNull(), 0).otherwise(size(c))
+    union = have("__source") + have("__target") - F.col(f"{name}_shared")
+    return out.withColumn(name, F.when(union > 0, F.col(f"{name}_shared") / union).otherwise(F.lit(0.0))).drop("__source", "__target")
 
 
 def box_iou(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:

@@ -14,11 +14,16 @@ BOOSTS = {"title": 6.0, "summary": 3.0, "keywords": 2.5, "publisher": 2.0, "desc
 
 
 def postings(docs: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
-    """field, token, id, tf, len: one row for each token of a field of a document; len counts all tokens of that field."""
+    """field, token, id, tf, len: one row for each distinct token of a field of a document; len counts all tokens of that field.
+
+    A token is counted in its own row, as the length of its run among the sorted tokens, so nothing is shuffled."""
     text = F.explode(F.create_map(*[x for f in fields for x in (F.lit(f), F.coalesce(F.col(f), F.lit("")))])).alias("field", "text")
-    words = docs.select(F.col(id_col).alias("id"), text).select("id", "field", search_tokens(F.col("text")).alias("w"))
-    each = words.select("id", "field", F.size("w").cast("long").alias("len"), F.explode("w").alias("token"))
-    return each.groupBy("field", "token", "id", "len").agg(F.count("*").alias("tf"))
+    words = docs.select(F.col(id_col).alias("id"), text).select("id", "field", F.array_sort(search_tokens(F.col("text"))).alias("w"))
+    words = words.withColumn("n", F.size("w")).where("n > 0")
+    at = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: (i == 0) | (F.get("w", i) != F.get("w", F.greatest(i - 1, F.lit(0)))))
+    words = words.withColumn("at", at).withColumn("to", F.concat(F.slice("at", F.lit(2), F.size("at")), F.array("n")))
+    runs = F.zip_with("at", "to", lambda a, b: F.struct(F.get("w", a).alias("token"), (b - a).cast("long").alias("tf")))
+    return words.select("id", "field", F.col("n").cast("long").alias("len"), F.inline(runs)).select("field", "token", "id", "tf", "len")
 
 
 def upsert_postings(old: DataFrame, changed: DataFrame, removed: DataFrame) -> DataFrame:
@@ -28,19 +33,22 @@ def upsert_postings(old: DataFrame, changed: DataFrame, removed: DataFrame) -> D
 
 
 def field_stats(index: DataFrame, n_docs: int) -> DataFrame:
-    """field, avg_len over all documents."""
-    each = index.select("field", "id", "len").distinct()
-    return each.groupBy("field").agg((F.sum("len") / F.lit(n_docs)).alias("avg_len"))
+    """field, avg_len over all documents: all counts of a field's postings are its tokens."""
+    return index.groupBy("field").agg((F.sum("tf") / F.lit(n_docs)).alias("avg_len"))
 
 
 def bm25(index: DataFrame, requests: DataFrame, n_docs: int, boosts: dict[str, float] = BOOSTS) -> DataFrame:
-    """request_id, id, score for requests (request_id, token, damping): the boosted BM25 sum over fields and tokens."""
+    """request_id, id, score for requests (request_id, token, damping): the boosted BM25 sum over fields and tokens.
+
+    index: postings, best as a written table, as it is read three times. Only postings of tokens that are asked for are counted and joined."""
     boost = F.create_map(*[F.lit(x) for kv in boosts.items() for x in kv])
-    df = index.groupBy("field", "token").agg(F.count("*").alias("df"))
+    some = index.join(requests.select("token").distinct(), "token", "left_semi")
+    df = some.groupBy("field", "token").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    hit = index.join(requests.select("request_id", "token", "damping"), "token").join(df, ["field", "token"]).join(F.broadcast(field_stats(index, n_docs)), "field")  # one row a field
+    weight = df.join(F.broadcast(field_stats(index, n_docs)), "field").select("field", "token", idf.alias("idf"), "avg_len")  # one row a field
+    hit = requests.select("request_id", "token", "damping").join(weight, "token").join(some, ["field", "token"])
     norm = F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len"))
-    part = F.coalesce(boost[F.col("field")], F.lit(1.0)) * F.col("damping") * idf * F.col("tf") * (K1 + 1) / norm
+    part = F.coalesce(boost[F.col("field")], F.lit(1.0)) * F.col("damping") * F.col("idf") * F.col("tf") * (K1 + 1) / norm
     return hit.groupBy("request_id", "id").agg(F.sum(part).alias("score"))
 
 
@@ -79,15 +87,18 @@ def top(scores: DataFrame, titles: DataFrame, n: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("request_id", "rank", "id", "score")
 
 
-def facet_counts(df: DataFrame, facets: list[str], id_col: str = "id", n: int = 50) -> DataFrame:
+def facet_counts(df: DataFrame, facets: list[str], id_col: str = "id", n: int = 50, more: DataFrame | None = None) -> DataFrame:
     """facet, value, n: distinct documents of each value, all facets in one pass; the n most frequent of each facet (-count,
-    then value). Array columns count each value once a document; nulls aren't values."""
+    then value). Array columns count each value once a document; nulls aren't values. more: facet, value, id rows of facets that
+    are tables of their own already."""
     cols = []
     for f in facets:
         c = F.col(f)
         values = F.array_distinct(c) if df.schema[f].dataType.typeName() == "array" else F.array(c)
         cols += [F.lit(f), F.transform(values, lambda x: x.cast("string"))]
-    long = df.select(F.col(id_col).alias("id"), F.explode(F.create_map(*cols)).alias("facet", "vs")).select("id", "facet", F.explode("vs").alias("value")).where("value is not null")
-    counts = long.groupBy("facet", "value").agg(F.count_distinct("id").alias("n"))
+    long = df.select(F.col(id_col).alias("id"), F.explode(F.create_map(*cols)).alias("facet", "vs")).select("facet", F.explode("vs").alias("value"), "id")
+    if more is not None:
+        long = long.unionByName(more.join(df.select(F.col(id_col).alias("id")), "id", "left_semi").select("facet", F.col("value").cast("string").alias("value"), "id"))
+    counts = long.where("value is not null").groupBy("facet", "value").agg(F.count_distinct("id").alias("n"))
     w = Window.partitionBy("facet").orderBy(F.desc("n"), "value")
     return counts.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n).drop("__r")

@@ -7,8 +7,8 @@ from datetime import datetime
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import fixpoint, norm
-from ..operators import changes, filters, graph, linkage, meaning, network, rules, search
+from ..functions import fixpoint, norm, shared
+from ..operators import changes, filters, graph, linkage, meaning, network, rollups, rules, search, views
 from . import demo
 
 QUERIES = {}
@@ -160,7 +160,7 @@ def n17(t):
 def n18(t):
     own = t("part").select("p_partkey", "p_type", F.when(F.col("p_size") % 3 == 0, F.col("p_brand")).alias("own"))
     source = own.select("p_type").distinct().withColumn("declared", F.col("p_type"))
-    return own.join(source, "p_type", "left").select("p_partkey", F.coalesce("own", "declared").alias("data_domain"), F.col("own").isNull().alias("inferred"))
+    return views.backstop(own, "own", source, "p_type", "declared").select("p_partkey", "data_domain", "inferred")
 
 
 @query("N19_dtype_name", "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'float32' WHEN 1 THEN 'int64' WHEN 2 THEN 'bool' ELSE 'decimal' END AS name FROM part")
@@ -336,10 +336,9 @@ def e8(t):
     return _visible(t).join(t("datasets").select("id", "visibility"), "id").groupBy("caller_id", "visibility").agg(F.count("*").alias("known"), F.count_if("full").alias("whole"))
 
 
-@query("R6_stable_sort", "SELECT id, row_number() OVER (PARTITION BY data_domain ORDER BY resolution_m DESC NULLS LAST, lower(title) ASC NULLS LAST, id) AS place FROM datasets")
+@query("R6_stable_sort", "SELECT id, row_number() OVER (ORDER BY resolution_m DESC NULLS LAST, lower(title) ASC NULLS LAST, id) AS place FROM datasets")
 def r6(t):
-    w = Window.partitionBy("data_domain").orderBy(F.col("resolution_m").desc_nulls_last(), F.lower("title").asc_nulls_last(), "id")
-    return t("datasets").select("id", F.row_number().over(w).alias("place"))
+    return filters.placed(t("datasets").select("id", "resolution_m", "title"), ("resolution_m", True), ("title", False), tie="id").select("id", "place")
 
 
 @query("R7_page", "SELECT id, title FROM datasets ORDER BY lower(title), id LIMIT 20 OFFSET 10")
@@ -365,9 +364,13 @@ _POST = r"""
 """
 
 
+def _fields(t):
+    return t("documents").select("doc_id", F.concat_ws(" ", "lang", "source").alias("title"), F.col("text").alias("description"))
+
+
 def _index(t):
-    d = t("documents").select("doc_id", F.concat_ws(" ", "lang", "source").alias("title"), F.col("text").alias("description"))
-    return search.postings(d, "doc_id", ["title", "description"])
+    """The postings as a written table, as an index is."""
+    return shared.saved(search.postings(_fields(t), "doc_id", ["title", "description"]), "index")
 
 
 def _asked(t):
@@ -376,7 +379,7 @@ def _asked(t):
 
 @query("R1_postings", _POST + "SELECT field, token, count(*) AS docs, sum(tf)::BIGINT AS tf, sum(len)::BIGINT AS len FROM p GROUP BY 1, 2")
 def r1(t):
-    return _index(t).groupBy("field", "token").agg(F.count("*").alias("docs"), F.sum("tf").alias("tf"), F.sum("len").alias("len"))
+    return search.postings(_fields(t), "doc_id", ["title", "description"]).groupBy("field", "token").agg(F.count("*").alias("docs"), F.sum("tf").alias("tf"), F.sum("len").alias("len"))
 
 
 _BM = _POST + """, nd AS (SELECT count(*) AS n FROM documents), df AS (SELECT field, token, count(*) AS df FROM p GROUP BY 1, 2),
@@ -405,14 +408,11 @@ def r3(t):
     return search.expand_last(_index(t), last)
 
 
-@query("R5_all_terms", _POST + """, g AS (SELECT request_id, token FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY token) AS n FROM q) WHERE n <= 3),
-    h AS (SELECT request_id, p.id, p.field, sum(CASE p.field WHEN 'title' THEN 6.0 ELSE 1.0 END) AS s FROM p JOIN g ON p.token = g.token GROUP BY 1, 2, 3),
-    c AS (SELECT request_id, p.id, count(DISTINCT p.token) AS n FROM p JOIN g ON p.token = g.token GROUP BY 1, 2)
-    SELECT h.request_id, h.id, max(s) AS best FROM h JOIN c ON c.request_id = h.request_id AND c.id = h.id WHERE c.n = (SELECT count(*) FROM g WHERE g.request_id = h.request_id) GROUP BY 1, 2""")
+@query("R5_all_terms", _POST + """, h AS (SELECT request_id, p.id, p.field, sum(CASE p.field WHEN 'title' THEN 6.0 ELSE 1.0 END) AS s FROM p JOIN q ON p.token = q.token GROUP BY 1, 2, 3),
+    c AS (SELECT request_id, p.id, count(DISTINCT p.token) AS n FROM p JOIN q ON p.token = q.token GROUP BY 1, 2)
+    SELECT h.request_id, h.id, max(s) AS best FROM h JOIN c ON c.request_id = h.request_id AND c.id = h.id WHERE c.n = (SELECT count(*) FROM q WHERE q.request_id = h.request_id) GROUP BY 1, 2""")
 def r5(t):
-    w = Window.partitionBy("request_id").orderBy("token")
-    three = _asked(t).withColumn("n", F.row_number().over(w)).where("n <= 3")
-    return search.all_terms(_index(t), three)
+    return search.all_terms(_index(t), _asked(t))
 
 
 @query("R9_incremental", _POST + ", k AS (SELECT * FROM p WHERE id % 3 <> 0 UNION ALL SELECT field, token, id, len, tf + 1 FROM p WHERE id % 6 = 0) SELECT field, count(*) AS n, sum(tf)::BIGINT AS tf FROM k GROUP BY 1")
@@ -424,8 +424,7 @@ def r9(t):
 
 @query("R10_schema_page", "SELECT id, part, label, n FROM (SELECT id, part, label, row_number() OVER (PARTITION BY id ORDER BY label, part) AS n FROM parts) WHERE n <= 5")
 def r10(t):
-    w = Window.partitionBy("id").orderBy("label", "part")
-    return t("parts").select("id", "part", "label", F.row_number().over(w).alias("n")).where("n <= 5")
+    return views.head_of_group(t("parts").select("id", "part", "label"), "id", 5, "label", "part")
 
 
 @query("A1_facet_counts", """
@@ -435,8 +434,8 @@ def r10(t):
     SELECT facet, value, n FROM (SELECT *, row_number() OVER (PARTITION BY facet ORDER BY n DESC, value) AS r FROM c) WHERE r <= 50""")
 def a1(t):
     d = t("datasets").where(filters.published(F.col("review_state")))
-    d = d.join(t("analysis_of").groupBy("id").agg(F.collect_set("member").alias("analysis")), "id", "left")
-    return search.facet_counts(d, ["data_domain", "level", "publisher", "analysis"])
+    analysis = t("analysis_of").select(F.lit("analysis").alias("facet"), F.col("member").alias("value"), "id")
+    return search.facet_counts(d, ["data_domain", "level", "publisher"], more=analysis)
 
 
 # --- rollups ---------------------------------------------------------------------------------------------------------
@@ -444,91 +443,93 @@ def a1(t):
 
 @query("A2_domain_by_level", "SELECT data_domain, count(*) FILTER (level = 1) AS l1, count(*) FILTER (level = 2) AS l2, count(*) FILTER (level = 3) AS l3 FROM datasets GROUP BY 1")
 def a2(t):
-    return t("datasets").groupBy("data_domain").agg(*[F.count_if(F.col("level") == i).alias(f"l{i}") for i in (1, 2, 3)])
+    return rollups.level_matrix(t("datasets"))
 
 
 @query("A3_unplaced_gaps", "SELECT p_brand, count(*) AS n FROM part WHERE p_brand NOT IN (SELECT member FROM analysis_of WHERE id % 10 = 0) GROUP BY 1")
 def a3(t):
-    covered = t("analysis_of").where("id % 10 = 0").select(F.col("member").alias("p_brand")).distinct()
-    return t("part").join(covered, "p_brand", "left_anti").groupBy("p_brand").agg(F.count("*").alias("n"))
+    covered = t("analysis_of").where("id % 10 = 0").select(F.col("member").alias("concept"))
+    return rollups.unplaced(t("part"), "p_brand", covered)
 
 
 @query("A4_domains", "SELECT r_name, count(id) AS n FROM region LEFT JOIN datasets ON data_domain = r_name AND level = 3 GROUP BY 1")
 def a4(t):
-    d = t("datasets").where("level = 3").groupBy(F.col("data_domain").alias("r_name")).agg(F.count("*").alias("n"))
-    return t("region").select("r_name").join(d, "r_name", "left").select("r_name", F.coalesce("n", F.lit(0)).alias("n"))
+    return rollups.counts_of_all(t("region").select("r_name"), t("datasets").where("level = 3").select(F.col("data_domain").alias("r_name")), "r_name")
 
 
 @query("A5_datasets_per_concept", "SELECT member, count(DISTINCT id) AS n FROM concept_of GROUP BY 1")
 def a5(t):
-    return t("concept_of").groupBy("member").agg(F.count_distinct("id").alias("n"))
+    return rollups.members_per(t("concept_of"))
 
 
-@query("A6_concept_card", "SELECT broader AS concept, string_agg(narrower, '|' ORDER BY narrower) AS narrower FROM broader GROUP BY 1")
+@query("A6_concept_card", """WITH u AS (SELECT broader AS c, 'n' AS k, narrower AS v FROM broader UNION SELECT narrower, 'b', broader FROM broader UNION SELECT 'N' || n_nationkey, 'l', n_name FROM nation UNION SELECT 'R' || r_regionkey, 'x', 'https://r.example.org/' || r_name FROM region)
+    SELECT c AS concept, coalesce(string_agg(v, '|' ORDER BY v) FILTER (k = 'b'), '') AS broader, coalesce(string_agg(v, '|' ORDER BY v) FILTER (k = 'n'), '') AS narrower, coalesce(string_agg(v, '|' ORDER BY v) FILTER (k = 'l'), '') AS alt_labels, coalesce(string_agg(v, '|' ORDER BY v) FILTER (k = 'x'), '') AS external FROM u GROUP BY 1""")
 def a6(t):
-    return t("broader").groupBy(F.col("broader").alias("concept")).agg(F.array_join(F.array_sort(F.collect_set("narrower")), "|").alias("narrower"))
+    labels = t("nation").select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("concept"), F.col("n_name").alias("label"))
+    matches = t("region").select(F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("concept"), F.concat(F.lit("https://r.example.org/"), "r_name").alias("external"))
+    cards = rollups.concept_cards(t("broader"), labels, matches)
+    return cards.select("concept", *[F.array_join(c, "|").alias(c) for c in ("broader", "narrower", "alt_labels", "external")])
 
 
 @query("A7_models_by_place", "SELECT nation, count(*) AS n, arg_min(title, id) AS label FROM datasets GROUP BY 1")
 def a7(t):
-    return t("datasets").groupBy("nation").agg(F.count("*").alias("n"), F.min_by("title", "id").alias("label"))
+    return rollups.by_place(t("datasets"), "nation")
 
 
 @query("A8_relevance_rates", "SELECT event_type, count(*) FILTER (value >= 10) AS accepted, count(*) FILTER (value < 10) AS rejected FROM events GROUP BY 1")
 def a8(t):
-    return t("events").groupBy("event_type").agg(F.count_if(F.col("value") >= 10).alias("accepted"), F.count_if(F.col("value") < 10).alias("rejected"))
+    return rollups.acceptance(t("events"), "event_type", F.col("value") >= 10)
 
 
 @query("A9_queue_counts", "SELECT review_state, count(*) AS n FROM datasets GROUP BY 1")
 def a9(t):
-    return t("datasets").groupBy("review_state").agg(F.count("*").alias("n"))
+    return rollups.state_counts(t("datasets"), "review_state")
 
 
 @query("A10_worst_health", "SELECT dataset_id, arg_min(health, CASE health WHEN 'unreachable' THEN 0 WHEN 'degraded' THEN 1 WHEN 'redirected' THEN 2 ELSE 3 END) AS worst, bool_and(health = 'unreachable') AS none_left FROM distributions GROUP BY 1")
 def a10(t):
-    rank = F.array_position(F.array(*map(F.lit, ("unreachable", "degraded", "redirected", "verified"))), F.col("health"))
-    return t("distributions").groupBy("dataset_id").agg(F.min_by("health", rank).alias("worst"), F.every(F.col("health") == "unreachable").alias("none_left"))
+    return rollups.worst_health(t("distributions"))
 
 
 @query("A11_dataset_rollup", "SELECT dataset_id, string_agg(DISTINCT media_type, '|' ORDER BY media_type) AS formats, bool_or(sliceable) AS ranges, bool_or(bulk) AS bulk, count(*) AS n FROM distributions GROUP BY 1")
 def a11(t):
-    return t("distributions").groupBy("dataset_id").agg(F.array_join(F.array_sort(F.collect_set("media_type")), "|").alias("formats"), F.bool_or("sliceable").alias("ranges"), F.bool_or("bulk").alias("bulk"), F.count("*").alias("n"))
+    return rollups.distribution_rollup(t("distributions")).withColumn("formats", F.array_join("formats", "|"))
 
 
 @query("A12_inbound_links", "SELECT parent AS id, count(DISTINCT child) AS inbound FROM lineage GROUP BY 1")
 def a12(t):
-    return t("lineage").groupBy(F.col("parent").alias("id")).agg(F.count_distinct("child").alias("inbound"))
+    return rollups.members_per(t("lineage"), "parent", "child").select(F.col("parent").alias("id"), F.col("n").alias("inbound"))
 
 
 @query("A16_run_rollup", "SELECT user_id, count(*) AS seen, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (event_type = 'view') AS unchanged, max(ts) FILTER (event_type <> 'error') AS last_good, arg_max(event_id, event_id) AS checkpoint FROM events GROUP BY 1")
 def a16(t):
-    return t("events").groupBy("user_id").agg(F.count("*").alias("seen"), F.count_if(F.col("event_type") == "error").alias("errors"), F.count_if(F.col("event_type") == "view").alias("unchanged"), F.max(F.when(F.col("event_type") != "error", F.col("ts"))).alias("last_good"), F.max_by("event_id", "event_id").alias("checkpoint"))
+    return rollups.run_rollup(t("events"), "user_id", "event_type", "ts", "event_id", unchanged="view")
 
 
 @query("A17_operating_totals", "SELECT country, round(sum(p_retailprice), 2) AS demand, count(*) FILTER (p_size > 10) AS online FROM buses JOIN part ON bus_id = p_partkey GROUP BY 1")
 def a17(t):
-    return t("buses").join(t("part"), F.col("bus_id") == F.col("p_partkey")).groupBy("country").agg(F.round(F.sum("p_retailprice"), 2).alias("demand"), F.count_if(F.col("p_size") > 10).alias("online"))
+    points = t("buses").join(t("part"), F.col("bus_id") == F.col("p_partkey"))
+    return rollups.operating_totals(points, "country", "p_retailprice", F.col("p_size") > 10)
 
 
 @query("A18_element_counts", "SELECT 'bus' AS kind, count(*) AS n FROM buses UNION ALL SELECT 'arc', count(*) FROM arcs")
 def a18(t):
-    return t("buses").select(F.lit("bus").alias("kind")).unionByName(t("arcs").select(F.lit("arc").alias("kind"))).groupBy("kind").agg(F.count("*").alias("n"))
+    return rollups.element_counts(bus=t("buses"), arc=t("arcs"))
 
 
 @query("A19_status", "SELECT 'catalog' AS metric, count(*) FILTER (review_state <> 'draft') AS value FROM datasets UNION ALL SELECT 'draft', count(*) FILTER (review_state = 'draft') FROM datasets")
 def a19(t):
-    return t("datasets").groupBy(F.when(F.col("review_state") == "draft", "draft").otherwise("catalog").alias("metric")).agg(F.count("*").alias("value"))
+    return rollups.status(t("datasets"))
 
 
 @query("A21_domain_summary", "SELECT data_domain, count(*) AS n, min(title) AS first FROM datasets WHERE id > 5 GROUP BY 1")
 def a21(t):
-    return t("datasets").where("id > 5").groupBy("data_domain").agg(F.count("*").alias("n"), F.min("title").alias("first"))
+    return rollups.domain_summary(t("datasets"), after=5)
 
 
 @query("A22_publisher_coverage", "SELECT publisher, count(*) AS candidates, count(*) FILTER (id IN (SELECT id FROM analysis_of)) AS indexed FROM datasets GROUP BY 1")
 def a22(t):
-    seen = t("analysis_of").select("id", F.lit(1).alias("s")).distinct()
-    return t("datasets").join(seen, "id", "left").groupBy("publisher").agg(F.count("*").alias("candidates"), F.count("s").alias("indexed"))
+    return rollups.publisher_coverage(t("datasets"), t("analysis_of"))
 
 
 @query("J1_search_document", """
@@ -536,11 +537,8 @@ def a22(t):
     LEFT JOIN (SELECT id, count(*) AS n FROM concept_of GROUP BY 1) c ON c.id = d.id LEFT JOIN (SELECT id, count(*) AS n FROM analysis_of GROUP BY 1) a ON a.id = d.id
     LEFT JOIN coverage v ON v.id = d.id LEFT JOIN (SELECT dataset_id, count(*) AS n, string_agg(DISTINCT media_type, '|' ORDER BY media_type) AS formats FROM distributions GROUP BY 1) f ON f.dataset_id = d.id""")
 def j1(t):
-    d = t("datasets").select("id", "title")
-    for name in ("concept", "analysis"):
-        d = d.join(t(f"{name}_of").groupBy("id").agg(F.count("*").alias({"concept": "concepts", "analysis": "analyses"}[name])), "id", "left")
-    f = t("distributions").groupBy(F.col("dataset_id").alias("id")).agg(F.count("*").alias("distributions"), F.array_join(F.array_sort(F.collect_set("media_type")), "|").alias("formats"))
-    return d.join(t("coverage").select("id", "t_start"), "id", "left").join(f, "id", "left").fillna(0, ["concepts", "analyses", "distributions"])
+    members = {"concepts": t("concept_of"), "analyses": t("analysis_of")}
+    return views.search_documents(t("datasets").select("id", "title"), members, t("coverage"), t("distributions")).drop("t_end").withColumn("formats", F.array_join("formats", "|"))
 
 
 # --- links -----------------------------------------------------------------------------------------------------------
@@ -587,7 +585,7 @@ _SIG = _SIG.replace("jc AS (SELECT c.source, c.target, (SELECT count(*) FROM con
 
 def _signals(t):
     d = t("datasets").join(t("coverage"), "id", "left")
-    pairs = _cand(t).select("source", "target")
+    pairs = shared.saved(_cand(t).select("source", "target"), "candidates")  # read by every signal
     out = linkage.jaccard_from_keys(pairs, t("concept_of"), "concept_overlap")
     out = linkage.jaccard_from_keys(out, t("analysis_of"), "workflow_tag_overlap")
     out = linkage.jaccard_from_keys(out, t("concept_of").where("member % 10 = 0"), "keys")
@@ -654,7 +652,7 @@ def l1c(t):
 # --- graphs ----------------------------------------------------------------------------------------------------------
 
 _CLO = """WITH RECURSIVE e AS (SELECT DISTINCT child, parent FROM lineage WHERE child <> parent),
-    c(node, ancestor, depth) AS (SELECT child, parent, 1 FROM e UNION SELECT c.node, e.parent, c.depth + 1 FROM c JOIN e ON c.ancestor = e.child WHERE c.depth < 32),
+    c(node, ancestor, depth) AS (SELECT child, parent, 1 FROM e UNION SELECT c.node, e.parent, c.depth + 1 FROM c JOIN e ON c.ancestor = e.child ),
     s AS (SELECT node, ancestor, min(depth) AS depth FROM c WHERE node <> ancestor GROUP BY 1, 2)
 """
 
@@ -669,11 +667,11 @@ def g2(t):
     return fixpoint.closure(t("lineage"))
 
 
-_PAIRS = "pr AS (SELECT p_partkey AS request_id, p_partkey AS a, p_partkey + 7 AS b FROM part WHERE p_size % 10 = 0)"
+_PAIRS = "pr AS (SELECT p_partkey AS request_id, p_partkey AS a, p_partkey + 7 AS b FROM part)"
 
 
 def _pairs(t):
-    return t("part").where("p_size % 10 = 0").select(F.col("p_partkey").alias("request_id"), F.col("p_partkey").alias("a"), (F.col("p_partkey") + 7).alias("b"))
+    return t("part").select(F.col("p_partkey").alias("request_id"), F.col("p_partkey").alias("a"), (F.col("p_partkey") + 7).alias("b"))
 
 
 @query("G3_shared_origins", _CLO + f", {_PAIRS} SELECT request_id, x.ancestor AS origin, x.depth AS depth_a, y.depth AS depth_b FROM pr JOIN s x ON x.node = pr.a JOIN s y ON y.node = pr.b AND x.ancestor = y.ancestor WHERE x.ancestor <> pr.a AND x.ancestor <> pr.b")
@@ -686,7 +684,7 @@ def l8(t):
     return graph.nearest_origin(graph.shared_origins(fixpoint.closure(t("lineage")), _pairs(t)))
 
 
-@query("G4_blast_radius", "WITH RECURSIVE r(q, node, depth) AS (SELECT n_nationkey, CAST(n_nationkey + 1 AS BIGINT), 0 FROM nation UNION SELECT q, child, depth + 1 FROM r JOIN lineage ON r.node = parent WHERE depth < 32) SELECT q AS request_id, node, min(depth) AS depth FROM r GROUP BY 1, 2 HAVING min(depth) > 0")
+@query("G4_blast_radius", "WITH RECURSIVE r(q, node, depth) AS (SELECT n_nationkey, CAST(n_nationkey + 1 AS BIGINT), 0 FROM nation UNION SELECT q, child, depth + 1 FROM r JOIN lineage ON r.node = parent) SELECT q AS request_id, node, min(depth) AS depth FROM r GROUP BY 1, 2 HAVING min(depth) > 0")
 def g4(t):
     starts = t("nation").select(F.col("n_nationkey").alias("request_id"), (F.col("n_nationkey") + 1).cast("long").alias("node"))
     return fixpoint.reach(t("lineage"), starts)
@@ -699,7 +697,7 @@ def g6(t):
     return p.join(c, (p.b == c.node) & (p.anc == c.ancestor), "left").select("request_id", F.coalesce("y", F.lit(False)).alias("derives"))
 
 
-@query("G7_assumption_depth")
+@query("G7_assumption_depth", "WITH RECURSIVE r(node, depth) AS (SELECT p_partkey, 0 FROM part WHERE p_partkey < 2 UNION SELECT child, depth + 1 FROM r JOIN lineage ON r.node = parent) SELECT p_partkey AS node, max(depth) AS depth FROM part LEFT JOIN r ON node = p_partkey GROUP BY 1")
 def g7(t):
     nodes = t("part").select(F.col("p_partkey").alias("node"), (F.col("p_partkey") < 2).alias("grounded"))
     return fixpoint.longest_depth(t("lineage"), nodes)
@@ -766,32 +764,36 @@ def j4(t):
     return c.join(d, "node").groupBy(F.col("ancestor").alias("concept")).agg(F.count("*").alias("datasets"))
 
 
-@query("J5_analysis_fitness", "SELECT id, member FROM analysis_of a WHERE NOT EXISTS (SELECT 1 FROM analysis_of x WHERE x.id = a.id - 1 AND x.member = a.member)")
+@query("J5_analysis_fitness", """WITH RECURSIVE c(n, a) AS (SELECT narrower, broader FROM broader UNION SELECT c.n, b.broader FROM c JOIN broader b ON c.a = b.narrower),
+    f AS (SELECT c_custkey AS id, 'N' || c_nationkey AS analysis FROM customer), w AS (SELECT id, analysis FROM f UNION SELECT id, a FROM f JOIN c ON c.n = f.analysis)
+    SELECT id, analysis FROM w WHERE NOT EXISTS (SELECT 1 FROM customer x JOIN nation ON n_nationkey = x.c_nationkey WHERE x.c_custkey = w.id AND x.c_custkey % 3 = 0 AND w.analysis = 'R' || n_regionkey)""")
 def j5(t):
-    a = t("analysis_of")
-    return a.join(a.select((F.col("id") + 1).alias("id"), "member"), ["id", "member"], "left_anti")
+    c = t("customer")
+    fit = c.select(F.col("c_custkey").alias("id"), F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("analysis"))
+    out = c.where("c_custkey % 3 = 0").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("id"), F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("analysis"))
+    return views.analysis_fitness(fit, fixpoint.closure(t("broader"), "narrower", "broader"), out)
 
 
 @query("J8_currency_worklist", "SELECT d.id, cadence, modified, superseded_by, t_end FROM datasets d LEFT JOIN coverage c ON c.id = d.id WHERE review_state = 'confirmed'")
 def j8(t):
-    return t("datasets").where("review_state = 'confirmed'").join(t("coverage"), "id", "left").select("id", "cadence", "modified", "superseded_by", "t_end")
+    return views.currency_worklist(t("datasets"), t("coverage"))
 
 
 @query("J11_branch_view", "SELECT arc_id, greatest(a.voltage, b.voltage) AS voltage, length FROM arcs JOIN buses a ON a.bus_id = bus0 JOIN buses b ON b.bus_id = bus1")
 def j11(t):
-    b = t("buses")
-    return t("arcs").join(b.select(F.col("bus_id").alias("bus0"), F.col("voltage").alias("v0")), "bus0").join(b.select(F.col("bus_id").alias("bus1"), F.col("voltage").alias("v1")), "bus1").select("arc_id", F.greatest("v0", "v1").alias("voltage"), "length")
+    return views.branches(t("arcs"), t("buses")).select("arc_id", "voltage", "length")
 
 
-@query("J12_row_order_join", "SELECT p_partkey AS idx, p_size <> s_nationkey AS bus_differs FROM part JOIN supplier ON p_partkey = s_suppkey")
+@query("J12_row_order_join", """WITH a AS (SELECT row_number() OVER (ORDER BY p_partkey) AS place, p_partkey, p_size FROM part), b AS (SELECT row_number() OVER (ORDER BY s_suppkey) AS place, s_suppkey, s_nationkey FROM supplier)
+    SELECT coalesce(a.place, b.place) AS place, p_partkey, s_suppkey, p_size <> s_nationkey AS bus_differs, (SELECT count(*) FROM part) <> (SELECT count(*) FROM supplier) AS slipped FROM a FULL JOIN b ON a.place = b.place""")
 def j12(t):
-    return t("part").join(t("supplier"), F.col("p_partkey") == F.col("s_suppkey")).select(F.col("p_partkey").alias("idx"), (F.col("p_size") != F.col("s_nationkey")).alias("bus_differs"))
+    d = views.by_row_order(t("part").select("p_partkey", "p_size"), t("supplier").select("s_suppkey", "s_nationkey"), "p_partkey", "s_suppkey")
+    return d.select("place", "p_partkey", "s_suppkey", (F.col("p_size") != F.col("s_nationkey")).alias("bus_differs"), "slipped")
 
 
 @query("J13_regenerable", "SELECT c_custkey, c_custkey IN (SELECT s_suppkey FROM supplier) AS regenerable FROM customer")
 def j13(t):
-    s = t("supplier").select(F.col("s_suppkey").alias("c_custkey"), F.lit(True).alias("r"))
-    return t("customer").join(s, "c_custkey", "left").select("c_custkey", F.coalesce("r", F.lit(False)).alias("regenerable"))
+    return views.present(t("customer"), "c_custkey", t("supplier"), "s_suppkey", "regenerable").select("c_custkey", "regenerable")
 
 
 # --- meaning ---------------------------------------------------------------------------------------------------------
@@ -810,7 +812,14 @@ def _asked_parts(t):
     return t("parts").select("part", F.concat(F.col("label"), F.lit(" "), F.coalesce("definition", F.lit(""))).alias("local_name"), F.lit("").alias("label"), F.when(F.col("part") % 50 == 0, F.col("label")).alias("confirmed"))
 
 
-@query("M4_similarity_rung")
+_LEX = """WITH q AS (SELECT part, list_distinct(string_split(label || CASE WHEN definition IS NULL THEN '' ELSE ' ' || lower(definition) END, ' ')) AS q, label FROM parts),
+    c AS (SELECT p_name AS concept, list_distinct(string_split(p_name || ' alt', ' ')) AS l, list_distinct([lower(min(p_type))]) AS d FROM part GROUP BY 1),
+    s AS (SELECT part, label, concept, 0.7::DOUBLE * len(list_intersect(q, l)) / (len(q) + len(l) - len(list_intersect(q, l))) + 0.3::DOUBLE * len(list_intersect(q, d)) / len(q) AS score FROM q JOIN c ON len(list_intersect(q, list_concat(l, d))) > 0),
+    r AS (SELECT *, row_number() OVER w AS n, lead(score) OVER w AS second, lead(concept) OVER w AS other FROM s WINDOW w AS (PARTITION BY part ORDER BY round(score, 9) DESC, concept)),
+    g AS (SELECT *, CASE WHEN round(score, 9) < 0.25 THEN 'below-threshold' WHEN second IS NOT NULL AND round(score - second, 9) < 0.05 THEN 'near-tie:' || concept || '|' || other END AS gap FROM r WHERE n = 1)"""
+
+
+@query("M4_similarity_rung", _LEX + "SELECT part, CASE WHEN gap IS NULL THEN concept END AS concept, round(score, 4) AS score, gap FROM g")
 def m4(t):
     return meaning.resolve_by_score(meaning.lexical_scores(_asked_parts(t), _concepts(t)))
 
@@ -912,7 +921,7 @@ def v9(t):
 
 @query("A15_blockers", _VIOL + "SELECT path, count(*) AS n FROM v GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8")
 def a15(t):
-    return rules.violations(t("datasets"), _rules()).groupBy("path").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "path").limit(8)
+    return rollups.blockers(rules.violations(t("datasets"), _rules()))
 
 
 @query("V4_scheme", "SELECT p_partkey, p_brand AS value FROM part WHERE p_brand NOT IN (SELECT member FROM analysis_of WHERE id % 20 = 0)")
@@ -921,9 +930,11 @@ def v4(t):
     return rules.not_in_scheme(t("part").select("p_partkey", F.col("p_brand").alias("value")), scheme)
 
 
-@query("V10_network_faults", "SELECT 'self-loop' AS rule, arc_id FROM arcs WHERE bus0 = bus1 UNION ALL SELECT 'dangling-bus0', arc_id FROM arcs WHERE bus0 NOT IN (SELECT bus_id FROM buses) UNION ALL SELECT 'dangling-bus1', arc_id FROM arcs WHERE bus1 NOT IN (SELECT bus_id FROM buses)")
+@query("V10_network_faults", """WITH n AS (SELECT bus_id FROM buses WHERE bus_id % 9 <> 0), a AS (SELECT arc_id, bus0, CASE WHEN arc_id % 5 = 0 THEN bus0 ELSE bus1 END AS bus1 FROM arcs)
+    SELECT 'self-loop' AS rule, arc_id FROM a WHERE bus0 = bus1 UNION ALL SELECT 'dangling-bus0', arc_id FROM a WHERE bus0 NOT IN (SELECT bus_id FROM n) UNION ALL SELECT 'dangling-bus1', arc_id FROM a WHERE bus1 NOT IN (SELECT bus_id FROM n)""")
 def v10(t):
-    return rules.network_faults(t("buses").where("true"), t("arcs"))
+    arcs = t("arcs").withColumn("bus1", F.when(F.col("arc_id") % 5 == 0, F.col("bus0")).otherwise(F.col("bus1")))
+    return rules.network_faults(t("buses").where("bus_id % 9 <> 0"), arcs)
 
 
 @query("V12_dispatch_faults", "SELECT CASE WHEN p_size % 3 = 0 AND p_size <> 0 THEN 'offline-output' ELSE 'dispatch-range' END AS rule, p_partkey AS idx FROM part WHERE (p_size % 3 = 0 AND p_size <> 0) OR (p_size % 3 <> 0 AND p_size NOT BETWEEN 5 AND 40)")
@@ -934,7 +945,7 @@ def v12(t):
 
 @query("V14_slipped_join", "SELECT count(DISTINCT (p_size, p_retailprice)) * 1.0 / count(*) > 0.8 AS slipped, count(*) AS units FROM part")
 def v14(t):
-    return t("part").agg((F.count_distinct(F.struct("p_size", "p_retailprice")) / F.count("*") > 0.8).alias("slipped"), F.count("*").alias("units"))
+    return views.slipped_join(t("part"), ["p_size", "p_retailprice"])
 
 
 @query("V15_promotion_gates", """
@@ -946,7 +957,7 @@ def v15(t):
 
 @query("V16_publication_refusal", "SELECT id, west IS NULL AND cadence IS NULL AND level = 1 AS refused FROM datasets")
 def v16(t):
-    return t("datasets").select("id", (F.col("west").isNull() & F.col("cadence").isNull() & (F.col("level") == 1)).alias("refused"))
+    return views.refused(t("datasets"), F.col("west").isNotNull() | F.col("cadence").isNotNull() | (F.col("level") > 1))
 
 
 # --- changes ---------------------------------------------------------------------------------------------------------
@@ -1035,18 +1046,17 @@ def h12(t):
 
 @query("H13_retention", "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-20 00:00:00'")
 def h13(t):
-    return t("events").where(F.col("ts") >= F.lit(datetime(2024, 1, 20))).select("event_id")
+    return views.retained(t("events"), "ts", datetime(2024, 1, 20)).select("event_id")
 
 
 @query("H15_audit", "SELECT event_type, count(*) AS n, max(ts) AS newest FROM events WHERE event_type IN ('error', 'signup') GROUP BY 1")
 def h15(t):
-    return t("events").where(F.col("event_type").isin("error", "signup")).groupBy("event_type").agg(F.count("*").alias("n"), F.max("ts").alias("newest"))
+    return rollups.audit(t("events"), "event_type", "ts", ["error", "signup"])
 
 
 @query("H16_projector_lag", "SELECT CAST(epoch(max(ts)) - epoch(max(ts) FILTER (event_type = 'view')) AS BIGINT) AS lag FROM (SELECT date_trunc('second', ts) AS ts, event_type FROM events)")
 def h16(t):
-    e = t("events")
-    return e.agg((F.unix_seconds(F.max("ts").cast("timestamp")) - F.unix_seconds(F.max(F.when(F.col("event_type") == "view", F.col("ts"))).cast("timestamp"))).alias("lag"))
+    return rollups.lag_seconds(t("events"), "ts", F.col("event_type") == "view")
 
 
 @query("H17_access_path", "SELECT dataset_id, distribution_id, reachable, a AS alternatives FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY reachable DESC, sliceable DESC, anonymous DESC, requester_pays, bulk DESC, distribution_id) AS n, count(*) OVER (PARTITION BY dataset_id) - 1 AS a FROM distributions) WHERE n = 1")
@@ -1068,21 +1078,20 @@ def h19(t):
 
 @query("H22_issued_plans", "SELECT event_id, ts + INTERVAL 900 SECOND AS expires_at, ts + INTERVAL 900 SECOND > TIMESTAMP '2024-01-15 00:00:00' AS active FROM events WHERE event_type = 'purchase'")
 def h22(t):
-    end = F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(900))
-    return t("events").where("event_type = 'purchase'").select("event_id", end.alias("expires_at"), (end > F.lit(datetime(2024, 1, 15))).alias("active"))
+    return views.plans(t("events").where("event_type = 'purchase'"), "ts", 900, datetime(2024, 1, 15)).select("event_id", "expires_at", "active")
 
 
 @query("H23_intake", "SELECT event_id FROM events WHERE event_type = 'signup' ORDER BY ts, event_id LIMIT 50")
 def h23(t):
-    return t("events").where("event_type = 'signup'").orderBy("ts", "event_id").limit(50).select("event_id")
+    return views.intake(t("events").where("event_type = 'signup'"), 50, "ts", "event_id").select("event_id")
 
 
 # --- networks --------------------------------------------------------------------------------------------------------
 
 
-@query("X1_country_subset", "SELECT arc_id FROM arcs WHERE bus0 IN (SELECT bus_id FROM buses WHERE country = 'Brand#2') AND bus1 IN (SELECT bus_id FROM buses WHERE country = 'Brand#2')")
+@query("X1_country_subset", "SELECT arc_id FROM arcs WHERE bus0 IN (SELECT bus_id FROM buses WHERE country = 'ECONOMY') AND bus1 IN (SELECT bus_id FROM buses WHERE country = 'ECONOMY')")
 def x1(t):
-    return network.subset(t("buses"), t("arcs"), "Brand#2")[1].select("arc_id")
+    return network.subset(t("buses"), t("arcs"), "ECONOMY")[1].select("arc_id")
 
 
 @query("X3_line_parameters", """WITH ty(voltage, r, x, c, i, nom) AS (VALUES (220.0, 0.06, 0.301, 12.5, 1.29, 220.0), (275.0, 0.04, 0.265, 13.2, 1.935, 300.0), (380.0, 0.03, 0.246, 13.8, 2.58, 380.0), (400.0, 0.03, 0.246, 13.8, 2.58, 380.0))
@@ -1098,14 +1107,13 @@ def x3(t):
 @query("X4_transformers", """SELECT arc_id AS transformer_id, CAST(CASE WHEN lo = 275 AND hi = 400 THEN 750 WHEN lo = 220 AND hi = 400 THEN 500 ELSE 240 END AS DOUBLE) AS rating_mva, round(0.13 * hi * hi / CASE WHEN lo = 275 AND hi = 400 THEN 750 WHEN lo = 220 AND hi = 400 THEN 500 ELSE 240 END, 3) AS x_ohm
     FROM (SELECT arc_id, least(a.voltage, b.voltage) AS lo, greatest(a.voltage, b.voltage) AS hi FROM arcs JOIN buses a ON a.bus_id = bus0 JOIN buses b ON b.bus_id = bus1)""")
 def x4(t):
-    b = t("buses")
-    d = t("arcs").join(b.select(F.col("bus_id").alias("bus0"), F.col("voltage").alias("voltage_bus0")), "bus0").join(b.select(F.col("bus_id").alias("bus1"), F.col("voltage").alias("voltage_bus1")), "bus1").withColumnRenamed("arc_id", "transformer_id")
+    d = views.branches(t("arcs"), t("buses")).withColumnRenamed("arc_id", "transformer_id")
     return network.transformer_parameters(d).select("transformer_id", "rating_mva", F.round("x_ohm", 3).alias("x_ohm"))
 
 
 @query("X5_surrogate_ids", "SELECT p_partkey, row_number() OVER (PARTITION BY p_type ORDER BY p_brand, p_partkey) AS id FROM part")
 def x5(t):
-    return t("part").select("p_partkey", F.row_number().over(Window.partitionBy("p_type").orderBy("p_brand", "p_partkey")).alias("id"))
+    return views.surrogate_ids(t("part"), "p_type", "p_brand", "p_partkey").select("p_partkey", "id")
 
 
 @query("X7_linestring", "SELECT bus_id, 2 AS n, round(x, 5) AS x0, round(y + 1, 5) AS y1 FROM buses")

@@ -36,7 +36,7 @@ VIEWS = {
         SELECT 'N' || n_nationkey AS narrower, 'R' || n_regionkey AS broader FROM nation
         UNION ALL SELECT 'S' || s_suppkey, 'N' || s_nationkey FROM supplier
         UNION ALL SELECT 'C' || c_custkey, 'N' || c_nationkey FROM customer""",
-    "buses": "SELECT p_partkey AS bus_id, CASE p_size % 4 WHEN 0 THEN 220.0E0 WHEN 1 THEN 275.0E0 WHEN 2 THEN 380.0E0 ELSE 400.0E0 END AS voltage, p_brand AS country, CAST(p_partkey % 97 AS DOUBLE) AS x, CAST(p_partkey % 89 AS DOUBLE) AS y FROM part",
+    "buses": "SELECT p_partkey AS bus_id, CASE p_size % 4 WHEN 0 THEN 220.0E0 WHEN 1 THEN 275.0E0 WHEN 2 THEN 380.0E0 ELSE 400.0E0 END AS voltage, p_type AS country, CAST(p_partkey % 97 AS DOUBLE) AS x, CAST(p_partkey % 89 AS DOUBLE) AS y FROM part",
     "arcs": "SELECT DISTINCT o_orderkey AS arc_id, CAST(o_custkey AS BIGINT) AS bus0, l_partkey AS bus1, l_quantity * 1013.37E0 AS length, CAST(l_linenumber AS INT) AS circuits FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1 AND l_discount < 0.015 AND o_totalprice > 250000",
     "probes": """
         SELECT event_id AS probe_id, user_id AS distribution_id, ts AS probed_at,

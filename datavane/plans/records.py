@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from datetime import date, datetime
+
 from pyspark.sql import functions as F
 
-from ..operators import changes, filters, meaning
+from ..operators import changes, filters, meaning, rollups, views
 from ..sources import loaders
 from ..streaming import jobs
 from . import demo
@@ -25,10 +27,11 @@ def stream(name: str, sql: str | None = None):
 
 @query("S11_counts_by_graph", "SELECT source, count(*) AS n FROM documents GROUP BY 1")
 def s11(t):
-    return t("documents").groupBy("source").agg(F.count("*").alias("n"))
+    return rollups.state_counts(t("documents"), "source")
 
 
-@query("S12_checksum")
+@query("S12_checksum", """WITH h AS (SELECT ('0x' || substr(md5(coalesce('=' || doc_id, '-') || chr(31) || coalesce('=' || lang, '-') || chr(31) || coalesce('=' || n_chars, '-') || chr(31) || coalesce('=' || source, '-') || chr(31) || coalesce('=' || text, '-')), 1, 15))::BIGINT AS h FROM documents)
+    SELECT count(*) AS n, CAST(sum(h::HUGEINT) AS VARCHAR) || ':' || CAST(bit_xor(h) AS VARCHAR) AS hash FROM h""")
 def s12(t):
     return loaders.checksum(t("documents"))
 
@@ -68,29 +71,32 @@ def j6(t):
     return meaning.unit_audit(c)
 
 
-@query("J7_federated_join", "SELECT l_orderkey, l_linenumber, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity = 50")
+@query("J7_federated_join", "SELECT l_orderkey, l_linenumber, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey ")
 def j7(t):
-    return t("lineitem").where("l_quantity = 50").join(t("part"), F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", "p_brand")
+    rows = t("lineitem").select(F.col("l_partkey").alias("part"), "l_orderkey", "l_linenumber")
+    return views.labelled(rows, "part", t("part"), "p_partkey", "p_brand").select("l_orderkey", "l_linenumber", "p_brand")
 
 
-@query("J9_labels", "SELECT l_orderkey, l_linenumber, s_name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_discount = 0.07")
+@query("J9_labels", "SELECT l_orderkey, l_linenumber, s_name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey ")
 def j9(t):
-    return t("lineitem").where("l_discount = 0.07").join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select("l_orderkey", "l_linenumber", "s_name")
+    rows = t("lineitem").select(F.col("l_suppkey").alias("supplier"), "l_orderkey", "l_linenumber")
+    return views.labelled(rows, "supplier", t("supplier"), "s_suppkey", "s_name").select("l_orderkey", "l_linenumber", "s_name")
 
 
 @query("J10_component_rows", "SELECT p_partkey, coalesce(s_name, 'unnamed') AS name FROM part LEFT JOIN supplier ON s_suppkey = p_partkey")
 def j10(t):
-    return t("part").join(t("supplier"), F.col("p_partkey") == F.col("s_suppkey"), "left").select("p_partkey", F.coalesce("s_name", F.lit("unnamed")).alias("name"))
+    named = views.labelled(t("part").select("p_partkey"), "p_partkey", t("supplier"), "s_suppkey", "s_name", "unnamed")
+    return named.select("p_partkey", F.col("s_name").alias("name"))
 
 
 @query("E9_active_plans", "SELECT user_id, count(*) AS plans FROM events WHERE event_type = 'purchase' AND ts > TIMESTAMP '2024-01-20 00:00:00' GROUP BY 1")
 def e9(t):
-    return t("events").where("event_type = 'purchase' and ts > timestamp_ntz '2024-01-20 00:00:00'").groupBy("user_id").agg(F.count("*").alias("plans"))
+    return rollups.active(t("events"), "user_id", "ts", datetime(2024, 1, 20), F.col("event_type") == "purchase")
 
 
 @query("E10_custodians", "SELECT publisher, string_agg(title, '|' ORDER BY title) AS acts_for FROM datasets WHERE regexp_matches(iri, '^https?://') GROUP BY 1")
 def e10(t):
-    return t("datasets").where(F.col("iri").rlike("^https?://")).groupBy("publisher").agg(F.array_join(F.array_sort(F.collect_set("title")), "|").alias("acts_for"))
+    return rollups.acts_for(t("datasets")).withColumn("acts_for", F.array_join("acts_for", "|"))
 
 
 @query("H6_conflicts", "SELECT p_partkey AS id, 'brand' AS p FROM part WHERE p_size % 5 = 0 AND p_size % 2 = 0")
@@ -102,7 +108,7 @@ def h6(t):
 
 @query("H14_overdue_copies", "SELECT id FROM datasets WHERE modified < DATE '2000-01-01'")
 def h14(t):
-    return t("datasets").where("modified < date '2000-01-01'").select("id")
+    return views.overdue(t("datasets"), "modified", date(2000, 1, 1)).select("id")
 
 
 @query("H20_caveats", """SELECT distribution_id, array_to_string(list_filter([CASE WHEN NOT reachable THEN 'unreachable at the last probe' END, CASE WHEN NOT anonymous THEN 'needs an account' END, CASE WHEN requester_pays THEN 'the requester pays for transfer' END, CASE WHEN sliceable AND chunk_index IS NULL THEN 'ranges without a chunk index' END], lambda x: x IS NOT NULL), '; ') AS caveats FROM distributions""")
