@@ -200,5 +200,53 @@ def test_shared_members_of_hot_and_rare_keys(spark):
     sets = {i: {rng.randrange(40) for _ in range(15)} | {99} for i in range(12)}
     df = spark.createDataFrame([(i, m) for i, s in sets.items() for m in s], "id long, member long")
     pairs = spark.createDataFrame([(a, b) for a in sets for b in sets if a != b], "source long, target long")
-    got = {(r.source, r.target): r.s for r in linkage.shared_members(pairs, df, hot=5).collect()}
+    got = {(r.source, r.target): r.s for r in linkage.shared_members(pairs, df).collect()}
     assert got == {(a, b): len(sets[a] & sets[b]) for a in sets for b in sets if a != b}
+
+
+def test_overlaps_of_pairs(spark):
+    sets = {1: {1, 2, 3}, 2: {2, 3, 4}, 3: {9}}
+    df = spark.createDataFrame([(i, m) for i, s in sets.items() for m in s] + [(1, 1)], "id long, member long")
+    pairs = spark.createDataFrame([(1, 2), (2, 1), (1, 3), (1, 7), (7, 8)], "source long, target long")
+    got = {(r.source, r.target): (r.o, r.o_shared) for r in linkage.jaccard_from_keys(pairs, df, "o").collect()}
+    assert got == {(1, 2): (0.5, 2), (2, 1): (0.5, 2), (1, 3): (0.0, 0), (1, 7): (0.0, 0), (7, 8): (0.0, 0)}
+
+
+def test_long_chains_and_cycles_have_no_depth_cap(spark):
+    chain = spark.createDataFrame([(i, i - 1) for i in range(1, 101)] + [(200, 201), (201, 200)], "child long, parent long")
+    got = {(r.node, r.ancestor): r.depth for r in fixpoint.closure(chain).collect()}
+    assert got == {(a, b): a - b for a in range(1, 101) for b in range(a)} | {(200, 201): 1, (201, 200): 1}
+    assert {r.depth for r in fixpoint.closure(chain, max_depth=5).collect()} == {1, 2, 3, 4, 5}
+    nodes = spark.createDataFrame([(i, i == 0) for i in [*range(71), 200, 201]], "node long, grounded boolean")
+    depth = {r.node: r.depth for r in fixpoint.longest_depth(chain.where("child < 71 or child >= 200"), nodes).collect()}
+    assert depth == {i: i for i in range(71)} | {200: None, 201: None}
+
+
+def test_places_follow_the_whole_order(spark):
+    from datavane.operators import views
+
+    rows = [(i, (i * 7) % 50 if i % 9 else None) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, v long").repartition(7)
+    want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    assert [r.id for r in sorted(filters.placed(df, ("v", True), tie="id").collect(), key=lambda r: r.place)] == [i for i, _ in want]
+    assert sorted(r.place for r in filters.placed(df, ("v", True), tie="id").collect()) == list(range(1, 201))
+    other = spark.createDataFrame([(i, i * i) for i in range(198)], "k long, w long")
+    got = views.by_row_order(df, other, "id", "k").collect()
+    assert len(got) == 200 and all(r.slipped for r in got) and all(r.id == r.k or r.k is None for r in got)
+
+
+def test_callers_see_what_they_may(spark):
+
+    d = spark.createDataFrame([(1, "public"), (2, "allowlisted-metadata"), (3, "allowlisted-existence"), (4, "allowlisted-existence")], "id long, visibility string")
+    g = spark.createDataFrame([(3, "p", None), (2, None, "A@b.c"), (9, "p", None)], "dataset_id long, principal_id string, email string")
+    c = spark.createDataFrame([("x", None, None, False, None), ("y", "p", "a@B.c", False, 4), ("s", None, None, True, None)], "caller_id string, principal_id string, email string, is_steward boolean, custodian_of long")
+    got = {(r.caller_id, r.id): r.full for r in filters.visible(d, g, c).collect()}
+    assert got == {("x", 1): True, ("x", 2): False, ("y", 1): True, ("y", 2): True, ("y", 3): True, ("y", 4): True, **{("s", i): True for i in (1, 2, 3, 4)}}
+
+
+def test_postings_count_in_their_own_row(spark):
+
+    df = spark.createDataFrame([(1, "b a b", None), (2, "", "c"), (3, None, "a a a")], "id long, t string, d string")
+    got = {(r.field, r.token, r.id, r.tf, r.len) for r in search.postings(df, "id", ["t", "d"]).collect()}
+    assert got == {("t", "a", 1, 1, 3), ("t", "b", 1, 2, 3), ("d", "c", 2, 1, 1), ("d", "a", 3, 3, 3)}
+    assert "Exchange" not in search.postings(df, "id", ["t", "d"])._jdf.queryExecution().executedPlan().toString()
