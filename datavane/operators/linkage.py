@@ -13,19 +13,29 @@ TIERS = ((5, 0.80), (4, 0.60), (3, 0.40), (2, 0.20), (1, 0.0))
 GRADE_VALUE = {"A": 1.0, "B": 0.7, "C": 0.4, "D": 0.1}
 
 
-def candidates(keys: DataFrame, titles: DataFrame, cap: int = 200) -> DataFrame:
-    """source, target, rung for keys (id, rung, key): pairs that share a key, at their first rung.
-
-    Each key's block is cut to `cap` members in title order before the self-join, so a key that many datasets have costs
-    at most cap pairs a member: this cap is the feature (only so many suggestions are ranked), and pairs_cut() counts it.
-    A rung is passed over for sources that have `cap` candidates from earlier rungs."""
-    rows = keys.join(titles, "id")
-    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("rung", "key").orderBy("title", "id"))).where(F.col("r") <= cap)
-    pairs = rows.select(F.col("id").alias("source"), "rung", "key").join(ranked.select(F.col("id").alias("target"), "rung", "key"), ["rung", "key"]).where("source <> target")
-    first = pairs.groupBy("source", "target").agg(F.min("rung").alias("rung"))
+def candidates(keys: DataFrame, titles: DataFrame, cap: int = 200, neighbours: DataFrame | None = None, visible: DataFrame | None = None, neighbour_rung: int = 4) -> DataFrame:
+    """source, target, rung for keys (id, rung, key): what a source meets at each rung, at the first rung where it meets it.
+
+    A rung yields the first `cap` records in title order that share any of the source's keys there (the source itself takes one
+    of those places), and is passed over for sources that have `cap` candidates from earlier rungs: this cap is the feature, only
+    so many suggestions are ranked. A key's own first `cap` members are all that can be among them, so each block is cut
+    to these before the self-join, without a change of the result. Targets are kept only if in `visible` (id), once the places are
+    dealt. The pairs of `neighbours` (source, target) are added at their own rung, without a cap."""
+    by_key = Window.partitionBy("rung", "key").orderBy("title", "id")
+    head = keys.join(titles, "id").withColumn("r", F.row_number().over(by_key)).where(F.col("r") <= cap)
+    hits = keys.select(F.col("id").alias("source"), "rung", "key").join(head.select(F.col("id").alias("target"), "title", "rung", "key"), ["rung", "key"])
+    by_source = Window.partitionBy("source", "rung").orderBy("title", "target")
+    best = hits.select("source", "rung", "target", "title").distinct().withColumn("r", F.row_number().over(by_source)).where((F.col("r") <= cap) & (F.col("source") != F.col("target")))
+    if visible is not None:
+        best = best.join(visible.select(F.col("id").alias("target")), "target", "left_semi")
+    first = best.groupBy("source", "target").agg(F.min("rung").alias("rung"))
     have = first.groupBy("source", "rung").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("rung").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return first.join(have.select("source", "rung", before.alias("before")), ["source", "rung"]).where(F.col("before") < cap).select("source", "target", "rung")
+    out = first.join(have.select("source", "rung", before.alias("before")), ["source", "rung"]).where(F.col("before") < cap).select("source", "target", "rung")
+    if neighbours is None:
+        return out
+    more = neighbours if visible is None else neighbours.join(visible.select(F.col("id").alias("target")), "target", "left_semi")
+    return out.unionByName(more.select("source", "target", F.lit(neighbour_rung).alias("rung"))).groupBy("source", "target").agg(F.min("rung").alias("rung"))
 
 
 def pairs_cut(keys: DataFrame, cap: int = 200) -> DataFrame:
@@ -43,8 +53,46 @@ def shared_members(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return own.join(rows.select(F.col("id").alias("target"), "member"), ["target", "member"]).groupBy("source", "target").agg(F.count("*").alias("s"))
 
 
+def lineage_rung(closure: DataFrame, nodes: DataFrame) -> DataFrame:
+    """source, target: nodes (id) and the derived records that share an ancestor with them, or are its ancestor or
+    descendant. Every such pair is a row, because each of them is to be warned of; a target has an ancestor itself."""
+    itself = lambda df: df.select(F.col("id").alias("node"), F.col("id").alias("ancestor")).distinct()
+    up = closure.select("node", "ancestor")
+    a = up.join(nodes.select(F.col("id").alias("node")), "node", "left_semi").unionByName(itself(nodes))
+    b = up.unionByName(itself(up.select(F.col("node").alias("id"))))
+    pairs = a.select(F.col("node").alias("source"), "ancestor").join(b.select(F.col("node").alias("target"), "ancestor"), "ancestor")
+    return pairs.where("source <> target").select("source", "target").distinct()
+
+
+def with_origin(pairs: DataFrame, closure: DataFrame) -> DataFrame:
+    """pairs with origin, depth_source and depth_target of the nearest ancestor of both that is neither of the two (the least nearer
+    depth, then the least farther one, then the smallest name), correlated where there is one, and derived where one is an
+    ancestor of the other. Each pair looks up its own ancestors."""
+    p = pairs.select("source", "target")
+    up = lambda side: closure.select(F.col("node").alias(side), F.col("ancestor"), F.col("depth").alias(f"depth_{side}"))
+    both = p.join(up("source"), "source").join(up("target"), ["target", "ancestor"]).where("ancestor <> source and ancestor <> target")
+    key = F.struct(F.least("depth_source", "depth_target").alias("n"), F.greatest("depth_source", "depth_target").alias("f"), F.col("ancestor").alias("origin"), "depth_source", "depth_target")
+    near = both.groupBy("source", "target").agg(F.min(key).alias("m")).select("source", "target", "m.origin", "m.depth_source", "m.depth_target")
+    line = closure.select(F.col("node").alias("source"), F.col("ancestor").alias("target"))
+    line = line.unionByName(line.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct().withColumn("derived", F.lit(True))
+    out = pairs.join(near, ["source", "target"], "left").join(line, ["source", "target"], "left")
+    return out.withColumn("correlated", F.col("origin").isNotNull()).withColumn("derived", F.coalesce("derived", F.lit(False)))
+
+
+def shared_labels(links: DataFrame, sets: DataFrame, labels: DataFrame, name: str, n: int | None = None, by: str = "label") -> DataFrame:
+    """links with an array `name`: the labels (member, label) of what sets (id, member) of both sides share, in the order of `by`,
+    the first n. Meant for the links that are shown, so it follows their number."""
+    rows = sets.select("id", "member").distinct()
+    own = links.select("source", "target").join(rows.select(F.col("id").alias("source"), "member"), "source").join(rows.select(F.col("id").alias("target"), "member"), ["target", "member"])
+    got = own.join(labels.select("member", "label"), "member").groupBy("source", "target").agg(F.array_sort(F.collect_set(F.struct(F.col(by).alias("by"), "label"))).alias("x"))
+    x = F.transform("x", lambda v: v["label"])
+    got = got.select("source", "target", (x if n is None else F.slice(x, 1, n)).alias(name))
+    return links.join(got, ["source", "target"], "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+
+
 def jaccard_from_keys(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
-    """pairs with a column `name`: shared over all members of sets (id, member), 0 without any; and name_shared.
+    """pairs with a column `name`: shared over all members of sets (id, member), 0 without any; name_shared; and name_both, whether
+    both sides have members.
 
     A set travels as one sorted array, and is met with the other of its pair once, so the work follows pairs x set size."""
     each = sets.groupBy("id").agg(F.array_sort(F.collect_set("member")).alias("m"))
@@ -56,6 +104,7 @@ def jaccard_from_keys(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame
     out = out.withColumn(f"{name}_shared", F.when(F.col("__source").isNull() | F.col("__target").isNull(), 0).otherwise(shared).cast("long"))
     have = lambda c: F.when(F.col(c).isNull(), 0).otherwise(size(c))
     union = have("__source") + have("__target") - F.col(f"{name}_shared")
+    out = out.withColumn(f"{name}_both", (have("__source") > 0) & (have("__target") > 0))
     return out.withColumn(name, F.when(union > 0, F.col(f"{name}_shared") / union).otherwise(F.lit(0.0))).drop("__source", "__target")
 
 
@@ -69,6 +118,16 @@ def box_iou(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
     return F.when(missing, 0.0).when(area > 0, inter / area).otherwise(F.lit(0.0))
 
 
+def geographic(a: tuple[Column, ...], b: tuple[Column, ...], places: Column, places_both: Column) -> dict[str, Column]:
+    """Columns geographic_overlap and geographic_method: of the boxes where both sides have one, else of the named places where both
+    have some (`places`, their Jaccard), else 0 by method none: coverage not captured."""
+    boxed = a[0].isNotNull()
+    for c in (*a[1:], *b):
+        boxed &= c.isNotNull()
+    method = F.when(boxed, "bbox-iou").when(places_both, "place-iris").otherwise("none")
+    return {"geographic_overlap": F.when(boxed, box_iou(a, b)).when(places_both, places).otherwise(F.lit(0.0)), "geographic_method": method}
+
+
 def time_iou(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     """Shared over covered seconds of two windows with both ends; swapped ends are put right; 0 when an end is missing."""
     s = [F.unix_seconds(c.cast("timestamp")) for c in (a0, a1, b0, b1)]
@@ -107,20 +166,84 @@ def relation(supersedes: Column, superseded_by: Column, derived: Column, other_p
     return F.when(supersedes, "supersedes").when(superseded_by, "superseded-by").when(derived, "derived-from").when(alike & other_publisher, "substitute").when(useful, "complementary").otherwise("related")
 
 
-def reasons(shared_concepts: Column, workflow: Column, start: Column, end: Column) -> Column:
-    """Why a pair is suggested; built only for rows that are shown."""
+#: Granularities in order, and the sentences of links.
+GRANULARITIES = ("point", "nodal", "zonal", "administrative", "gridded")
+SUPERSEDES = "Supersedes %s, which this record replaces."
+SUPERSEDED = "Superseded by %s. Prefer that record for new work."
+DERIVED = "Directly related by lineage: one of these is built from the other, so agreement between them is not independent evidence."
+GRANULARITY = "%s versus %s: different granularity of the same subject. Useful together for validation, and not interchangeable."
+JOINABLE = "Joinable on %s. Different measurements of the same entities, so the two can be combined row by row rather than merely compared."
+FEEDS = "Both feed: %s."
+SUBSTITUTE = "Alternative source for the same quantities over the same coverage. %s and %s publish these independently; a study uses one, not both."
+COMPLEMENTARY = "Different physics, complementary: shares %s."
+RELATED = "Related through shared coverage; no stronger connection is recorded."
+WARNING = (
+    "These two are not independent: both trace back to %s — %s. Agreement between them is partly that source agreeing with itself, so treating "
+    "them as corroborating evidence understates uncertainty. Use them together for coverage, not for validation."
+)
+
+
+def listed(items: Column) -> Column:
+    """The items of an array with commas between them and `and` before the last."""
+    n = F.size(items)
+    return F.when(n > 1, F.concat(F.array_join(F.slice(items, 1, F.greatest(n - 1, F.lit(0))), ", "), F.lit(" and "), F.try_element_at(items, F.lit(-1)))).otherwise(F.array_join(items, ", "))
+
+
+def has_reason() -> Column:
+    """Whether reasons() would give a pair any, from its numbers alone."""
+    numbers = [F.col(c) > 0 for c in ("concept_overlap_shared", "joinable_key_present", "workflow_tag_overlap_shared", "temporal_overlap", "geographic_overlap")]
+    out = F.coalesce(F.col("a_granularity") == F.col("b_granularity"), F.lit(False))
+    for c in numbers:
+        out |= c
+    return out
+
+
+def reasons(start: Column, end: Column) -> Column:
+    """Why a pair is suggested, from its signals and the label arrays concepts, keys and analyses; built only for rows that are
+    shown. `start` and `end` bound the time that both cover."""
+    n = F.col("concept_overlap_shared").cast("int")
+    percent = F.bround(F.col("geographic_overlap") * 100, 0).cast("int")
     return F.array_compact(F.array(
-        F.when(shared_concepts > 0, F.format_string("Shares %d concept(s).", shared_concepts.cast("int"))),
-        F.when(F.col("joinable_key_present") > 0, F.lit("Joinable on a shared key.")),
-        F.when(workflow > 0, F.format_string("Both feed %d analyses.", workflow.cast("int"))),
-        F.when(start <= end, F.concat(F.lit("Coverage overlaps from "), start.cast("date").cast("string"), F.lit(" to "), end.cast("date").cast("string"), F.lit("."))),
-        F.when(F.col("geographic_overlap") > 0, F.lit("Bounding boxes overlap.")),
+        F.when((n > 0) & (F.size("concepts") > 0), F.format_string("Shares %d concept(s), including %s.", n, listed(F.slice("concepts", 1, 3)))).when(n > 0, F.format_string("Shares %d concept(s).", n)),
+        F.when(F.size("keys") > 0, F.format_string("Joinable on %s.", listed(F.col("keys")))),
+        F.when(F.size("analyses") > 0, F.format_string("Both feed %s.", listed(F.col("analyses")))),
+        F.when(F.col("temporal_overlap") > 0, F.format_string("Coverage overlaps from %s to %s.", start.cast("date").cast("string"), end.cast("date").cast("string"))),
+        F.when(F.col("geographic_overlap") > 0, F.when(F.col("geographic_method") == "bbox-iou", F.format_string("Bounding boxes overlap over %d%% of their combined extent.", percent))
+            .otherwise(F.format_string("Both cover %d of the same named place(s).", F.least("place_shared", F.lit(8)).cast("int")))),
+        F.when(F.col("a_granularity") == F.col("b_granularity"), F.format_string("Both are %s.", F.col("a_granularity"))),
     ))
 
 
+def descriptor() -> Column:
+    """One sentence on a link from its relation, granularities and labels: what is recorded first, then what can be done with the two."""
+    left, right = F.col("a_granularity"), F.col("b_granularity")
+    grains = (left != right) & left.isin(*GRANULARITIES) & right.isin(*GRANULARITIES) & (F.col("a_data_domain") == F.col("b_data_domain"))
+    capital = F.concat(F.upper(F.substring(left, 1, 1)), F.lower(F.substring(left, 2, 1000)))
+    return (
+        F.when(F.col("relation") == "supersedes", F.format_string(SUPERSEDES, F.col("b_title")))
+        .when(F.col("relation") == "superseded-by", F.format_string(SUPERSEDED, F.col("b_title")))
+        .when(F.col("relation") == "derived-from", DERIVED)
+        .when(grains, F.format_string(GRANULARITY, capital, right))
+        .when(F.size("keys") > 0, F.format_string(JOINABLE, listed(F.col("keys"))))
+        .when(F.size("analyses") > 0, F.format_string(FEEDS, listed(F.col("analyses"))))
+        .when(F.col("relation") == "substitute", F.format_string(SUBSTITUTE, F.coalesce(F.col("a_publisher"), F.lit("One")), F.coalesce(F.col("b_publisher"), F.lit("the other"))))
+        .when(F.size("concepts") > 0, F.format_string(COMPLEMENTARY, listed(F.slice("concepts", 1, 3))))
+        .otherwise(RELATED)
+    )
+
+
+def warning(origin_title: Column) -> Column:
+    """The warning of a correlated pair, naming the origin and how far it is from each side; null for others."""
+    hops = lambda c: F.when(c == 1, "one hop").otherwise(F.format_string("%d hops", c.cast("int")))
+    a, b = F.col("depth_source"), F.col("depth_target")
+    far = F.format_string("%s is %s away and %s %s", F.col("a_title"), hops(a), F.col("b_title"), hops(b))
+    name = F.coalesce(origin_title, F.regexp_extract(F.col("origin").cast("string"), "([^/]*)$", 1))
+    return F.when(F.col("correlated"), F.format_string(WARNING, name, F.when((a == 1) & (b == 1), "both derive from it directly").otherwise(far)))
+
+
 def surfaced(links: DataFrame) -> DataFrame:
-    """Links with a warning, or with a reason and a score above 0."""
-    return links.where(F.col("correlated") | ((F.size("reasons") > 0) & (F.col("score") > 0)))
+    """Links with a warning, or with a reason and a score above 0; the texts themselves aren't needed for it."""
+    return links.where(F.col("correlated") | (F.col("has_reason") & (F.col("score") > 0)))
 
 
 def ranked(links: DataFrame, n: int = 12) -> DataFrame:

@@ -545,16 +545,26 @@ def j1(t):
 
 _CAND = """
     WITH RECURSIVE k AS (SELECT id, 1 AS rung, CAST(member AS VARCHAR) AS key FROM concept_of UNION ALL SELECT id, 2, data_domain FROM datasets UNION ALL SELECT id, 3, member FROM analysis_of),
-    r AS (SELECT k.*, row_number() OVER (PARTITION BY rung, key ORDER BY title, k.id) AS n FROM k JOIN datasets d ON d.id = k.id),
-    p AS (SELECT k.id AS source, r.id AS target, min(k.rung) AS rung FROM k JOIN r ON k.rung = r.rung AND k.key = r.key AND r.n <= 200 AND k.id <> r.id GROUP BY 1, 2),
+    q AS (SELECT DISTINCT a.id AS source, a.rung, b.id AS target, d.title FROM k a JOIN k b ON a.rung = b.rung AND a.key = b.key JOIN datasets d ON d.id = b.id),
+    w AS (SELECT *, row_number() OVER (PARTITION BY source, rung ORDER BY title, target) AS n FROM q),
+    p AS (SELECT source, target, min(rung) AS rung FROM w WHERE n <= 200 AND source <> target GROUP BY 1, 2),
     h AS (SELECT source, rung, coalesce(sum(count(*)) OVER (PARTITION BY source ORDER BY rung ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM p GROUP BY 1, 2),
-    c AS (SELECT p.* FROM p JOIN h ON h.source = p.source AND h.rung = p.rung WHERE b < 200)
+    up(node, ancestor, depth) AS (SELECT child, parent, 1 FROM derivations UNION SELECT up.node, e.parent, up.depth + 1 FROM up JOIN derivations e ON up.ancestor = e.child WHERE up.depth < 32),
+    an AS (SELECT node, ancestor, min(depth) AS depth FROM up WHERE node <> ancestor GROUP BY 1, 2),
+    own AS (SELECT node, ancestor FROM an UNION SELECT node, node FROM an UNION SELECT id, id FROM datasets),
+    c AS (SELECT source, target, min(rung) AS rung FROM (SELECT p.source, p.target, p.rung FROM p JOIN h ON h.source = p.source AND h.rung = p.rung WHERE b < 200
+        UNION ALL SELECT x.node, y.node, 4 FROM own x JOIN own y ON x.ancestor = y.ancestor WHERE x.node <> y.node AND x.node IN (SELECT id FROM datasets) AND y.node IN (SELECT node FROM an)) GROUP BY 1, 2)
 """
 
 
-def _cand(t):
+def _upstream(t):
+    return fixpoint.closure(t("derivations"), max_depth=32)
+
+
+def _cand(t, upstream=None):
     keys = t("concept_of").select("id", F.lit(1).alias("rung"), F.col("member").cast("string").alias("key")).unionByName(t("datasets").select("id", F.lit(2).alias("rung"), F.col("data_domain").alias("key"))).unionByName(t("analysis_of").select("id", F.lit(3).alias("rung"), F.col("member").alias("key")))
-    return linkage.candidates(keys, t("datasets").select("id", "title"))
+    d = t("datasets").select("id", "title")
+    return linkage.candidates(keys, d, neighbours=linkage.lineage_rung(upstream or _upstream(t), d))
 
 
 @query("L1_candidates", _CAND + "SELECT source, target, rung FROM c")
@@ -562,41 +572,52 @@ def l1(t):
     return _cand(t)
 
 
-_SIG = _CAND + """, jc AS (SELECT c.source, c.target, (SELECT count(*) FROM concept_of a JOIN concept_of b ON a.member = b.member WHERE a.id = c.source AND b.id = c.target) AS s FROM c),
+_SIG = _CAND + """,
     x AS (SELECT a.id AS source, b.id AS target, count(*) AS s FROM concept_of a JOIN concept_of b ON a.member = b.member GROUP BY 1, 2),
     y AS (SELECT a.id AS source, b.id AS target, count(*) AS s FROM analysis_of a JOIN analysis_of b ON a.member = b.member GROUP BY 1, 2),
-    nx AS (SELECT id, count(*) AS n FROM concept_of GROUP BY 1), ny AS (SELECT id, count(*) AS n FROM analysis_of GROUP BY 1),
+    z AS (SELECT a.id AS source, b.id AS target, count(*) AS s FROM place_of a JOIN place_of b ON a.member = b.member GROUP BY 1, 2),
+    nx AS (SELECT id, count(*) AS n FROM concept_of GROUP BY 1), ny AS (SELECT id, count(*) AS n FROM analysis_of GROUP BY 1), nz AS (SELECT id, count(*) AS n FROM place_of GROUP BY 1),
+    og AS (SELECT source, target, origin, da, db FROM (SELECT c.source, c.target, f.ancestor AS origin, f.depth AS da, g.depth AS db,
+        row_number() OVER (PARTITION BY c.source, c.target ORDER BY least(f.depth, g.depth), greatest(f.depth, g.depth), f.ancestor) AS n
+        FROM c JOIN an f ON f.node = c.source JOIN an g ON g.node = c.target AND g.ancestor = f.ancestor WHERE f.ancestor <> c.source AND f.ancestor <> c.target) WHERE n = 1),
+    lin AS (SELECT node, ancestor FROM an UNION SELECT ancestor, node FROM an), inb AS (SELECT target, count(DISTINCT source) AS n FROM referrers GROUP BY 1),
     sg AS (SELECT c.source, c.target, a.title AS ta, b.title AS tb, a.publisher <> b.publisher AS op, a.data_domain = b.data_domain AS sd,
         coalesce(x.s, 0) AS sx, coalesce(y.s, 0) AS sy,
         coalesce(x.s * 1.0 / nullif(coalesce(na.n, 0) + coalesce(nb.n, 0) - coalesce(x.s, 0), 0), 0) AS concept_overlap,
         coalesce(y.s * 1.0 / nullif(coalesce(ya.n, 0) + coalesce(yb.n, 0) - coalesce(y.s, 0), 0), 0) AS workflow_tag_overlap,
-        CASE WHEN a.west IS NULL OR b.west IS NULL OR least(a.east, b.east) <= greatest(a.west, b.west) OR least(a.north, b.north) <= greatest(a.south, b.south) THEN 0.0 ELSE
+        a.west IS NOT NULL AND b.west IS NOT NULL AS boxed, coalesce(z.s, 0) AS sz, ga.granularity AS gra, gb.granularity AS grb, a.data_domain AS dom, og.origin, og.da, og.db,
+        u.t_start AS s1, u.t_end AS e1, v.t_start AS s2, v.t_end AS e2, a.publisher AS pa, b.publisher AS pb,
+        CASE WHEN a.west IS NULL OR b.west IS NULL THEN coalesce(z.s * 1.0 / nullif(za.n + zb.n - z.s, 0), 0) WHEN least(a.east, b.east) <= greatest(a.west, b.west) OR least(a.north, b.north) <= greatest(a.south, b.south) THEN 0.0 ELSE
             (least(a.east, b.east) - greatest(a.west, b.west)) * (least(a.north, b.north) - greatest(a.south, b.south)) /
             ((a.east - a.west) * (a.north - a.south) + (b.east - b.west) * (b.north - b.south) - (least(a.east, b.east) - greatest(a.west, b.west)) * (least(a.north, b.north) - greatest(a.south, b.south))) END AS geographic_overlap,
         CASE WHEN u.t_start IS NULL OR u.t_end IS NULL OR v.t_start IS NULL OR v.t_end IS NULL THEN 0.0 ELSE greatest(0, least(u.t_end, v.t_end) - greatest(u.t_start, v.t_start)) * 1.0 / ((u.t_end - u.t_start) + (v.t_end - v.t_start) - greatest(0, least(u.t_end, v.t_end) - greatest(u.t_start, v.t_start))) END AS temporal_overlap,
         CASE WHEN EXISTS (SELECT 1 FROM concept_of p JOIN concept_of q ON p.member = q.member WHERE p.id = c.source AND q.id = c.target AND p.member % 10 = 0) THEN 1.0 ELSE 0.0 END AS joinable_key_present,
         (CASE a.level WHEN 1 THEN 1.0 WHEN 2 THEN 0.7 ELSE 0.4 END + CASE b.level WHEN 1 THEN 1.0 WHEN 2 THEN 0.7 ELSE 0.4 END) / 2 AS quality_contribution,
-        coalesce(a.superseded_by = b.id, false) AS sb, coalesce(b.superseded_by = a.id, false) AS ss, c.source % 7 = c.target % 7 AS correlated
+        coalesce(a.superseded_by = b.id, false) AS sb, coalesce(b.superseded_by = a.id, false) AS ss, og.origin IS NOT NULL AS correlated, lin.node IS NOT NULL AS derived, coalesce(inb.n, 0) AS inbound
         FROM c JOIN datasets a ON a.id = c.source JOIN datasets b ON b.id = c.target LEFT JOIN x ON x.source = c.source AND x.target = c.target LEFT JOIN y ON y.source = c.source AND y.target = c.target
-        LEFT JOIN nx na ON na.id = c.source LEFT JOIN nx nb ON nb.id = c.target LEFT JOIN ny ya ON ya.id = c.source LEFT JOIN ny yb ON yb.id = c.target LEFT JOIN coverage u ON u.id = c.source LEFT JOIN coverage v ON v.id = c.target)
+        LEFT JOIN nx na ON na.id = c.source LEFT JOIN nx nb ON nb.id = c.target LEFT JOIN ny ya ON ya.id = c.source LEFT JOIN ny yb ON yb.id = c.target LEFT JOIN coverage u ON u.id = c.source LEFT JOIN coverage v ON v.id = c.target
+        LEFT JOIN z ON z.source = c.source AND z.target = c.target LEFT JOIN nz za ON za.id = c.source LEFT JOIN nz zb ON zb.id = c.target LEFT JOIN granularity ga ON ga.id = c.source LEFT JOIN granularity gb ON gb.id = c.target
+        LEFT JOIN og ON og.source = c.source AND og.target = c.target LEFT JOIN lin ON lin.node = c.source AND lin.ancestor = c.target LEFT JOIN inb ON inb.target = c.target)
 """
-_SIG = _SIG.replace("jc AS (SELECT c.source, c.target, (SELECT count(*) FROM concept_of a JOIN concept_of b ON a.member = b.member WHERE a.id = c.source AND b.id = c.target) AS s FROM c),\n    ", "")
 
 
 def _signals(t):
-    d = t("datasets").join(t("coverage"), "id", "left")
-    pairs = shared.saved(_cand(t).select("source", "target"), "candidates")  # read by every signal
+    d = t("datasets").join(t("coverage"), "id", "left").join(t("granularity"), "id", "left")
+    up = _upstream(t)
+    pairs = shared.saved(_cand(t, up).select("source", "target"), "candidates")  # read by every signal
     out = linkage.jaccard_from_keys(pairs, t("concept_of"), "concept_overlap")
     out = linkage.jaccard_from_keys(out, t("analysis_of"), "workflow_tag_overlap")
     out = linkage.jaccard_from_keys(out, t("concept_of").where("member % 10 = 0"), "keys")
-    keep = ["id", "title", "publisher", "data_domain", "west", "south", "east", "north", "t_start", "t_end", "level", "superseded_by"]
+    out = linkage.with_origin(linkage.jaccard_from_keys(out, t("place_of"), "place"), up)
+    keep = ["granularity", "id", "title", "publisher", "data_domain", "west", "south", "east", "north", "t_start", "t_end", "level", "superseded_by"]
     a, b = (d.select(*[F.col(c).alias(f"{s}_{c}") for c in keep]) for s in "ab")
     out = out.join(a, F.col("source") == F.col("a_id")).join(b, F.col("target") == F.col("b_id"))
     box = lambda s: tuple(F.col(f"{s}_{c}") for c in ("west", "south", "east", "north"))
     grade = lambda s: F.array(F.when(F.col(f"{s}_level") == 1, "A").when(F.col(f"{s}_level") == 2, "B").otherwise("C"))
-    out = out.withColumn("geographic_overlap", linkage.box_iou(box("a"), box("b"))).withColumn("temporal_overlap", linkage.time_iou(F.col("a_t_start"), F.col("a_t_end"), F.col("b_t_start"), F.col("b_t_end")))
+    out = out.withColumns(linkage.geographic(box("a"), box("b"), F.col("place"), F.col("place_both"))).withColumn("temporal_overlap", linkage.time_iou(F.col("a_t_start"), F.col("a_t_end"), F.col("b_t_start"), F.col("b_t_end")))
     out = out.withColumn("joinable_key_present", F.when(F.col("keys_shared") > 0, 1.0).otherwise(0.0)).withColumn("quality_contribution", linkage.quality(grade("a"), grade("b")))
-    return out.withColumn("correlated", F.col("source") % 7 == F.col("target") % 7)
+    inbound = rollups.members_per(t("referrers"), "target", "source").select("target", F.col("n").alias("inbound"))
+    return out.join(inbound, "target", "left").withColumn("inbound", F.coalesce("inbound", F.lit(0)))
 
 
 @query("L2_L7_signals", _SIG + "SELECT source, target, round(concept_overlap, 6) AS concept_overlap, round(workflow_tag_overlap, 6) AS workflow_tag_overlap, round(geographic_overlap, 6) AS geographic_overlap, round(temporal_overlap, 6) AS temporal_overlap, joinable_key_present, round(quality_contribution, 6) AS quality_contribution FROM sg")
@@ -605,13 +626,16 @@ def l2(t):
     return _signals(t).select("source", "target", *[F.round(c, 6).alias(c) for c in cols], "joinable_key_present")
 
 
-_STR = _SIG + """, st AS (SELECT *, round(greatest(0.0, round(0.3 * concept_overlap, 6) + round(0.2 * geographic_overlap, 6) + round(0.15 * temporal_overlap, 6) + round(0.15 * joinable_key_present, 6) + round(0.1 * workflow_tag_overlap, 6) + round(0.1 * quality_contribution, 6) - CASE WHEN correlated THEN 0.15 ELSE 0 END), 6) AS score FROM sg)"""
+_STR = _SIG + """, st AS (SELECT *, round(greatest(0.0, round(0.3 * concept_overlap, 6) + round(0.2 * geographic_overlap, 6) + round(0.15 * temporal_overlap, 6) + round(0.15 * joinable_key_present, 6) + round(0.1 * workflow_tag_overlap, 6) + round(0.1 * quality_contribution, 6) - CASE WHEN correlated THEN 0.15 ELSE 0 END), 6) AS score,
+    CASE WHEN ss THEN 'supersedes' WHEN sb THEN 'superseded-by' WHEN derived THEN 'derived-from' WHEN concept_overlap >= 0.5 AND geographic_overlap >= 0.5 AND temporal_overlap >= 0.5 AND op THEN 'substitute' WHEN joinable_key_present > 0 OR workflow_tag_overlap > 0 OR (sd AND concept_overlap > 0 AND concept_overlap < 0.5) THEN 'complementary' ELSE 'related' END AS relation,
+    sx > 0 OR joinable_key_present > 0 OR sy > 0 OR geographic_overlap > 0 OR temporal_overlap > 0 OR coalesce(gra = grb, false) AS has_reason FROM sg),
+    top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, concept_overlap DESC, quality_contribution DESC, inbound DESC, target) AS rank FROM st WHERE correlated OR (has_reason AND score > 0)) WHERE rank <= 12)"""
 
 
 def _scored(t):
     s = linkage.strength(F.col("correlated"))
-    rel = linkage.relation(F.coalesce(F.col("b_superseded_by") == F.col("source"), F.lit(False)), F.coalesce(F.col("a_superseded_by") == F.col("target"), F.lit(False)), F.lit(False), F.col("a_publisher") != F.col("b_publisher"), F.col("a_data_domain") == F.col("b_data_domain"))
-    return _signals(t).withColumns({"score": s["score"], "tier": s["tier"], "relation": rel, "inbound": F.lit(0)})
+    rel = linkage.relation(F.coalesce(F.col("b_superseded_by") == F.col("source"), F.lit(False)), F.coalesce(F.col("a_superseded_by") == F.col("target"), F.lit(False)), F.col("derived"), F.col("a_publisher") != F.col("b_publisher"), F.col("a_data_domain") == F.col("b_data_domain"))
+    return _signals(t).withColumns({"score": s["score"], "tier": s["tier"], "raw": s["raw"], "relation": rel, "has_reason": linkage.has_reason()})
 
 
 @query("L9_strength", _STR + "SELECT source, target, score, CASE WHEN score >= 0.8 THEN 5 WHEN score >= 0.6 THEN 4 WHEN score >= 0.4 THEN 3 WHEN score >= 0.2 THEN 2 ELSE 1 END AS tier FROM st")
@@ -619,29 +643,63 @@ def l9(t):
     return _scored(t).select("source", "target", "score", "tier")
 
 
-@query("L11_relation", _STR + "SELECT source, target, CASE WHEN ss THEN 'supersedes' WHEN sb THEN 'superseded-by' WHEN concept_overlap >= 0.5 AND geographic_overlap >= 0.5 AND temporal_overlap >= 0.5 AND op THEN 'substitute' WHEN joinable_key_present > 0 OR workflow_tag_overlap > 0 OR (sd AND concept_overlap > 0 AND concept_overlap < 0.5) THEN 'complementary' ELSE 'related' END AS relation FROM st")
+@query("L11_relation", _STR + "SELECT source, target, relation FROM st")
 def l11(t):
     return _scored(t).select("source", "target", "relation")
 
 
-@query("L14_ranked_links", _STR + "SELECT source, target, rank FROM (SELECT source, target, row_number() OVER (PARTITION BY source ORDER BY score DESC, concept_overlap DESC, quality_contribution DESC, target) AS rank FROM st WHERE score > 0 OR correlated) WHERE rank <= 12")
+@query("L14_ranked_links", _STR + "SELECT source, target, rank FROM top")
 def l14(t):
-    links = _scored(t)
-    links = links.withColumn("reasons", linkage.reasons(F.col("concept_overlap_shared"), F.col("workflow_tag_overlap_shared"), F.greatest("a_t_start", "b_t_start"), F.least("a_t_end", "b_t_end")))
-    return linkage.ranked(linkage.surfaced(links)).select("source", "target", "rank")
+    return linkage.ranked(linkage.surfaced(_scored(t))).select("source", "target", "rank")
 
 
-@query("L12_reasons")
-def l12(t):
-    top = linkage.ranked(_scored(t))
-    why = linkage.reasons(F.col("concept_overlap_shared"), F.col("workflow_tag_overlap_shared"), F.greatest("a_t_start", "b_t_start"), F.least("a_t_end", "b_t_end"))
-    return top.select("source", "target", "relation", F.array_join(why, " ").alias("reasons"))
+def _listed(x):
+    return f"CASE WHEN len({x}) > 1 THEN array_to_string({x}[1:len({x}) - 1], ', ') || ' and ' || {x}[len({x})] ELSE array_to_string({x}, ', ') END"
+
+
+def _text(sentence, *values):
+    """A fixed sentence as SQL, its %s replaced by expressions."""
+    parts = sentence.replace("'", "''").split("%s")
+    return " || ".join([f"'{parts[0]}'"] + [f"{v} || '{p}'" for v, p in zip(values, parts[1:], strict=True)])
 
 
-@query("L15_explain", _STR + "SELECT source, target, round(0.3 * concept_overlap, 6) AS concept, round(0.2 * geographic_overlap, 6) AS geographic, score, correlated FROM st")
+def _hops(c):
+    return f"CASE WHEN {c} = 1 THEN 'one hop' ELSE {c} || ' hops' END"
+
+
+_L12 = f"""{_STR}, lc AS (SELECT source, target, list(DISTINCT 'concept ' || a.member ORDER BY 'concept ' || a.member) AS v, list(DISTINCT 'concept ' || a.member ORDER BY 'concept ' || a.member) FILTER (a.member % 10 = 0) AS kv FROM top JOIN concept_of a ON a.id = source JOIN concept_of b ON b.id = target AND b.member = a.member GROUP BY 1, 2),
+    la AS (SELECT source, target, list(DISTINCT 'analysis ' || a.member ORDER BY 'analysis ' || a.member) AS v FROM top JOIN analysis_of a ON a.id = source JOIN analysis_of b ON b.id = target AND b.member = a.member GROUP BY 1, 2),
+    tx AS (SELECT top.*, coalesce(lc.v, []) AS cv, coalesce(lc.kv, []) AS kv, coalesce(la.v, []) AS av, o.title AS ot FROM top LEFT JOIN lc ON lc.source = top.source AND lc.target = top.target LEFT JOIN la ON la.source = top.source AND la.target = top.target LEFT JOIN datasets o ON o.id = top.origin)
+    SELECT source, target, relation, concat_ws(' ', CASE WHEN len(cv) > 0 THEN 'Shares ' || sx || ' concept(s), including ' || {_listed("cv[1:3]")} || '.' WHEN sx > 0 THEN 'Shares ' || sx || ' concept(s).' END,
+        CASE WHEN len(kv) > 0 THEN 'Joinable on ' || {_listed("kv")} || '.' END, CASE WHEN len(av) > 0 THEN 'Both feed ' || {_listed("av")} || '.' END,
+        CASE WHEN temporal_overlap > 0 THEN 'Coverage overlaps from ' || CAST(greatest(s1, s2) AS VARCHAR) || ' to ' || CAST(least(e1, e2) AS VARCHAR) || '.' END,
+        CASE WHEN geographic_overlap > 0 THEN CASE WHEN boxed THEN 'Bounding boxes overlap over ' || CAST(round_even(geographic_overlap * 100, 0) AS INT) || '% of their combined extent.' ELSE 'Both cover ' || least(sz, 8) || ' of the same named place(s).' END END,
+        CASE WHEN gra = grb THEN 'Both are ' || gra || '.' END) AS reasons,
+        CASE WHEN relation = 'supersedes' THEN {_text(linkage.SUPERSEDES, "tb")} WHEN relation = 'superseded-by' THEN {_text(linkage.SUPERSEDED, "tb")} WHEN relation = 'derived-from' THEN {_text(linkage.DERIVED)}
+            WHEN gra <> grb AND gra IN ('point', 'nodal', 'zonal', 'administrative', 'gridded') AND grb IN ('point', 'nodal', 'zonal', 'administrative', 'gridded') AND sd THEN {_text(linkage.GRANULARITY, "upper(gra[1]) || gra[2:]", "grb")}
+            WHEN len(kv) > 0 THEN {_text(linkage.JOINABLE, _listed("kv"))} WHEN len(av) > 0 THEN {_text(linkage.FEEDS, _listed("av"))} WHEN relation = 'substitute' THEN {_text(linkage.SUBSTITUTE, "pa", "pb")}
+            WHEN len(cv) > 0 THEN {_text(linkage.COMPLEMENTARY, _listed("cv[1:3]"))} ELSE {_text(linkage.RELATED)} END AS descriptor,
+        CASE WHEN correlated THEN {_text(linkage.WARNING, "coalesce(ot, CAST(origin AS VARCHAR))", f"CASE WHEN da = 1 AND db = 1 THEN 'both derive from it directly' ELSE ta || ' is ' || {_hops('da')} || ' away and ' || tb || ' ' || {_hops('db')} END")} END AS warning FROM tx"""
+
+
+@query("L12_reasons", _L12)
+def l12(t):
+    top = shared.saved(linkage.ranked(linkage.surfaced(_scored(t))), "links")  # a few rows a source, read by each kind of label
+    concepts = t("concept_of")
+    named = lambda df, kind: df.select("member", F.concat(F.lit(f"{kind} "), F.col("member").cast("string")).alias("label")).distinct()
+    links = top.drop("keys")
+    links = linkage.shared_labels(links, concepts, named(concepts, "concept"), "concepts", 3)
+    links = linkage.shared_labels(links, concepts.where("member % 10 = 0"), named(concepts, "concept"), "keys")
+    links = linkage.shared_labels(links, t("analysis_of"), named(t("analysis_of"), "analysis"), "analyses")
+    links = links.join(t("datasets").select(F.col("id").alias("origin"), F.col("title").alias("origin_title")), "origin", "left")
+    why = linkage.reasons(F.greatest("a_t_start", "b_t_start"), F.least("a_t_end", "b_t_end"))
+    return links.select("source", "target", "relation", F.array_join(why, " ").alias("reasons"), linkage.descriptor().alias("descriptor"), linkage.warning(F.col("origin_title")).alias("warning"))
+
+
+@query("L15_explain", _STR + "SELECT source, target, round(0.3 * concept_overlap, 6) AS concept, round(0.2 * geographic_overlap, 6) AS geographic, score, correlated, CASE WHEN correlated THEN round(round(0.3 * concept_overlap, 6) + round(0.2 * geographic_overlap, 6) + round(0.15 * temporal_overlap, 6) + round(0.15 * joinable_key_present, 6) + round(0.1 * workflow_tag_overlap, 6) + round(0.1 * quality_contribution, 6), 6) END AS unpenalised FROM st")
 def l15(t):
     d = _scored(t).withColumn("c", linkage.contributions())
-    return d.select("source", "target", F.col("c")["concept_overlap"].alias("concept"), F.col("c")["geographic_overlap"].alias("geographic"), "score", "correlated")
+    return d.select("source", "target", F.col("c")["concept_overlap"].alias("concept"), F.col("c")["geographic_overlap"].alias("geographic"), "score", "correlated", F.when(F.col("correlated"), F.col("raw")).alias("unpenalised"))
 
 
 @query("L1_pairs_cut", "SELECT 2 AS rung, CAST(sum((n - least(n, 10)) * (n - 1)) AS BIGINT) AS cut FROM (SELECT data_domain, count(*) AS n FROM datasets GROUP BY 1)")

@@ -44,11 +44,9 @@ _signal("L6_workflow_overlap", "workflow_tag_overlap", "workflow_tag_overlap")
 _signal("L7_quality_contribution", "quality_contribution", "quality_contribution")
 
 
-@query("L13_surfaced", catalog._STR + "SELECT source, target FROM st WHERE correlated OR (score > 0 AND (sx > 0 OR joinable_key_present > 0 OR sy > 0 OR geographic_overlap > 0 OR temporal_overlap > 0))")
+@query("L13_surfaced", catalog._STR + "SELECT source, target FROM st WHERE correlated OR (score > 0 AND has_reason)")
 def l13(t):
-    links = catalog._scored(t)
-    why = linkage.reasons(F.col("concept_overlap_shared"), F.col("workflow_tag_overlap_shared"), F.greatest("a_t_start", "b_t_start"), F.least("a_t_end", "b_t_end"))
-    return linkage.surfaced(links.withColumn("reasons", why)).select("source", "target")
+    return linkage.surfaced(catalog._scored(t)).select("source", "target")
 
 
 @query("M3_near_ties", """

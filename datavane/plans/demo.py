@@ -32,6 +32,10 @@ VIEWS = {
     "lineage": """
         SELECT p_partkey AS child, CAST(floor(p_partkey / 2) AS BIGINT) AS parent, 'derived' AS kind FROM part WHERE p_partkey > 1
         UNION ALL SELECT p_partkey AS child, CAST(floor(p_partkey / 3) AS BIGINT) AS parent, 'upstream' AS kind FROM part WHERE p_partkey > 2 AND p_partkey % 5 = 0""",
+    "derivations": "SELECT s_suppkey AS child, CAST(floor(s_suppkey / 6) AS BIGINT) AS parent FROM supplier WHERE s_suppkey > 5 AND s_suppkey % 3 <> 0",
+    "referrers": "SELECT s_suppkey AS source, CAST(floor(s_suppkey / 6) AS BIGINT) AS target FROM supplier WHERE s_suppkey > 5 AND s_suppkey % 3 <> 0 UNION SELECT s_suppkey, CAST(s_suppkey + 1 AS BIGINT) FROM supplier WHERE s_suppkey % 17 = 3",
+    "place_of": "SELECT s_suppkey AS id, 'place' || CAST(s_suppkey % 4 AS VARCHAR(20)) AS member FROM supplier UNION SELECT s_suppkey, 'place' || CAST(s_nationkey % 6 AS VARCHAR(20)) FROM supplier WHERE s_suppkey % 7 <= 3",
+    "granularity": "SELECT s_suppkey AS id, CASE s_suppkey % 8 WHEN 0 THEN 'nodal' WHEN 1 THEN 'zonal' WHEN 2 THEN 'gridded' WHEN 3 THEN 'hourly' END AS granularity FROM supplier",
     "broader": """
         SELECT 'N' || n_nationkey AS narrower, 'R' || n_regionkey AS broader FROM nation
         UNION ALL SELECT 'S' || s_suppkey, 'N' || s_nationkey FROM supplier
