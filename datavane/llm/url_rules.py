@@ -49,7 +49,10 @@ def url_verdicts(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     base = base.withColumn("__key", F.concat(_host_key(F.col("host")), F.lit("\x01"), "path", F.lit("\x01"), salt))
     n = 8 * common.partitions(spark)  # several buckets a task, so that tasks come out even
     # 32 keys a bucket, cut to 200 characters: they only steer the balance, never the result
-    sample = base.select(F.substring("__key", 1, 200).alias("k"), salt.alias("o")).select("k", F.xxhash64("k", "o").alias("o")).orderBy("o").limit(32 * n)
+    sample = base.select(F.substring("__key", 1, 200).alias("k"), salt.alias("o")).select("k", F.xxhash64("k", "o").alias("o"))
+    # about twice as many rows pass by their hash, so that what all tasks send doesn't grow with their number
+    top = min(2**63 - 1, int(-(2**63) + 2**64 * min(1.0, 64 * n / max(1, urls.count()))))
+    sample = sample.where(F.col("o") <= top).orderBy("o").limit(32 * n)
     keys = sorted(r.k for r in sample.collect())
     splits = sorted({keys[i] for i in range(32, len(keys), 32)})
 
