@@ -250,3 +250,37 @@ def test_postings_count_in_their_own_row(spark):
     got = {(r.field, r.token, r.id, r.tf, r.len) for r in search.postings(df, "id", ["t", "d"]).collect()}
     assert got == {("t", "a", 1, 1, 3), ("t", "b", 1, 2, 3), ("d", "c", 2, 1, 1), ("d", "a", 3, 3, 3)}
     assert "Exchange" not in search.postings(df, "id", ["t", "d"])._jdf.queryExecution().executedPlan().toString()
+
+
+def test_candidates_are_cut_by_source_and_neighbours_are_not(spark):
+    keys = spark.createDataFrame([(0, 1, "a"), (0, 1, "b"), (0, 2, "z"), *[(i, 1, "a") for i in range(1, 6)], *[(i, 1, "b") for i in range(6, 11)], (20, 2, "z")], "id long, rung int, key string")
+    titles = spark.createDataFrame([(i, f"t{i:02}") for i in range(31)], "id long, title string")
+    near = spark.createDataFrame([(0, 30), (0, 1)], "source long, target long")
+    got = linkage.candidates(keys, titles, cap=4, neighbours=near)
+    assert {(r.target, r.rung) for r in got.where("source = 0").collect()} == {(1, 1), (2, 1), (3, 1), (20, 2), (30, 4)}  # the source takes a place
+    seen = linkage.candidates(keys, titles, cap=4, neighbours=near, visible=titles.where("id <> 2 and id <> 30").select("id"))
+    assert {r.target for r in seen.where("source = 0").collect()} == {1, 3, 20}
+
+
+def test_lineage_makes_neighbours_origins_and_derivation(spark):
+    e = spark.createDataFrame([("b", "a"), ("c", "a"), ("d", "c"), ("x", "y")], "child string, parent string")
+    up = fixpoint.closure(e)
+    nodes = spark.createDataFrame([(i,) for i in "abcdz"], "id string")
+    near = {(r.source, r.target) for r in linkage.lineage_rung(up, nodes).collect()}
+    assert near == {(s, t) for s in "abcd" for t in "bcd" if s != t}  # the root has no ancestor, so it is no target
+    pairs = spark.createDataFrame([("b", "d"), ("d", "c"), ("a", "b"), ("a", "z")], "source string, target string")
+    got = {(r.source, r.target): (r.origin, r.depth_source, r.depth_target, r.correlated, r.derived) for r in linkage.with_origin(pairs, up).collect()}
+    assert got == {("b", "d"): ("a", 1, 2, True, False), ("d", "c"): ("a", 2, 1, True, True), ("a", "b"): (None, None, None, False, True), ("a", "z"): (None, None, None, False, False)}
+
+
+def test_places_stand_in_for_missing_boxes(spark):
+    rows = [(1, 0.0, 0.5, True), (2, None, 0.5, True), (3, None, 0.0, False)]
+    df = spark.createDataFrame(rows, "id int, w double, p double, both boolean")
+    a, b = (F.col("w"), F.lit(0.0), F.lit(2.0), F.lit(2.0)), (F.lit(0.0), F.lit(0.0), F.lit(2.0), F.lit(2.0))
+    got = df.withColumns(linkage.geographic(a, b, F.col("p"), F.col("both"))).orderBy("id").collect()
+    assert [(r.geographic_overlap, r.geographic_method) for r in got] == [(1.0, "bbox-iou"), (0.5, "place-iris"), (0.0, "none")]
+
+
+def test_listed(spark):
+    df = spark.createDataFrame([([],), (["a"],), (["a", "b"],), (["a", "b", "c"],)], "x array<string>")
+    assert [r.y for r in df.select(linkage.listed(F.col("x")).alias("y")).collect()] == ["", "a", "a and b", "a, b and c"]
