@@ -112,14 +112,15 @@ def clip_polygon(rings: pd.Series, west: pd.Series, south: pd.Series, east: pd.S
 
 
 def clip_runs(vertices: DataFrame, box: tuple) -> DataFrame:
-    """line_id, run, seq, x, y for vertices (line_id, seq, x, y): stretches inside the box with one neighbour outside at each end."""
+    """line_id, run, seq, x, y for vertices (line_id, seq, x, y): stretches inside the box with one neighbour outside at each end;
+    one vertex alone is no line and is left out."""
     w_, s_, e_, n_ = box
     w = Window.partitionBy("line_id").orderBy("seq")
     inside = F.col("x").between(w_, e_) & F.col("y").between(s_, n_)
     near = F.coalesce(F.col("in"), F.lit(False)) | F.coalesce(F.lag("in").over(w), F.lit(False)) | F.coalesce(F.lead("in").over(w), F.lit(False))
     d = vertices.withColumn("in", inside).withColumn("near", near)
     start = (F.col("near") & ~F.coalesce(F.lag("near").over(w), F.lit(False))).cast("int")
-    return d.withColumn("start", start).withColumn("run", F.sum("start").over(w)).where("near").select("line_id", "run", "seq", "x", "y")
+    return d.withColumn("start", start).withColumn("run", F.sum("start").over(w)).where("near").withColumn("n", F.count("*").over(Window.partitionBy("line_id", "run"))).where("n > 1").select("line_id", "run", "seq", "x", "y")
 
 
 def nearest(queries: DataFrame, elements: DataFrame, radius: float) -> DataFrame:

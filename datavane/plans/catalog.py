@@ -1198,7 +1198,7 @@ def x10(t):
 @query("X9_clip_runs", """WITH v AS (SELECT l_orderkey AS line_id, l_linenumber AS seq, l_partkey AS tie, l_quantity AS x, l_discount AS y, l_quantity BETWEEN 10 AND 40 AND l_discount BETWEEN 0.02 AND 0.08 AS i FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_quantity, l_discount, l_extendedprice) AS k FROM lineitem) WHERE k = 1),
     n AS (SELECT *, i OR coalesce(lag(i) OVER w, false) OR coalesce(lead(i) OVER w, false) AS near FROM v WINDOW w AS (PARTITION BY line_id ORDER BY seq)),
     s AS (SELECT *, CASE WHEN near AND NOT coalesce(lag(near) OVER (PARTITION BY line_id ORDER BY seq), false) THEN 1 ELSE 0 END AS st FROM n)
-    SELECT line_id, CAST(run AS BIGINT) AS run, seq FROM (SELECT *, sum(st) OVER (PARTITION BY line_id ORDER BY seq) AS run FROM s) WHERE near""")
+    SELECT line_id, CAST(run AS BIGINT) AS run, seq FROM (SELECT *, count(*) OVER (PARTITION BY line_id, run) AS c FROM (SELECT *, sum(st) OVER (PARTITION BY line_id ORDER BY seq) AS run FROM s) WHERE near) WHERE c > 1""")
 def x9(t):
     w = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_quantity", "l_discount", "l_extendedprice")
     v = t("lineitem").withColumn("k", F.row_number().over(w)).where("k = 1").select(F.col("l_orderkey").alias("line_id"), F.col("l_linenumber").alias("seq"), F.col("l_quantity").alias("x"), F.col("l_discount").alias("y"))
