@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, jaccard, language, licenses, merkle, packing, shards, substrings, url_rules
+from . import bpe, conversations, exact, interactions, jaccard, language, licenses, merkle, packing, shards, substrings, suffixes, url_rules
 
 #: The vocabulary as a tokenizers file, and as ranks; every executor needs both at the same place.
 VOCABULARY, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -70,8 +70,20 @@ def op10_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.fingerprints(documents(spark, sf_dir))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_report(conversations.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.removed_bytes(documents(spark, sf_dir), 400)
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.filter_audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_url_rules, op2_language_id, op3_byte_shards, op4_license_scan, op5_bpe_round_trip, op6_substring_dedup, op7_best_fit_packing, op8_exact_dedup, op9_ngram_jaccard, op10_merkle_fingerprints)}
+    return {f.__name__: f for f in (op1_url_rules, op2_language_id, op3_byte_shards, op4_license_scan, op5_bpe_round_trip, op6_substring_dedup, op7_best_fit_packing, op8_exact_dedup, op9_ngram_jaccard, op10_merkle_fingerprints, op11_conversation_repair, op12_suffix_dedup, op13_filter_audit)}
 
 
 def _tree(text: str) -> str:
@@ -84,6 +96,52 @@ def _print(nodes: str) -> str:
     return f"sha256(array_to_string(list_transform({nodes}, lambda s: {node}), '')) || '|' || array_to_string(list_transform({nodes}, lambda s: substr({node}, 1, 12) || ':' || array_to_string(list_transform(s, lambda p: {leaves}), ',')), '|')"
 
 
+def _repair_sql() -> str:
+    """The cheapest edits as a recursion from a conversation's last row: for each grammar state a string of six digits of cost and the
+    audit, so that the least string is the cheapest, then the ASCII-least."""
+
+    def add(cost, letter, value):
+        return f"lpad(CAST(CAST(substr({value}, 1, 6) AS INT) + {cost} AS VARCHAR), 6, '0') || '{letter}' || substr({value}, 7)"
+
+    moves = ((("s", 1), ("u", 2)), (("u", 2),), (("a", 3),), (("u", 2),))
+    forced = (2, 2, 3, 2)
+    base = []
+    for q in range(4):
+        keep = " ".join(f"WHEN stays AND ini = '{r}' THEN {add('cut', 'K', f'v{to}')}" for r, to in moves[q])
+        other = add("3 + cut", "R", f"v{forced[q]}")
+        base.append(f"list_min([{add(4, 'D', f'v{q}')}, CASE {keep} END, CASE WHEN stays THEN {other} END]) AS b{q}")
+    best = []
+    for q in range(4):
+        one, two = forced[q], forced[forced[q]]
+        best.append(f"list_min([b{q}, {add(3, 'I', f'b{one}')}, {add(6, 'II', f'b{two}')}]) AS v{q}")
+    return rf"""
+            WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(
+                    string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+                    lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END), 4294967295::BIGINT) % 20 AS kind FROM conversations),
+            m AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                    unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM k),
+            o AS (SELECT *, substr(role, 1, 1) AS ini, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i FROM m),
+            f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd' WHEN regexp_matches(text, '[.!?][ 	-
+]*$') THEN 'n' ELSE 't' END AS fault,
+                    lag(ini) OVER (PARTITION BY conv_id ORDER BY i) || ini AS pair FROM o),
+            g AS (SELECT conv_id, i, ini, fault IN ('n', 't') AS stays, CASE fault WHEN 't' THEN 3 ELSE 0 END AS cut FROM f),
+            t(conv_id, i, v0, v1, v2, v3) AS (SELECT conv_id, max(i) + 1, '000000', '000006II', '000003I', '000000' FROM f GROUP BY conv_id
+                UNION ALL SELECT conv_id, i, {', '.join(best)} FROM (SELECT g.conv_id, g.i, {', '.join(base)} FROM t JOIN g ON g.conv_id = t.conv_id AND g.i = t.i - 1)),
+            a AS (SELECT conv_id, CAST(substr(v0, 1, 6) AS BIGINT) AS cost, substr(v0, 7) AS audit FROM t WHERE i = 1),
+            l AS (SELECT conv_id, unnest(string_split(audit, '')) AS c, generate_subscripts(string_split(audit, ''), 1) AS j FROM a),
+            n AS (SELECT conv_id, c, count(*) FILTER (WHERE c <> 'I') OVER w AS i, count(*) FILTER (WHERE c <> 'D') OVER w AS p FROM l WINDOW w AS (PARTITION BY conv_id ORDER BY j)),
+            e AS (SELECT n.conv_id, p, CASE WHEN c = 'K' THEN role END AS role, CASE WHEN c = 'I' THEN '' ELSE text END AS text,
+                    max(CASE WHEN p = 1 AND c = 'K' AND ini = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY n.conv_id) AS system
+                  FROM n LEFT JOIN f ON f.conv_id = n.conv_id AND f.i = n.i WHERE c <> 'D'),
+            h AS (SELECT conv_id, sha256(string_agg(coalesce(role, CASE WHEN (p + system) % 2 = 1 THEN 'user' ELSE 'assistant' END) || ':' || text, chr(10) ORDER BY p)) AS sha FROM e GROUP BY conv_id),
+            s AS (SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (WHERE fault = 'b') AS blank, count(*) FILTER (WHERE fault = 'd') AS duplicate,
+                    count(*) FILTER (WHERE fault = 't') AS truncated, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)
+            SELECT q.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+                   coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+            FROM (SELECT DISTINCT conv_id FROM conversations) q LEFT JOIN s ON s.conv_id = q.conv_id LEFT JOIN a ON a.conv_id = q.conv_id LEFT JOIN h ON h.conv_id = q.conv_id"""
+
+
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -138,4 +196,34 @@ def oracle_sql() -> dict[str, str]:
                 CASE WHEN len(la) + len(lb) = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(la, lb)) / (len(la) + len(lb)) END AS near_edited,
                 CASE WHEN len(la) + len(lc) = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(la, lc)) / (len(la) + len(lc)) END AS near_next,
                 CASE WHEN ds IS NOT NULL THEN ds || '.' || dp || '.' || dl END AS first_edit FROM m""",
+        "op11_conversation_repair": _repair_sql(),
+        "op12_suffix_dedup": r"""
+            WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+            w AS (SELECT doc_id, i, md5(substr(x, 2 * i - 1, 800)) AS h FROM (SELECT doc_id, x, unnest(range(1, length(x) // 2 - 398)) AS i FROM d)),
+            r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY h) AS n FROM w) WHERE n > 1),
+            g AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400 THEN 1 ELSE 0 END AS new FROM r),
+            k AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM g),
+            s AS (SELECT doc_id, min(i) AS lo, max(i) + 400 AS hi FROM k GROUP BY doc_id, k),
+            p AS (SELECT doc_id, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 1) AS lo, lo AS hi FROM s UNION ALL SELECT doc_id, max(hi), 1 << 30 FROM s GROUP BY doc_id),
+            y AS (SELECT p.doc_id, string_agg(substr(x, CAST(2 * p.lo - 1 AS BIGINT), CAST(2 * (p.hi - p.lo) AS BIGINT)), '' ORDER BY p.lo) AS kept FROM p JOIN d ON d.doc_id = p.doc_id GROUP BY p.doc_id),
+            z AS (SELECT doc_id, sum(hi - lo) AS gone, count(*) AS n FROM s GROUP BY doc_id)
+            SELECT d.doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+            FROM d LEFT JOIN z ON z.doc_id = d.doc_id LEFT JOIN y ON y.doc_id = d.doc_id""",
+        "op13_filter_audit": rf"""
+            WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+            f AS (SELECT d.doc_id, part, [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t),
+                    regexp_matches(t, '[#$%&*|]'), coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY t), false)] AS bad,
+                    coalesce(q.good, 0) AS good, coalesce(q.toxic, 0) AS toxic
+                  FROM d LEFT JOIN (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id) q ON q.doc_id = d.doc_id),
+            c AS (SELECT part, bad, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, bad),
+            l(x) AS (VALUES (1), (2), (3), (4), (5)),
+            o AS (SELECT [a.x, b.x, e.x, g.x, h.x] AS o FROM l a, l b, l e, l g, l h WHERE len(list_distinct([a.x, b.x, e.x, g.x, h.x])) = 5),
+            s AS (SELECT o, array_to_string(list_transform(o, lambda i: 'ABCDE'[i]), '') AS filter_order, CAST(unnest(range(1, 6)) AS INT) AS step FROM o),
+            y AS (SELECT c.*, s.filter_order, s.step, o[step] AS me, bad[o[step]] AS fails, list_bool_or(list_transform(o[1:step - 1], lambda i: bad[i])) AS gone,
+                    len(list_filter(bad, lambda b: b)) AS k FROM c, s),
+            z AS (SELECT part, filter_order, step, any_value(me) AS me, CAST(sum(CASE WHEN NOT fails AND NOT coalesce(gone, false) THEN n ELSE 0 END) AS BIGINT) AS kept,
+                    CAST(sum(CASE WHEN fails AND NOT coalesce(gone, false) THEN n ELSE 0 END) AS BIGINT) AS removed, CAST(sum(CASE WHEN fails AND gone THEN n ELSE 0 END) AS BIGINT) AS redundant,
+                    CAST(sum(CASE WHEN fails AND k = 1 THEN n ELSE 0 END) AS BIGINT) AS unique_fails, CAST(sum(CASE WHEN fails AND NOT coalesce(gone, false) THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+                    CAST(sum(CASE WHEN fails AND NOT coalesce(gone, false) THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost FROM y GROUP BY part, filter_order, step)
+            SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, me) AS BIGINT) AS shapley FROM z""",
     }

@@ -8,7 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
-from datavane.llm import bpe, common, exact, jaccard, language, licenses, merkle, packing, queries, shards, substrings, url_rules
+from datavane.llm import bpe, common, conversations, exact, interactions, jaccard, language, licenses, merkle, packing, queries, shards, substrings, suffixes, url_rules
 from pyspark.sql import functions as F
 
 WS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -709,3 +709,160 @@ def test_pipeline_on_empty_and_letterless_tables(spark, tmp_path):
         spark.createDataFrame(some, SCHEMA).write.parquet(f"{tmp_path}/{name}/documents.parquet")
         out = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
         assert out.count() == 0 and {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns)
+
+
+def brute_repair(rows):
+    """conv_id: (gaps, blank, duplicate, truncated, illegal, cost, audit, hash), with every row's whole audit strings compared."""
+    ink = re.compile(r"[^\x20\x09-\x0D]")
+    convs = defaultdict(list)
+    for c, t, r, x in rows:
+        body = convs[c]
+        k = zlib.crc32(f"{' ' if c is None else c}:{' ' if t is None else t}".encode()) % 20
+        r, x = " " if r is None else r, " " if x is None else x
+        x = "" if k == 1 else re.sub("[.!?]", "", x) if k == 2 else x
+        body += [] if k == 0 else [(t, "user" if k == 4 else r, x)] * (2 if k == 3 else 1)
+    after, out = {"": "su", "s": "u", "u": "a", "a": "u"}, {}
+    for c, body in convs.items():
+        body.sort(key=lambda z: (z[0] is not None, z[0] or 0, z[1].encode(), hashlib.sha256(z[2].encode()).digest()))
+        seen, fault = set(), []
+        for _, r, x in body:
+            found = ink.findall(x)
+            fault.append("b" if not found else "d" if (r, x) in seen else "t" if found[-1] not in ".!?" else "n")
+            seen.add((r, x))
+        first = [r[:1] for _, r, _ in body]
+        turns = [t for t, _, _ in body if t is not None]
+        best = {}
+        for i in range(len(body), -1, -1):
+            now = {p: [(0, "", ())] if i == len(body) and p in ("", "a") else [] for p in after}
+            for p in after if i < len(body) else ():
+                ways = [(4, "D", p, ())]
+                if fault[i] in "nt":
+                    cut = 3 * (fault[i] == "t")
+                    ways += [(cut, "K", first[i], (f"{body[i][1]}:{body[i][2]}",))] if first[i] and first[i] in after[p] else []
+                    ways += [(3 + cut, "R", r[0], (f"{r}:{body[i][2]}",)) for r in ("user", "assistant") if r[0] in after[p]]
+                now[p] = [(w[0] + z[0], w[1] + z[1], w[3] + z[2]) for w in ways for z in best[i + 1, w[2]][:1]]
+            for _ in range(4):
+                for p in after:
+                    now[p] = sorted(now[p] + [(3 + z[0], "I" + z[1], (f"{r}:",) + z[2]) for r in ("user", "assistant") if r[0] in after[p] for z in now[r[0]][:1]], key=lambda z: z[:2])[:1]
+            best |= {(i, p): z for p, z in now.items()}
+        cost, audit, done = best[0, ""][0]
+        gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+        illegal = sum(a + b not in ("su", "ua", "au") for a, b in zip(first, first[1:]))
+        out[c] = (gaps, *map(fault.count, "bdt"), illegal, cost, audit, hashlib.sha256("\n".join(done).encode()).hexdigest())
+    return out
+
+
+def test_conversation_repair(spark):
+    rng = random.Random(1)
+    rows = []
+    for c in [*range(120), None]:
+        for _ in range(rng.choice([1, 2, 5, 9, 30])):
+            rows.append((c, rng.choice([None, 0, 1, 2, 3, 7, 9]), rng.choice(["user", "assistant", "system", "tool", None, "", "agent", "user", "assistant", "Ü"]), rng.choice([None, "", " \t", "Hi.", "Hi", "yes!", "a b?  ", "ok\n", "no.", "...", "É"])))
+    rows += [rows[5]] * 4 + [(500, i, "user" if i % 2 else "assistant", f"turn {i // 3}.") for i in range(3000)]  # repeated rows, a long conversation
+    schema = "conv_id long, turn long, role string, text string"
+    df = spark.createDataFrame(rows, schema).withColumn("digest", F.lit(1)).withColumn("copies", F.lit("x")).withColumn("place", F.lit(0))
+    harm = conversations.damaged(df)
+    got = {r[0]: tuple(r)[1:] for r in conversations.repair_report(harm).collect()}
+    assert got == brute_repair(rows)
+    # the operator's own output: whole repaired rows
+    found = conversations.structure(harm)
+    fixed = [r for r in conversations.repaired(harm, found).collect() if r.conv_id == 7 and r.place]
+    assert hashlib.sha256("\n".join(f"{r.role}:{r.text}" for r in sorted(fixed, key=lambda r: r.place)).encode()).hexdigest() == got[7][-1]
+    assert all(re.fullmatch("(s?(ua)+)?", "".join(r.role[0] for r in sorted(fixed, key=lambda r: r.place))) for _ in [0])
+    assert conversations.repair_report(conversations.damaged(spark.createDataFrame([], schema))).count() == 0
+    text_ids = spark.createDataFrame([("a", 0, "user", "Hi."), ("a", 1, "assistant", "Yes.")], "conv_id string, turn long, role string, text string")
+    assert {(r.conv_id, r.audit) for r in conversations.repair_report(conversations.damaged(text_ids)).collect()} == {("a", brute_repair([("a", 0, "user", "Hi."), ("a", 1, "assistant", "Yes.")])["a"][6])}
+
+
+def test_automaton_nodes_are_shared():
+    node = conversations.grown(conversations.LETTERS["u", "n"], conversations._END)
+    assert node[0] == (3, "K", 2) and node[2][0] == 3  # a lone user row: kept, then an assistant row inserted at the end
+
+
+def test_suffix_array_and_common_prefixes():
+    rng = random.Random(2)
+    for text in (b"banana\xff", b"a" * 700, bytes(rng.choice(b"ab") for _ in range(900)), b"\0" * 9 + b"\xff", b"x", b"ab\0\0ab\0"):
+        data = suffixes.np.frombuffer(text, suffixes.np.uint8)
+        order = suffixes.suffix_array(data)
+        assert order.tolist() == sorted(range(len(text)), key=lambda i: text[i:])
+        before, shared = suffixes.common_prefixes(data, order)
+        for x, y in zip(order.tolist(), order.tolist()[1:]):
+            k = 0
+            while k < min(len(text) - x, len(text) - y) and text[x + k] == text[y + k]:
+                k += 1
+            assert before[y] == x and shared[y] == k
+
+
+def brute_bytes(rows, size):
+    times = Counter()
+    for _, t in rows:
+        d = (t or "").encode()
+        times.update(d[i : i + size] for i in range(len(d) - size + 1))
+    out = Counter()
+    for i, t in rows:
+        d = (t or "").encode()
+        gone = bytearray(len(d))
+        for j in range(len(d) - size + 1):
+            if times[d[j : j + size]] > 1:
+                gone[j : j + size] = b"\1" * size
+        runs = sum(g and (j == 0 or not gone[j - 1]) for j, g in enumerate(gone))
+        out[i, len(d), sum(gone), runs, hashlib.sha256(bytes(c for c, g in zip(d, gone) if not g)).hexdigest()] += 1
+    return out
+
+
+@pytest.mark.parametrize(("size", "shard"), [(400, 1 << 21), (400, 4000), (64, 3000)])
+def test_suffix_dedup(spark, size, shard):
+    rng = random.Random(4)
+    text = lambda n: " ".join("".join(rng.choice("abcdé") for _ in range(rng.randint(1, 6))) for _ in range(n))
+    p, q, rows = text(150), text(400), []
+    for i in range(40):
+        t = text(rng.choice([2, 100, 200]))
+        t = t + p + text(20) if i % 3 == 0 else t
+        t = text(30) + q[rng.randint(0, 200) :] + t if i % 5 == 0 else t
+        rows.append((i, t + t[: len(t) // 2] if i % 7 == 0 else t))
+    rows += [(70, None), (71, ""), (72, "a" * 3000), (73, "ab" * 900), (74, "a" * 399), (75, rows[3][1]), (75, rows[3][1]), (None, p), (None, p[1:]), (76, "x" * 10 + "a" * 401 + "yy" * 10), (77, q), (78, q)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).withColumn("uid", F.lit(1)).withColumn("spans", F.lit("x")).withColumn("key", F.lit(None).cast("string"))
+    assert Counter(tuple(r) for r in suffixes.removed_bytes(df, size, shard).collect()) == brute_bytes(rows, size)
+
+
+def test_suffix_dedup_of_a_text_of_several_blocks(spark, empty):
+    rng = random.Random(6)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(2_300_000))
+    rows = [(0, long), (1, long[1_048_300:1_049_300]), (2, long[100:450]), (3, "z" * 10 + long[-500:])]
+    got = {r.doc_id: r for r in suffixes.removed_bytes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[0].n_removed, got[0].n_spans, got[1].n_removed, got[2].n_removed, got[3].n_removed) == (1500, 2, 1000, 0, 500)
+    assert got[0].kept_sha256 == hashlib.sha256((long[:1_048_300] + long[1_049_300:-500]).encode()).hexdigest()
+    assert suffixes.removed_bytes(empty).count() == 0
+
+
+def test_filter_audit(spark, empty):
+    rng = random.Random(8)
+    texts = [None, "", "a b", "A B C", "x#y", " ".join(f"w{i}" for i in range(120)), "w " * 150, "W " * 150 + "&", "A" * 30]
+    rows = [(i, rng.choice(texts), rng.choice(["en", "de", None, ""]), "s", 0) for i in range(150)] + [(200, "dup", "en", "s", 0)] * 3 + [(201, "dup", "en", "s", 0), (None, "dup", "de", "s", 0), (None, "dup", "de", "s", 0)]
+    marks = [(i, rng.choice([0, 1, None]), rng.choice([0, 1, None])) for i in range(0, 150, 2)] + [(2, 1, 0), (201, 1, 1), (None, 1, 1)]
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int").withColumn("part", F.lit("x"))
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("mask", F.lit("x")).withColumn("good", F.lit(9))
+    least = {}
+    for i, t, *_ in rows:
+        if i is not None:
+            least[t or ""] = min(i, least.get(t or "", i))
+    good, toxic = ({i for i, *m in marks if m[k] == 1 and i is not None} for k in (0, 1))
+    want = {}
+    fails = []
+    for i, t, lang, *_ in rows:
+        t = t or ""
+        w = WS.findall(t)
+        bad = {"A": len(w) < 100, "B": 100 * len(set(w)) < 80 * len(w), "C": 100 * len(re.findall("[A-Z]", t)) > 10 * len(t), "D": bool(re.search("[#$%&*|]", t)), "E": i is not None and i > least.get(t, i)}
+        fails.append((lang or "", {c for c, b in bad.items() if b}, i in good, i in toxic))
+    total = Counter()
+    for part in {f[0] for f in fails}:
+        mine = [f for f in fails if f[0] == part]
+        for order in interactions.ORDERS:
+            for step, c in enumerate(order):
+                before = set(order[:step])
+                here = [f for f in mine if c in f[1] and not f[1] & before]
+                want[part, order, step + 1] = [sum(not f[1] & (before | {c}) for f in mine), len(here), sum(c in f[1] and bool(f[1] & before) for f in mine), sum(f[1] == {c} for f in mine), sum(f[2] for f in here), sum(f[3] for f in here)]
+                total[part, c] += len(here)
+    got = {(r.part, r.filter_order, r.step): [r.kept, r.removed, r.redundant, r.unique_fails, r.good_lost, r.toxic_lost, r.shapley] for r in interactions.filter_audit(df, labels).collect()}
+    assert got == {k: [*v, total[k[0], k[1][k[2] - 1]]] for k, v in want.items()} and len(got) == 3 * 600
+    assert interactions.filter_audit(empty, labels).count() == 0 and interactions.filter_audit(df, labels.limit(0)).count() == 1800
