@@ -191,14 +191,18 @@ def content_hash(df: DataFrame, *columns: str) -> Column:
     return F.sha2(F.to_json(F.struct(*sorted(columns or df.columns)), {"ignoreNullFields": "false"}), 256)
 
 
+#: Second labels under a country's domain below which sites are registered.
+REGISTRIES = ("ac", "co", "com", "edu", "go", "gob", "gouv", "gov", "ltd", "mil", "ne", "net", "nic", "or", "org", "plc", "sch")
+
+
 def publisher_key(url: Column, platforms: tuple[str, ...] = ()) -> Column:
-    """The last two labels of the host; for a hosting platform also the first path segment."""
+    """The registered domain of the host: its last two labels, or three under a country's registry such as gov.uk; for a hosting
+    platform also the first path segment."""
     host = F.lower(F.regexp_extract(url, r"^[a-z]+://([^/?#:]+)", 1))
-    site = F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1)
+    site = F.regexp_extract(host, rf"([^.]+\.(?:{'|'.join(REGISTRIES)})\.[a-z]{{2}}|[^.]+\.[^.]+)$", 1)
     first = F.regexp_extract(url, r"^[a-z]+://[^/?#]+/([^/?#]+)", 1)
     return F.when(site.isin(*platforms) & (first != ""), F.concat(site, F.lit("/"), first)).otherwise(F.when(site != "", site)) if platforms else F.when(site != "", site)
 
-
 def to_natural(value: Column, units: Column, base: Column) -> Column:
     return F.when(units == "NATURAL", value).when(units == "COMPONENT_BASE", value * base)
 

@@ -53,8 +53,20 @@ def review_queue(items: DataFrame, n: int = 25, by: str | None = None) -> DataFr
     return items.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def probe_outcome(status: Column, location: Column) -> Column:
-    return F.when(status.between(200, 299), "verified").when(status.between(300, 399) & location.isNotNull(), "redirected").when(status.isin(401, 403, 429), "degraded").otherwise("unreachable")
+#: Outcomes that count as a success, and how many newest probes or failures, and revisions, the prober looks back on.
+SUCCESS = ("verified", "redirected")
+THRESHOLD, HISTORY = 3, 20
+
+
+def probeable(url: Column) -> Column:
+    """Only http(s) addresses are probed; the others are skipped, which says nothing about their health."""
+    return F.coalesce(F.startswith(url, F.lit("http://")) | F.startswith(url, F.lit("https://")), F.lit(False))
+
+
+def probe_outcome(status: Column, location: Column, url: Column | None = None) -> Column:
+    """verified, redirected, degraded or unreachable; null (skipped) for an address that isn't probeable, where one is given."""
+    out = F.when(status.between(200, 299), "verified").when(status.between(300, 399) & location.isNotNull(), "redirected").when(status.isin(401, 403, 429), "degraded").otherwise("unreachable")
+    return out if url is None else F.when(probeable(url), out)
 
 
 def permanent(status: Column) -> Column:
@@ -62,14 +74,38 @@ def permanent(status: Column) -> Column:
 
 
 def health(probes: DataFrame, cadence_seconds: int = 86400) -> DataFrame:
-    """distribution_id, failures, last_success, last_status, next_due: gaps and islands over the probe log; failures counts
-    those since the last success."""
+    """distribution_id, failures, excluded, last_success, last_status, next_due from the probe log: failures counts the probes since
+    the last success that were neither verified nor redirected; a path is excluded from THRESHOLD failures on, until its next
+    success. Skipped probes (null outcome) don't count.
+
+    Failures after the last success need only that success's place, so two aggregations that combine before the shuffle do;
+    no window runs over a path's whole log."""
+    good = F.col("outcome").isin(*SUCCESS)
+    rows = probes.where("outcome is not null")
+    at = F.struct("probed_at", "probe_id")
+    per = rows.groupBy("distribution_id").agg(F.max(F.when(good, at)).alias("success"), F.max_by("outcome", at).alias("last_status"), F.max("probed_at").alias("probed"))
+    since = rows.where(~good).join(per.select("distribution_id", "success"), "distribution_id").where(F.col("success").isNull() | (at > F.col("success"))).groupBy("distribution_id").agg(F.count("*").alias("failures"))
+    out = per.join(since, "distribution_id", "left").withColumn("failures", F.coalesce("failures", F.lit(0)))
+    due = F.timestamp_seconds(F.unix_seconds(F.col("probed").cast("timestamp")) + cadence_seconds)
+    return out.select("distribution_id", "failures", (F.col("failures") >= THRESHOLD).alias("excluded"), F.col("success.probed_at").alias("last_success"), "last_status", due.alias("next_due"))
+
+
+def healed(probes: DataFrame) -> DataFrame:
+    """distribution_id, n, probe_id, new_value of every address revision that the log leads to, in order (n from 1): at a permanent
+    redirect that is the third in a row to one target, unless the target is among the last HISTORY revisions.
+
+    A repeated chance to heal to the target of the chance before never heals, so only changes of target are folded."""
     w = Window.partitionBy("distribution_id").orderBy("probed_at", "probe_id")
-    bad = F.col("outcome") == "unreachable"
-    rows = probes.withColumn("island", F.count_if(~bad).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    last = Window.partitionBy("distribution_id")
-    per = rows.withColumn("top", F.max("island").over(last)).groupBy("distribution_id").agg(F.count_if(bad & (F.col("island") == F.col("top"))).alias("failures"), F.max(F.when(~bad, F.col("probed_at"))).alias("last_success"), F.max_by("outcome", F.struct("probed_at", "probe_id")).alias("last_status"), F.max("probed_at").alias("probed"))
-    return per.select("distribution_id", "failures", "last_success", "last_status", F.timestamp_seconds(F.unix_seconds(F.col("probed").cast("timestamp")) + cadence_seconds).alias("next_due"))
+    moved = (F.col("outcome") == "redirected") & permanent(F.col("status"))
+    for k in range(1, THRESHOLD):
+        moved &= (F.lag("outcome", k).over(w) == "redirected") & (F.lag("location", k).over(w) == F.col("location"))
+    chances = probes.where("outcome is not null").withColumn("chance", moved).where("chance")
+    chances = chances.withColumn("before", F.lag("location").over(w)).where("before is null or before <> location")
+    each = chances.groupBy("distribution_id").agg(F.array_sort(F.collect_list(F.struct("probed_at", "probe_id", "location"))).alias("c"))
+    known = lambda acc: F.transform(F.slice(acc, F.greatest(F.size(acc) - (HISTORY - 1), F.lit(1)), F.lit(HISTORY)), lambda r: r["location"])
+    none = F.slice("c", 1, 0)
+    done = F.aggregate("c", none, lambda acc, x: F.when(F.array_contains(known(acc), x["location"]), acc).otherwise(F.concat(acc, F.array(x))))
+    return each.select("distribution_id", F.posexplode(done).alias("i", "r")).select("distribution_id", (F.col("i") + 1).alias("n"), F.col("r.probe_id").alias("probe_id"), F.col("r.location").alias("new_value"))
 
 
 def due(known: DataFrame, states: DataFrame, now) -> DataFrame:
@@ -88,14 +124,41 @@ def heals(probes: DataFrame, revisions: DataFrame) -> DataFrame:
     return out.join(revisions.where("n <= 20").select("distribution_id", F.col("new_value").alias("location")), ["distribution_id", "location"], "left_anti")
 
 
-def access_path(paths: DataFrame, pins: DataFrame | None = None) -> DataFrame:
-    """dataset_id, distribution_id, reachable, alternatives: a pinned path, else reachable, sliceable, anonymous, free for the
-    requester, bulk, then the smallest id."""
-    d = paths if pins is None else paths.join(pins.select("distribution_id", F.lit(1).alias("pinned")), "distribution_id", "left")
-    pin = F.coalesce(F.col("pinned"), F.lit(0)) if pins is not None else F.lit(0)
-    w = Window.partitionBy("dataset_id").orderBy(F.desc(pin), F.desc("reachable"), F.desc("sliceable"), F.desc("anonymous"), F.asc("requester_pays"), F.desc("bulk"), "distribution_id")
-    rows = d.select("*", F.row_number().over(w).alias("n"), (F.count("*").over(Window.partitionBy("dataset_id")) - 1).alias("alternatives"))
-    return rows.where("n = 1").select("dataset_id", "distribution_id", "reachable", "alternatives")
+#: What an access plan says of its path.
+PINNED = "You pinned this distribution and its last probe was %s."
+SKIPPED = "%d distribution(s) were skipped: the prober's last attempt did not reach them. This is a live sibling."
+NONE_LIVE = "Every recorded path failed its last probe. This plan points at the least recently failed one; expect it not to work."
+
+
+def can_slice(protocol: Column, ranges: Column, index: Column) -> Column:
+    return protocol.isNotNull() | (F.coalesce(ranges, F.lit(False)) & index.isNotNull())
+
+
+def access_path(paths: DataFrame, requests: DataFrame) -> DataFrame:
+    """request_id, dataset_id, distribution_id, reachable, alternatives, note for requests (request_id, dataset_id, pinned,
+    wants_slice) and paths (dataset_id, distribution_id, url, reachable, health, protocol, sliceable, chunk_index, anonymous,
+    requester_pays, bulk).
+
+    A pinned path is taken as it is, with a note if its last probe failed; a pin that the dataset doesn't have gives no path (null).
+    Else a reachable one; then, only where a slice is wanted, one that can be sliced; not known to need an account; not known to
+    cost the requester; bulk; the smallest id. The note says how many were skipped, or that none was reached."""
+    usable = paths.where("url is not null")
+    d = requests.select("request_id", "dataset_id", "pinned", "wants_slice").join(usable, "dataset_id", "left")
+    pin = F.coalesce(F.col("pinned") == F.col("distribution_id"), F.lit(False))
+    rank = [
+        F.desc(pin), F.desc("reachable"), F.desc(F.col("wants_slice") & can_slice(F.col("protocol"), F.col("sliceable"), F.col("chunk_index"))),
+        F.desc(F.coalesce("anonymous", F.lit(True))), F.asc(F.coalesce("requester_pays", F.lit(False))), F.desc(F.coalesce("bulk", F.lit(False))), "distribution_id",
+    ]
+    every = Window.partitionBy("request_id")
+    rows = d.withColumns({"n": F.row_number().over(every.orderBy(*rank)), "all": F.count("distribution_id").over(every), "dead": F.count_if(~F.col("reachable")).over(every), "pin": pin}).where("n = 1")
+    note = (
+        F.when(F.col("pin"), F.when(~F.col("reachable"), F.format_string(PINNED, F.coalesce("health", F.lit("unknown")))))
+        .when((F.col("dead") > 0) & F.col("reachable"), F.format_string(SKIPPED, F.col("dead")))
+        .when(F.col("dead") > 0, NONE_LIVE)
+    )
+    missing = F.col("pinned").isNotNull() & ~F.col("pin")
+    mine = lambda c: F.when(~missing, c)
+    return rows.select("request_id", "dataset_id", mine(F.col("distribution_id")).alias("distribution_id"), mine(F.col("reachable")).alias("reachable"), F.greatest(F.col("all") - 1, F.lit(0)).alias("alternatives"), mine(note).alias("note"))
 
 
 def access_mode(protocol: Column, ranges: Column, index: Column) -> Column:
@@ -128,6 +191,6 @@ def caveats(paths: DataFrame) -> DataFrame:
 
 
 def download_target(paths: DataFrame) -> DataFrame:
-    """dataset_id, distribution_id of the http(s) path that is reachable, then anonymous, then bulk."""
-    w = Window.partitionBy("dataset_id").orderBy(F.desc("reachable"), F.desc("anonymous"), F.desc("bulk"), "distribution_id")
+    """dataset_id, distribution_id of the http(s) path that is reachable, then not known to need an account, then bulk."""
+    w = Window.partitionBy("dataset_id").orderBy(F.desc("reachable"), F.desc(F.coalesce("anonymous", F.lit(True))), F.desc(F.coalesce("bulk", F.lit(False))), "distribution_id")
     return paths.where(F.col("url").rlike("^https?://")).withColumn("n", F.row_number().over(w)).where("n = 1").select("dataset_id", "distribution_id")

@@ -16,11 +16,12 @@ GRADE_VALUE = {"A": 1.0, "B": 0.7, "C": 0.4, "D": 0.1}
 def candidates(keys: DataFrame, titles: DataFrame, cap: int = 200, neighbours: DataFrame | None = None, visible: DataFrame | None = None, neighbour_rung: int = 4) -> DataFrame:
     """source, target, rung for keys (id, rung, key): what a source meets at each rung, at the first rung where it meets it.
 
-    A rung yields the first `cap` records in title order that share any of the source's keys there (the source itself takes one
+    A rung yields the first `cap` records in title order (without case) that share any of the source's keys there (the source itself takes one
     of those places), and is passed over for sources that have `cap` candidates from earlier rungs: this cap is the feature, only
     so many suggestions are ranked. A key's own first `cap` members are all that can be among them, so each block is cut
     to these before the self-join, without a change of the result. Targets are kept only if in `visible` (id), once the places are
     dealt. The pairs of `neighbours` (source, target) are added at their own rung, without a cap."""
+    titles = titles.select("id", F.lower("title").alias("title"))
     by_key = Window.partitionBy("rung", "key").orderBy("title", "id")
     head = keys.join(titles, "id").withColumn("r", F.row_number().over(by_key)).where(F.col("r") <= cap)
     hits = keys.select(F.col("id").alias("source"), "rung", "key").join(head.select(F.col("id").alias("target"), "title", "rung", "key"), ["rung", "key"])

@@ -123,16 +123,58 @@ def clip_runs(vertices: DataFrame, box: tuple) -> DataFrame:
     return d.withColumn("start", start).withColumn("run", F.sum("start").over(w)).where("near").withColumn("n", F.count("*").over(Window.partitionBy("line_id", "run"))).where("n > 1").select("line_id", "run", "seq", "x", "y")
 
 
-def nearest(queries: DataFrame, elements: DataFrame, radius: float) -> DataFrame:
-    """q, element, distance: the nearest element (element, x, y) within the radius of each query (q, x, y); a query looks into the
-    nine grid cells around it, so both sides are joined on equal cells."""
-    cell = lambda c: F.floor(c / radius).cast("long")
+def covered_cells(segments: DataFrame, size: float) -> DataFrame:
+    """segments (x1, y1, x2, y2 and more) with cx, cy: a row for each cell of a grid that the segment crosses.
+
+    Column by column the segment's stretch inside the column gives its rows, so a long segment becomes as many rows as cells that it
+    passes, and lies in none as a whole."""
+    at = lambda v, by=0.0: F.floor(v / size + by).cast("long")
+    slack = 1e-9  # a stretch that ends on a border belongs to both cells
+    cols = F.explode(F.sequence(at(F.least("x1", "x2"), -slack), at(F.greatest("x1", "x2"), slack))).alias("cx")
+    d = segments.select("*", cols)
+    run = F.col("x2") - F.col("x1")
+    clamp = lambda t: F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
+    t0, t1 = (F.when(run == 0, end).otherwise(clamp((edge * size - F.col("x1")) / F.nullif(run, F.lit(0.0)))) for end, edge in ((0.0, F.col("cx")), (1.0, F.col("cx") + 1)))
+    y = lambda t: F.col("y1") + t * (F.col("y2") - F.col("y1"))
+    d = d.withColumns({"ya": y(t0), "yb": y(t1)})
+    rows = F.explode(F.sequence(at(F.least("ya", "yb"), -slack), at(F.greatest("ya", "yb"), slack))).alias("cy")
+    return d.select("*", rows).drop("ya", "yb")
+
+
+def segment_distance(x1: Column, y1: Column, x2: Column, y2: Column, x: Column, y: Column) -> Column:
+    """From a point to a segment; to its place where it has no length."""
+    dx, dy = x2 - x1, y2 - y1
+    square = dx * dx + dy * dy
+    t = F.when(square == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - x1) * dx + (y - y1) * dy) / F.nullif(square, F.lit(0.0)))))
+    ex, ey = x - (x1 + t * dx), y - (y1 + t * dy)
+    return F.sqrt(ex * ex + ey * ey)
+
+
+#: Fixed value: the share of the radius that a point may be behind a route and still win.
+POINT_ALLOWANCE = 1 / 3
+
+
+def nearest(queries: DataFrame, points: DataFrame, routes: DataFrame, radius: float) -> DataFrame:
+    """q, element, distance for queries (q, x, y): the nearest of points (element, seq, x, y) and routes (element, seq, path: an array of
+    [x, y]) within the radius. A point's distance is less by a third of the radius, at least 0; of equal distances (to nine
+    decimals) the later one counts, points being after all routes, each in the order of seq.
+
+    Elements lie in the cells that they touch, cells as wide as the farthest point may be, and a query looks into its own and
+    the eight around it: an equi-join on cells, open to skew splitting, then the best of each query, combined before the shuffle."""
+    size = radius * (1 + POINT_ALLOWANCE)
+    cell = lambda c: F.floor(c / size).cast("long")
     around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("o")
     a = queries.select("q", F.col("x").alias("qx"), F.col("y").alias("qy"), around).select("q", "qx", "qy", (cell(F.col("qx")) + F.col("o.i")).alias("cx"), (cell(F.col("qy")) + F.col("o.j")).alias("cy"))
-    b = elements.select("element", "x", "y", cell(F.col("x")).alias("cx"), cell(F.col("y")).alias("cy"))
-    d = F.sqrt((F.col("x") - F.col("qx")) * (F.col("x") - F.col("qx")) + (F.col("y") - F.col("qy")) * (F.col("y") - F.col("qy")))
-    hit = a.join(b, ["cx", "cy"]).withColumn("d", d).where(F.col("d") <= radius)
-    return hit.groupBy("q").agg(F.min(F.struct("d", "element")).alias("m")).select("q", "m.element", F.col("m.d").alias("distance"))
+    legs = F.explode(F.when(F.size("path") > 1, F.zip_with(F.slice("path", F.lit(1), F.size("path") - 1), F.slice("path", F.lit(2), F.size("path") - 1), lambda u, v: F.struct(u.alias("u"), v.alias("v"))))).alias("leg")
+    ends = [F.col(f"leg.{p}")[i].cast("double").alias(n) for n, p, i in (("x1", "u", 0), ("y1", "u", 1), ("x2", "v", 0), ("y2", "v", 1))]
+    legs = covered_cells(routes.select("element", "seq", legs).select("element", "seq", *ends), size).withColumn("is_point", F.lit(False))
+    spots = points.select("element", "seq", *[F.col(c).cast("double").alias(n) for c, n in (("x", "x1"), ("y", "y1"), ("x", "x2"), ("y", "y2"))]).where("x1 is not null and y1 is not null")
+    spots = spots.withColumns({"cx": cell(F.col("x1")), "cy": cell(F.col("y1")), "is_point": F.lit(True)})
+    d = segment_distance(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), F.col("qx"), F.col("qy"))
+    d = F.round(F.when(F.col("is_point"), F.greatest(F.lit(0.0), d - radius * POINT_ALLOWANCE)).otherwise(d), 9)
+    hit = a.join(legs.unionByName(spots), ["cx", "cy"]).withColumn("d", d).where(F.col("d") <= radius)
+    best = hit.groupBy("q").agg(F.min(F.struct("d", (~F.col("is_point")).alias("route"), (-F.col("seq")).alias("later"), "element")).alias("m"))
+    return best.select("q", "m.element", F.col("m.d").alias("distance"))
 
 
 def dispatch_faults(units: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,17 +15,50 @@ K1, B = 1.2, 0.75
 BOOSTS = {"title": 6.0, "summary": 3.0, "keywords": 2.5, "publisher": 2.0, "description": 1.0}
 
 
+#: The bytes of a token in lower-case text: a-z and 0-9.
+_TOKEN = np.zeros(256, bool)
+_TOKEN[[*range(48, 58), *range(97, 123)]] = True
+
+
+def _counted(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """(row, token, times, tokens of the row) of every distinct token of each of some lower-case texts.
+
+    Tokens are the runs of token bytes, so the bytes that are kept and where runs begin make an Arrow array of all tokens at once."""
+    _, offsets, data = texts.buffers()
+    offs = np.frombuffer(offsets, np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8)[offs[0] : offs[-1]] if data is not None else np.zeros(0, np.uint8)
+    offs = offs - offs[0]
+    ink = _TOKEN[raw]
+    first = ink.copy()
+    first[1:] &= ~ink[:-1]
+    edge = offs[:-1][offs[:-1] < len(raw)]
+    first[edge] = ink[edge]
+    starts = np.flatnonzero(first)
+    kept = np.cumsum(ink)
+    begin = kept[starts] - 1 if len(starts) else np.zeros(0, np.int64)
+    tokens = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(begin, kept[-1] if len(kept) else 0).astype(np.int64)), pa.py_buffer(raw[ink]))
+    row = np.searchsorted(offs, starts, "right") - 1
+    coded = tokens.dictionary_encode()
+    n = max(len(coded.dictionary), 1)
+    pairs, times = np.unique(row * n + coded.indices.to_numpy().astype(np.int64), return_counts=True)
+    return pairs // n, coded.dictionary.cast(pa.string()).take(pa.array(pairs % n)), times, np.bincount(row, minlength=len(texts))
+
+
 def postings(docs: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
     """field, token, id, tf, len: one row for each distinct token of a field of a document; len counts all tokens of that field.
 
-    A token is counted in its own row, as the length of its run among the sorted tokens, so nothing is shuffled."""
-    text = F.explode(F.create_map(*[x for f in fields for x in (F.lit(f), F.coalesce(F.col(f), F.lit("")))])).alias("field", "text")
-    words = docs.select(F.col(id_col).alias("id"), text).select("id", "field", F.array_sort(search_tokens(F.col("text"))).alias("w"))
-    words = words.withColumn("n", F.size("w")).where("n > 0")
-    at = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: (i == 0) | (F.get("w", i) != F.get("w", F.greatest(i - 1, F.lit(0)))))
-    words = words.withColumn("at", at).withColumn("to", F.concat(F.slice("at", F.lit(2), F.size("at")), F.array("n")))
-    runs = F.zip_with("at", "to", lambda a, b: F.struct(F.get("w", a).alias("token"), (b - a).cast("long").alias("tf")))
-    return words.select("id", "field", F.col("n").cast("long").alias("len"), F.inline(runs)).select("field", "token", "id", "tf", "len")
+    A document's tokens are counted where its row is, on whole Arrow batches, so nothing is shuffled."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def count(batches):
+        for b in batches:
+            for f in fields:
+                row, token, times, sizes = _counted(b[f])
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array([f] * len(row), pa.string()), token, b["id"].take(at), pa.array(times), pa.array(sizes[row])], ["field", "token", "id", "tf", "len"])
+
+    texts = docs.select(F.col(id_col).alias("id"), *[F.lower(F.coalesce(F.col(f), F.lit(""))).alias(f) for f in fields])
+    return texts.mapInArrow(count, f"field string, token string, id {kind}, tf long, len long")
 
 
 def upsert_postings(old: DataFrame, changed: DataFrame, removed: DataFrame) -> DataFrame:
@@ -68,16 +103,41 @@ def expand_last(index: DataFrame, requests: DataFrame, limit: int = 40, damping:
     return fixed.unionByName(some.select("request_id", "token", F.when(F.col("token") == F.col("stem"), 1.0).otherwise(damping).alias("damping")))
 
 
+#: The weights of a last word that is matched as a prefix, and of all of them together.
+PREFIX_BOOSTS, PREFIX_WEIGHT = {"title": 2.1, "keywords": 0.9}, 0.35
+
+
 def all_terms(index: DataFrame, requests: DataFrame, boosts: dict[str, float] = BOOSTS) -> DataFrame:
-    """request_id, id for requests (request_id, token): documents with every distinct token somewhere, and the best field's
-    boosted count."""
+    """request_id, id, best for requests (request_id, token): documents with every distinct token in one and the same field, and
+    the best of these fields' boosted counts.
+
+    The tokens of a request are counted for each field of a document, so no set of tokens is collected."""
     want = requests.select("request_id", "token").distinct()
     n = want.groupBy("request_id").agg(F.count("*").alias("n"))
     boost = F.create_map(*[F.lit(x) for kv in boosts.items() for x in kv])
-    hit = index.join(want, "token")
-    per = hit.groupBy("request_id", "id", "field").agg(F.sum(F.coalesce(boost[F.col("field")], F.lit(1.0))).alias("s"), F.collect_set("token").alias("t"))
-    whole = per.groupBy("request_id", "id").agg(F.max("s").alias("best"), F.size(F.array_distinct(F.flatten(F.collect_list("t")))).alias("terms"))
-    return whole.join(n, "request_id").where("terms = n").select("request_id", "id", "best")
+    per = index.select("id", "field", "token").distinct().join(want, "token").groupBy("request_id", "id", "field").agg(F.count("*").alias("terms"))
+    whole = per.join(n, "request_id").where("terms = n")
+    return whole.groupBy("request_id", "id").agg(F.max(F.coalesce(boost[F.col("field")], F.lit(1.0)) * F.col("terms")).alias("best"))
+
+
+def last_as_prefix(index: DataFrame, requests: DataFrame, whole: DataFrame) -> DataFrame:
+    """request_id, id, best: whole (the result of all_terms()) with the documents that have all tokens but the last of requests
+    (request_id, tokens) in the title or the keywords, and there a token that starts with the last: PREFIX_WEIGHT times the
+    field's prefix boost is added for each of the request's distinct tokens."""
+    fields = index.where(F.col("field").isin(*PREFIX_BOOSTS)).select("id", "field", "token").distinct()
+    asked = requests.where("size(tokens) > 0").select("request_id", F.array_distinct(F.slice("tokens", F.lit(1), F.size("tokens") - 1)).alias("fixed"), F.element_at("tokens", -1).alias("stem"))
+    n = asked.select("request_id", (F.size("fixed") + 1).alias("n"))
+    words = asked.select("request_id", F.explode("fixed").alias("token"), F.lit(False).alias("is_stem"))
+    # a prefix of up to three letters makes an equi-join of the prefix match
+    stems = asked.select("request_id", "stem", F.substring("stem", 1, 3).alias("k"))
+    keyed = fields.select("*", F.explode(F.array_distinct(F.array(*[F.substring("token", 1, i) for i in (1, 2, 3)]))).alias("k"))
+    by_stem = keyed.join(stems, "k").where(F.startswith(F.col("token"), F.col("stem"))).select("request_id", "id", "field", F.lit(True).alias("is_stem"), F.lit("").alias("token"))
+    hit = fields.join(words, "token").select("request_id", "id", "field", "is_stem", "token").unionByName(by_stem).distinct()
+    have = hit.groupBy("request_id", "id", "field").agg(F.count("*").alias("terms")).join(n, "request_id").where("terms = n")
+    boost = F.create_map(*[F.lit(x) for kv in PREFIX_BOOSTS.items() for x in kv])
+    more = have.groupBy("request_id", "id").agg(F.max(boost[F.col("field")] * F.col("terms") * PREFIX_WEIGHT).alias("more"))
+    both = whole.join(more, ["request_id", "id"], "full_outer")
+    return both.select("request_id", "id", (F.coalesce("best", F.lit(0.0)) + F.coalesce("more", F.lit(0.0))).alias("best"))
 
 
 def top(scores: DataFrame, titles: DataFrame, n: int) -> DataFrame:

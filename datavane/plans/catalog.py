@@ -175,9 +175,11 @@ def n21(t):
     return d.select("r_regionkey", "n_nationkey", norm.content_hash(d, "n_nationkey", "n_name", "r_name").alias("hash"))
 
 
-@query("N22_publisher_key", r"""
-    WITH h AS (SELECT url, regexp_extract(lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)), '([^.]+\.[^.]+)$', 1) AS site, regexp_extract(url, '^[a-z]+://[^/?#]+/([^/?#]+)', 1) AS f FROM pages)
-    SELECT CASE WHEN site = '' THEN NULL WHEN site = 'example.net' AND f <> '' THEN site || '/' || f ELSE site END AS publisher, count(*) AS n FROM h GROUP BY 1""")
+@query("N22_publisher_key", rf"""
+    WITH h AS (SELECT url, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS host, regexp_extract(url, '^[a-z]+://[^/?#]+/([^/?#]+)', 1) AS f FROM pages),
+    l AS (SELECT *, string_split(host, '.') AS l FROM h),
+    s AS (SELECT f, CASE WHEN len(l) < 2 THEN '' WHEN len(l) > 2 AND regexp_matches(l[-1], '^[a-z][a-z]$') AND list_contains({list(norm.REGISTRIES)}, l[-2]) THEN array_to_string(l[-3:], '.') ELSE array_to_string(l[-2:], '.') END AS site FROM l)
+    SELECT CASE WHEN site = '' THEN NULL WHEN site = 'example.net' AND f <> '' THEN site || '/' || f ELSE site END AS publisher, count(*) AS n FROM s GROUP BY 1""")
 def n22(t):
     return t("pages").groupBy(norm.publisher_key(F.col("url"), ("example.net",)).alias("publisher")).agg(F.count("*").alias("n"))
 
@@ -408,13 +410,26 @@ def r3(t):
     return search.expand_last(_index(t), last)
 
 
-@query("R5_all_terms", _POST + """, h AS (SELECT request_id, p.id, p.field, sum(CASE p.field WHEN 'title' THEN 6.0 ELSE 1.0 END) AS s FROM p JOIN q ON p.token = q.token GROUP BY 1, 2, 3),
-    c AS (SELECT request_id, p.id, count(DISTINCT p.token) AS n FROM p JOIN q ON p.token = q.token GROUP BY 1, 2)
-    SELECT h.request_id, h.id, max(s) AS best FROM h JOIN c ON c.request_id = h.request_id AND c.id = h.id WHERE c.n = (SELECT count(*) FROM q WHERE q.request_id = h.request_id) GROUP BY 1, 2""")
+@query("R5_all_terms", _POST + """, d AS (SELECT DISTINCT id, field, token FROM p), c AS (SELECT request_id, d.id, d.field, count(*) AS n FROM d JOIN q ON d.token = q.token GROUP BY 1, 2, 3)
+    SELECT request_id, id, CAST(max(n * CASE field WHEN 'title' THEN 6.0 ELSE 1.0 END) AS DOUBLE) AS best FROM c WHERE n = (SELECT count(*) FROM q WHERE q.request_id = c.request_id) GROUP BY 1, 2""")
 def r5(t):
     return search.all_terms(_index(t), _asked(t))
 
 
+@query("R5_last_as_prefix", _POST + """, a AS (SELECT row_number() OVER (ORDER BY lang, source) AS request_id, lang AS fixed, left(source, 4) AS stem FROM (SELECT DISTINCT lang, source FROM documents)),
+    g AS (SELECT DISTINCT id, field, token FROM p),
+    wh AS (SELECT request_id, x.id, max(CASE x.field WHEN 'title' THEN 6.0 ELSE 1.0 END * 2) AS best FROM a JOIN g x ON x.token = fixed JOIN g y ON y.token = stem AND y.id = x.id AND y.field = x.field GROUP BY 1, 2),
+    m AS (SELECT DISTINCT request_id, x.id, 2 * 2.1 * 0.35 AS more FROM a JOIN g x ON x.token = fixed AND x.field = 'title' JOIN g y ON starts_with(y.token, stem) AND y.id = x.id AND y.field = 'title')
+    SELECT coalesce(wh.request_id, m.request_id) AS request_id, coalesce(wh.id, m.id) AS id, round(CAST(coalesce(best, 0) + coalesce(more, 0) AS DOUBLE), 6) AS best FROM wh FULL JOIN m ON m.request_id = wh.request_id AND m.id = wh.id""")
+def r5p(t):
+    index = _index(t)
+    asked = t("documents").select("lang", "source").distinct()
+    asked = filters.placed(asked.withColumn("tie", F.concat_ws("|", "lang", "source")), ("lang", False), ("source", False), tie="tie").select(F.col("place").alias("request_id"), F.array("lang", F.substring("source", 1, 4)).alias("tokens"))
+    asked = shared.saved(asked, "asked")
+    whole = search.all_terms(index, asked.select("request_id", F.explode("tokens").alias("token")))
+    return search.last_as_prefix(index, asked, whole).withColumn("best", F.round("best", 6))
+
+
 @query("R9_incremental", _POST + ", k AS (SELECT * FROM p WHERE id % 3 <> 0 UNION ALL SELECT field, token, id, len, tf + 1 FROM p WHERE id % 6 = 0) SELECT field, count(*) AS n, sum(tf)::BIGINT AS tf FROM k GROUP BY 1")
 def r9(t):
     i = _index(t)
@@ -546,7 +561,7 @@ def j1(t):
 _CAND = """
     WITH RECURSIVE k AS (SELECT id, 1 AS rung, CAST(member AS VARCHAR) AS key FROM concept_of UNION ALL SELECT id, 2, data_domain FROM datasets UNION ALL SELECT id, 3, member FROM analysis_of),
     q AS (SELECT DISTINCT a.id AS source, a.rung, b.id AS target, d.title FROM k a JOIN k b ON a.rung = b.rung AND a.key = b.key JOIN datasets d ON d.id = b.id),
-    w AS (SELECT *, row_number() OVER (PARTITION BY source, rung ORDER BY title, target) AS n FROM q),
+    w AS (SELECT *, row_number() OVER (PARTITION BY source, rung ORDER BY lower(title), target) AS n FROM q),
     p AS (SELECT source, target, min(rung) AS rung FROM w WHERE n <= 200 AND source <> target GROUP BY 1, 2),
     h AS (SELECT source, rung, coalesce(sum(count(*)) OVER (PARTITION BY source ORDER BY rung ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM p GROUP BY 1, 2),
     up(node, ancestor, depth) AS (SELECT child, parent, 1 FROM derivations UNION SELECT up.node, e.parent, up.depth + 1 FROM up JOIN derivations e ON up.ancestor = e.child WHERE up.depth < 32),
@@ -1063,11 +1078,11 @@ def h7(t):
     return changes.review_queue(d, by="data_domain").select("data_domain", "id", "rank")
 
 
-_OUT = "CASE WHEN status BETWEEN 200 AND 299 THEN 'verified' WHEN status BETWEEN 300 AND 399 AND location IS NOT NULL THEN 'redirected' WHEN status IN (401, 403, 429) THEN 'degraded' ELSE 'unreachable' END"
+_OUT = "CASE WHEN NOT (url LIKE 'http://%' OR url LIKE 'https://%') THEN NULL WHEN status BETWEEN 200 AND 299 THEN 'verified' WHEN status BETWEEN 300 AND 399 AND location IS NOT NULL THEN 'redirected' WHEN status IN (401, 403, 429) THEN 'degraded' ELSE 'unreachable' END"
 
 
 def _probes(t):
-    return t("probes").withColumn("outcome", changes.probe_outcome(F.col("status"), F.col("location")))
+    return t("probes").withColumn("outcome", changes.probe_outcome(F.col("status"), F.col("location"), F.col("url")))
 
 
 @query("H8_probe_outcome", f"SELECT probe_id, {_OUT} AS outcome, status IN (301, 308) AS permanent FROM probes")
@@ -1075,14 +1090,15 @@ def h8(t):
     return _probes(t).select("probe_id", "outcome", changes.permanent(F.col("status")).alias("permanent"))
 
 
-_HEALTH = f"""WITH o AS (SELECT *, {_OUT} AS outcome FROM probes), i AS (SELECT *, count(*) FILTER (outcome <> 'unreachable') OVER (PARTITION BY distribution_id ORDER BY probed_at, probe_id) AS island FROM o),
+_HEALTH = f"""WITH o AS (SELECT * FROM (SELECT *, {_OUT} AS outcome FROM probes) WHERE outcome IS NOT NULL),
+    i AS (SELECT *, count(*) FILTER (outcome IN ('verified', 'redirected')) OVER (PARTITION BY distribution_id ORDER BY probed_at, probe_id) AS island FROM o),
     m AS (SELECT *, max(island) OVER (PARTITION BY distribution_id) AS top FROM i),
-    h AS (SELECT distribution_id, count(*) FILTER (outcome = 'unreachable' AND island = top) AS failures, max(probed_at) FILTER (outcome <> 'unreachable') AS last_success, arg_max(outcome, (probed_at, probe_id)) AS last_status, max(probed_at) AS probed FROM m GROUP BY 1)"""
+    h AS (SELECT distribution_id, count(*) FILTER (outcome NOT IN ('verified', 'redirected') AND island = top) AS failures, max(probed_at) FILTER (outcome IN ('verified', 'redirected')) AS last_success, arg_max(outcome, (probed_at, probe_id)) AS last_status, max(probed_at) AS probed FROM m GROUP BY 1)"""
 
 
-@query("H9_health", _HEALTH + "SELECT distribution_id, failures, last_success, last_status FROM h")
+@query("H9_health", _HEALTH + "SELECT distribution_id, failures, failures >= 3 AS excluded, last_success, last_status FROM h")
 def h9(t):
-    return changes.health(_probes(t)).select("distribution_id", "failures", "last_success", "last_status")
+    return changes.health(_probes(t)).drop("next_due")
 
 
 @query("H10_due", _HEALTH + "SELECT c_custkey AS distribution_id FROM customer LEFT JOIN h ON h.distribution_id = c_custkey WHERE probed IS NULL OR probed <= TIMESTAMP '2024-01-29 12:00:00'")
@@ -1095,11 +1111,27 @@ def h11(t):
     return changes.health(_probes(t)).where("failures >= 1").select("distribution_id", "failures")
 
 
-@query("H12_heals", f"""WITH o AS (SELECT *, {_OUT} AS outcome, row_number() OVER (PARTITION BY distribution_id ORDER BY probed_at DESC, probe_id DESC) AS n FROM probes)
-    SELECT distribution_id, max(location) AS location FROM o WHERE n <= 3 GROUP BY 1 HAVING count(*) = 3 AND count(*) FILTER (outcome = 'redirected') = 3 AND count(DISTINCT location) = 1 AND max(status) FILTER (n = 1) IN (301, 308)""")
+_HEALS = f"""WITH o AS (SELECT * FROM (SELECT *, {_OUT} AS outcome FROM probes) WHERE outcome IS NOT NULL)"""
+
+
+@query("H12_heals", f"""{_HEALS}, n AS (SELECT *, row_number() OVER (PARTITION BY distribution_id ORDER BY probed_at DESC, probe_id DESC) AS n FROM o),
+    h AS (SELECT distribution_id, max(location) AS location FROM n WHERE n <= 3 GROUP BY 1 HAVING count(*) = 3 AND count(*) FILTER (outcome = 'redirected') = 3 AND count(DISTINCT location) = 1 AND max(status) FILTER (n = 1) IN (301, 308))
+    SELECT distribution_id, location FROM h WHERE NOT (distribution_id % 3 = 0 AND location = 'https://new.example.org/1')""")
 def h12(t):
-    p = _probes(t)
-    return changes.heals(p, p.sparkSession.createDataFrame([], "distribution_id long, new_value string, n int"))
+    p = _probes(t).where("outcome is not null")
+    # the last revision of each third path went to one of the targets; other paths had it as the 21st
+    old = t("customer").where("c_custkey % 3 < 2").select(F.col("c_custkey").alias("distribution_id"), F.lit("https://new.example.org/1").alias("new_value"), F.when(F.col("c_custkey") % 3 == 0, 1).otherwise(21).alias("n"))
+    return changes.heals(p, old)
+
+
+H12_SQL = f"""{_HEALS}, c AS (SELECT *, outcome = 'redirected' AND status IN (301, 308) AND lag(outcome) OVER w = 'redirected' AND lag(outcome, 2) OVER w = 'redirected' AND lag(location) OVER w = location AND lag(location, 2) OVER w = location AS ok FROM o WINDOW w AS (PARTITION BY distribution_id ORDER BY probed_at, probe_id)),
+    f AS (SELECT distribution_id, location, arg_min(probe_id, (probed_at, probe_id)) AS probe_id, min((probed_at, probe_id)) AS first_at FROM c WHERE ok GROUP BY 1, 2)
+    SELECT distribution_id, CAST(row_number() OVER (PARTITION BY distribution_id ORDER BY first_at) AS INT) AS n, probe_id, location AS new_value FROM f"""
+
+
+@query("H12_revisions", H12_SQL)
+def h12r(t):
+    return changes.healed(_probes(t))
 
 
 @query("H13_retention", "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-20 00:00:00'")
@@ -1117,9 +1149,22 @@ def h16(t):
     return rollups.lag_seconds(t("events"), "ts", F.col("event_type") == "view")
 
 
-@query("H17_access_path", "SELECT dataset_id, distribution_id, reachable, a AS alternatives FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY reachable DESC, sliceable DESC, anonymous DESC, requester_pays, bulk DESC, distribution_id) AS n, count(*) OVER (PARTITION BY dataset_id) - 1 AS a FROM distributions) WHERE n = 1")
+_REQUESTS = "SELECT 2 * dataset_id + k AS request_id, dataset_id, CASE WHEN k = 1 AND dataset_id % 5 = 0 THEN 4 * dataset_id + 1 WHEN k = 1 AND dataset_id % 5 = 1 THEN CAST(-1 AS BIGINT) END AS pinned, k = 1 AND dataset_id % 5 > 1 AS wants_slice FROM (SELECT DISTINCT dataset_id FROM distributions) x, (SELECT 0 AS k UNION ALL SELECT 1) y"
+
+
+@query("H17_access_path", f"""WITH q AS ({_REQUESTS}), u AS (SELECT * FROM distributions WHERE url IS NOT NULL),
+    r AS (SELECT q.request_id, q.dataset_id, q.pinned, u.distribution_id, u.reachable, u.health, count(u.distribution_id) OVER (PARTITION BY q.request_id) AS n, count(*) FILTER (NOT u.reachable) OVER (PARTITION BY q.request_id) AS dead,
+        row_number() OVER (PARTITION BY q.request_id ORDER BY coalesce(q.pinned = u.distribution_id, false) DESC, u.reachable DESC, (q.wants_slice AND (u.protocol IS NOT NULL OR (u.sliceable AND u.chunk_index IS NOT NULL))) DESC, coalesce(u.anonymous, true) DESC, u.requester_pays, u.bulk DESC, u.distribution_id) AS k FROM q LEFT JOIN u ON u.dataset_id = q.dataset_id)
+    SELECT request_id, dataset_id, CASE WHEN pinned IS NULL OR pinned = distribution_id THEN distribution_id END AS distribution_id, CASE WHEN pinned IS NULL OR pinned = distribution_id THEN reachable END AS reachable, greatest(n - 1, 0) AS alternatives,
+        CASE WHEN pinned = distribution_id THEN CASE WHEN NOT reachable THEN 'You pinned this distribution and its last probe was ' || health || '.' END WHEN pinned IS NOT NULL THEN NULL
+            WHEN dead > 0 AND reachable THEN dead || ' distribution(s) were skipped: the prober''s last attempt did not reach them. This is a live sibling.'
+            WHEN dead > 0 THEN 'Every recorded path failed its last probe. This plan points at the least recently failed one; expect it not to work.' END AS note FROM r WHERE k = 1""")
 def h17(t):
-    return changes.access_path(t("distributions"))
+    d = t("distributions").select("dataset_id").distinct()
+    k = d.select("dataset_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
+    id_ = F.col("dataset_id")
+    pin = F.when((F.col("k") == 1) & (id_ % 5 == 0), 4 * id_ + 1).when((F.col("k") == 1) & (id_ % 5 == 1), F.lit(-1).cast("long"))
+    return changes.access_path(t("distributions"), k.select((2 * id_ + F.col("k")).alias("request_id"), "dataset_id", pin.alias("pinned"), ((F.col("k") == 1) & (id_ % 5 > 1)).alias("wants_slice")))
 
 
 @query("H18_access_mode", "SELECT distribution_id, CASE WHEN protocol IS NOT NULL THEN 'subsetting' WHEN sliceable AND chunk_index IS NOT NULL THEN 'partial-read' ELSE 'redirect' END AS mode FROM distributions")
@@ -1205,7 +1250,20 @@ def x9(t):
     return network.clip_runs(v, (10, 0.02, 40, 0.08)).select("line_id", "run", "seq")
 
 
-@query("X12_nearest", "WITH q AS (SELECT c_custkey AS q, c_custkey % 101 + 0.5 AS qx, c_custkey % 83 + 0.25 AS qy FROM customer), h AS (SELECT q, bus_id, sqrt((x - qx) * (x - qx) + (y - qy) * (y - qy)) AS d FROM q JOIN buses ON abs(x - qx) <= 3 AND abs(y - qy) <= 3) SELECT q, element, round(d, 6) AS distance FROM (SELECT q, bus_id AS element, d, row_number() OVER (PARTITION BY q ORDER BY d, bus_id) AS n FROM h WHERE d <= 3) WHERE n = 1")
+@query("X12_nearest", """WITH q AS (SELECT c_custkey AS q, c_custkey % 101 + 0.5::DOUBLE AS x, c_custkey % 83 + 0.25::DOUBLE AS y FROM customer),
+    v AS (SELECT p_partkey AS id, CAST(p_partkey % 97 AS DOUBLE) AS x1, CAST(p_partkey % 89 AS DOUBLE) AS y1, CAST((p_partkey + 1) % 97 AS DOUBLE) AS x2, CAST((p_partkey + 1) % 89 AS DOUBLE) AS y2, CAST((p_partkey + 1 + p_size) % 97 AS DOUBLE) AS x3, CAST((p_partkey + 1 + p_size) % 89 AS DOUBLE) AS y3 FROM part),
+    s AS (SELECT id, false AS p, x1, y1, x2, y2 FROM v UNION ALL SELECT id, false, x2, y2, x3, y3 FROM v UNION ALL SELECT bus_id, true, x, y, x, y FROM buses),
+    t AS (SELECT q, x, y, s.*, (x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1) AS l, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) AS m FROM q, s),
+    u AS (SELECT q, id, p, x, y, x1, y1, x2, y2, CASE WHEN l = 0 THEN 0.0::DOUBLE ELSE greatest(0.0, least(1.0, m / l)) END AS t FROM t),
+    d AS (SELECT q, id, p, sqrt((x - (x1 + t * (x2 - x1))) * (x - (x1 + t * (x2 - x1))) + (y - (y1 + t * (y2 - y1))) * (y - (y1 + t * (y2 - y1)))) AS d FROM u),
+    e AS (SELECT q, id, p, round(CASE WHEN p THEN greatest(0.0, d - 0.9 / 3) ELSE d END, 9) AS d FROM d)
+    SELECT q, CASE WHEN p THEN 'bus ' ELSE 'line ' END || id AS element, d AS distance FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, p DESC, id DESC) AS n FROM e WHERE d <= 0.9) WHERE n = 1""")
 def x12(t):
     q = t("customer").select(F.col("c_custkey").alias("q"), (F.col("c_custkey") % 101 + F.lit(0.5)).alias("x"), (F.col("c_custkey") % 83 + F.lit(0.25)).alias("y"))
-    return network.nearest(q, t("buses").withColumnRenamed("bus_id", "element"), 3.0).withColumn("distance", F.round("distance", 6))
+    named = lambda kind, c: F.concat(F.lit(f"{kind} "), F.col(c).cast("string")).alias("element")
+    points = t("buses").select(named("bus", "bus_id"), F.col("bus_id").alias("seq"), "x", "y")
+    # a line of two legs from each part: a short one to the next place, and one as long as the part's size
+    k = F.col("p_partkey")
+    at = lambda v: F.array((v % 97).cast("double"), (v % 89).cast("double"))
+    routes = t("part").select(named("line", "p_partkey"), k.alias("seq"), F.array(at(k), at(k + 1), at(k + 1 + F.col("p_size"))).alias("path"))
+    return network.nearest(q, points, routes, 0.9)

@@ -45,6 +45,7 @@ VIEWS = {
     "probes": """
         SELECT event_id AS probe_id, user_id AS distribution_id, ts AS probed_at,
             CASE event_type WHEN 'error' THEN 500 WHEN 'purchase' THEN 301 WHEN 'signup' THEN 403 WHEN 'click' THEN 302 ELSE 200 END AS status,
+            CASE user_id % 9 WHEN 4 THEN 's3://bucket/' ELSE 'https://old.example.org/' END || CAST(user_id AS VARCHAR(20)) AS url,
             CASE event_type WHEN 'purchase' THEN 'https://new.example.org/' || CAST(event_id % 2 AS VARCHAR(20)) WHEN 'click' THEN 'https://new.example.org/' || CAST(event_id % 2 AS VARCHAR(20)) END AS location FROM events""",
     "grants": """
         SELECT s_suppkey AS dataset_id, 'user' || CAST(s_suppkey % 10 AS VARCHAR(20)) AS principal_id, CASE WHEN s_suppkey % 4 = 0 THEN 'A' || CAST(s_nationkey AS VARCHAR(20)) || '@Example.org' END AS email,
@@ -52,8 +53,9 @@ VIEWS = {
             CASE WHEN s_suppkey % 9 = 0 THEN TIMESTAMP '1999-01-01 00:00:00' END AS revoked_at FROM supplier""",
     "distributions": """
         SELECT p_partkey AS distribution_id, CAST(floor(p_partkey / 4) AS BIGINT) AS dataset_id, p_type AS format_label, CASE WHEN p_size % 3 = 0 THEN 'application/x-parquet' WHEN p_size % 3 = 1 THEN 'text/csv' ELSE 'application/geo+json' END AS media_type,
-            p_size % 5 <> 0 AS reachable, p_size % 7 = 0 AS sliceable, p_size % 2 = 0 AS anonymous, p_size % 11 = 0 AS requester_pays, p_size % 6 = 0 AS bulk,
+            p_size % 5 <> 0 AS reachable, p_size % 7 = 0 AS sliceable, CASE WHEN p_size % 10 <> 3 THEN p_size % 2 = 0 END AS anonymous, p_size % 11 = 0 AS requester_pays, p_size % 6 = 0 AS bulk,
             CASE WHEN p_size % 13 = 0 THEN 'opendap' END AS protocol, CASE WHEN p_size % 14 = 0 THEN 'kerchunk' END AS chunk_index,
+            CASE WHEN p_size % 17 = 0 THEN NULL WHEN p_partkey % 3 = 0 THEN 's3://bucket/' || CAST(p_partkey AS VARCHAR(20)) ELSE 'https://data.example.org/' || CAST(p_partkey AS VARCHAR(20)) END AS url,
             CASE p_size % 4 WHEN 0 THEN 'unreachable' WHEN 1 THEN 'degraded' WHEN 2 THEN 'redirected' ELSE 'verified' END AS health FROM part""",
     "parts": """
         SELECT p_partkey AS part, CAST(floor(p_partkey / 10) AS BIGINT) AS id, p_name AS label, CASE WHEN p_size % 3 <> 0 THEN p_type END AS definition, CASE WHEN p_size % 4 <> 0 THEN 'MW' END AS unit,

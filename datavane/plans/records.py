@@ -5,12 +5,14 @@ from __future__ import annotations
 from datetime import date, datetime
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import changes, filters, meaning, rollups, views
 from ..sources import loaders
 from ..streaming import jobs
 from . import demo
-from .catalog import QUERIES, SQL, query
+from .catalog import _HEALTH, _OUT, QUERIES, SQL, query
+from .catalog import H12_SQL as _REVISIONS
 
 
 def stream(name: str, sql: str | None = None):
@@ -116,10 +118,9 @@ def h20(t):
     return changes.caveats(t("distributions")).select("distribution_id", F.array_join("caveats", "; ").alias("caveats"))
 
 
-@query("H21_download_target", "SELECT dataset_id, distribution_id FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY reachable DESC, anonymous DESC, bulk DESC, distribution_id) AS n FROM distributions WHERE distribution_id % 3 <> 0) WHERE n = 1")
+@query("H21_download_target", "SELECT dataset_id, distribution_id FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY reachable DESC, coalesce(anonymous, true) DESC, bulk DESC, distribution_id) AS n FROM distributions WHERE url LIKE 'http://%' OR url LIKE 'https://%') WHERE n = 1")
 def h21(t):
-    d = t("distributions").withColumn("url", F.when(F.col("distribution_id") % 3 != 0, "https://a.example.org/x").otherwise("s3://bucket/x"))
-    return changes.download_target(d)
+    return changes.download_target(t("distributions"))
 
 
 @query("P13_temporal_sort_page", "SELECT id, title FROM datasets ORDER BY modified DESC NULLS LAST, id LIMIT 30")
@@ -127,15 +128,17 @@ def p13(t):
     return filters.page(filters.ordered(t("datasets"), ("modified", True), tie="id"), 0, 30).select("id", "title")
 
 
-_OUT = "CASE WHEN status BETWEEN 200 AND 299 THEN 'verified' WHEN status BETWEEN 300 AND 399 AND location IS NOT NULL THEN 'redirected' WHEN status IN (401, 403, 429) THEN 'degraded' ELSE 'unreachable' END"
-
-
 def _probe_stream(spark, sf_dir):
     e = jobs.opened(spark, f"{sf_dir}/events.parquet")
     kind = F.col("event_type")
     status = F.when(kind == "error", 500).when(kind == "purchase", 301).when(kind == "signup", 403).when(kind == "click", 302).otherwise(200)
     to = F.when(kind.isin("purchase", "click"), F.concat(F.lit("https://new.example.org/"), (F.col("event_id") % 2).cast("string")))
-    return jobs.classified(e.select(F.col("event_id").alias("probe_id"), F.col("user_id").alias("distribution_id"), F.col("ts").cast("timestamp").alias("probed_at"), status.alias("status"), to.alias("location")))
+    url = F.concat(F.when(F.col("user_id") % 9 == 4, "s3://bucket/").otherwise("https://old.example.org/"), F.col("user_id").cast("string"))
+    return jobs.classified(e.select(F.col("event_id").alias("probe_id"), F.col("user_id").alias("distribution_id"), F.col("ts").cast("timestamp").alias("probed_at"), status.alias("status"), to.alias("location"), url.alias("url")))
+
+
+def _health_told(spark, sf_dir):
+    return jobs.health_now(jobs.drained(jobs.health_states(_probe_stream(spark, sf_dir).where("outcome is not null")), "st2", "update"))
 
 
 @stream("ST1_probe_stream", f"SELECT probe_id, {_OUT} AS outcome FROM probes")
@@ -143,11 +146,16 @@ def st1(spark, sf_dir):
     return jobs.drained(_probe_stream(spark, sf_dir).select("probe_id", "outcome"), "st1").select("probe_id", "outcome")
 
 
-@stream("ST2_health_state", f"""WITH o AS (SELECT *, {_OUT} AS outcome FROM probes), i AS (SELECT *, count(*) FILTER (outcome <> 'unreachable') OVER (PARTITION BY distribution_id ORDER BY probed_at, probe_id) AS island FROM o), m AS (SELECT *, max(island) OVER (PARTITION BY distribution_id) AS top FROM i)
-    SELECT distribution_id, CAST(count(*) FILTER (outcome = 'unreachable' AND island = top) AS INT) AS failures FROM m GROUP BY 1""")
+@stream("ST2_health_state", _HEALTH + "SELECT distribution_id, CAST(failures AS INT) AS failures, failures >= 3 AS excluded FROM h")
 def st2(spark, sf_dir):
-    out = jobs.drained(jobs.health_states(_probe_stream(spark, sf_dir)), "st2", "update")
-    return out.groupBy("distribution_id").agg(F.max_by("failures", "batch").alias("failures"))
+    return _health_told(spark, sf_dir)[0].select("distribution_id", "failures", "excluded")
+
+
+@stream("ST2_heals", _REVISIONS)
+def st2h(spark, sf_dir):
+    revisions = _health_told(spark, sf_dir)[1]
+    n = F.row_number().over(Window.partitionBy("distribution_id").orderBy("probed_at", "probe_id"))
+    return revisions.select("distribution_id", n.alias("n"), "probe_id", "new_value")
 
 
 def _events(spark, sf_dir):
@@ -160,12 +168,11 @@ def st4(spark, sf_dir):
     return out.groupBy("user_id", "window_start").agg(F.max("n").alias("n")).withColumn("allowed", F.col("n") <= 1)
 
 
-@stream("ST5_new_payloads", "SELECT DISTINCT source, CAST(length(coalesce(text, '')) AS BIGINT) AS id, sha256(coalesce(text, '')) AS hash FROM documents")
+@stream("ST5_new_payloads", """SELECT event_type AS hash, event_id AS seq, user_id AS id, CASE WHEN before IS NULL THEN 'created' ELSE 'changed' END AS action
+    FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) WHERE before IS DISTINCT FROM event_type""")
 def st5(spark, sf_dir):
-    d = jobs.opened(spark, f"{sf_dir}/documents.parquet")
-    text = F.coalesce("text", F.lit(""))
-    p = d.select("source", F.length(text).cast("long").alias("id"), F.sha2(text, 256).alias("hash"), F.lit("2024-01-01").cast("timestamp").alias("fetched_at"))
-    return jobs.drained(jobs.new_payloads(p), "st5").select("source", "id", "hash")
+    p = _events(spark, sf_dir).select(F.lit("log").alias("source"), F.col("user_id").alias("id"), F.col("event_type").alias("hash"), F.col("ts").alias("fetched_at"), F.col("event_id").alias("seq"))
+    return jobs.drained(jobs.payload_changes(p), "st5").select("hash", "seq", "id", "action")
 
 
 @stream("ST6_refusals", "SELECT event_type AS action, s AS window_start, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL 6 HOUR, ts), time_bucket(INTERVAL 6 HOUR, ts) - INTERVAL 6 HOUR, time_bucket(INTERVAL 6 HOUR, ts) - INTERVAL 12 HOUR, time_bucket(INTERVAL 6 HOUR, ts) - INTERVAL 18 HOUR]) AS s FROM events WHERE event_type IN ('error', 'signup')) GROUP BY 1, 2")

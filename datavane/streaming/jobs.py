@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
 from ..functions import shared
 from ..operators import changes
@@ -38,12 +39,22 @@ def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
         stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
-    return spark.read.schema(StructType([*stream.schema, StructField("batch", IntegerType())])).parquet(f"{at}/rows")
+    return _written(spark, f"{at}/rows", StructType([*stream.schema, StructField("batch", IntegerType())]))
+
+
+def _written(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The rows that the micro-batches wrote; none where a source was empty, so that there was no batch."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def classified(probes: DataFrame) -> DataFrame:
-    """The probe log with its outcome; works on a stream and on a table."""
-    return probes.withColumn("outcome", changes.probe_outcome(F.col("status"), F.col("location")))
+    """The probe log (status, location, url) with its outcome and whether a redirect is permanent; works on a stream and on a table."""
+    return probes.withColumns({"outcome": changes.probe_outcome(F.col("status"), F.col("location"), F.col("url")), "permanent": changes.permanent(F.col("status"))})
 
 
 def request_counts(events: DataFrame, budget: int, late: str = "1 hour") -> DataFrame:
@@ -58,39 +69,132 @@ def refusals(events: DataFrame, kinds: list[str], late: str = "1 hour") -> DataF
     return n.select("action", F.col("w.start").alias("window_start"), "n")
 
 
-def new_payloads(payloads: DataFrame, late: str = "30 days") -> DataFrame:
-    """The first row of each (source, id, hash) within the watermark."""
-    return payloads.withWatermark("fetched_at", late).dropDuplicatesWithinWatermark(["source", "id", "hash"])
+def _micros(at) -> int:
+    return int(pd.Timestamp(at).value // 1000)
 
 
-class HealthState(StatefulProcessor):
-    """failures since the last success, excluded (set at 3 failures, cleared at 0), and how many probes came out of order."""
+class PayloadState(StatefulProcessor):
+    """The hash that a record had last, and when: a payload is a change when it differs from the one before it, not from all."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("health", "failures int, excluded boolean, last timestamp, late int")
+        self.state = handle.getValueState("payload", "hash string, at long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         old = self.state.get()
-        failures, excluded, last, late = tuple(old) if old is not None else (0, False, None, 0)
-        frame = pd.concat(list(rows)).sort_values(["probed_at", "probe_id"])
-        for at, outcome in zip(frame["probed_at"], frame["outcome"], strict=True):
-            at = at.to_pydatetime().replace(tzinfo=None)
-            if last is not None and at < last.replace(tzinfo=None):
-                late += 1
+        last, at = tuple(old) if old is not None else (None, None)
+        frame = pd.concat(list(rows)).sort_values(["fetched_at", "seq"])
+        out = []
+        for when, seq, value in zip(frame["fetched_at"], frame["seq"], frame["hash"], strict=True):
+            now = _micros(when)
+            if at is not None and now < at:  # older than what is known: it says nothing of the present content
                 continue
-            failures = failures + 1 if outcome == "unreachable" else 0
-            excluded = True if failures >= 3 else False if failures == 0 else excluded
-            last = at
-        self.state.update((int(failures), bool(excluded), last, int(late)))
-        yield pd.DataFrame({"distribution_id": [key[0]], "failures": [int(failures)], "excluded": [bool(excluded)], "late": [int(late)]})
+            if at is None or value != last:
+                out.append((key[0], key[1], value, when, int(seq), "created" if at is None else "changed"))
+            last, at = value, now
+        self.state.update((last, at))
+        if out:
+            yield pd.DataFrame(out, columns=["source", "id", "hash", "fetched_at", "seq", "action"])
+
+    def close(self) -> None:
+        pass
+
+
+def payload_changes(payloads: DataFrame) -> DataFrame:
+    """source, id, hash, fetched_at, seq, action of every payload (source, id, hash, fetched_at, seq) that differs from the one before
+    it: created or changed. A payload that returns to earlier content is a change again; an unchanged one only moves the
+    state's time. Rows older than a record's last are left out. seq orders rows of one time."""
+    kind = {f.name: f.dataType.simpleString() for f in payloads.schema}
+    return payloads.groupBy("source", "id").transformWithStateInPandas(
+        statefulProcessor=PayloadState(), outputStructType=f"source {kind['source']}, id {kind['id']}, hash string, fetched_at timestamp, seq long, action string", outputMode="Append", timeMode="None"
+    )
+
+
+class HealthState(StatefulProcessor):
+    """The health of a path and the revisions of its address, from probes that may come out of order by up to `delay` seconds.
+
+    Settled state: failures since the last success and the exclusion; the newest three probes (a list); the targets of the last 20
+    revisions with their numbers (a map); the present address. Probes younger than `delay` before a path's newest wait in a list,
+    so they are folded in the order of their time; each batch also reports what the fold over them gives so far."""
+
+    def __init__(self, delay: float) -> None:
+        self.delay = int(delay * 1_000_000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.health = handle.getValueState("health", "failures int, excluded boolean, at long, probe long, late int, url string, revisions long")
+        self.newest = handle.getListState("newest", "outcome string, target string")
+        self.targets = handle.getMapState("targets", "target string", "number long")
+        self.waiting = handle.getListState("waiting", "at long, probe long, outcome string, target string, permanent boolean, url string")
+
+    @staticmethod
+    def fold(health, newest, targets, probes):
+        """The state after the probes, and the revisions (probe, at, old address, new one) that they make."""
+        failures, excluded, at, probe, late, url, number = health
+        newest, targets, made = list(newest), dict(targets), []
+        for at, probe, outcome, target, permanent, address in probes:
+            failures = 0 if outcome in changes.SUCCESS else failures + 1
+            newest = [*newest, (outcome, target)][-changes.THRESHOLD :]
+            url = url if url is not None else address
+            if permanent and newest == [("redirected", target)] * changes.THRESHOLD and target not in targets:
+                number += 1
+                made.append((probe, at, url, target))
+                targets[target], url = number, target
+                targets = {t: n for t, n in targets.items() if n > number - changes.HISTORY}
+            excluded = True if failures >= changes.THRESHOLD else False if failures == 0 else excluded
+        return (failures, excluded, at, probe, late, url, number), newest, targets, made
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        old = self.health.get()
+        health = tuple(old) if old is not None else (0, False, None, None, 0, None, 0)
+        newest = [tuple(r) for r in self.newest.get()]
+        targets = {k[0]: v[0] for k, v in self.targets.iterator()}
+        waiting = {r[1]: tuple(r) for r in self.waiting.get()}
+        late = health[4]
+        frame = pd.concat(list(rows))
+        frame = frame.astype(object).where(frame.notna(), None)
+        for at, probe, outcome, target, permanent, url in zip(frame["probed_at"], frame["probe_id"], frame["outcome"], frame["location"], frame["permanent"], frame["url"], strict=True):
+            row = (_micros(at), int(probe), outcome, target, bool(permanent), url)
+            if health[2] is not None and row[:2] <= (health[2], health[3]):
+                late += 1
+            elif outcome is not None:
+                waiting[row[1]] = row  # a repeated probe replaces itself
+        health = (*health[:4], late, *health[5:])
+        ahead = sorted(waiting.values())
+        until = max((r[0] for r in ahead), default=0) - self.delay
+        health, newest, targets, settled = self.fold(health, newest, targets, [r for r in ahead if r[0] < until])
+        ahead = [r for r in ahead if r[0] >= until]
+        self.health.update(health)
+        self.newest.put(newest) if newest else self.newest.clear()
+        self.targets.clear()
+        for target, number in targets.items():
+            self.targets.updateValue((target,), (number,))
+        self.waiting.put(ahead) if ahead else self.waiting.clear()
+        now, _, _, open_ = self.fold(health, newest, targets, ahead)
+        out = [(key[0], "state", int(now[0]), bool(now[1]), int(now[4]), None, None, None, None, True)]
+        out += [(key[0], "revision", None, None, None, p, pd.Timestamp(at * 1000), u, t, done) for made, done in ((settled, True), (open_, False)) for p, at, u, t in made]
+        names = ["distribution_id", "kind", "failures", "excluded", "late", "probe_id", "probed_at", "old_value", "new_value", "settled"]
+        yield pd.DataFrame(out, columns=names).astype({"failures": "Int32", "late": "Int32", "excluded": "boolean", "probe_id": "Int64"})
 
     def close(self) -> None:
         pass
 
 
-def health_states(probes: DataFrame) -> DataFrame:
-    """distribution_id, failures, excluded, late after each micro-batch, from a stream of classified probes."""
-    return probes.groupBy("distribution_id").transformWithStateInPandas(statefulProcessor=HealthState(), outputStructType="distribution_id long, failures int, excluded boolean, late int", outputMode="Update", timeMode="None")
+def health_states(probes: DataFrame, delay_seconds: float = 86400) -> DataFrame:
+    """After each micro-batch, for each path with probes in it: a row `state` (failures, excluded, late), and rows `revision` (probe_id,
+    probed_at, old_value, new_value) for addresses that moved. probes: distribution_id, probe_id, probed_at, outcome, location,
+    permanent, url. A revision is settled once no probe within the delay can come before it; until then it is told again
+    with each batch of its path and may go. Probes that come later than the delay are counted (late) and left out."""
+    kind = probes.schema["distribution_id"].dataType.simpleString()
+    out = f"distribution_id {kind}, kind string, failures int, excluded boolean, late int, probe_id long, probed_at timestamp, old_value string, new_value string, settled boolean"
+    return probes.groupBy("distribution_id").transformWithStateInPandas(statefulProcessor=HealthState(delay_seconds), outputStructType=out, outputMode="Update", timeMode="None")
+
+
+def health_now(told: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(states, revisions) from all that health_states() told, with its batch numbers: each path's last state, and the
+    revisions that are settled or told with it."""
+    last = told.groupBy("distribution_id").agg(F.max("batch").alias("last"))
+    rows = told.join(last, "distribution_id")
+    states = rows.where("kind = 'state' and batch = last").select("distribution_id", "failures", "excluded", "late")
+    return states, rows.where("kind = 'revision' and (settled or batch = last)").select("distribution_id", "probe_id", "probed_at", "old_value", "new_value")
 
 
 def reprojected(commits: DataFrame, project, name: str) -> DataFrame:
@@ -104,4 +208,6 @@ def reprojected(commits: DataFrame, project, name: str) -> DataFrame:
         project(last.where("published").select("id")).withColumn("deleted", F.lit(False)).unionByName(last.where("not published").select("id", F.lit(True).alias("deleted")), allowMissingColumns=True).write.mode("overwrite").parquet(f"{at}/rows/batch={number}")
 
     commits.writeStream.foreachBatch(each).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{at}/rows")
+    ids = spark.createDataFrame([], StructType([commits.schema["id"]]))
+    shape = project(ids).schema
+    return _written(spark, f"{at}/rows", StructType([*shape, StructField("deleted", BooleanType()), StructField("batch", IntegerType())]))

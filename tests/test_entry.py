@@ -23,3 +23,9 @@ def test_import_without_the_corpus_operators(tmp_path):
     shutil.copy(f"{ROOT}/__spark_entry__.py", tmp_path)
     got = run(str(tmp_path))
     assert got.returncode == 0 and got.stdout.split()[1] == "False", got.stderr
+
+
+def test_import_without_the_package_of_the_vocabularies(tmp_path):
+    (tmp_path / "public_tokenizers.py").write_text("raise ImportError('away')")
+    got = subprocess.run([sys.executable, "-c", SAY], cwd=ROOT, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": f"{tmp_path}{os.pathsep}{ROOT}"})
+    assert got.returncode == 0 and int(got.stdout.split()[0]) > 200, got.stderr
