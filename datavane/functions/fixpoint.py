@@ -51,24 +51,48 @@ def reach(edges: DataFrame, starts: DataFrame, child: str = "child", parent: str
     return seen.where("depth > 0")
 
 
+def chain_tops(edges: DataFrame) -> DataFrame:
+    """node, top, dist for nodes with exactly one parent (c, p): the nearest ancestor with none or several, and how far it is. Nodes whose
+    chain ends in a cycle have no row.
+
+    Pointers jump over pointers, so a chain of n nodes takes log n rounds; after as many rounds as the number of pointers has
+    bits, what still points at a pointer goes in a circle."""
+    one = edges.groupBy("c").agg(F.count("*").alias("n"), F.min("p").alias("p")).where("n = 1")
+    now = cut(one.select(F.col("c").alias("node"), F.col("p").alias("top"), F.lit(1).cast("long").alias("dist")))
+    for _ in range(now.count().bit_length() + 1):
+        ahead = now.select(F.col("node").alias("top"), F.col("top").alias("next"), F.col("dist").alias("more"))
+        moved = now.join(ahead, "top", "left")
+        if moved.where("next is not null").isEmpty():
+            return now
+        now = cut(moved.select("node", F.coalesce("next", "top").alias("top"), (F.col("dist") + F.coalesce("more", F.lit(0))).alias("dist")))
+    return cut(now.join(now.select(F.col("node").alias("top")), "top", "left_anti").select("node", "top", "dist"))
+
+
 def longest_depth(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, depth for nodes (node, grounded): the longest chain down to grounded roots (depth 0), however long. Null where an
-    ancestor is not in nodes, is a root that isn't grounded, or lies in a cycle: a node is resolved in the round after its
-    last parent, and each round hands only the nodes of the round before on to their children."""
+    ancestor is not in nodes, is a root that isn't grounded, or lies in a cycle.
+
+    Chains of nodes with one parent are first cut short by chain_tops(), in rounds that follow the logarithm of their length. What is
+    left are roots and nodes with several parents; such a node is resolved in the round after its last parent, each round
+    handing on only the nodes of the one before, so these rounds follow the number of such nodes on a path."""
     e = cut(edges.select(F.col("child").alias("c"), F.col("parent").alias("p")).distinct())
+    tops = chain_tops(e)
     need = e.groupBy("c").agg(F.count("*").alias("need"))
     todo = nodes.join(need, F.col("node") == F.col("c"), "left").select("node", "grounded", F.coalesce("need", F.lit(0)).alias("need"))
-    known = front = cut(todo.where("need = 0 and grounded").select("node", F.lit(0).alias("depth")))
-    todo, rounds = cut(todo.where("need > 0").select("node", "need", F.lit(0).alias("high"))), 0
+    known = front = cut(todo.where("need = 0 and grounded").select("node", F.lit(0).cast("long").alias("depth")))
+    todo, rounds = cut(todo.where("need > 1").select("node", "need", F.lit(0).cast("long").alias("high"))), 0
+    several = e.join(need.where("need > 1").select("c"), "c", "left_semi").join(need.where("need = 1").select(F.col("c").alias("p"), F.lit(True).alias("in_chain")), "p", "left")
+    short = several.join(tops.select(F.col("node").alias("p"), "top", "dist"), "p", "left").where("in_chain is null or top is not null")
+    core = cut(short.select("c", F.coalesce("top", "p").alias("p"), (F.lit(1) + F.coalesce("dist", F.lit(0))).alias("w")))
     while not front.isEmpty():
         rounds += 1
-        up = e.join(front, F.col("p") == F.col("node")).groupBy(F.col("c").alias("node")).agg(F.count("*").alias("got"), F.max("depth").alias("d"))
-        open_ = todo.join(up, "node", "left").select("node", (F.col("need") - F.coalesce("got", F.lit(0))).alias("need"), F.greatest("high", "d").alias("high"))
-        open_ = cut(open_)
-        front = open_.where("need = 0").select("node", (F.col("high") + 1).alias("depth"))
+        up = core.join(front, F.col("p") == F.col("node")).groupBy(F.col("c").alias("node")).agg(F.count("*").alias("got"), F.max(F.col("depth") + F.col("w")).alias("d"))
+        open_ = cut(todo.join(up, "node", "left").select("node", (F.col("need") - F.coalesce("got", F.lit(0))).alias("need"), F.greatest("high", "d").alias("high")))
+        front = open_.where("need = 0").select("node", F.col("high").alias("depth"))
         todo = open_.where("need > 0")
         known = cut(known.unionByName(front)) if rounds % 8 == 0 else known.unionByName(front)
-    return nodes.select("node").join(known, "node", "left")
+    chained = tops.join(known.select(F.col("node").alias("top"), "depth"), "top").select("node", (F.col("depth") + F.col("dist")).alias("depth"))
+    return nodes.select("node").join(known.unionByName(chained), "node", "left").select("node", F.col("depth").cast("int").alias("depth"))
 
 
 def components(nodes: DataFrame, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -73,21 +73,54 @@ def entitled_principals(grants: DataFrame) -> DataFrame:
     return who.groupBy("dataset_id").agg(F.array_sort(F.collect_set("p")).alias("principals"))
 
 
-def visible(datasets: DataFrame, grants: DataFrame, callers: DataFrame) -> DataFrame:
-    """caller_id, id, full for every dataset that a caller may know of. callers: caller_id, principal_id, email, is_steward,
-    custodian_of (a dataset id or null); one request batch. Public and metadata-restricted records are known to all;
-    existence-restricted ones to stewards, custodians and holders of a grant; full: may see more than the stub.
-
-    Grants and custodians are equi-joins, which give the pairs that are inside; the callers of the batch travel as one array, so
-    only records that all callers know are listed for each."""
+def insiders(grants: DataFrame, callers: DataFrame) -> DataFrame:
+    """caller_id, id of the datasets whose grant or custody a caller holds: equi-joins, one row for each such pair."""
     holders = grants.select(F.col("dataset_id").alias("id"), F.explode(F.array_compact(F.array("principal_id", F.lower("email")))).alias("p")).distinct()
     asks = callers.select("caller_id", F.explode(F.array_compact(F.array("principal_id", F.lower("email")))).alias("p"))
-    inside = holders.join(asks, "p").select("caller_id", "id").unionByName(callers.where("custodian_of is not null").select("caller_id", F.col("custodian_of").alias("id"))).distinct()
-    batch = callers.agg(F.collect_list(F.struct("caller_id", "is_steward")).alias("c")).scalar()
-    each = datasets.select("id", "visibility").withColumn("__c", batch)
-    known = F.filter("__c", lambda c: (F.col("visibility") != "allowlisted-existence") | c["is_steward"])
-    each = each.select("id", "visibility", F.explode(known).alias("c")).select("c.caller_id", "id", ((F.col("visibility") == "public") | F.col("c.is_steward")).alias("full"))
-    mine = inside.join(datasets.select("id"), "id", "left_semi").select("caller_id", "id", F.lit(True).alias("full"))
+    return holders.join(asks, "p").select("caller_id", "id").unionByName(callers.where("custodian_of is not null").select("caller_id", F.col("custodian_of").alias("id"))).distinct()
+
+
+def visibility_class(visibility: Column, is_steward: Column) -> dict[str, Column]:
+    """known and full by a record's visibility and a caller's role alone: public and metadata-restricted records are known to all,
+    existence-restricted ones to stewards; full (more than the stub): public, or a steward asks."""
+    return {"known": (visibility != "allowlisted-existence") | is_steward, "full": (visibility == "public") | is_steward}
+
+
+def answered(requests: DataFrame, datasets: DataFrame, grants: DataFrame, callers: DataFrame) -> DataFrame:
+    """caller_id, id, known, full of every request (caller_id, id): may this caller know of the record, and see more than its stub? Work
+    follows the requests; neither callers nor records are multiplied."""
+    mine = insiders(grants, callers).withColumn("mine", F.lit(True))
+    rows = requests.join(datasets.select("id", "visibility"), "id").join(callers.select("caller_id", "is_steward"), "caller_id").join(mine, ["caller_id", "id"], "left")
+    c = visibility_class(F.col("visibility"), F.col("is_steward"))
+    own = F.coalesce("mine", F.lit(False))
+    return rows.select("caller_id", "id", (c["known"] | own).alias("known"), (c["full"] | own).alias("full"))
+
+
+def visible_counts(datasets: DataFrame, grants: DataFrame, callers: DataFrame) -> DataFrame:
+    """caller_id, known, full: how many datasets each caller may know of, and see in full, without listing them.
+
+    Records are counted by visibility, so a caller's role gives one number for each; only the pairs of grants and custody that
+    the role doesn't cover already are looked at one by one."""
+    kinds = datasets.groupBy("visibility").agg(F.count("*").alias("n"))
+    roles = kinds.select("n", "visibility", F.explode(F.array(F.lit(True), F.lit(False))).alias("is_steward"))
+    c = visibility_class(F.col("visibility"), F.col("is_steward"))
+    roles = roles.groupBy("is_steward").agg(F.sum(F.when(c["known"], F.col("n")).otherwise(0)).alias("known"), F.sum(F.when(c["full"], F.col("n")).otherwise(0)).alias("full"))
+    mine = insiders(grants, callers).join(datasets.select("id", "visibility"), "id").join(callers.select("caller_id", "is_steward"), "caller_id")
+    more = mine.groupBy("caller_id").agg(F.count_if(~c["known"]).alias("k"), F.count_if(~c["full"]).alias("f"))
+    out = callers.select("caller_id", "is_steward").join(F.broadcast(roles), "is_steward", "left").join(more, "caller_id", "left")  # two roles
+    return out.select("caller_id", *[(F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))).alias(a) for a, b in (("known", "k"), ("full", "f"))])
+
+
+def visible(datasets: DataFrame, grants: DataFrame, callers: DataFrame) -> DataFrame:
+    """caller_id, id, full for every dataset that a caller may know of. callers: caller_id, principal_id, email, is_steward,
+    custodian_of (a dataset id or null).
+
+    The list itself has a row for each caller and record that they may know of, by an equi-join on the role; where answers to
+    requests or numbers are wanted, answered() and visible_counts() give these without it."""
+    c = visibility_class(F.col("visibility"), F.col("is_steward"))
+    open_to = datasets.select("id", "visibility", F.explode(F.array(F.lit(True), F.lit(False))).alias("is_steward")).where(c["known"]).select("id", "is_steward", c["full"].alias("full"))
+    each = callers.select("caller_id", "is_steward").join(open_to, "is_steward").select("caller_id", "id", "full")
+    mine = insiders(grants, callers).join(datasets.select("id"), "id", "left_semi").select("caller_id", "id", F.lit(True).alias("full"))
     return each.unionByName(mine).groupBy("caller_id", "id").agg(F.bool_or("full").alias("full"))
 
 

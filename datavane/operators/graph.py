@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import fixpoint
+from ..functions import fixpoint, shared
 
 
 def shared_origins(closure: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -29,17 +29,27 @@ def lineage_neighbours(closure: DataFrame, nodes: DataFrame) -> DataFrame:
     return x.join(y, "ancestor").where("a < b").select("a", "b").distinct()
 
 
-def entailments(broader: DataFrame, related: DataFrame, in_scheme: DataFrame, exact: DataFrame) -> DataFrame:
-    """rule, s, o: what follows from broader(narrower, broader), related(a, b), in_scheme(concept, scheme) and
-    exact(concept, external); a statement that is there already isn't repeated."""
-    trans = fixpoint.closure(broader, "narrower", "broader").select(F.col("node").alias("s"), F.col("ancestor").alias("o"))
+def entailments(broader: DataFrame, related: DataFrame, in_scheme: DataFrame, exact: DataFrame, top_of: DataFrame | None = None) -> DataFrame:
+    """rule, s, o: what follows from broader (narrower, broader), related (a, b), in_scheme (concept, scheme), exact (concept, external) and
+    top_of (concept, scheme); a statement that is there already isn't repeated.
+
+    The rules are stratified, so one pass in their order is the fixpoint: scheme membership reads the closure of broader and the
+    tops, and no rule reads what membership or the matches add. Close matches are never chained."""
+    trans = fixpoint.cut(fixpoint.closure(broader, "narrower", "broader").select(F.col("node").alias("s"), F.col("ancestor").alias("o")))
     back = broader.select(F.col("broader").alias("s"), F.col("narrower").alias("o")).distinct()
     sym = related.select(F.col("b").alias("s"), F.col("a").alias("o")).join(related.select(F.col("a").alias("s"), F.col("b").alias("o")), ["s", "o"], "left_anti").distinct()
-    tops = trans.join(in_scheme, F.col("o") == F.col("concept")).select("s", F.col("scheme").alias("o")).distinct()
-    inherited = tops.join(in_scheme.select(F.col("concept").alias("s"), F.col("scheme").alias("o")), ["s", "o"], "left_anti")
+    member = in_scheme.select(F.col("concept").alias("s"), F.col("scheme").alias("o"))
+    tops = in_scheme if top_of is None else top_of
+    from_top = tops.select(F.col("concept").alias("s"), F.col("scheme").alias("o")).distinct().join(member, ["s", "o"], "left_anti")
+    inherited = trans.join(tops, F.col("o") == F.col("concept")).select("s", F.col("scheme").alias("o")).distinct().join(member, ["s", "o"], "left_anti")
+    # a concept's matches are few, but a hot concept may have very many: both sides are shuffled for the join, so it can be split
     x, y = exact.select("concept", F.col("external").alias("s")), exact.select("concept", F.col("external").alias("o"))
     bridge = x.join(y, "concept").where("s <> o").select("s", "o").distinct()
-    named = [("broaderTransitive", trans), ("narrower", back), ("related", sym), ("inScheme", inherited), ("exactMatch", bridge)]
+    back_match = exact.select(F.col("external").alias("s"), F.col("concept").alias("o")).distinct()
+    named = [("broaderTransitive", trans), ("narrower", back), ("related", sym), ("inScheme", inherited), ("exactMatch", bridge), ("exactMatchInverse", back_match)]
+    if top_of is not None:
+        has_top = tops.select(F.col("scheme").alias("s"), F.col("concept").alias("o")).distinct()
+        named += [("inSchemeFromTop", from_top), ("hasTopConcept", has_top)]
     out = None
     for rule, rows in named:
         rows = rows.select(F.lit(rule).alias("rule"), F.col("s").cast("string").alias("s"), F.col("o").cast("string").alias("o"))
@@ -47,6 +57,16 @@ def entailments(broader: DataFrame, related: DataFrame, in_scheme: DataFrame, ex
     return out
 
 
+def materialised(rows: DataFrame, records: DataFrame, name: str = "entailed") -> tuple[DataFrame, DataFrame]:
+    """(the entailments as a written table, rule and n of each): the rebuild of what is stored beside the asserted statements. An error
+    where a catalogue record (iri) is the subject of one: entailments speak of the vocabulary only."""
+    kept = shared.saved(rows, name)
+    bad = guard(kept, records).limit(1).collect()  # one row at most
+    if bad:
+        raise ValueError(f"rule {bad[0].rule} would write on a catalogue record: {bad[0].s}")
+    return kept, kept.groupBy("rule").agg(F.count("*").alias("n"))
+
+
 def guard(rows: DataFrame, records: DataFrame) -> DataFrame:
     """Entailments whose subject is a catalogue record; there must be none."""
     return rows.join(records.select(F.col("iri").alias("s")), "s", "left_semi")

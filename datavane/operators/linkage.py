@@ -13,18 +13,20 @@ TIERS = ((5, 0.80), (4, 0.60), (3, 0.40), (2, 0.20), (1, 0.0))
 GRADE_VALUE = {"A": 1.0, "B": 0.7, "C": 0.4, "D": 0.1}
 
 
-def candidates(keys: DataFrame, titles: DataFrame, cap: int = 200, neighbours: DataFrame | None = None, visible: DataFrame | None = None, neighbour_rung: int = 4) -> DataFrame:
+def candidates(keys: DataFrame, titles: DataFrame, cap: int = 200, neighbours: DataFrame | None = None, visible: DataFrame | None = None, neighbour_rung: int = 4, sources: DataFrame | None = None) -> DataFrame:
     """source, target, rung for keys (id, rung, key): what a source meets at each rung, at the first rung where it meets it.
 
     A rung yields the first `cap` records in title order (without case) that share any of the source's keys there (the source itself takes one
     of those places), and is passed over for sources that have `cap` candidates from earlier rungs: this cap is the feature, only
     so many suggestions are ranked. A key's own first `cap` members are all that can be among them, so each block is cut
     to these before the self-join, without a change of the result. Targets are kept only if in `visible` (id), once the places are
-    dealt. The pairs of `neighbours` (source, target) are added at their own rung, without a cap."""
+    dealt. The pairs of `neighbours` (source, target) are added at their own rung, without a cap. With `sources` (id) only their
+    candidates are made."""
     titles = titles.select("id", F.lower("title").alias("title"))
     by_key = Window.partitionBy("rung", "key").orderBy("title", "id")
     head = keys.join(titles, "id").withColumn("r", F.row_number().over(by_key)).where(F.col("r") <= cap)
-    hits = keys.select(F.col("id").alias("source"), "rung", "key").join(head.select(F.col("id").alias("target"), "title", "rung", "key"), ["rung", "key"])
+    asking = keys if sources is None else keys.join(sources.select("id").distinct(), "id", "left_semi")
+    hits = asking.select(F.col("id").alias("source"), "rung", "key").join(head.select(F.col("id").alias("target"), "title", "rung", "key"), ["rung", "key"])
     by_source = Window.partitionBy("source", "rung").orderBy("title", "target")
     best = hits.select("source", "rung", "target", "title").distinct().withColumn("r", F.row_number().over(by_source)).where((F.col("r") <= cap) & (F.col("source") != F.col("target")))
     if visible is not None:
@@ -54,17 +56,89 @@ def shared_members(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return own.join(rows.select(F.col("id").alias("target"), "member"), ["target", "member"]).groupBy("source", "target").agg(F.count("*").alias("s"))
 
 
-def lineage_rung(closure: DataFrame, nodes: DataFrame) -> DataFrame:
+def lineage_origins(closure: DataFrame, nodes: DataFrame) -> DataFrame:
+    """origin, node, depth, kind: lineage neighbours in factored form. Each node of nodes (id) or closure stands with every origin
+    that it has, and with itself (depth 0); two nodes are neighbours if an origin lists both. kind: derived for records that
+    have an ancestor at all (they can be targets), root for others. The table grows with the lineage, not with its pairs: an origin of
+    a third of all records is that many rows."""
+    up = closure.select("node", F.col("ancestor").alias("origin"), "depth")
+    itself = up.select("node").unionByName(nodes.select(F.col("id").alias("node"))).distinct()
+    has = up.select("node").distinct().withColumn("kind", F.lit("derived"))
+    every = up.unionByName(itself.select("node", F.col("node").alias("origin"), F.lit(0).alias("depth")))
+    return every.join(has, "node", "left").select("origin", "node", "depth", F.coalesce("kind", F.lit("root")).alias("kind"))
+
+
+def origin_counts(origins: DataFrame) -> DataFrame:
+    """origin, members, derived, pairs: how many nodes stand with each origin and how many ordered pairs (source, derived target) it
+    makes, counted and not listed."""
+    n = origins.groupBy("origin").agg(F.count("*").alias("members"), F.count_if(F.col("kind") == "derived").alias("derived"))
+    return n.withColumn("pairs", F.col("members") * F.col("derived") - F.col("derived"))
+
+
+def lineage_rung(closure: DataFrame, nodes: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     """source, target: nodes (id) and the derived records that share an ancestor with them, or are its ancestor or
-    descendant. Every such pair is a row, because each of them is to be warned of; a target has an ancestor itself."""
-    itself = lambda df: df.select(F.col("id").alias("node"), F.col("id").alias("ancestor")).distinct()
-    up = closure.select("node", "ancestor")
-    a = up.join(nodes.select(F.col("id").alias("node")), "node", "left_semi").unionByName(itself(nodes))
-    b = up.unionByName(itself(up.select(F.col("node").alias("id"))))
-    pairs = a.select(F.col("node").alias("source"), "ancestor").join(b.select(F.col("node").alias("target"), "ancestor"), "ancestor")
+    descendant. Every such pair is a row, because each of them is to be warned of; a target has an ancestor itself. With `sources`
+    (id) only their pairs are made; lineage_origins() has the same neighbours without pairs."""
+    every = lineage_origins(closure, nodes)
+    a = every.join(nodes.select(F.col("id").alias("node")), "node", "left_semi")
+    if sources is not None:
+        a = a.join(sources.select(F.col("id").alias("node")).distinct(), "node", "left_semi")
+    b = every.where("kind = 'derived'")
+    pairs = a.select(F.col("node").alias("source"), "origin").join(b.select(F.col("node").alias("target"), "origin"), "origin")
     return pairs.where("source <> target").select("source", "target").distinct()
 
 
+def profiles(records: DataFrame, sets: dict[str, DataFrame], closure: DataFrame, inbound: DataFrame | None = None) -> DataFrame:
+    """One row a record that holds all that a pair of it needs: the columns of records (id, ...), for each name in sets (id, member) the
+    sorted members, `ancestors` (each with its depth), and `inbound`."""
+    out = records
+    for name, rows in sets.items():
+        out = out.join(rows.groupBy("id").agg(F.array_sort(F.collect_set("member")).alias(name)), "id", "left")
+    up = closure.groupBy(F.col("node").alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("ancestor", "depth"))).alias("ancestors"))
+    out = out.join(up, "id", "left")
+    if inbound is not None:
+        out = out.join(inbound.select(F.col("target").alias("id"), "inbound"), "id", "left").withColumn("inbound", F.coalesce("inbound", F.lit(0)))
+    return out
+
+
+def paired(pairs: DataFrame, profile: DataFrame) -> DataFrame:
+    """pairs (source, target) with each side's profile as a_* and b_*.
+
+    Pairs are dealt by their source first, so that the first join finds them in place and the signals, which cost more than the
+    bytes of a pair tell, are spread over all cores. Outer joins keep the pairs on the side that streams: as the smaller table in
+    bytes they would be broadcast, and the signals follow the profiles' few partitions. So a record without a profile has nulls."""
+    pairs = pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source")
+    for side, prefix in (("source", "a_"), ("target", "b_")):
+        pairs = pairs.join(profile.select(*[F.col(c).alias(f"{prefix}{c}") for c in profile.columns]), F.col(side) == F.col(f"{prefix}id"), "left")
+    return pairs
+
+
+def with_overlaps(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    """rows of paired() with <name>_shared, <name>_both and <name> (shared over all members, 0 without any) for each name: set in names,
+    from the set columns a_<set> and b_<set>. Each intersection is a column of its own first, so it is worked out once a pair."""
+    side = lambda s, c: F.when(F.col(f"{s}_{c}").isNull(), 0).otherwise(F.size(f"{s}_{c}"))
+    rows = rows.withColumns({f"{name}_shared": F.size(F.array_intersect(f"a_{c}", f"b_{c}")) for name, c in names.items()})
+    out = {}
+    for name, c in names.items():
+        shared = F.when(F.col(f"a_{c}").isNull() | F.col(f"b_{c}").isNull(), 0).otherwise(F.col(f"{name}_shared"))
+        union = side("a", c) + side("b", c) - shared
+        out |= {f"{name}_shared": shared.cast("long"), f"{name}_both": (side("a", c) > 0) & (side("b", c) > 0), name: F.when(union > 0, shared / F.nullif(union, F.lit(0))).otherwise(F.lit(0.0))}
+    return rows.withColumns(out)
+
+
+def with_shared_origin(rows: DataFrame) -> DataFrame:
+    """rows of paired() with origin, depth_source, depth_target, correlated and derived as with_origin() has them, from both sides' maps of
+    ancestors; sides that share no ancestor cost one intersection."""
+    a, b = F.col("a_ancestors"), F.col("b_ancestors")
+    rows = rows.withColumn("__both", F.array_intersect(F.map_keys(a), F.map_keys(b)))
+    both = F.filter("__both", lambda x: (x != F.col("source")) & (x != F.col("target")))
+    ways = F.transform(both, lambda x: F.struct(F.least(a[x], b[x]).alias("n"), F.greatest(a[x], b[x]).alias("f"), x.alias("origin"), a[x].alias("depth_source"), b[x].alias("depth_target")))
+    rows = rows.withColumn("__near", F.when(F.size("__both") > 0, F.array_min(ways)))
+    derived = F.coalesce(F.map_contains_key(a, F.col("target")), F.lit(False)) | F.coalesce(F.map_contains_key(b, F.col("source")), F.lit(False))
+    near = {c: F.col(f"__near.{c}") for c in ("origin", "depth_source", "depth_target")}
+    return rows.withColumns(near | {"correlated": F.col("__near.origin").isNotNull(), "derived": derived}).drop("__both", "__near")
+
+
 def with_origin(pairs: DataFrame, closure: DataFrame) -> DataFrame:
     """pairs with origin, depth_source and depth_target of the nearest ancestor of both that is neither of the two (the least nearer
     depth, then the least farther one, then the smallest name), correlated where there is one, and derived where one is an

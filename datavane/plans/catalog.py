@@ -303,6 +303,31 @@ def e2(t):
     return _visible(t)
 
 
+_MANY = """WITH callers AS (SELECT c_custkey AS caller_id, 'user' || (c_custkey % 10) AS principal_id, CASE WHEN c_custkey % 8 = 0 THEN 'a' || c_nationkey || '@EXAMPLE.org' END AS email, c_custkey % 50 = 0 AS is_steward, CASE WHEN c_custkey % 7 = 0 THEN c_custkey % 100 END AS custodian_of FROM customer),
+    p AS (SELECT dataset_id AS id, principal_id AS p FROM grants UNION SELECT dataset_id, lower(email) FROM grants WHERE email IS NOT NULL),
+    own AS (SELECT caller_id, id FROM callers JOIN p ON p = principal_id OR p = lower(email) UNION SELECT caller_id, custodian_of FROM callers WHERE custodian_of IS NOT NULL),
+    v AS (SELECT caller_id, d.id, d.visibility <> 'allowlisted-existence' OR is_steward OR own.id IS NOT NULL AS known, d.visibility = 'public' OR is_steward OR own.id IS NOT NULL AS "full"
+        FROM callers CROSS JOIN datasets d LEFT JOIN own USING (caller_id, id))
+"""
+
+
+def _many_callers(t):
+    k = F.col("c_custkey")
+    return t("customer").select(k.alias("caller_id"), F.concat(F.lit("user"), (k % 10).cast("string")).alias("principal_id"), F.when(k % 8 == 0, F.concat(F.lit("a"), F.col("c_nationkey").cast("string"), F.lit("@EXAMPLE.org"))).alias("email"), (k % 50 == 0).alias("is_steward"), F.when(k % 7 == 0, k % 100).alias("custodian_of"))
+
+
+@query("E2_answers", _MANY + 'SELECT o_orderkey, v.caller_id, v.id, known, "full" FROM orders JOIN v ON v.caller_id = o_custkey AND v.id = o_orderkey % 100')
+def e2a(t):
+    asked = t("orders").select("o_orderkey", F.col("o_custkey").alias("caller_id"), (F.col("o_orderkey") % 100).alias("id"))
+    seen = filters.answered(asked.select("caller_id", "id").distinct(), t("datasets"), t("grants"), _many_callers(t))
+    return asked.join(seen, ["caller_id", "id"])
+
+
+@query("E2_counts", _MANY + 'SELECT caller_id, count(*) FILTER (known) AS known, count(*) FILTER ("full") AS "full" FROM v GROUP BY 1')
+def e2c(t):
+    return filters.visible_counts(t("datasets"), t("grants"), _many_callers(t))
+
+
 @query("E3_stub", _VIS + 'SELECT s.caller_id, s.id, d.title, CASE WHEN "full" THEN d.publisher END AS publisher, NOT "full" AS redacted FROM s JOIN datasets d ON d.id = s.id')
 def e3(t):
     d = _visible(t).join(t("datasets").select("id", "title", "publisher"), "id").select("caller_id", "id", "title", "publisher", "full")
@@ -576,10 +601,13 @@ def _upstream(t):
     return fixpoint.closure(t("derivations"), max_depth=32)
 
 
+def _keys(t):
+    return t("concept_of").select("id", F.lit(1).alias("rung"), F.col("member").cast("string").alias("key")).unionByName(t("datasets").select("id", F.lit(2).alias("rung"), F.col("data_domain").alias("key"))).unionByName(t("analysis_of").select("id", F.lit(3).alias("rung"), F.col("member").alias("key")))
+
+
 def _cand(t, upstream=None):
-    keys = t("concept_of").select("id", F.lit(1).alias("rung"), F.col("member").cast("string").alias("key")).unionByName(t("datasets").select("id", F.lit(2).alias("rung"), F.col("data_domain").alias("key"))).unionByName(t("analysis_of").select("id", F.lit(3).alias("rung"), F.col("member").alias("key")))
     d = t("datasets").select("id", "title")
-    return linkage.candidates(keys, d, neighbours=linkage.lineage_rung(upstream or _upstream(t), d))
+    return linkage.candidates(_keys(t), d, neighbours=linkage.lineage_rung(upstream or _upstream(t), d))
 
 
 @query("L1_candidates", _CAND + "SELECT source, target, rung FROM c")
@@ -616,23 +644,36 @@ _SIG = _CAND + """,
 """
 
 
-def _signals(t):
-    d = t("datasets").join(t("coverage"), "id", "left").join(t("granularity"), "id", "left")
-    up = _upstream(t)
-    pairs = shared.saved(_cand(t, up).select("source", "target"), "candidates")  # read by every signal
-    out = linkage.jaccard_from_keys(pairs, t("concept_of"), "concept_overlap")
-    out = linkage.jaccard_from_keys(out, t("analysis_of"), "workflow_tag_overlap")
-    out = linkage.jaccard_from_keys(out, t("concept_of").where("member % 10 = 0"), "keys")
-    out = linkage.with_origin(linkage.jaccard_from_keys(out, t("place_of"), "place"), up)
-    keep = ["granularity", "id", "title", "publisher", "data_domain", "west", "south", "east", "north", "t_start", "t_end", "level", "superseded_by"]
-    a, b = (d.select(*[F.col(c).alias(f"{s}_{c}") for c in keep]) for s in "ab")
-    out = out.join(a, F.col("source") == F.col("a_id")).join(b, F.col("target") == F.col("b_id"))
+_KEPT = ["granularity", "id", "title", "publisher", "data_domain", "west", "south", "east", "north", "t_start", "t_end", "level", "superseded_by"]
+
+
+def _profiles(t, up):
+    d = t("datasets").join(t("coverage"), "id", "left").join(t("granularity"), "id", "left").select(*_KEPT)
+    c = t("concept_of")
+    sets = {"concepts": c, "key_concepts": c.where("member % 10 = 0"), "analyses": t("analysis_of"), "places": t("place_of")}
+    return linkage.profiles(d, sets, up, rollups.members_per(t("referrers"), "target", "source").select("target", F.col("n").alias("inbound")))
+
+
+_SETS = ["concepts", "key_concepts", "analyses", "places", "ancestors"]
+
+
+def _signalled(pairs, profile):
+    """The signals of pairs, in three steps that each deal the narrow rows again: the sets leave numbers, then the ancestors do, then come
+    the other columns. In one step the generated method is too large for the JVM to compile, and its loops over sets crawl."""
     box = lambda s: tuple(F.col(f"{s}_{c}") for c in ("west", "south", "east", "north"))
     grade = lambda s: F.array(F.when(F.col(f"{s}_level") == 1, "A").when(F.col(f"{s}_level") == 2, "B").otherwise("C"))
-    out = out.withColumns(linkage.geographic(box("a"), box("b"), F.col("place"), F.col("place_both"))).withColumn("temporal_overlap", linkage.time_iou(F.col("a_t_start"), F.col("a_t_end"), F.col("b_t_start"), F.col("b_t_end")))
-    out = out.withColumn("joinable_key_present", F.when(F.col("keys_shared") > 0, 1.0).otherwise(0.0)).withColumn("quality_contribution", linkage.quality(grade("a"), grade("b")))
-    inbound = rollups.members_per(t("referrers"), "target", "source").select("target", F.col("n").alias("inbound"))
-    return out.join(inbound, "target", "left").withColumn("inbound", F.coalesce("inbound", F.lit(0)))
+    bare = lambda df: df.drop(*[f"{s}_{c}" for s in "ab" for c in ("id", *_SETS)])
+    sets = linkage.paired(pairs, profile.select("id", *_SETS[:4]))
+    sets = bare(linkage.with_overlaps(sets, {"concept_overlap": "concepts", "workflow_tag_overlap": "analyses", "keys": "key_concepts", "place": "places"}))
+    sets = bare(linkage.with_shared_origin(linkage.paired(sets, profile.select("id", "ancestors"))))
+    out = linkage.paired(sets, profile.drop(*_SETS))
+    out = out.withColumns(linkage.geographic(box("a"), box("b"), F.col("place"), F.col("place_both")))
+    return out.withColumns({"temporal_overlap": linkage.time_iou(F.col("a_t_start"), F.col("a_t_end"), F.col("b_t_start"), F.col("b_t_end")), "joinable_key_present": F.when(F.col("keys_shared") > 0, 1.0).otherwise(0.0), "quality_contribution": linkage.quality(grade("a"), grade("b")), "inbound": F.col("b_inbound")}).drop("a_inbound", "b_inbound")
+
+
+def _signals(t):
+    up = shared.saved(_upstream(t), "upstream")
+    return _signalled(shared.saved(_cand(t, up).select("source", "target"), "candidates"), shared.saved(_profiles(t, up), "profiles"))
 
 
 @query("L2_L7_signals", _SIG + "SELECT source, target, round(concept_overlap, 6) AS concept_overlap, round(workflow_tag_overlap, 6) AS workflow_tag_overlap, round(geographic_overlap, 6) AS geographic_overlap, round(temporal_overlap, 6) AS temporal_overlap, joinable_key_present, round(quality_contribution, 6) AS quality_contribution FROM sg")
@@ -648,9 +689,13 @@ _STR = _SIG + """, st AS (SELECT *, round(greatest(0.0, round(0.3 * concept_over
 
 
 def _scored(t):
+    return _strong(_signals(t))
+
+
+def _strong(signals):
     s = linkage.strength(F.col("correlated"))
     rel = linkage.relation(F.coalesce(F.col("b_superseded_by") == F.col("source"), F.lit(False)), F.coalesce(F.col("a_superseded_by") == F.col("target"), F.lit(False)), F.col("derived"), F.col("a_publisher") != F.col("b_publisher"), F.col("a_data_domain") == F.col("b_data_domain"))
-    return _signals(t).withColumns({"score": s["score"], "tier": s["tier"], "raw": s["raw"], "relation": rel, "has_reason": linkage.has_reason()})
+    return signals.withColumns({"score": s["score"], "tier": s["tier"], "raw": s["raw"], "relation": rel, "has_reason": linkage.has_reason()})
 
 
 @query("L9_strength", _STR + "SELECT source, target, score, CASE WHEN score >= 0.8 THEN 5 WHEN score >= 0.6 THEN 4 WHEN score >= 0.4 THEN 3 WHEN score >= 0.2 THEN 2 ELSE 1 END AS tier FROM st")
@@ -776,14 +821,34 @@ def g7(t):
     return fixpoint.longest_depth(t("lineage"), nodes)
 
 
-@query("G8_entailments", """
-    WITH RECURSIVE c(n, a) AS (SELECT narrower, broader FROM broader UNION SELECT c.n, b.broader FROM c JOIN broader b ON c.a = b.narrower)
-    SELECT 'broaderTransitive' AS rule, count(*) AS n FROM c UNION ALL SELECT 'narrower', count(*) FROM (SELECT DISTINCT broader, narrower FROM broader)""")
+_ENT = """
+    WITH RECURSIVE c(n, a) AS (SELECT narrower, broader FROM broader UNION SELECT c.n, b.broader FROM c JOIN broader b ON c.a = b.narrower),
+    rel AS (SELECT 'N' || n_nationkey AS a, 'N' || (n_nationkey + 1) AS b FROM nation UNION SELECT 'N' || (n_nationkey + 1), 'N' || n_nationkey FROM nation WHERE n_nationkey % 3 = 0),
+    tops AS (SELECT 'R' || r_regionkey AS c, 'scheme' || (r_regionkey % 2) AS s FROM region),
+    ins AS (SELECT 'N' || n_nationkey AS c, 'scheme' || (n_regionkey % 2) AS s FROM nation WHERE n_nationkey % 2 = 0),
+    exm AS (SELECT 'S' || s_suppkey AS c, 'x' || (s_suppkey % 50) AS x FROM supplier UNION SELECT 'S' || s_suppkey, 'y' || s_suppkey FROM supplier WHERE s_suppkey % 3 = 0),
+    e AS (SELECT 'broaderTransitive' AS rule, n AS s, a AS o FROM c UNION SELECT 'narrower', broader, narrower FROM broader
+        UNION SELECT 'related', b, a FROM rel WHERE NOT EXISTS (SELECT 1 FROM rel r WHERE r.a = rel.b AND r.b = rel.a)
+        UNION SELECT 'inScheme', n, s FROM c JOIN tops ON tops.c = a WHERE NOT EXISTS (SELECT 1 FROM ins WHERE ins.c = n AND ins.s = tops.s)
+        UNION SELECT 'inSchemeFromTop', c, s FROM tops UNION SELECT 'hasTopConcept', s, c FROM tops
+        UNION SELECT 'exactMatch', p.x, q.x FROM exm p JOIN exm q ON p.c = q.c AND p.x <> q.x UNION SELECT 'exactMatchInverse', x, c FROM exm)
+"""
+
+
+def _entailed(t):
+    n = F.col("n_nationkey")
+    name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string") if isinstance(c, str) else c.cast("string"))
+    related = t("nation").select(name("N", n).alias("a"), name("N", n + 1).alias("b")).unionByName(t("nation").where("n_nationkey % 3 = 0").select(name("N", n + 1).alias("a"), name("N", n).alias("b")))
+    tops = t("region").select(name("R", "r_regionkey").alias("concept"), name("scheme", F.col("r_regionkey") % 2).alias("scheme"))
+    member = t("nation").where("n_nationkey % 2 = 0").select(name("N", n).alias("concept"), name("scheme", F.col("n_regionkey") % 2).alias("scheme"))
+    s = F.col("s_suppkey")
+    exact = t("supplier").select(name("S", s).alias("concept"), name("x", s % 50).alias("external")).unionByName(t("supplier").where("s_suppkey % 3 = 0").select(name("S", s).alias("concept"), name("y", s).alias("external")))
+    return graph.materialised(graph.entailments(t("broader"), related, member, exact, tops), t("datasets"))
+
+
+@query("G8_entailments", _ENT + "SELECT rule, count(*) AS n FROM e GROUP BY 1")
 def g8(t):
-    s = t("nation").sparkSession
-    none = s.createDataFrame([], "a string, b string")
-    out = graph.entailments(t("broader"), none, s.createDataFrame([], "concept string, scheme string"), s.createDataFrame([], "concept string, external string"))
-    return out.groupBy("rule").agg(F.count("*").alias("n"))
+    return _entailed(t)[1]
 
 
 @query("G9_exact_bridge", "SELECT a.id AS s, b.id AS o, count(*) AS shared FROM analysis_of a JOIN analysis_of b ON a.member = b.member AND a.id <> b.id GROUP BY 1, 2")

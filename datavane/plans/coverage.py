@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import fixpoint, norm
+from ..functions import fixpoint, norm, shared
 from ..operators import filters, graph, linkage, meaning, rollups, rules, views
+from ..streaming import jobs, relink
 from . import catalog
 from .catalog import NOW, query
 
@@ -127,11 +128,17 @@ def g5(t):
     return graph.lineage_neighbours(c, t("datasets").select(F.concat(F.lit("S"), F.col("id").cast("string")).alias("node")))
 
 
-@query("G10_materialised", "WITH RECURSIVE c(n, a) AS (SELECT narrower, broader FROM broader UNION SELECT c.n, b.broader FROM c JOIN broader b ON c.a = b.narrower) SELECT 'broaderTransitive' AS rule, n AS s, a AS o FROM c UNION SELECT 'narrower', broader, narrower FROM broader")
+@query("G5_origin_lists", """WITH RECURSIVE c(n, a) AS (SELECT narrower, broader FROM broader UNION SELECT c.n, b.broader FROM c JOIN broader b ON c.a = b.narrower),
+    own AS (SELECT a AS origin, n AS node FROM c UNION SELECT n, n FROM c UNION SELECT 'S' || id, 'S' || id FROM datasets), k AS (SELECT origin, node, node IN (SELECT n FROM c) AS derived FROM own)
+    SELECT origin, count(*) AS members, count(*) FILTER (derived) AS derived, count(*) * count(*) FILTER (derived) - count(*) FILTER (derived) AS pairs FROM k GROUP BY 1""")
+def g5o(t):
+    c = fixpoint.closure(t("broader"), "narrower", "broader")
+    return linkage.origin_counts(linkage.lineage_origins(c, t("datasets").select(F.concat(F.lit("S"), F.col("id").cast("string")).alias("id"))))
+
+
+@query("G10_materialised", catalog._ENT + "SELECT rule, s, o FROM e")
 def g10(t):
-    s = t("nation").sparkSession
-    out = graph.entailments(t("broader"), s.createDataFrame([], "a string, b string"), s.createDataFrame([], "concept string, scheme string"), s.createDataFrame([], "concept string, external string"))
-    return out.join(t("datasets").select(F.col("iri").alias("s")), "s", "left_anti").select("rule", "s", "o")
+    return catalog._entailed(t)[0]
 
 
 @query("U2_embedding_backend", "SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 4) AS self FROM embeddings")
@@ -151,9 +158,25 @@ def st8(t):
     return d.select("id", meaning.currency_grade(F.col("superseded_by"), F.col("cadence"), F.col("modified"), F.lit(None).cast("date"), F.col("t_end"), NOW.replace(year=2001)).alias("grade"))
 
 
-@query("ST7_relink_targets", catalog._CAND + "SELECT DISTINCT target AS id FROM c ")
+_TOLD = "concept_of AS (SELECT DISTINCT l_suppkey AS id, l_partkey AS member FROM lineitem WHERE l_suppkey IN (SELECT user_id FROM events)), "
+
+
+@query("ST7_relink_targets", catalog._STR.replace("WITH RECURSIVE", f"WITH RECURSIVE {_TOLD}", 1) + "SELECT source, target, rank FROM top")
 def st7(t):
-    return catalog._cand(t).select(F.col("target").alias("id")).distinct()
+    """Records whose concepts become known only with their first commit; the log comes in four parts."""
+    events = t("events").select(F.col("user_id").alias("id"))
+    spark = events.sparkSession
+    at = shared.folder(spark, "commits")
+    for k in range(4):
+        events.where(F.pmod("id", F.lit(4)) == k).coalesce(1).write.mode("append").parquet(at)
+    up = shared.saved(catalog._upstream(t), "upstream")
+
+    def tables_at(known):
+        now = lambda name: t(name).join(known, "id", "left_semi") if name == "concept_of" else t(name)
+        return relink.LinkTables(catalog._keys(now), t("datasets").select("id", "title"), up, t("referrers").select("source", "target"), catalog._profiles(now, up))
+
+    commits = jobs.opened(spark, at, 1)
+    return relink.latest(relink.relinked(commits, tables_at, lambda pairs, profile: catalog._strong(catalog._signalled(pairs, profile)), "st7"))
 
 
 @query("X1_both_ends", "SELECT a.country, count(*) AS arcs FROM arcs JOIN buses a ON a.bus_id = bus0 JOIN buses b ON b.bus_id = bus1 WHERE a.country = b.country GROUP BY 1")

@@ -1,6 +1,7 @@
 """Traps that the driver's tables don't hold: ties, nulls, cycles, long chains, swapped intervals."""
 
 import json
+import math
 import random
 from datetime import datetime
 
@@ -284,3 +285,134 @@ def test_places_stand_in_for_missing_boxes(spark):
 def test_listed(spark):
     df = spark.createDataFrame([([],), (["a"],), (["a", "b"],), (["a", "b", "c"],)], "x array<string>")
     assert [r.y for r in df.select(linkage.listed(F.col("x")).alias("y")).collect()] == ["", "a", "a and b", "a, b and c"]
+
+
+def brute_nearest(q, points, routes, radius):
+    def far(a, b, x, y):
+        dx, dy = b[0] - a[0], b[1] - a[1]
+        square = dx * dx + dy * dy
+        t = 0 if square == 0 else max(0, min(1, ((x - a[0]) * dx + (y - a[1]) * dy) / square))
+        return math.hypot(x - (a[0] + t * dx), y - (a[1] + t * dy))
+
+    best, at = None, radius
+    for name, _, path in sorted(routes, key=lambda r: r[1]):
+        d = round(min((far(a, b, *q) for a, b in zip(path, path[1:])), default=math.inf), 9)
+        best, at = (name, d) if d <= at else best, min(at, d)
+    for name, _, x, y in sorted(points, key=lambda p: p[1]):
+        d = round(max(0, math.hypot(q[0] - x, q[1] - y) - radius / 3), 9)
+        best, at = (name, d) if d <= at else best, min(at, d)
+    return best
+
+
+def test_nearest_of_points_and_routes(spark):
+    rng = random.Random(3)
+    spot = lambda: (rng.uniform(-20, 20), rng.uniform(-20, 20))
+    points = [(f"p{i}", i, *spot()) for i in range(60)]
+    routes = [(f"r{i}", i, [list(spot())]) for i in range(20)]
+    for _, _, path in routes:
+        for _ in range(rng.randrange(4)):
+            path.append([path[-1][0] + rng.uniform(-3, 3), path[-1][1] + rng.uniform(-3, 3)])
+    routes += [("long", 50, [[-20.0, -19.5], [20.0, 19.7]]), ("flat", 51, [[-20.0, 2.0], [20.0, 2.0]]), ("steep", 52, [[4.0, 20.0], [4.0, -20.0]]), ("dot", 53, [[7.0, 7.0], [7.0, 7.0]]), ("short", 54, [[1.0, 1.0]])]
+    points += [("a", 98, 4.0, 2.0), ("b", 99, 4.0, 2.0)]  # on a node of two routes: a point, and the later of two
+    asked = [spot() for _ in range(400)] + [(4.0, 2.0), (7.0, 7.0), (4.0, 2.3)]
+    got = {r.q: (r.element, r.distance) for r in network.nearest(
+        spark.createDataFrame([(i, *p) for i, p in enumerate(asked)], "q long, x double, y double"),
+        spark.createDataFrame(points, "element string, seq long, x double, y double"),
+        spark.createDataFrame(routes, "element string, seq long, path array<array<double>>"), 1.5).collect()}
+    want = {i: w for i, p in enumerate(asked) if (w := brute_nearest(p, points, routes, 1.5))}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(abs(got[k][1] - want[k][1]) < 1e-8 for k in want) and got[400][0] == "b"
+    cells = network.covered_cells(spark.createDataFrame([(0.0, 0.0, 1000.0, 1.0)], "x1 double, y1 double, x2 double, y2 double"), 2.0)
+    assert 500 <= cells.count() <= 504  # a long line is one row a cell
+
+
+def test_depths_along_ten_thousand_nodes(spark):
+    n = 10_000
+    chain = spark.range(1, n).selectExpr("id AS child", "id - 1 AS parent")
+    got = fixpoint.longest_depth(chain, spark.range(n).selectExpr("id AS node", "id = 0 AS grounded"))
+    assert got.where("depth <> node").count() == 0 and got.where("depth IS NULL").count() == 0
+
+
+def test_depths_of_mixed_graphs(spark):
+    rng = random.Random(8)
+    edges = [(c, rng.randrange(c)) for c in range(5, 120) for _ in range(rng.choice([1, 1, 1, 2, 3]))]
+    edges += [(200, 201), (201, 202), (202, 200), (203, 200), (204, 203), (204, 1), (205, 999), (206, 205), (207, 4), (208, 207)]
+    nodes = [(i, i in (0, 1, 2, 3)) for i in [*range(120), *range(200, 209)]]  # 4 is a root that isn't grounded
+    up = {}
+    for c, p in edges:
+        up.setdefault(c, set()).add(p)
+    known = dict(nodes)
+
+    def depth(x, seen=()):
+        if x not in known or x in seen:
+            return None
+        if x not in up:
+            return 0 if known[x] else None
+        d = [depth(p, (*seen, x)) for p in up[x]]
+        return None if None in d else 1 + max(d)
+
+    got = {r.node: r.depth for r in fixpoint.longest_depth(spark.createDataFrame(edges, "child long, parent long"), spark.createDataFrame(nodes, "node long, grounded boolean")).collect()}
+    assert got == {x: depth(x) for x in known}
+
+
+def test_answers_and_counts_agree_with_the_list(spark):
+    rng = random.Random(2)
+    d = spark.createDataFrame([(i, rng.choice(["public", "allowlisted-metadata", "allowlisted-existence"])) for i in range(40)], "id long, visibility string")
+    g = spark.createDataFrame([(rng.randrange(40), f"p{rng.randrange(6)}", rng.choice([None, "A@x.org"])) for _ in range(25)], "dataset_id long, principal_id string, email string")
+    c = spark.createDataFrame([(i, f"p{i}", "a@X.org" if i == 3 else None, i == 5, 7 if i == 2 else None) for i in range(8)], "caller_id long, principal_id string, email string, is_steward boolean, custodian_of long")
+    seen = {(r.caller_id, r.id): r.full for r in filters.visible(d, g, c).collect()}
+    asked = c.select("caller_id").join(d.select("id"), F.lit(True))
+    assert {(r.caller_id, r.id): r.full for r in filters.answered(asked, d, g, c).where("known").collect()} == seen
+    counts = {r.caller_id: (r.known, r.full) for r in filters.visible_counts(d, g, c).collect()}
+    assert counts == {i: (sum(k[0] == i for k in seen), sum(v for k, v in seen.items() if k[0] == i)) for i in range(8)}
+
+
+def test_an_origin_of_a_third_of_all_records_stays_a_list(spark):
+    n = 30_000
+    up = spark.range(n).where("id % 3 = 0 and id > 0").selectExpr("id AS node", "0L AS ancestor", "1 AS depth")
+    origins = linkage.lineage_origins(up, spark.range(n))
+    counts = {r.origin: (r.members, r.derived, r.pairs) for r in linkage.origin_counts(origins).where("members > 1").collect()}
+    assert counts == {0: (10_000, 9_999, 10_000 * 9_999 - 9_999)} and origins.count() == n + 9_999
+    few = linkage.lineage_rung(up, spark.range(n).selectExpr("id"), spark.range(7).selectExpr("id"))
+    assert few.count() == 9_999 + 2 * 9_998  # 0 meets all, 3 and 6 all others
+
+
+def test_all_terms_lie_in_one_field(spark):
+    docs = spark.createDataFrame([(1, "solar load", "wind"), (2, "solar", "load"), (3, "x", "load of solar panels"), (4, "solar loader", "")], "id long, title string, description string")
+    index = search.postings(docs, "id", ["title", "description"])
+    asked = spark.createDataFrame([(7, "solar"), (7, "load")], "request_id long, token string")
+    whole = search.all_terms(index, asked)
+    assert {(r.id, r.best) for r in whole.collect()} == {(1, 12.0), (3, 2.0)}
+    got = search.last_as_prefix(index, spark.createDataFrame([(7, ["solar", "load"])], "request_id long, tokens array<string>"), whole)
+    assert {(r.id, round(r.best, 6)) for r in got.collect()} == {(1, round(12 + 2 * 2.1 * 0.35, 6)), (3, 2.0), (4, round(2 * 2.1 * 0.35, 6))}
+
+
+def test_access_paths_say_what_was_skipped(spark):
+    schema = "dataset_id long, distribution_id long, url string, reachable boolean, health string, protocol string, sliceable boolean, chunk_index string, anonymous boolean, requester_pays boolean, bulk boolean"
+    paths = spark.createDataFrame([
+        (1, 10, "https://a", False, "degraded", None, False, None, True, False, True), (1, 11, "https://b", True, "verified", None, False, None, False, False, True),
+        (1, 12, "https://c", True, "verified", None, False, None, None, False, True), (1, 13, "s3://d", True, "verified", "opendap", False, None, False, True, False),
+        (2, 20, "https://e", False, "unreachable", None, False, None, True, False, True), (3, 30, None, True, "verified", None, False, None, True, False, True)], schema)
+    asked = spark.createDataFrame([(1, 1, None, False), (2, 1, None, True), (3, 1, 10, False), (4, 1, 99, False), (5, 2, None, False), (6, 3, None, False)], "request_id long, dataset_id long, pinned long, wants_slice boolean")
+    got = {r.request_id: (r.distribution_id, r.alternatives, r.note) for r in changes.access_path(paths, asked).collect()}
+    assert got[1] == (12, 3, changes.SKIPPED % 1)  # not known to need an account goes before one that does
+    assert got[2][0] == 13 and got[3] == (10, 3, changes.PINNED % "degraded") and got[4] == (None, 3, None)
+    assert got[5] == (20, 0, changes.NONE_LIVE) and got[6][0] is None
+
+
+def test_entailments_and_their_guard(spark):
+    two = lambda rows, a, b: spark.createDataFrame(rows, f"{a} string, {b} string")
+    facts = (two([("a", "b"), ("b", "c"), ("b", "a")], "narrower", "broader"), two([("x", "y"), ("y", "x"), ("x", "z")], "a", "b"), two([("a", "S")], "concept", "scheme"), two([("a", "e1"), ("a", "e2")], "concept", "external"), two([("c", "S"), ("c", "T")], "concept", "scheme"))
+    rows, counts = graph.materialised(graph.entailments(*facts), spark.createDataFrame([("r",)], "iri string"))
+    got = {(r.rule, r.s, r.o) for r in rows.collect()}
+    assert {x for x in got if x[0] == "inScheme"} == {("inScheme", "a", "T"), ("inScheme", "b", "S"), ("inScheme", "b", "T")}
+    assert {x for x in got if x[0] == "related"} == {("related", "z", "x")} and ("exactMatch", "e1", "e2") in got and ("hasTopConcept", "S", "c") in got
+    assert {r.rule: r.n for r in counts.collect()}["inSchemeFromTop"] == 2 and not any(x[1] == x[2] for x in got)
+    with pytest.raises(ValueError, match="catalogue record"):
+        graph.materialised(graph.entailments(*facts), spark.createDataFrame([("a",)], "iri string"))
+
+
+def test_publishers_below_a_country_registry(spark):
+    urls = ["https://data.gov.uk/x", "https://www.ons.gov.uk", "https://a.b.example.org/", "https://gov.uk/", "https://x.co.jp", "ftp:nothing", None]
+    df = spark.createDataFrame([(u,) for u in urls], "u string").select(norm.publisher_key(F.col("u")).alias("p"))
+    assert [r.p for r in df.collect()] == ["data.gov.uk", "ons.gov.uk", "example.org", "gov.uk", "x.co.jp", None, None]
