@@ -24,20 +24,20 @@ def unit_verdict(kind: Column, mult: Column, off: Column, want_kind: Column, wan
 
 
 def exact_matches(parts: DataFrame, concepts: DataFrame) -> DataFrame:
-    """part, concept, rung, basis: equality of name keys. Rung 1: preferred label, 2: alternative label; the local name
+    """part, concept, rung: equality of name keys. Rung 1: preferred label, 2: alternative label; within a rung the local name
     goes before the label. concepts: concept, pref_label, alt_labels, abstract."""
     usable = concepts.where("not abstract")
     keys = usable.select("concept", name_key(F.col("pref_label")).alias("k"), F.lit(1).alias("rung")).unionByName(usable.select("concept", F.explode("alt_labels").alias("a")).select("concept", name_key(F.col("a")).alias("k"), F.lit(2).alias("rung")))
     asked = parts.select("part", F.explode(F.array(F.struct(F.lit(1).alias("turn"), name_key(F.col("local_name")).alias("k")), F.struct(F.lit(2).alias("turn"), name_key(F.col("label")).alias("k")))).alias("q")).select("part", "q.turn", "q.k").where("k <> ''")
     hit = asked.join(keys.where("k <> ''"), "k").distinct()
-    best = F.min(F.struct("turn", "rung")).over(Window.partitionBy("part"))
+    best = F.min(F.struct("rung", "turn")).over(Window.partitionBy("part"))
     return hit.withColumn("b", best).where("b.turn = turn and b.rung = rung").select("part", "concept", "rung").distinct()
 
 
 def lexical_scores(parts: DataFrame, concepts: DataFrame) -> DataFrame:
     """part, concept, score: 0.7 * Jaccard of the words with those of all labels + 0.3 * share of the words that the definition
-    has. Candidates come from an inverted index of words; pairs without a common word score 0 and don't appear."""
-    q = parts.select("part", F.array_distinct(F.concat(name_tokens(F.col("local_name")), name_tokens(F.col("label")))).alias("q")).withColumn("nq", F.size("q"))
+    has. A part's words are those of its local_name, label and definition together. Candidates come from an inverted index of words; pairs without a common word score 0 and don't appear."""
+    q = parts.select("part", F.array_distinct(F.concat(*[name_tokens(F.coalesce(c, F.lit(""))) for c in ("local_name", "label", "definition")])).alias("q")).withColumn("nq", F.size("q"))
     lab = concepts.where("not abstract").select("concept", F.array_distinct(F.flatten(F.transform(F.concat(F.array("pref_label"), "alt_labels"), name_tokens))).alias("l"), F.array_distinct(name_tokens(F.col("definition"))).alias("d")).withColumn("nl", F.size("l"))
     words = lab.select("concept", "nl", F.explode(F.array_union("l", "d")).alias("w"), "l", "d").select("concept", "nl", "w", F.array_contains("l", F.col("w")).cast("int").alias("in_l"), F.array_contains("d", F.col("w")).cast("int").alias("in_d"))
     hit = q.select("part", "nq", F.explode("q").alias("w")).join(words, "w").groupBy("part", "concept", "nq", "nl").agg(F.sum("in_l").alias("a"), F.sum("in_d").alias("b"))
@@ -53,23 +53,54 @@ def resolve_by_score(scores: DataFrame, threshold: float = 0.25) -> DataFrame:
     return top.select("part", F.when(gap.isNull(), F.col("concept")).alias("concept"), F.round("score", 4).alias("score"), gap.alias("gap"))
 
 
-def ladder(parts: DataFrame, concepts: DataFrame, threshold: float = 0.25) -> DataFrame:
-    """part, concept, basis, confidence, gap of every part: confirmed, else exact label, alternative label, similarity, gap.
-    A label that several concepts have is settled by score, or becomes a gap."""
+def near_ties(scores: DataFrame) -> DataFrame:
+    """part, alternatives: the sorted concepts within MARGIN of a part's best, where there are several."""
+    best = F.max("score").over(Window.partitionBy("part"))
+    near = scores.withColumn("best", best).where(F.round(F.col("best") - F.col("score"), 9) < MARGIN)
+    return near.groupBy("part").agg(F.array_sort(F.collect_list("concept")).alias("alternatives")).where(F.size("alternatives") > 1)
+
+
+def ladder(parts: DataFrame, concepts: DataFrame, threshold: float = 0.25, units: DataFrame | None = None) -> DataFrame:
+    """part, concept, basis, confidence, gap, alternatives, factor of every part: confirmed, else exact label, alternative label,
+    similarity, gap. parts: part, local_name, label, definition, confirmed, and unit where units (unit, kind, mult) are given;
+    concepts: concept, pref_label, alt_labels, definition, abstract, and default_unit.
+
+    A concept of the same name but another quantity is no match; where all are, the part is a gap (wrong-quantity). A name
+    that several concepts have is settled by similarity, if the part has a definition (the labels tie already); else it is a gap
+    (ambiguous) with its alternatives. factor converts the part's unit to the concept's default one; null if they are the same or
+    one is unknown."""
     exact = exact_matches(parts, concepts)
-    per = exact.groupBy("part").agg(F.count("*").alias("n"), F.min("concept").alias("only"), F.min("rung").alias("rung"))
+    if units is None:
+        mine, theirs = parts.select("part", F.lit(None).cast("string").alias("kind"), F.lit(None).cast("double").alias("mult")), concepts.select("concept", F.lit(None).cast("string").alias("want_kind"), F.lit(None).cast("double").alias("want_mult"))
+    else:
+        mine = parts.select("part", "unit").join(units, "unit").select("part", "kind", "mult")
+        theirs = concepts.select("concept", F.col("default_unit").alias("unit")).join(units, "unit").select("concept", F.col("kind").alias("want_kind"), F.col("mult").alias("want_mult"))
+    exact = exact.join(mine, "part", "left").join(theirs, "concept", "left")
+    fits = unit_verdict(F.col("kind"), F.col("mult"), F.lit(0.0), F.col("want_kind"), F.col("want_mult")) != "wrong-quantity"
+    exact = exact.withColumn("fits", fits)
+    ok = F.when(F.col("fits"), F.col("concept"))
+    per = exact.groupBy("part").agg(F.count_if("fits").alias("n"), F.min(ok).alias("only"), F.min("rung").alias("rung"), F.array_sort(F.collect_set(ok)).alias("names"))
     scores = lexical_scores(parts, concepts)
-    split = resolve_by_score(scores.join(exact.join(per.where("n > 1"), "part", "left_semi").select("part", "concept"), ["part", "concept"], "left_semi"), threshold)
-    free = resolve_by_score(scores.join(per, "part", "left_anti"), threshold)
+    told = parts.where("definition <> ''").select("part")
+    tied = exact.where("fits").join(per.where("n > 1").select("part"), "part", "left_semi").join(told, "part", "left_semi").select("part", "concept")
+    split = resolve_by_score(scores.join(tied, ["part", "concept"], "left_semi"), threshold)
+    loose = scores.join(per, "part", "left_anti")
+    free = resolve_by_score(loose, threshold).join(near_ties(loose), "part", "left")
     out = parts.join(per, "part", "left")
     for name, rows in (("s", split), ("f", free)):
-        out = out.join(rows.select("part", F.col("concept").alias(f"{name}_c"), F.col("score").alias(f"{name}_s"), F.col("gap").alias(f"{name}_g")), "part", "left")
-    sure, one, many = F.col("confirmed").isNotNull(), F.col("n") == 1, F.col("n") > 1
-    concept = F.when(sure, F.col("confirmed")).when(one, F.col("only")).when(many, F.col("s_c")).otherwise(F.col("f_c"))
-    basis = F.when(sure, "confirmed").when(one | (many & F.col("s_c").isNotNull()), F.when(F.col("rung") == 1, "label").otherwise("alt-label")).when(~F.coalesce(many, F.lit(False)) & F.col("f_c").isNotNull(), "similarity").otherwise("gap")
+        more = [F.col("alternatives")] if name == "f" else []
+        out = out.join(rows.select("part", F.col("concept").alias(f"{name}_c"), F.col("score").alias(f"{name}_s"), F.col("gap").alias(f"{name}_g"), *more), "part", "left")
+    sure, named = F.col("confirmed").isNotNull(), F.col("n").isNotNull()
+    one, many, none = F.col("n") == 1, F.col("n") > 1, F.col("n") == 0
+    concept = F.when(sure, F.col("confirmed")).when(one, F.col("only")).when(many, F.col("s_c")).when(~named, F.col("f_c"))
+    basis = F.when(sure, "confirmed").when(one, F.when(F.col("rung") == 1, "label").otherwise("alt-label")).when(concept.isNotNull(), "similarity").otherwise("gap")
     conf = F.when(sure | one, 1.0).when(many, F.col("s_s")).otherwise(F.col("f_s"))
-    gap = F.when(basis == "gap", F.when(many, F.coalesce("s_g", F.lit("ambiguous"))).otherwise(F.coalesce("f_g", F.lit("no-candidate"))))
-    return out.select("part", concept.alias("concept"), basis.alias("basis"), F.when(basis != "gap", F.round(conf, 4)).alias("confidence"), gap.alias("gap"))
+    gap = F.when(basis == "gap", F.when(none, "wrong-quantity").when(many, "ambiguous").otherwise(F.coalesce("f_g", F.lit("no-candidate"))))
+    others = F.when((basis == "gap") & many, F.col("names")).when((basis == "gap") & F.startswith(F.coalesce("f_g", F.lit("")), F.lit("near-tie")), F.col("alternatives"))
+    out = out.select("part", concept.alias("concept"), basis.alias("basis"), F.when(basis != "gap", F.round(conf, 4)).alias("confidence"), gap.alias("gap"), others.alias("alternatives"))
+    out = out.join(mine, "part", "left").join(theirs, "concept", "left")
+    factor = F.when((F.col("kind") == F.col("want_kind")) & (F.col("mult") != F.col("want_mult")) & (F.col("basis") != "confirmed"), F.col("mult") / F.col("want_mult"))
+    return out.select("part", "concept", "basis", "confidence", "gap", "alternatives", factor.alias("factor"))
 
 
 def cosine(a: Column, b: Column) -> Column:

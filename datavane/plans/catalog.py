@@ -947,7 +947,7 @@ def m1(t):
 
 
 def _asked_parts(t):
-    return t("parts").select("part", F.concat(F.col("label"), F.lit(" "), F.coalesce("definition", F.lit(""))).alias("local_name"), F.lit("").alias("label"), F.when(F.col("part") % 50 == 0, F.col("label")).alias("confirmed"))
+    return t("parts").select("part", F.col("label").alias("local_name"), F.lit("").alias("label"), "definition", "unit", F.when(F.col("part") % 50 == 0, F.col("label")).alias("confirmed"))
 
 
 _LEX = """WITH q AS (SELECT part, list_distinct(string_split(label || CASE WHEN definition IS NULL THEN '' ELSE ' ' || lower(definition) END, ' ')) AS q, label FROM parts),
@@ -962,9 +962,24 @@ def m4(t):
     return meaning.resolve_by_score(meaning.lexical_scores(_asked_parts(t), _concepts(t)))
 
 
-@query("M7_ladder")
+_UNITS = "VALUES ('MW', 'power', 1000000.0::DOUBLE), ('kW', 'power', 1000.0::DOUBLE), ('m', 'length', 1.0::DOUBLE)"
+
+
+@query("M7_ladder", _LEX.replace("WITH q AS (SELECT part, list_distinct(string_split(label ||", "WITH nm AS (SELECT part, definition, unit, label AS lb, CASE WHEN part % 7 = 0 THEN label || ' alt' WHEN part % 11 = 0 THEN 'odd ' || label ELSE label END AS label FROM parts), q AS (SELECT part, list_distinct(string_split(label ||").replace("label FROM parts),\n    c AS", "label FROM nm),\n    c AS") + f""",
+    u(unit, kind, mult) AS ({_UNITS}), want AS (SELECT DISTINCT p_name AS concept, CASE length(p_name) % 3 WHEN 0 THEN 'MW' WHEN 1 THEN 'kW' ELSE 'm' END AS du FROM part),
+    x AS (SELECT nm.part, CASE WHEN nm.part % 50 = 0 THEN nm.lb END AS sure, CASE WHEN nm.part % 7 = 0 THEN 2 WHEN nm.part % 11 = 0 THEN 0 ELSE 1 END AS rung, nm.lb, a.kind AS k1, a.mult AS m1, g.concept AS gc, g.score AS gs, g.gap AS gg FROM nm LEFT JOIN u a ON a.unit = nm.unit LEFT JOIN g ON g.part = nm.part),
+    y AS (SELECT x.*, b.kind AS k2 FROM x JOIN want ON want.concept = x.lb JOIN u b ON b.unit = want.du),
+    r2 AS (SELECT part, k1, m1, CASE WHEN sure IS NOT NULL THEN 'confirmed' WHEN rung > 0 AND k1 IS NOT NULL AND k1 <> k2 THEN 'wrong' WHEN rung = 1 THEN 'label' WHEN rung = 2 THEN 'alt-label' WHEN gg IS NULL AND gc IS NOT NULL THEN 'similarity' ELSE 'none' END AS how, sure, lb, gc, gs, gg FROM y),
+    r3 AS (SELECT part, k1, m1, CASE how WHEN 'confirmed' THEN sure WHEN 'label' THEN lb WHEN 'alt-label' THEN lb WHEN 'similarity' THEN gc END AS concept, CASE WHEN how IN ('wrong', 'none') THEN 'gap' ELSE how END AS basis,
+        CASE WHEN how IN ('confirmed', 'label', 'alt-label') THEN 1.0 WHEN how = 'similarity' THEN round(gs, 4) END AS confidence, CASE how WHEN 'wrong' THEN 'wrong-quantity' WHEN 'none' THEN coalesce(gg, 'no-candidate') END AS gap FROM r2)
+    SELECT part, r3.concept, basis, confidence, gap, CASE WHEN basis <> 'confirmed' AND k1 = u.kind AND m1 <> u.mult THEN m1 / u.mult END AS factor FROM r3 LEFT JOIN want ON want.concept = r3.concept LEFT JOIN u ON u.unit = want.du""")
 def m7(t):
-    return meaning.ladder(_asked_parts(t), _concepts(t))
+    parts, name = _asked_parts(t), F.col("local_name")
+    parts = parts.withColumn("local_name", F.when(F.col("part") % 7 == 0, F.concat(name, F.lit(" alt"))).when(F.col("part") % 11 == 0, F.concat(F.lit("odd "), name)).otherwise(name))
+    k = F.length("pref_label") % 3
+    concepts = _concepts(t).withColumn("default_unit", F.when(k == 0, "MW").when(k == 1, "kW").otherwise("m"))
+    units = parts.sparkSession.createDataFrame([("MW", "power", 1e6), ("kW", "power", 1e3), ("m", "length", 1.0)], "unit string, kind string, mult double")
+    return meaning.ladder(parts, concepts, units=units).drop("alternatives")
 
 
 @query("M2_unit_verdict", "SELECT a.n_nationkey AS a, b.n_nationkey AS b, CASE WHEN a.n_regionkey <> b.n_regionkey THEN 'wrong-quantity' WHEN a.n_nationkey % 3 = b.n_nationkey % 3 THEN 'agrees' ELSE 'convertible' END AS verdict FROM nation a JOIN nation b ON a.n_nationkey % 5 = b.n_nationkey % 5")

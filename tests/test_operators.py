@@ -98,10 +98,17 @@ def test_near_ties_become_gaps(spark):
 
 
 def test_ladder(spark):
-    parts = spark.createDataFrame([(1, "wind_speed", None, None), (2, "ws", None, None), (3, "x", None, "c9"), (4, "speed of air", "", None), (5, "zzz", "", None)], "part long, local_name string, label string, confirmed string")
-    concepts = spark.createDataFrame([("c1", "Wind speed", ["ws"], "speed of air moving", False), ("c2", "Load", ["demand"], "power drawn", False), ("c3", "zzz", [], "", True)], "concept string, pref_label string, alt_labels array<string>, definition string, abstract boolean")
-    got = {r.part: (r.concept, r.basis) for r in meaning.ladder(parts, concepts).collect()}
-    assert got == {1: ("c1", "label"), 2: ("c1", "alt-label"), 3: ("c9", "confirmed"), 4: ("c1", "similarity"), 5: (None, "gap")}
+    parts = [(1, "wind_speed", None, None, None, None), (2, "ws", None, None, None, None), (3, "x", None, None, "c9", None), (4, "speed of air", "", None, None, None), (5, "zzz", "", None, None, None)]
+    parts += [(6, "load", None, None, None, "m"), (7, "load", None, None, None, "kW"), (8, "twin", None, None, None, None), (9, "twin", None, "red thing seen from afar", None, None), (10, "odd", "Load", None, None, None), (11, "demand", "Wind speed", None, None, None), (12, "no", None, "speed of air", None, None)]
+    df = spark.createDataFrame(parts, "part long, local_name string, label string, definition string, confirmed string, unit string")
+    concepts = spark.createDataFrame([("c1", "Wind speed", ["ws"], "speed of air moving", False, None), ("c2", "Load", ["demand"], "power drawn", False, "MW"), ("c3", "zzz", [], "", True, None), ("t1", "Twin", [], "red thing seen from afar", False, None), ("t2", "twin", [], "blue one", False, None)], "concept string, pref_label string, alt_labels array<string>, definition string, abstract boolean, default_unit string")
+    units = spark.createDataFrame([("MW", "power", 1e6), ("kW", "power", 1e3), ("m", "length", 1.0)], "unit string, kind string, mult double")
+    got = {r.part: (r.concept, r.basis, r.gap, r.alternatives, r.factor) for r in meaning.ladder(df, concepts, units=units).collect()}
+    assert {k: v[:2] for k, v in got.items() if k < 6} == {1: ("c1", "label"), 2: ("c1", "alt-label"), 3: ("c9", "confirmed"), 4: ("c1", "similarity"), 5: (None, "gap")}
+    assert got[6][:3] == (None, "gap", "wrong-quantity") and got[7] == ("c2", "label", None, None, 0.001)
+    assert got[8] == (None, "gap", "ambiguous", ["t1", "t2"], None) and got[9][:2] == ("t1", "similarity")
+    assert got[10][:2] == ("c2", "label") and got[11][:2] == ("c1", "label")  # a preferred label before an alternative one
+    assert got[12][:2] == ("c1", "similarity")  # by its definition alone
 
 
 def test_bm25_and_prefixes(spark):
