@@ -147,6 +147,30 @@ def top(scores: DataFrame, titles: DataFrame, n: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("request_id", "rank", "id", "score")
 
 
+def matches(scores: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+    """The whole match set of each request, before any page is cut: scores above 0, of the documents in allowed (id) only if given."""
+    rows = scores.where("score > 0")
+    return rows if allowed is None else rows.join(allowed.select("id").distinct(), "id", "left_semi")
+
+
+def result_page(found: DataFrame, titles: DataFrame, offset: int = 0, limit: int = 20) -> DataFrame:
+    """request_id, rank, id, score, total, next_offset of one page of each request's matches(): total counts the whole match set, and
+    next_offset is null on the last page. The order is that of top()."""
+    total = found.groupBy("request_id").agg(F.count("*").alias("total"))
+    rows = top(found, titles, offset + limit).where(F.col("rank") > offset).join(total, "request_id")
+    return rows.withColumn("next_offset", F.when(F.col("total") > offset + limit, F.lit(offset + limit)))
+
+
+def request_facets(found: DataFrame, docs: DataFrame, facets: list[str], n: int = 50) -> DataFrame:
+    """request_id, facet, value, n: the n most frequent values (-count, then value) of each facet of docs (id, ...) over a request's whole
+    match set. Matches meet the facets' columns once; counts are combined before the shuffle."""
+    cols = [x for f in facets for x in (F.lit(f), F.col(f).cast("string"))]
+    long = found.select("request_id", "id").join(docs.select("id", F.create_map(*cols).alias("m")), "id").select("request_id", F.explode("m").alias("facet", "value"))
+    counts = long.where("value is not null").groupBy("request_id", "facet", "value").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("request_id", "facet").orderBy(F.desc("n"), "value")
+    return counts.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n).drop("__r")
+
+
 def facet_counts(df: DataFrame, facets: list[str], id_col: str = "id", n: int = 50, more: DataFrame | None = None) -> DataFrame:
     """facet, value, n: distinct documents of each value, all facets in one pass; the n most frequent of each facet (-count,
     then value). Array columns count each value once a document; nulls aren't values. more: facet, value, id rows of facets that

@@ -426,6 +426,27 @@ def r4(t):
     return search.top(scores, t("documents").select(F.col("doc_id").alias("id"), F.col("source").alias("title")), 20).withColumn("score", F.round("score", 5))
 
 
+_MATCHED = _BM + ", mt AS (SELECT sc.* FROM sc JOIN documents ON doc_id = id WHERE score > 0 AND lang <> 'de')"
+
+
+def _matched(t):
+    scores = search.bm25(_index(t), _asked(t), t("documents").count())
+    return shared.saved(search.matches(scores, t("documents").where("lang <> 'de'").select(F.col("doc_id").alias("id"))), "matches")
+
+
+@query("R4_page", _MATCHED + """, rk AS (SELECT request_id, id, score, count(*) OVER (PARTITION BY request_id) AS total, row_number() OVER (PARTITION BY request_id ORDER BY round(score, 9) DESC, lower(source), id) AS rank FROM mt JOIN documents ON doc_id = id)
+    SELECT request_id, rank, id, round(score, 5) AS score, total, CASE WHEN total > 20 THEN 20 END AS next_offset FROM rk WHERE rank > 10 AND rank <= 20""")
+def r4p(t):
+    titles = t("documents").select(F.col("doc_id").alias("id"), F.col("source").alias("title"))
+    return search.result_page(_matched(t), titles, 10, 10).withColumn("score", F.round("score", 5))
+
+
+@query("R4_facets", _MATCHED + """, fv AS (SELECT request_id, 'lang' AS facet, lang AS value FROM mt JOIN documents ON doc_id = id UNION ALL SELECT request_id, 'source', source FROM mt JOIN documents ON doc_id = id)
+    SELECT request_id, facet, value, n FROM (SELECT request_id, facet, value, count(*) AS n, row_number() OVER (PARTITION BY request_id, facet ORDER BY count(*) DESC, value) AS k FROM fv WHERE value IS NOT NULL GROUP BY 1, 2, 3) WHERE k <= 50""")
+def r4f(t):
+    return search.request_facets(_matched(t), t("documents").select(F.col("doc_id").alias("id"), "lang", "source"), ["lang", "source"])
+
+
 @query("R3_prefix", _POST + """, l AS (SELECT item_id AS request_id, list_last(regexp_extract_all(lower(text), '[a-z0-9]+')) AS stem FROM benchmark),
     h AS (SELECT request_id, token, stem, row_number() OVER (PARTITION BY request_id ORDER BY token) AS n FROM l JOIN (SELECT DISTINCT token FROM p) ON starts_with(token, stem)),
     k AS (SELECT * FROM h WHERE n <= 40)

@@ -423,3 +423,16 @@ def test_publishers_below_a_country_registry(spark):
     urls = ["https://data.gov.uk/x", "https://www.ons.gov.uk", "https://a.b.example.org/", "https://gov.uk/", "https://x.co.jp", "ftp:nothing", None]
     df = spark.createDataFrame([(u,) for u in urls], "u string").select(norm.publisher_key(F.col("u")).alias("p"))
     assert [r.p for r in df.collect()] == ["data.gov.uk", "ons.gov.uk", "example.org", "gov.uk", "x.co.jp", None, None]
+
+
+def test_pages_and_facets_of_the_whole_match_set(spark):
+    scores = spark.createDataFrame([(1, i, float(i % 4)) for i in range(30)] + [(2, 3, 1.0)], "request_id long, id long, score double")
+    docs = spark.createDataFrame([(i, f"T{i:02d}", "a" if i < 10 else "b" if i < 29 else None) for i in range(30)], "id long, title string, lang string")
+    found = search.matches(scores, docs.where("id <> 7").select("id"))
+    assert found.where("request_id = 1").count() == 21  # 22 with a score, one of them not allowed
+    page = search.result_page(found, docs.select("id", "title"), 5, 10).where("request_id = 1").orderBy("rank").collect()
+    want = sorted((i for i in range(30) if i % 4 and i != 7), key=lambda i: (-(i % 4), i))
+    assert [r.id for r in page] == want[5:15] and {(r.total, r.next_offset) for r in page} == {(21, 15)}
+    assert {r.next_offset for r in search.result_page(found, docs.select("id", "title"), 15, 10).collect()} == {None}
+    got = {(r.request_id, r.value): r.n for r in search.request_facets(found, docs, ["lang"]).collect()}
+    assert got == {(1, "a"): sum(i < 10 for i in want), (1, "b"): sum(10 <= i < 29 for i in want), (2, "a"): 1}
