@@ -100,6 +100,34 @@ def head_of_group(rows: DataFrame, by: str, n: int, *order: str) -> DataFrame:
     return rows.withColumn("n", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("n") <= n)
 
 
+#: Which label of a term is shown, best first.
+LABEL_RANK = ("symbol", "prefLabel", "label")
+
+
+def term_labels(terms: DataFrame) -> DataFrame:
+    """iri, label, definition of every term from terms (iri, kind, label, definition): the label of the best kind, the smallest of equal
+    ones, whatever the order of the rows; the smallest definition that any row has."""
+    rank = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, LABEL_RANK)), F.col("kind")).cast("int"), F.lit(0)), F.lit(len(LABEL_RANK) + 1))
+    return terms.groupBy("iri").agg(F.min(F.struct(rank.alias("rank"), "label"))["label"].alias("label"), F.min("definition").alias("definition"))
+
+
+def schema_pages(parts: DataFrame, terms: DataFrame, requests: DataFrame) -> DataFrame:
+    """request_id, id, place, part, concept, concept_label, concept_definition, unit, unit_label, total, next_offset for requests
+    (request_id, id, offset, limit): the parts (id, part, label, concept, unit) of a record in order of label and part, from the offset on. total
+    counts all its parts; next_offset is null on the last page. Only records that are asked for are numbered, and only terms
+    that the pages name are looked up."""
+    asked = parts.join(requests.select("id").distinct(), "id", "left_semi")
+    every = Window.partitionBy("id")
+    rows = asked.withColumns({"place": F.row_number().over(every.orderBy("label", "part")), "total": F.count("*").over(every)})
+    end = F.col("offset") + F.col("limit")
+    rows = rows.join(requests, "id").where((F.col("place") > F.col("offset")) & (F.col("place") <= end)).withColumn("next_offset", F.when(F.col("total") > end, end))
+    named = rows.select(F.explode(F.array_compact(F.array("concept", "unit"))).alias("iri")).distinct()
+    shown = term_labels(terms.join(named, "iri", "left_semi"))
+    for c in ("concept", "unit"):
+        rows = rows.join(shown.select(F.col("iri").alias(c), F.col("label").alias(f"{c}_label"), F.col("definition").alias(f"{c}_definition")), c, "left")
+    return rows.select("request_id", "id", "place", "part", "concept", "concept_label", "concept_definition", "unit", "unit_label", "total", "next_offset")
+
+
 def backstop(rows: DataFrame, own: str, source: DataFrame, key: str, declared: str) -> DataFrame:
     """rows with data_domain, their own or that which their source declares, and whether it is inferred."""
     d = rows.join(source.select(key, F.col(declared).alias("__d")).distinct(), key, "left")

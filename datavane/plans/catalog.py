@@ -488,6 +488,21 @@ def r10(t):
     return views.head_of_group(t("parts").select("id", "part", "label"), "id", 5, "label", "part")
 
 
+@query("R10_schema_terms", """WITH m AS (SELECT p_name AS iri, CASE WHEN p_size % 2 = 0 THEN 'prefLabel' ELSE 'label' END AS kind, p_brand AS label, CASE WHEN p_size % 5 = 0 THEN p_type END AS definition FROM part
+        UNION ALL SELECT 'MW', 'prefLabel', 'megawatt', NULL UNION ALL SELECT 'MW', 'symbol', 'MW', 'a million watts' UNION ALL SELECT 'MW', 'label', 'A megawatt', NULL),
+    l AS (SELECT iri, arg_min(label, (CASE kind WHEN 'symbol' THEN 1 WHEN 'prefLabel' THEN 2 ELSE 3 END, label)) AS label, min(definition) AS definition FROM m GROUP BY 1),
+    n AS (SELECT id, part, label AS concept, unit, row_number() OVER (PARTITION BY id ORDER BY label, part) AS place, count(*) OVER (PARTITION BY id) AS total FROM parts)
+    SELECT 'q' || id AS request_id, id, CAST(place AS INT) AS place, part, concept, c.label AS concept_label, c.definition AS concept_definition, unit, u.label AS unit_label, total, CASE WHEN total > 2 + id % 7 THEN CAST(2 + id % 7 AS BIGINT) END AS next_offset
+    FROM n LEFT JOIN l c ON c.iri = concept LEFT JOIN l u ON u.iri = unit WHERE place > 2 AND place <= 2 + id % 7""")
+def r10t(t):
+    p = t("part")
+    terms = p.select(F.col("p_name").alias("iri"), F.when(F.col("p_size") % 2 == 0, "prefLabel").otherwise("label").alias("kind"), F.col("p_brand").alias("label"), F.when(F.col("p_size") % 5 == 0, F.col("p_type")).alias("definition"))
+    units = p.sparkSession.createDataFrame([("MW", "prefLabel", "megawatt", None), ("MW", "symbol", "MW", "a million watts"), ("MW", "label", "A megawatt", None)], terms.schema.simpleString()[7:-1].replace(":", " "))
+    parts = t("parts").select("id", "part", "label", F.col("label").alias("concept"), "unit")
+    asked = parts.select("id").distinct().select(F.concat(F.lit("q"), F.col("id").cast("string")).alias("request_id"), "id", F.lit(2).cast("long").alias("offset"), (F.col("id") % 7).alias("limit"))
+    return views.schema_pages(parts, terms.unionByName(units), asked)
+
+
 @query("A1_facet_counts", """
     WITH p AS (SELECT * FROM datasets WHERE review_state IN ('confirmed', 'auto-confirmed')),
     l AS (SELECT 'data_domain' AS facet, data_domain AS value, id FROM p UNION ALL SELECT 'level', CAST(level AS VARCHAR), id FROM p UNION ALL SELECT 'publisher', publisher, id FROM p UNION ALL SELECT 'analysis', member, p.id FROM p JOIN analysis_of a ON a.id = p.id),

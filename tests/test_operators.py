@@ -7,7 +7,7 @@ from datetime import datetime
 
 import pytest
 from datavane.functions import fixpoint, norm
-from datavane.operators import changes, filters, graph, linkage, meaning, network, rules, search
+from datavane.operators import changes, filters, graph, linkage, meaning, network, rules, search, views
 from datavane.sources import loaders
 from pyspark.sql import functions as F
 
@@ -436,3 +436,13 @@ def test_pages_and_facets_of_the_whole_match_set(spark):
     assert {r.next_offset for r in search.result_page(found, docs.select("id", "title"), 15, 10).collect()} == {None}
     got = {(r.request_id, r.value): r.n for r in search.request_facets(found, docs, ["lang"]).collect()}
     assert got == {(1, "a"): sum(i < 10 for i in want), (1, "b"): sum(10 <= i < 29 for i in want), (2, "a"): 1}
+
+
+def test_schema_pages_show_the_best_label(spark):
+    terms = spark.createDataFrame([("u", "label", "kilovolts", None), ("u", "symbol", "kV", None), ("u", "prefLabel", "kilovolt", "d"), ("c", "label", "x", None), ("c", "prefLabel", "z", None), ("c", "prefLabel", "y", None), ("w", "other", "o", None)], "iri string, kind string, label string, definition string")
+    assert {(r.iri, r.label, r.definition) for r in views.term_labels(terms).collect()} == {("u", "kV", "d"), ("c", "y", None), ("w", "o", None)}
+    parts = spark.createDataFrame([(1, f"p{i}", f"l{i}", "c" if i else None, "u" if i % 2 else None) for i in range(5)] + [(2, "q", "l", None, "nowhere")], "id long, part string, label string, concept string, unit string")
+    asked = spark.createDataFrame([(7, 1, 1, 3), (8, 1, 3, 3), (9, 2, 0, 5), (10, 3, 0, 5)], "request_id long, id long, offset long, limit long")
+    got = {(r.request_id, r.part): (r.place, r.concept_label, r.unit_label, r.total, r.next_offset) for r in views.schema_pages(parts, terms, asked).collect()}
+    assert {k for k in got} == {(7, "p1"), (7, "p2"), (7, "p3"), (8, "p3"), (8, "p4"), (9, "q")}
+    assert got[7, "p1"] == (2, "y", "kV", 5, 4) and got[8, "p4"] == (5, "y", None, 5, None) and got[9, "q"] == (1, None, None, 1, None)
