@@ -105,19 +105,22 @@ _NAMED = re.compile(
 #: Every name above holds one of these; other texts need no further look.
 _HINT = re.compile(r"licen|gpl|bsd|apache|commons|cc0|hereby|redistribution|unencumbered|cc(?<![a-z0-9]cc)(?![a-z0-9])|[me]pl(?<![a-z0-9][a-z]pl)(?:v?[0-9]|[^a-z]|$)|mit(?<![a-z0-9]mit)[^a-z0-9]+(?:no[^a-z0-9]+attribution|0)(?![a-z0-9])")
 _CLAUSES = {"0": "0BSD", "zero": "0BSD", "2": "BSD-2-Clause", "two": "BSD-2-Clause", "simplified": "BSD-2-Clause", "freebsd": "BSD-2-Clause", "3": "BSD-3-Clause", "three": "BSD-3-Clause", "new": "BSD-3-Clause", "modified": "BSD-3-Clause", "revised": "BSD-3-Clause", "4": "BSD-4-Clause", "four": "BSD-4-Clause", "original": "BSD-4-Clause"}
-_BODY = 3000  # characters after its first words in which a licence's own text shows its variant
+_OR_OTHER = re.compile(r" (?:and|or) (?:version |v ?)?[1-4]")
+_BODIES = ("free", "iscbody", "forms")  # matches that are the first words of a licence's own text
 
 
-def _label(m: re.Match) -> str | None:
-    """The licence that a match of _NAMED stands for; None where a word that tells variants apart is missing."""
+def _label(m: re.Match, end: int) -> str | None:
+    """The licence that a match of _NAMED stands for; None where a word that tells variants apart is missing.
+
+    end: where a licence's own text that begins with the match ends at the latest, however long it is."""
     g = m.groupdict()
     full = lambda v: v if "." in v else v + ".0"
-    after = m.string[m.end() : m.end() + _BODY]
+    held = lambda words: m.string.find(words, m.end(), end) >= 0
     if g["with"]:
         return None
     if g["gnu"]:
         v = {full(x) for x in (g["g0"], g["g1"]) if x}
-        if len(v) != 1 or re.match(r" (?:and|or) (?:version |v ?)?[1-4]", after):
+        if len(v) != 1 or _OR_OTHER.match(m.string, m.end()):
             return None
         kind = {"affero": "AGPL", "lesser": "LGPL", "library": "LGPL"}.get(g["kind"]) or (g["abbr"] or "gpl").upper()
         return f"{kind}-{v.pop()}-{'or-later' if g['l0'] or g['l1'] else 'only'}"
@@ -142,28 +145,32 @@ def _label(m: re.Match) -> str | None:
     if g["isc"]:
         return "ISC"
     if g["free"]:
-        if "except as contained in this notice" in after:
+        if held("except as contained in this notice"):
             return "X11"
-        return "MIT-0" if "software is provided as is" in after and "notice shall be included" not in after else "MIT"
+        return "MIT-0" if held("software is provided as is") and not held("notice shall be included") else "MIT"
     if g["iscbody"]:
         return "ISC" if g["prov"] else "0BSD"
     for mark, name in (("all advertising materials", "BSD-4-Clause"), ("neither the name", "BSD-3-Clause"), ("redistributions in binary form must reproduce", "BSD-2-Clause")):
-        if mark in after:
+        if held(mark):
             return name
     return None
 
 
 def named(words: list[str]) -> list[tuple[str, int, int]]:
-    """(licence, first word, word after the last) of all that words name with every word that tells variants apart."""
+    """(licence, first word, word after the last) of all that words name with every word that tells variants apart.
+
+    A licence's own text reaches to the first words of the next one, or to the end."""
     text = " ".join(words)
     ends = [len(w) + 1 for w in words]
     starts = [0, *itertools.accumulate(ends)]
-    out = []
-    for m in _NAMED.finditer(text):
-        label = _label(m)
+    out, end = [], len(text)
+    for m in reversed(list(_NAMED.finditer(text))):
+        label = _label(m, end)
+        if any(m[b] for b in _BODIES):
+            end = m.start()
         if label:
             out.append((label, bisect.bisect_right(starts, m.start()) - 1, bisect.bisect_left(starts, m.end())))
-    return out
+    return out[::-1]
 
 
 #: Words of fewer than one in so many files weigh alike, so the table of frequencies has at most RARE x words a file rows.

@@ -270,6 +270,21 @@ def test_licenses_with_words_around_them(spark):
     assert total == len(files) and counts["mit"] == 2 and all(c == sum(w in licenses.tokens(t) for *_, t in files) for w, c in counts.items())
 
 
+def test_license_bodies_reach_to_the_next_notice():
+    forms = "Redistribution and use in source and binary forms, with or without modification, are permitted"
+    binary, third, much = "Redistributions in binary form must reproduce the above copyright notice.", "Neither the name of the owner", "Some other clause is met here. " * 2000
+    free = "Permission is hereby granted, free of charge, to any person obtaining a copy"
+    cases = [
+        (f"{forms} {binary} {much} {third}", ["BSD-3-Clause"]),
+        (f"{forms} {much} {binary}", ["BSD-2-Clause"]),
+        (f"{forms} {binary} {forms} {binary} {much} {third}", ["BSD-2-Clause", "BSD-3-Clause"]),
+        (f"{free} {much} the software is provided as is", ["MIT-0"]),
+        (f"{free} {much} this notice shall be included {much} the software is provided as is", ["MIT"]),
+        (f"{free} the software is provided as is {forms} {binary} {much} except as contained in this notice", ["MIT-0", "BSD-2-Clause"]),
+    ]
+    assert [[x for x, *_ in licenses.named(licenses.tokens(t))] for t, _ in cases] == [want for _, want in cases]
+
+
 def test_license_anchors_lose_nothing():
     model = licenses.Templates(licenses.TEMPLATES, 0.6)
     rng = random.Random(1)
