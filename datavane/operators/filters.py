@@ -159,6 +159,28 @@ def page(df: DataFrame, offset: int, limit: int, cap: int = 200) -> DataFrame:
     return df.offset(offset).limit(min(limit, cap))
 
 
+def page_after(df: DataFrame, *keys: tuple[str, bool], tie: str, last: dict | None = None, limit: int = 20, cap: int = 200) -> DataFrame:
+    """The rows that follow `last` (the keys and tie of the row before, by name; None: from the start) in the order of ordered().
+
+    The rows before are left out by a condition on the keys, which reaches the scan where a key is no string; the page itself is a top-n,
+    so a deep page costs what the first one does and nothing is sorted as a whole. Values that many rows share are told apart by the tie."""
+    if last is not None:
+        later, same = F.lit(False), F.lit(True)
+        for name, desc in (*keys, (tie, False)):
+            fold = F.lower if name != tie and df.schema[name].dataType.typeName() == "string" else (lambda c: c)
+            c, v = fold(F.col(name)), fold(F.lit(last[name]).cast(df.schema[name].dataType))
+            beyond = F.lit(False) if last[name] is None else c.isNull() | ((c < v) if desc else (c > v))  # nulls come last
+            later, same = later | (same & F.coalesce(beyond, F.lit(False))), same & c.eqNullSafe(v)
+        df = df.where(later)
+    return ordered(df, *keys, tie=tie).limit(min(limit, cap))
+
+
+def page_cursors(df: DataFrame, *keys: tuple[str, bool], tie: str, limit: int = 20) -> DataFrame:
+    """page, and the keys and tie of each page's last row: what page_after() needs for the page behind it. One sort over ranges serves all pages."""
+    rows = placed(df.select(*dict.fromkeys([*[k for k, _ in keys], tie])), *keys, tie=tie)
+    return rows.where(F.col("place") % limit == 0).withColumn("page", (F.col("place") / limit).cast("long")).drop("place")
+
+
 def preview(rows: DataFrame, group: str, order: str, text: str, max_rows: int, max_bytes: int) -> DataFrame:
     """The first rows of each group within a row cap and a cumulative byte cap, and how many of the group were left out."""
     w = Window.partitionBy(group).orderBy(order)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -111,6 +113,92 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.when(size > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot / size))), F.lit(0.0))
 
 
+def embedded(rows: DataFrame, text: str, make: Callable[[], Callable[[list[str]], list]], name: str = "vector") -> DataFrame:
+    """rows with the vector of a text column. make() is called once a task, so that a model is loaded once, and gives what turns a list
+    of texts into as many vectors; the same text has to get the same vector. A null text has a null vector."""
+
+    @F.pandas_udf("array<double>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        embed = make()
+        for texts in batches:
+            told = texts[texts.notna()]
+            vectors = [np.asarray(v, float) for v in embed(told.tolist())] if len(told) else []
+            yield pd.Series(vectors, index=told.index, dtype=object).reindex(texts.index).where(texts.notna(), None)
+
+    return rows.withColumn(name, run(F.col(text)))
+
+
+def _unit_rows(vectors) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as rows of length 1, or 0 where there is none, filled up with zeros; and how many values each has."""
+    sizes = np.array([0 if v is None else len(v) for v in vectors], int)
+    out = np.zeros((len(sizes), max(sizes.max(initial=0), 1)))
+    for i, v in enumerate(vectors):
+        out[i, : sizes[i]] = 0 if v is None else v
+    norm = np.sqrt((out * out).sum(1))
+    return out / np.where(norm > 0, norm, 1)[:, None], sizes
+
+
+def _best_two(parts: tuple, concepts: tuple, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and rows of the two best concepts of each part (the earlier one of equals; -1 and -1 where there is none), block by block."""
+    (p, np_), (c, nc) = parts, concepts
+    wide = max(p.shape[1], c.shape[1])
+    p, c = (np.pad(x, ((0, 0), (0, wide - x.shape[1]))) for x in (p, c))
+    best, at = np.full((len(p), 2), -1.0), np.full((len(p), 2), -1)
+    lines = np.arange(len(p))
+    for lo in range(0, len(c), block):
+        s = np.where(np_[:, None] == nc[None, lo : lo + block], np.round(np.clip(p @ c[lo : lo + block].T, 0, 1), 9), 0.0)
+        for _ in range(2):
+            j = s.argmax(1)
+            both, where = np.column_stack([best, s[lines, j]]), np.column_stack([at, np.where(s[lines, j] < 0, -1, lo + j)])
+            order = np.argsort(-both, axis=1, kind="stable")[:, :2]
+            best, at = np.take_along_axis(both, order, 1), np.take_along_axis(where, order, 1)
+            s[lines, j] = -1
+    return best, at
+
+
+def _as_rows(frame: pd.DataFrame, concepts: tuple, names: np.ndarray, block: int) -> pd.DataFrame:
+    """The best two concepts of the parts of a frame, 4,096 parts at a time."""
+    some = [frame.iloc[lo : lo + 4096] for lo in range(0, len(frame), 4096)]
+    found = [_best_two(_unit_rows(f["vector"]), concepts, block) for f in some]
+    best, at = (np.concatenate([x[k] for x in found]).ravel() if found else np.zeros(0, int) for k in (0, 1))
+    there = at >= 0
+    return pd.DataFrame({"part": frame["part"].repeat(2)[there].reset_index(drop=True), "concept": names[at[there]], "score": best[there]})
+
+
+def best_by_vector(parts: DataFrame, concepts: DataFrame, max_bytes: int = 64 << 20, block: int = 1024) -> DataFrame:
+    """part, concept, score: the two concepts of the highest cosine for every part, for resolve_by_score(). parts: part (unique), vector;
+    concepts: concept (unique), vector. Cosines are clipped to 0..1 and rounded to 9 digits; equal ones go by concept. A null or zero
+    vector, and vectors of different lengths, have 0, as a pair without likeness has.
+
+    Products are taken block by block of concepts with a running best two, so no table of pairs is made. Up to max_bytes of vectors
+    (counted first) the concepts are one matrix in every task; beyond, they are dealt into blocks of that size, groups of parts meet
+    each block in a task of their own, and the best two of all blocks are merged."""
+    kind = f"part {parts.schema['part'].dataType.simpleString()}, concept {concepts.schema['concept'].dataType.simpleString()}, score double"
+    size = concepts.agg(F.coalesce(F.sum(F.coalesce(F.size("vector"), F.lit(0)) * 8 + 64), F.lit(0))).first()[0]
+    parts, concepts = parts.select("part", "vector"), concepts.select("concept", "vector")
+    if size <= max_bytes:
+        rows = sorted(concepts.collect(), key=lambda r: r.concept)  # at most max_bytes
+        names, matrix = np.array([r.concept for r in rows], object), _unit_rows([r.vector for r in rows])
+
+        def score(frames):
+            for f in frames:
+                yield _as_rows(f, matrix, names, block)
+
+        return parts.mapInPandas(score, kind)
+    blocks = -(-size // max_bytes)
+    groups = -(-parts.count() // 65536)
+    dealt = parts.select("*", F.pmod(F.xxhash64("part"), F.lit(groups)).alias("g"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
+    walls = concepts.select("*", F.pmod(F.xxhash64("concept"), F.lit(blocks)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"))
+
+    def meet(mine, wall):
+        wall = wall.sort_values("concept")
+        return _as_rows(mine, _unit_rows(wall["vector"]), wall["concept"].to_numpy(object), block)
+
+    near = dealt.groupBy("g", "b").cogroup(walls.groupBy("g", "b")).applyInPandas(meet, kind)
+    w = Window.partitionBy("part").orderBy(F.desc("score"), "concept")
+    return near.withColumn("__n", F.row_number().over(w)).where("__n <= 2").drop("__n")
+
+
 def currency_grade(superseded_by: Column, cadence: Column, modified: Column, issued: Column, coverage_end: Column, now) -> Column:
     """D superseded; null without a cadence, without an interval, or without a vintage; B when overdue by more than the
     interval and a quarter of it (90 days at most); else A."""

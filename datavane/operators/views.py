@@ -86,8 +86,14 @@ def refused(datasets: DataFrame, needed: Column) -> DataFrame:
 
 
 def surrogate_ids(rows: DataFrame, by: str, *order: str) -> DataFrame:
-    """rows with `id`, numbered from 1 in each group; the whole order has to be unique for a stable result."""
-    return rows.withColumn("id", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+    """rows with `id`, numbered from 1 in each group; the whole order has to be unique for a stable result.
+
+    Rows are placed over ranges of group and order, so a group with a third of all rows is many ranges; a row's number is its place after
+    the group's first. Only the first places are joined, a row for each group, so skew handling can split a large one. Rows of a
+    null group are numbered too; a column named id is replaced."""
+    ranked = filters.placed(rows.drop("id").withColumn("__key", F.struct(by, *order)), ("__key", False), tie=by)
+    starts = ranked.groupBy(F.col(by).alias("__by")).agg(F.min("place").alias("__first"))
+    return ranked.join(starts, F.col(by).eqNullSafe(F.col("__by"))).withColumn("id", F.col("place") - F.col("__first") + 1).drop("__key", "__by", "__first", "place")
 
 
 def per_unit(rows: DataFrame, columns: dict[str, float], digits: int = 6) -> DataFrame:

@@ -29,7 +29,7 @@ def query(name: str, sql: str | None = None):
 
 
 def queries():
-    from . import coverage, files, records  # noqa: F401  these register their own
+    from . import coverage, files, records, shapes  # noqa: F401  these register their own
 
     return dict(QUERIES)
 
@@ -373,6 +373,18 @@ def r7(t):
     return filters.page(filters.ordered(t("datasets").select("id", "title"), ("title", False), tie="id"), 10, 20)
 
 
+@query("R7_keyset_page", "SELECT p_partkey, p_type, p_size FROM part ORDER BY lower(p_type), p_size DESC NULLS LAST, p_partkey LIMIT 50 OFFSET 100")
+def r7_keyset(t):
+    keys, rows = (("p_type", False), ("p_size", True)), t("part").select("p_partkey", "p_type", "p_size")
+    last = filters.page_cursors(rows, *keys, tie="p_partkey", limit=50).where("page = 2").first()
+    return filters.page_after(rows, *keys, tie="p_partkey", last=last.asDict(), limit=50)
+
+
+@query("R7_page_cursors", "SELECT n // 50 AS page, p_type, p_size, p_partkey FROM (SELECT *, row_number() OVER (ORDER BY lower(p_type), p_size DESC NULLS LAST, p_partkey) AS n FROM part) WHERE n % 50 = 0")
+def r7_cursors(t):
+    return filters.page_cursors(t("part"), ("p_type", False), ("p_size", True), tie="p_partkey", limit=50)
+
+
 @query("R11_preview", """
     WITH s AS (SELECT *, row_number() OVER w AS n, sum(octet_length(encode(text))) OVER w AS bytes, count(*) OVER (PARTITION BY conv_id) AS a FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
     k AS (SELECT * FROM s WHERE n <= 4 AND bytes <= 600)
@@ -1032,6 +1044,34 @@ def m6(t):
     return e.join(c, "label").select("vec_id", F.round(meaning.cosine(F.col("embedding"), F.col("centre")), 4).alias("score"))
 
 
+@query("M6_block_similarity", """WITH c AS (SELECT CAST(label AS VARCHAR) AS concept, arg_min(embedding, vec_id) AS v FROM embeddings GROUP BY 1),
+    s AS (SELECT vec_id AS part, concept, round(greatest(0, least(1, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(v AS DOUBLE[])))), 9) AS score FROM embeddings, c),
+    r AS (SELECT *, row_number() OVER w AS n, lead(score) OVER w AS second, lead(concept) OVER w AS other FROM s WINDOW w AS (PARTITION BY part ORDER BY score DESC, concept)),
+    g AS (SELECT *, CASE WHEN score < 0.82 THEN 'below-threshold' WHEN round(score - second, 9) < 0.05 THEN 'near-tie:' || concept || '|' || other END AS gap FROM r WHERE n = 1)
+    SELECT part, CASE WHEN gap IS NULL THEN concept END AS concept, round(score, 4) AS score, gap FROM g""")
+def m6_blocks(t):
+    e = t("embeddings")
+    c = e.groupBy(F.col("label").cast("string").alias("concept")).agg(F.min_by("embedding", "vec_id").alias("vector"))
+    return meaning.resolve_by_score(meaning.best_by_vector(e.select(F.col("vec_id").alias("part"), F.col("embedding").alias("vector")), c), 0.82)
+
+
+def _letters():
+    """A small embedding: how often each letter occurs."""
+    return lambda texts: [[text.count(chr(97 + i)) for i in range(26)] for text in texts]
+
+
+@query("U2_embedded_resolution", """WITH q AS (SELECT part, lower(label || ' ' || coalesce(definition, '')) AS text FROM parts), c AS (SELECT p_name AS concept, lower(p_name || '. ' || min(p_type)) AS text FROM part GROUP BY 1),
+    a AS (SELECT part, [CAST(len(text) - len(replace(text, chr(CAST(97 + i AS INTEGER)), '')) AS DOUBLE) FOR i IN range(0, 26)] AS v FROM q), b AS (SELECT concept, [CAST(len(text) - len(replace(text, chr(CAST(97 + i AS INTEGER)), '')) AS DOUBLE) FOR i IN range(0, 26)] AS v FROM c),
+    s AS (SELECT part, concept, round(greatest(0, least(1, list_cosine_similarity(a.v, b.v))), 9) AS score FROM a, b),
+    r AS (SELECT *, row_number() OVER w AS n, lead(score) OVER w AS second, lead(concept) OVER w AS other FROM s WINDOW w AS (PARTITION BY part ORDER BY score DESC, concept)),
+    g AS (SELECT *, CASE WHEN score < 0.82 THEN 'below-threshold' WHEN round(score - second, 9) < 0.05 THEN 'near-tie:' || concept || '|' || other END AS gap FROM r WHERE n = 1)
+    SELECT part, CASE WHEN gap IS NULL THEN concept END AS concept, round(score, 4) AS score, gap FROM g""")
+def u2_embedded(t):
+    parts = t("parts").select("part", F.lower(F.concat("label", F.lit(" "), F.coalesce("definition", F.lit("")))).alias("text"))
+    concepts = _concepts(t).select("concept", F.lower(F.concat("pref_label", F.lit(". "), "definition")).alias("text"))
+    return meaning.resolve_by_score(meaning.best_by_vector(meaning.embedded(parts, "text", _letters), meaning.embedded(concepts, "text", _letters)), 0.82)
+
+
 @query("M8_currency", """
     WITH x AS (SELECT d.*, CASE cadence WHEN 'P1Y' THEN 365 WHEN 'P1M' THEN 30 WHEN 'P7D' THEN 7 END AS days, coalesce(modified, CASE WHEN t_end <= DATE '2003-06-01' THEN t_end END) AS seen FROM datasets d LEFT JOIN coverage c ON c.id = d.id)
     SELECT id, CASE WHEN superseded_by IS NOT NULL THEN 'D' WHEN days IS NULL OR seen IS NULL THEN NULL WHEN epoch(TIMESTAMP '2003-06-01 00:00:00') > epoch(seen) + days * 86400 + least(days * 86400 / 4, 90 * 86400) THEN 'B' ELSE 'A' END AS grade FROM x""")

@@ -446,3 +446,52 @@ def test_schema_pages_show_the_best_label(spark):
     got = {(r.request_id, r.part): (r.place, r.concept_label, r.unit_label, r.total, r.next_offset) for r in views.schema_pages(parts, terms, asked).collect()}
     assert {k for k in got} == {(7, "p1"), (7, "p2"), (7, "p3"), (8, "p3"), (8, "p4"), (9, "q")}
     assert got[7, "p1"] == (2, "y", "kV", 5, 4) and got[8, "p4"] == (5, "y", None, 5, None) and got[9, "q"] == (1, None, None, 1, None)
+
+
+def test_best_by_vector_against_brute_force(spark):
+    rng = random.Random(5)
+    vec = lambda: [rng.choice((-1.0, 0.0, 1.0, 2.0)) for _ in range(4)]
+    parts = [(i, vec()) for i in range(40)] + [(40, None), (41, [0.0] * 4), (42, [1.0, 2.0]), (43, [])]
+    concepts = [(f"c{i:02}", vec()) for i in range(25)] + [("d", None), ("e", [2.0, 4.0])]
+
+    def cosine(a, b):
+        na, nb = (math.sqrt(sum(x * x for x in v or [])) for v in (a, b))
+        return round(max(0.0, min(1.0, sum(x * y for x, y in zip(a, b, strict=True)) / (na * nb))), 9) if na and nb and len(a) == len(b) else 0.0
+
+    want = {(p, c, s) for p, v in parts for s, c in [(-s, c) for s, c in sorted((-cosine(v, w), c) for c, w in concepts)[:2]]}
+    a = spark.createDataFrame(parts, "part long, vector array<float>").withColumn("score", F.lit(9))
+    b = spark.createDataFrame(concepts, "concept string, vector array<float>").withColumn("g", F.lit(9))
+    for limit, block in ((1 << 20, 1024), (1 << 20, 7), (700, 3)):  # one matrix; blocks of it; blocks in tasks of their own
+        assert {(r.part, r.concept, round(r.score, 9)) for r in meaning.best_by_vector(a, b, limit, block).collect()} == want
+    assert meaning.best_by_vector(a, b.limit(0)).count() == 0 and meaning.best_by_vector(a.limit(0), b, 700).count() == 0
+    assert {r.part: r.score for r in meaning.best_by_vector(a, b.where("concept = 'e'")).collect()}[42] == 1.0
+
+
+def test_embedding_is_made_once_a_task_and_keeps_nulls(spark):
+    rows = spark.createDataFrame([(1, "ab"), (2, None), (3, "")], "id long, text string").coalesce(1)
+    got = {r.id: r.v for r in meaning.embedded(rows, "text", lambda: lambda texts: [[float(len(x)), 1.0] for x in texts], "v").collect()}
+    assert got == {1: [2.0, 1.0], 2: None, 3: [0.0, 1.0]}
+
+
+def test_keyset_pages_are_those_by_offset(spark):
+    rng = random.Random(3)
+    rows = spark.createDataFrame([(i, rng.choice(["a", "B", "b", None, "C"]), rng.choice([1, 2, None])) for i in range(57)], "id long, name string, size int").cache()
+    for keys in ((("name", False), ("size", True)), (("size", False),), (("size", True), ("name", True))):
+        want = [r.id for r in filters.ordered(rows, *keys, tie="id").collect()]
+        got, last = [], None
+        while page := filters.page_after(rows, *keys, tie="id", last=last, limit=10).collect():
+            got += [r.id for r in page]
+            last = page[-1].asDict()
+        assert got == want
+        cursors = {r.page: r.id for r in filters.page_cursors(rows, *keys, tie="id", limit=10).collect()}
+        assert cursors == {n + 1: want[10 * n + 9] for n in range(5)}
+    assert filters.page_after(rows.limit(0), ("name", False), tie="id", last={"name": None, "id": None}).count() == 0
+
+
+def test_surrogate_ids_of_a_large_group(spark):
+    rows = [(i, "hot" if i % 3 else None if i % 2 else f"k{i % 7}", -i) for i in range(500)]
+    got = views.surrogate_ids(spark.createDataFrame(rows, "key long, kind string, rank int").withColumn("id", F.lit("x")).repartition(5), "kind", "rank", "key").collect()
+    want = {}
+    for kind in {k for _, k, _ in rows}:
+        want |= {key: n + 1 for n, (_, key) in enumerate(sorted((rank, key) for key, k, rank in rows if k == kind))}
+    assert {r.key: r.id for r in got} == want and len(got) == 500
