@@ -197,7 +197,7 @@ def with_ranges(rows: DataFrame, keys: list[str], n: int) -> DataFrame:
     """rows with `bin`: the number of the range of the keys, in ascending order (nulls first), that a row falls into.
 
     Spark's own range partitioning of the keys alone gives the ranges' first keys, one row a range, which are written; a row
-    finds its range among them by a coarse and a fine look-up. No key reaches the driver or the plan."""
+    finds its range among them by a coarse and a fine look-up. These first keys pass the driver as literals of the plan, one a range."""
     lows = rows.select(*keys).repartitionByRange(n, *keys).groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct(*keys)).alias("lo"))
     every = saved(lows.select("lo"), "ranges").agg(F.array_sort(F.collect_list("lo")).alias("lows"))
     wide = max(1, round(n**0.5))

@@ -326,7 +326,7 @@ def _paired_tiles(rows: DataFrame, work, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, tile_bytes: int = 16 << 20, tile_rows: int = 64, pair_rows: int = 512, guests: int = 8, cap: int = 32) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs (doc_id, text), exactly.
+    """doc_id, n_shingles, component_id of every row of docs (doc_id, text), exactly. Ids are integers.
 
     Words are runs without white space, A-Z lower-cased; a set holds the distinct k-word shingles, or the whole sequence
     where there are fewer words; a shingle is a 64-bit hash that is finalised after every eight bytes and every word. Two
