@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import fixpoint, norm, shared
-from ..operators import changes, filters, graph, linkage, meaning, network, rollups, rules, search, views
+from ..operators import blocks, changes, filters, graph, linkage, meaning, network, rollups, rules, search, views
 from . import demo
 
 QUERIES = {}
@@ -432,12 +432,24 @@ def r2(t):
     return search.bm25(_index(t), _asked(t), t("documents").count()).withColumn("score", F.round("score", 5))
 
 
-@query("R4_search", _BM + "SELECT request_id, rank, id, round(score, 5) AS score FROM (SELECT request_id, id, score, row_number() OVER (PARTITION BY request_id ORDER BY round(score, 9) DESC, lower(source), id) AS rank FROM sc JOIN documents ON doc_id = id WHERE score > 0) WHERE rank <= 20")
+_TOP = _BM + "SELECT request_id, rank, id, round(score, 5) AS score FROM (SELECT request_id, id, score, row_number() OVER (PARTITION BY request_id ORDER BY round(score, 9) DESC, lower(source), id) AS rank FROM sc JOIN documents ON doc_id = id WHERE score > 0) WHERE rank <= 20"
+
+
+@query("R4_search", _TOP)
 def r4(t):
     scores = search.bm25(_index(t), _asked(t), t("documents").count())
     return search.top(scores, t("documents").select(F.col("doc_id").alias("id"), F.col("source").alias("title")), 20).withColumn("score", F.round("score", 5))
 
 
+@query("R4_block_search", _TOP)
+def r4b(t):
+    d = t("documents")
+    at = shared.folder(d.sparkSession, "blocks")
+    blocks.write(blocks.impacts(_index(t), d.count()), at)
+    found = blocks.scores(d.sparkSession.read.parquet(at), _asked(t), 20, save=shared.saved)
+    return search.top(found, d.select(F.col("doc_id").alias("id"), F.col("source").alias("title")), 20).withColumn("score", F.round("score", 5))
+
+
 _MATCHED = _BM + ", mt AS (SELECT sc.* FROM sc JOIN documents ON doc_id = id WHERE score > 0 AND lang <> 'de')"
 
 
