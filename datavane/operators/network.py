@@ -181,3 +181,35 @@ def dispatch_faults(units: DataFrame) -> DataFrame:
     """rule, idx of units (idx, p, pmin, pmax, status) outside their limits, or offline with output."""
     bad = F.array_compact(F.array(F.when((F.col("status") == 0) & (F.col("p") != 0), "offline-output"), F.when((F.col("status") == 1) & ~F.col("p").between(F.col("pmin"), F.col("pmax")), "dispatch-range")))
     return units.select(F.explode(bad).alias("rule"), "idx")
+
+
+#: How far a voltage or an output may pass its limits, a flow its rating, and the least and greatest plausible loss.
+LIMIT_SLACK, RATING_SLACK, LOSS = 1e-6, 1.0001, (0.0, 0.05)
+
+
+def operating_faults(buses: DataFrame, lines: DataFrame, units: DataFrame, loads: DataFrame, by: str = "system") -> DataFrame:
+    """system, rule, name, value: why an operating point can't be one.
+
+    voltage-range: buses (system, name, v, vmin, vmax) outside their limits; branch-rating: lines (system, name, p, q, rating) whose apparent power is over
+    their rating; dispatch-range: units (system, name, p, pmin, pmax, online, available) that run outside their limits; offline-output: units that
+    don't run but give power; unavailable: units that are off the books, as not to be run is not to be broken; loss: systems whose generation doesn't
+    cover the demand of loads (system, p) with a loss between the bounds, which aren't in it (name is null, value the loss; null without
+    demand). A value or limit that is null is a fault of its rule, as nothing shows that it holds. One pass over each table; only the sums of systems are joined."""
+    out = None
+    inside = lambda x, low, high: F.coalesce(F.col(x).between(F.col(low) - LIMIT_SLACK, F.col(high) + LIMIT_SLACK), F.lit(False))
+    apparent = F.sqrt(F.col("p") * F.col("p") + F.col("q") * F.col("q"))
+    on = F.coalesce(F.col("online"), F.lit(False))
+    checks = [
+        (buses, (("voltage-range", ~inside("v", "vmin", "vmax"), F.col("v")),)),
+        (lines, (("branch-rating", ~F.coalesce(apparent <= F.col("rating") * RATING_SLACK, F.lit(False)), apparent),)),
+        (units, (("dispatch-range", on & ~inside("p", "pmin", "pmax"), F.col("p")), ("offline-output", ~on & ~F.coalesce(F.col("p") == 0, F.lit(False)), F.col("p")), ("unavailable", ~F.coalesce(F.col("available"), F.lit(False)), F.col("p")))),
+    ]
+    for table, rules in checks:
+        bad = F.array_compact(F.array(*[F.when(b, F.struct(F.lit(r).alias("rule"), F.col("name"), v.cast("double").alias("value"))) for r, b, v in rules]))
+        one = table.select(by, F.inline(bad))
+        out = one if out is None else out.unionByName(one)
+    made, used = units.groupBy(by).agg(F.sum("p").alias("made")), loads.groupBy(by).agg(F.sum("p").alias("used"))
+    loss = ((F.coalesce("made", F.lit(0.0)) - F.col("used")) / F.nullif(F.col("used"), F.lit(0.0))).cast("double")
+    sums = made.join(used, by, "full_outer").withColumn("value", loss)
+    fine = (F.col("value") > LOSS[0]) & (F.col("value") < LOSS[1])
+    return out.unionByName(sums.where(~F.coalesce(fine, F.lit(False))).select(by, F.lit("loss").alias("rule"), F.lit(None).cast(out.schema["name"].dataType).alias("name"), "value"))

@@ -29,7 +29,7 @@ def query(name: str, sql: str | None = None):
 
 
 def queries():
-    from . import coverage, files, records, shapes  # noqa: F401  these register their own
+    from . import coverage, files, records, reports, shapes  # noqa: F401  these register their own
 
     return dict(QUERIES)
 

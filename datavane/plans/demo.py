@@ -62,6 +62,19 @@ VIEWS = {
             CASE WHEN p_size % 5 = 0 THEN 'string' ELSE 'double' END AS data_type, p_size % 9 = 0 AS has_codes, p_size % 6 = 0 AS is_geometry,
             CASE WHEN p_size % 12 = 0 THEN 'point' END AS geometry_type, CASE WHEN p_size % 24 = 0 THEN 'EPSG:4326' END AS crs,
             CASE p_size % 8 WHEN 0 THEN 'measured' WHEN 1 THEN 'modeled' WHEN 2 THEN 'guess' WHEN 3 THEN NULL ELSE 'observed' END AS value_basis FROM part""",
+    "runs": """
+        SELECT user_id AS source, event_id AS run_id, ts AS started_at, CASE event_type WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'running' ELSE 'succeeded' END AS state,
+            CASE WHEN event_id % 3 = 0 THEN 'page' || CAST(event_id AS VARCHAR(20)) END AS checkpoint, event_id % 50 AS seen, event_id % 20 AS accepted, event_id % 7 AS rejected, event_id % 5 AS updated,
+            event_id % 11 AS unchanged, event_id % 3 AS flagged, CASE WHEN event_type = 'error' THEN 1 + event_id % 4 ELSE 0 END AS errors FROM events""",
+    "gap_register": """
+        SELECT p_partkey AS gap, CASE p_size % 7 WHEN 0 THEN 'SPACE' WHEN 1 THEN NULL WHEN 2 THEN 'OCEANS' ELSE r_name END AS data_domain, p_name AS title, DATE '2003-01-01' + CAST(p_partkey % 400 AS INT) AS review_after
+        FROM part JOIN region ON r_regionkey = p_size % 5""",
+    "thermal_units": """
+        SELECT p_type AS system, p_partkey AS name, CASE WHEN p_size % 3 = 0 AND p_size % 4 <> 0 THEN 0.0E0 WHEN p_size % 23 = 5 THEN NULL ELSE CAST(p_size AS DOUBLE) END AS p, 4.0E0 AS pmin, CASE WHEN p_size % 19 = 0 THEN NULL ELSE 45.0E0 END AS pmax,
+            p_size % 3 <> 0 AS online, CASE WHEN p_size % 17 = 0 THEN false WHEN p_size % 29 = 0 THEN NULL ELSE true END AS available FROM part""",
+    "power_loads": "SELECT p_type AS system, p_partkey AS name, CASE p_type WHEN 'PROMO' THEN 40.0E0 WHEN 'STANDARD' THEN 0.0E0 ELSE p_size * 0.66E0 END AS p FROM part WHERE p_type <> 'ECONOMY'",
+    "bus_state": "SELECT p_type AS system, p_partkey AS name, CASE WHEN p_size % 16 = 0 THEN NULL ELSE 0.9E0 + p_size * 0.004E0 END AS v, 0.92E0 AS vmin, 1.08E0 AS vmax FROM part",
+    "line_flows": "SELECT o_orderstatus AS system, o_orderkey AS name, CAST(o_orderkey % 30 AS DOUBLE) AS p, CAST(o_custkey % 40 AS DOUBLE) AS q, CASE WHEN o_orderkey % 31 = 0 THEN NULL ELSE 40.0E0 END AS rating FROM orders",
 }
 
 
