@@ -120,9 +120,11 @@ def license_to_spdx(text: Column) -> Column:
 
 
 def resolve_license(rows: DataFrame, known: DataFrame, raw: str = "license") -> DataFrame:
-    """Add license_id, license_note, redistribution_allowed. known: raw text, id, note, redistribution (a small reviewed map).
-    Missing: Unstated; not in the map: Unreviewed-<slug>; both forbid redistribution."""
-    k = known.select(F.col("raw").alias("__raw"), F.col("id").alias("__id"), F.col("note").alias("__note"), F.col("redistribution").alias("__r"))
+    """Add license_id, license_note, redistribution_allowed, commercial_use_allowed, share_alike. known: raw text, id, note, redistribution, and
+    commercial and share_alike if the map states them (a small reviewed map, also of dual licences). Missing: Unstated; not in the
+    map: Unreviewed-<slug>; both forbid redistribution and say nothing of the rest."""
+    more = {c: F.col(c) if c in known.columns else F.lit(None).cast("boolean") for c in ("commercial", "share_alike")}
+    k = known.select(F.col("raw").alias("__raw"), F.col("id").alias("__id"), F.col("note").alias("__note"), F.col("redistribution").alias("__r"), *[x.alias(f"__{c}") for c, x in more.items()])
     t = F.trim(F.col(raw))
     out = rows.join(F.broadcast(k), t == F.col("__raw"), "left")  # the map is a reviewed file of some hundred rows
     missing = t.isNull() | (t == "")
@@ -131,6 +133,8 @@ def resolve_license(rows: DataFrame, known: DataFrame, raw: str = "license") ->
         F.when(missing, "LicenseRef-Unstated").otherwise(F.coalesce("__id", F.concat(F.lit("LicenseRef-Unreviewed-"), slugify(t, 40)))).alias("license_id"),
         F.when(missing, "unstated").otherwise(F.coalesce("__note", F.when(F.col("__id").isNull(), F.lit("unreviewed")))).alias("license_note"),
         F.when(missing | F.col("__id").isNull(), F.lit(False)).otherwise(F.col("__r")).alias("redistribution_allowed"),
+        F.col("__commercial").alias("commercial_use_allowed"),
+        F.col("__share_alike").alias("share_alike"),
     )
 
 

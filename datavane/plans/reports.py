@@ -6,7 +6,7 @@ from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
-from ..operators import filters, network, reports
+from ..operators import filters, network, reports, seed
 from ..sources import loaders
 from . import catalog
 from .catalog import query
@@ -190,3 +190,43 @@ def a8(t):
     SELECT system, rule, name, round(value, 6) AS value FROM f""")
 def v12(t):
     return network.operating_faults(t("bus_state"), t("line_flows"), t("thermal_units"), t("power_loads")).withColumn("value", F.round("value", 6))
+
+
+_SEED = """
+    SELECT CASE WHEN p_size % 31 = 30 THEN '' ELSE p_name || ' ' || p_partkey END AS name, CASE WHEN p_size % 9 = 0 THEN 'own-' || p_partkey END AS slug, p_brand AS domain, CASE WHEN p_size % 4 > 0 THEN p_type END AS domain_name, p_size % 5 < 3 AS verified, CAST(CASE p_size % 6 WHEN 0 THEN 3 WHEN 1 THEN 1 END AS INT) AS tier,
+        CASE WHEN p_size % 3 = 1 THEN '  two   words ' WHEN p_size % 3 = 2 THEN ' ' END AS note, CASE WHEN p_size % 8 = 5 THEN 'for a reason' END AS pointer_rationale, CASE WHEN p_size % 5 > 1 THEN 'https://d.example.org/' || p_partkey WHEN p_size % 5 = 1 THEN '' END AS access,
+        CASE WHEN p_size % 7 > 3 THEN 'CSV' END AS format, p_size % 2 = 0 AS bulk, CASE WHEN p_size % 4 = 0 THEN true WHEN p_size % 4 = 1 THEN false END AS anonymous, CASE p_size % 10 WHEN 3 THEN 'restricted' WHEN 4 THEN 'fragmented' END AS access_barrier, CASE WHEN p_size % 11 = 2 THEN 'https://api.example.org' END AS api, CASE WHEN p_size % 7 = 2 THEN 'https://b.example.org' END AS secondary_access,
+        CASE WHEN p_type = 'PROMO' THEN NULL ELSE p_type END AS license, CASE p_size % 4 WHEN 0 THEN 'doi:10.1/' || p_partkey WHEN 1 THEN 'https://doi.org/10.2/x' WHEN 2 THEN '10.3/y' END AS doi, CASE p_size % 7 WHEN 0 THEN 'Annual' WHEN 1 THEN 'P1M' WHEN 2 THEN 'PT15M' WHEN 3 THEN 'no further support planned' WHEN 4 THEN 'p1m' WHEN 5 THEN 'often' END AS update_frequency,
+        CASE p_size % 3 WHEN 0 THEN '2016' WHEN 1 THEN '2019-04' END AS last_update, CASE p_size % 12 WHEN 0 THEN 'nodal' WHEN 1 THEN 'village' WHEN 2 THEN '' END AS spatial_granularity, CASE WHEN p_size % 16 > 0 THEN 'because' END AS curator_note FROM part"""
+
+
+@query("N14_records", f"""
+    WITH s AS ({_SEED}), a AS (SELECT * REPLACE (nullif(trim(regexp_replace(note, '\\s+', ' ', 'g')), '') AS note, nullif(access, '') AS access, nullif(spatial_granularity, '') AS spatial_granularity),
+            CASE WHEN regexp_matches(update_frequency, '^P(T?[0-9]+[YMWDHS])+$') THEN update_frequency ELSE CASE lower(update_frequency) WHEN 'annual' THEN 'P1Y' WHEN 'no further support planned' THEN 'discontinued' END END AS cadence,
+            coalesce(slug, trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-')) AS sl, coalesce(tier = 3, false) AS ref FROM s WHERE name <> '' AND coalesce(spatial_granularity, '') <> 'village'),
+    b AS (SELECT *, anonymous IS NULL AND coalesce(cadence, '') <> 'discontinued' AND coalesce(access_barrier, '') <> 'restricted' AS assumed, coalesce(api, secondary_access) AS second FROM a)
+    SELECT 'https://c.example.org/' || sl AS id, name AS title, name || ', a ' || coalesce(domain_name, 'grid') || ' dataset' || coalesce(', published as ' || format, '') || coalesce(', available at ' || access, '') || '.' || coalesce(' ' || note, '') || coalesce(' ' || pointer_rationale, '') || CASE WHEN verified THEN '' ELSE ' Licence and access have not been reviewed.' END AS description,
+        CASE WHEN ref OR note IS NULL THEN 'none' ELSE 'partial' END AS documentation_status, CASE WHEN verified THEN 'confirmed' ELSE 'draft' END AS review_state, CASE last_update WHEN '2016' THEN TIMESTAMP '2016-01-01' WHEN '2019-04' THEN TIMESTAMP '2019-04-01' END AS modified, cadence AS update_cadence, spatial_granularity, ref AS reference_only,
+        coalesce(pointer_rationale, CASE WHEN access IS NULL THEN coalesce('No access path is recorded; the inventory names this barrier: ' || access_barrier || '.', 'No access path is recorded, and no reason for it.') END) AS pointer_rationale,
+        CASE WHEN doi LIKE 'http%' THEN doi ELSE 'https://doi.org/' || replace(doi, 'doi:', '') END AS persistent_id, CASE WHEN license IS NULL THEN 'LicenseRef-Unstated' WHEN license = 'ECONOMY' THEN 'MIT' WHEN license = 'STANDARD' THEN 'LicenseRef-Open' ELSE 'LicenseRef-Unreviewed-' || lower(license) END AS license_id,
+        CASE license WHEN 'STANDARD' THEN true WHEN 'ECONOMY' THEN NULL ELSE false END AS redistribution_allowed, CASE WHEN license = 'STANDARD' THEN false END AS commercial_use_allowed, CASE WHEN license = 'STANDARD' THEN true END AS share_alike,
+        CASE WHEN access_barrier = 'restricted' THEN 'ceii' WHEN cadence = 'discontinued' THEN 'discontinued' WHEN anonymous THEN 'none' ELSE 'accountRequired' END AS restriction, coalesce(anonymous, false) AS anonymous_access,
+        CASE WHEN access IS NULL AND second IS NULL THEN NULL ELSE concat_ws('|', 'primary ' || access || ' ' || coalesce(format, '?'), 'secondary ' || second || ' ' || CASE WHEN api IS NOT NULL THEN 'API' ELSE '?' END) END AS distributions,
+        concat_ws('|', CASE WHEN NOT verified THEN 'Not reviewed: the licence and the tier are a first guess.' END, 'There is a barrier (' || access_barrier || '): listed so that it can be found, not because it can be had.', CASE WHEN assumed THEN 'Access has not been checked: an account is assumed.' END,
+            CASE WHEN NOT ref AND note IS NULL THEN 'The inventory has nothing on documentation; that it is said to have none is no finding.' END, CASE WHEN ref THEN 'For reference only: without fields and links.' END) AS caveats FROM b""")
+def n14(t):
+    p = t("part")
+    rows = p.sparkSession.sql(_SEED.replace("FROM part", "FROM {part}"), part=p)
+    known = p.sparkSession.createDataFrame([("ECONOMY", "MIT", None, None, None, None), ("STANDARD", "LicenseRef-Open", "terms", True, False, True)], "raw string, id string, note string, redistribution boolean, commercial boolean, share_alike boolean")
+    r = seed.records(rows, known, "https://c.example.org/")[0]
+    ways = F.array_join(F.transform("distributions", lambda x: F.concat_ws(" ", x["kind"], x["access_url"], F.coalesce(x["format_label"], F.lit("?")))), "|")
+    r = r.withColumns({"distributions": ways, "caveats": F.array_join("caveats", "|")})
+    return r.select("id", "title", "description", "documentation_status", "review_state", "modified", "update_cadence", "spatial_granularity", "reference_only", "pointer_rationale", "persistent_id", "license_id", "redistribution_allowed", "commercial_use_allowed", "share_alike", "restriction", "anonymous_access", "distributions", "caveats")
+
+
+@query("N14_rejected", f"WITH s AS ({_SEED}) SELECT name AS title, CASE WHEN name = '' THEN 'no-name' ELSE 'granularity:' || spatial_granularity END AS problem FROM s WHERE name = '' OR spatial_granularity = 'village'")
+def n14_rejected(t):
+    p = t("part")
+    rows = p.sparkSession.sql(_SEED.replace("FROM part", "FROM {part}"), part=p)
+    known = p.sparkSession.createDataFrame([], "raw string, id string, note string, redistribution boolean")
+    return seed.records(rows, known, "https://c.example.org/")[1].select("title", "problem")

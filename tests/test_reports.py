@@ -2,7 +2,7 @@
 
 from datetime import date, datetime
 
-from datavane.operators import network, reports, rules
+from datavane.operators import network, reports, rules, seed
 from pyspark.sql import functions as F
 
 
@@ -93,3 +93,25 @@ def test_status_says_whether_entailments_are_current(spark):
     got = dict(rows(reports.status_report(d, d, e, q, h("x"), h("x"), F.col("done"))))
     assert got == {"catalog_records": 1, "draft_records": 1, "indexed_documents": 2, "projector_lag_s": 7, "queue_draft": 1, "queue_confirmed": 1, "entailments_current": 1}
     assert dict(rows(reports.status_report(d, d, e.limit(0), q, h(), h("x"), F.col("done"))))["entailments_current"] == 0
+
+
+def test_seed_records_say_what_the_row_says(spark):
+    known = spark.createDataFrame([("CC BY + MIT", "LicenseRef-Dual", "either", True, True, False)], "raw string, id string, note string, redistribution boolean, commercial boolean, share_alike boolean")
+    rows = spark.createDataFrame(
+        [("Grid  A", True, None, "CC BY + MIT", "https://a.example.org", None, ["x", "http://y/z"], "for curators"), ("B", None, 3, None, None, "fragmented", None, None), (None, True, None, None, None, None, None, None), ("B", None, 3, None, None, "fragmented", None, None)],
+        "name string, verified boolean, tier int, license string, access string, access_barrier string, derived_from array<string>, curator_note string",
+    )
+    out, bad = seed.records(rows, known, "c:")
+    got = {r.title: r for r in out.collect()}
+    assert out.count() == 3 and [r.problem for r in bad.collect()] == ["no-name"] and "curator_note" not in out.columns
+    a, b = got["Grid  A"], got["B"]
+    assert (a.id, a.license_id, a.commercial_use_allowed, a.share_alike, a.derived_from, a.pointer_rationale) == ("c:grid-a", "LicenseRef-Dual", True, False, ["c:x", "http://y/z"], None)
+    assert [(d.kind, d.access_url, d.bulk) for d in a.distributions] == [("primary", "https://a.example.org", None)] and len(a.caveats) == 2
+    assert b.distributions is None and b.reference_only and b.review_state == "draft" and "fragmented" in b.pointer_rationale and len(b.caveats) == 4
+    assert seed.records(rows.limit(0), known, "c:")[0].count() == 0
+    assert seed.records(rows, known, "c:", {**seed.TEXTS, "no-reason": "-"})[0].count() == 3
+
+
+def test_stated_cadence_reads_durations_as_written(spark):
+    d = spark.createDataFrame([(x,) for x in ("P1M", "p1m", "PT1M", "Annual", " monthly ", "P", "often", "", None, "P1YT2H")], "t string")
+    assert [r[0] for r in d.select(seed.stated_cadence(F.col("t"))).collect()] == ["P1M", None, "PT1M", "P1Y", "P1M", None, None, None, None, "P1YT2H"]
