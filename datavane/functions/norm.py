@@ -208,7 +208,7 @@ def publisher_key(url: Column, platforms: tuple[str, ...] = ()) -> Column:
     return F.when(site.isin(*platforms) & (first != ""), F.concat(site, F.lit("/"), first)).otherwise(F.when(site != "", site)) if platforms else F.when(site != "", site)
 
 def to_natural(value: Column, units: Column, base: Column) -> Column:
-    return F.when(units == "NATURAL", value).when(units == "COMPONENT_BASE", value * base)
+    return F.when(units.isin("NATURAL", "NATURAL_UNITS"), value).when(units == "COMPONENT_BASE", value * base)
 
 
 def unit_factor(kind_a: Column, mult_a: Column, off_a: Column, kind_b: Column, mult_b: Column, off_b: Column) -> Column:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from ..operators import seed
+
 RECORD = "id string, type string, title string, description string, license string, dataDomain array<string>, completenessLevel int, reviewState string, distribution array<struct<id string, accessURL string, mediaType string, byteSize long>>, hasField array<struct<id string, name string, label string, unit string, definition string>>, _bad string"
 #: Where each harvest source keeps its list of records, and its id.
 PAYLOADS = {"ckan": ("result.results", "id"), "zenodo": ("hits.hits", "id"), "stac": ("collections", "id"), "datacite": ("data", "id"), "dcat": ("results.bindings", "dataset.value")}
@@ -26,9 +28,9 @@ def load_records(spark: SparkSession, glob: str) -> dict[str, DataFrame]:
 
 
 def load_seed(spark: SparkSession, path: str) -> DataFrame:
-    """domain, domain_name, n and the row's own columns from {domain: {name, datasets: [...]}} JSON."""
-    row = "struct<name: string, slug: string, license: string, tier: int, verified: boolean, access: string, format: string>"
-    d = spark.read.schema(f"domains map<string, struct<name: string, datasets: array<{row}>>>").option("multiLine", True).json(path)
+    """domain, domain_name, n and the columns of seed.ROW from {domain: {name, datasets: [...]}} JSON; other keys of a row are not read."""
+    row = ", ".join(f"`{c}`: {t}" for c, t in seed.ROW.items() if c not in ("domain", "domain_name"))
+    d = spark.read.schema(f"domains map<string, struct<name: string, datasets: array<struct<{row}>>>>").option("multiLine", True).json(path)
     each = d.select(F.explode("domains").alias("domain", "v")).select("domain", F.col("v.name").alias("domain_name"), F.posexplode("v.datasets").alias("n", "r"))
     return each.select("domain", "domain_name", "n", "r.*")
 
@@ -69,8 +71,8 @@ def load_network(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 
 def schema_fields(files: DataFrame) -> DataFrame:
-    """path, field, type for metadata files (path, text): consolidated array metadata, table descriptors, cube descriptions or CSV
-    headers; coordinate arrays are left out."""
+    """path, field, type for metadata files (path, text): consolidated array metadata, the first table of a package, or CSV headers; some
+    coordinate arrays are left out. documents.probed_fields() reads these and cubes, with labels and units."""
     zarr = files.where(F.get_json_object("text", "$.metadata").isNotNull()).select("path", F.explode(F.from_json(F.get_json_object("text", "$.metadata"), "map<string,string>")).alias("k", "v")).where(F.endswith(F.col("k"), F.lit("/.zarray"))).select("path", F.regexp_replace("k", "/\\.zarray$", "").alias("field"), F.get_json_object("v", "$.dtype").alias("type"))
     zarr = zarr.where(~F.col("field").isin("time", "lat", "lon", "latitude", "longitude", "x", "y"))
     pack = files.where(F.get_json_object("text", "$.resources").isNotNull()).select("path", F.inline(F.from_json(F.get_json_object("text", "$.resources[0].schema.fields"), "array<struct<name string, type string>>"))).select("path", F.col("name").alias("field"), "type")
