@@ -6,7 +6,7 @@ from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
-from ..operators import filters, network, reports, seed
+from ..operators import document, filters, network, reports, seed
 from ..sources import loaders
 from . import catalog
 from .catalog import query
@@ -230,3 +230,43 @@ def n14_rejected(t):
     rows = p.sparkSession.sql(_SEED.replace("FROM part", "FROM {part}"), part=p)
     known = p.sparkSession.createDataFrame([], "raw string, id string, note string, redistribution boolean")
     return seed.records(rows, known, "https://c.example.org/")[1].select("title", "problem")
+
+
+_DOC = """
+    WITH d AS (SELECT id, title, level, CASE WHEN id % 4 > 0 THEN 'none' END AS restriction, CASE WHEN id % 3 > 0 THEN id % 3 = 1 END AS bulk, CAST(NULL AS BOOLEAN) AS reference_only, CAST(id % 4 AS INT) AS tier, CASE WHEN review_state <> 'draft' THEN review_state END AS review_state FROM datasets),
+    f AS (SELECT id, part, CASE WHEN part % 5 > 0 THEN 'c/' || label END AS concept FROM parts), l AS (SELECT 'c/' || p_name AS iri, min(p_name || '!') AS label FROM part WHERE p_size % 3 = 0 GROUP BY 1),
+    up AS (SELECT DISTINCT 'c/' || p_name AS node, 'b/' || p_type AS ancestor FROM part),
+    x AS (SELECT dataset_id AS id, distribution_id, media_type, CASE WHEN distribution_id % 3 = 0 THEN 'own' END AS restriction, bulk, sliceable AS ranges, protocol, CASE WHEN distribution_id % 7 > 0 THEN health END AS health FROM distributions),
+    g AS (SELECT id, 'provenance' AS facet, 'A' AS grade FROM datasets WHERE id % 5 > 0 UNION ALL SELECT id, 'documentation', 'C' FROM datasets WHERE id % 7 > 0 UNION ALL SELECT id, 'currency', 'B' FROM datasets WHERE id % 2 > 0)"""
+
+
+@query("J1_whole_document", _DOC + """,
+    cs AS (SELECT id, string_agg(lb, '|' ORDER BY lb, concept) AS concepts FROM (SELECT DISTINCT id, concept, coalesce(label, substr(concept, 3)) AS lb FROM f LEFT JOIN l ON l.iri = f.concept WHERE concept IS NOT NULL) GROUP BY 1),
+    ex AS (SELECT id, string_agg(i, '|' ORDER BY i) AS expanded FROM (SELECT id, concept AS i FROM f WHERE concept IS NOT NULL UNION SELECT id, ancestor FROM f JOIN up ON node = concept) GROUP BY 1),
+    fc AS (SELECT id, count(*) AS n FROM f GROUP BY 1), an AS (SELECT id, string_agg(member, '|' ORDER BY member) AS a FROM analysis_of GROUP BY 1),
+    px AS (SELECT x.id, count(*) AS n, string_agg(DISTINCT media_type, '|' ORDER BY media_type) AS formats, string_agg(DISTINCT protocol, '|' ORDER BY protocol) AS protocols, bool_or(ranges) AS r, bool_or(x.bulk) AS b, min(CASE health WHEN 'unreachable' THEN 0 WHEN 'degraded' THEN 1 WHEN 'redirected' THEN 2 WHEN 'verified' THEN 3 END) AS h,
+        bool_and(coalesce(health = 'unreachable', false)) AS dead, string_agg(coalesce(x.restriction, d.restriction, '?'), '|' ORDER BY distribution_id) AS rs FROM x JOIN d ON d.id = x.id GROUP BY 1),
+    gr AS (SELECT id, max(grade) FILTER (facet = 'provenance') AS p, max(grade) FILTER (facet = 'documentation') AS o, max(grade) FILTER (facet = 'currency') AS c FROM g GROUP BY 1),
+    us AS (SELECT child AS id, count(DISTINCT parent) AS n FROM derivations GROUP BY 1), ib AS (SELECT target AS id, count(DISTINCT source) AS n FROM referrers GROUP BY 1), en AS (SELECT dataset_id AS id, string_agg(DISTINCT principal_id, '|' ORDER BY principal_id) AS e FROM grants GROUP BY 1)
+    SELECT d.id, d.title, coalesce(concepts, '') AS concepts, coalesce(expanded, '') AS expanded, coalesce(a, '') AS analyses, coalesce(fc.n, 0) AS field_count, CASE WHEN fc.n IS NULL THEN 'none' WHEN fc.n < 10 THEN '1-9' WHEN fc.n < 50 THEN '10-49' ELSE '50+' END AS field_count_bucket,
+        coalesce(px.n, 0) AS distribution_count, coalesce(formats, '') AS formats, coalesce(protocols, '') AS protocols, coalesce(rs, '') AS restrictions, coalesce(r, false) AS has_range_requests, CASE WHEN b THEN true ELSE d.bulk END AS bulk_download, CASE h WHEN 0 THEN 'unreachable' WHEN 1 THEN 'degraded' WHEN 2 THEN 'redirected' WHEN 3 THEN 'verified' END AS worst_link_health, coalesce(dead, false) AS all_unreachable,
+        coalesce(level >= 2 AND p IS NOT NULL AND o IS NOT NULL, false) AS quality_assessed, CASE WHEN level >= 2 AND o IS NOT NULL THEN p END AS provenance, CASE WHEN level >= 2 AND p IS NOT NULL THEN o END AS documentation, c AS currency, coalesce(us.n, 0) AS upstream_count, coalesce(ib.n, 0) AS inbound_link_count, coalesce(e, '') AS principals, tier = 3 AS reference_only, coalesce(review_state, 'draft') AS review_state
+    FROM d LEFT JOIN cs ON cs.id = d.id LEFT JOIN ex ON ex.id = d.id LEFT JOIN fc ON fc.id = d.id LEFT JOIN an ON an.id = d.id LEFT JOIN px ON px.id = d.id LEFT JOIN gr ON gr.id = d.id LEFT JOIN us ON us.id = d.id LEFT JOIN ib ON ib.id = d.id LEFT JOIN en ON en.id = d.id""")
+def j1(t):
+    d, k, p = t("datasets"), F.col("id") % 4, t("part")
+    s = d.select("id", "title", "level", F.when(k > 0, "none").alias("restriction"), F.when(F.col("id") % 3 > 0, F.col("id") % 3 == 1).alias("bulk"), F.lit(None).cast("boolean").alias("reference_only"), k.cast("int").alias("tier"), F.when(F.col("review_state") != "draft", F.col("review_state")).alias("review_state"))
+    fields = t("parts").select("id", "part", F.when(F.col("part") % 5 > 0, F.concat(F.lit("c/"), "label")).alias("concept"))
+    iri = F.concat(F.lit("c/"), "p_name")
+    labels = p.where("p_size % 3 = 0").select(iri.alias("iri"), F.concat("p_name", F.lit("!")).alias("label"), F.lit(None).cast("string").alias("notation"))
+    closure = p.select(iri.alias("node"), F.concat(F.lit("b/"), "p_type").alias("ancestor")).distinct()
+    paths = t("distributions").select(F.col("dataset_id").alias("id"), "distribution_id", "media_type", F.when(F.col("distribution_id") % 3 == 0, "own").alias("restriction"), "bulk", F.col("sliceable").alias("ranges"), "protocol", F.when(F.col("distribution_id") % 7 > 0, F.col("health")).alias("health"))
+    grade = lambda f, g, m: d.where(F.col("id") % m > 0).select("id", F.lit(f).alias("facet"), F.lit(g).alias("grade"))
+    grades = grade("provenance", "A", 5).union(grade("documentation", "C", 7)).union(grade("currency", "B", 2))
+    refs = t("analysis_of").select("id", F.lit("supported_analysis").alias("kind"), F.col("member").alias("iri"))
+    up = t("derivations").select(F.col("child").alias("id"), F.col("parent").alias("target"))
+    out = document.whole_documents(s, fields, refs, labels, closure, paths, grades, up, reports.inbound_links(t("referrers")), t("grants").select(F.col("dataset_id").alias("id"), F.col("principal_id").alias("principal")))
+    text = lambda c, f=None: F.array_join(F.transform(c, lambda x: F.coalesce(x[f], F.lit("?"))) if f else F.col(c), "|")
+    return out.select(
+        "id", "title", text("concepts", "label").alias("concepts"), text("concept_iris_expanded").alias("expanded"), text("supported_analysis", "iri").alias("analyses"), "field_count", "field_count_bucket", "distribution_count", text("formats").alias("formats"), text("protocols").alias("protocols"),
+        text("distributions", "restriction").alias("restrictions"), "has_range_requests", "bulk_download", "worst_link_health", "all_unreachable", "quality_assessed", "provenance", "documentation", "currency", "upstream_count", "inbound_link_count", text("entitled_principals").alias("principals"), "reference_only", "review_state",
+    )

@@ -2,7 +2,7 @@
 
 from datetime import date, datetime
 
-from datavane.operators import network, reports, rules, seed
+from datavane.operators import document, network, reports, rules, seed
 from pyspark.sql import functions as F
 
 
@@ -115,3 +115,22 @@ def test_seed_records_say_what_the_row_says(spark):
 def test_stated_cadence_reads_durations_as_written(spark):
     d = spark.createDataFrame([(x,) for x in ("P1M", "p1m", "PT1M", "Annual", " monthly ", "P", "often", "", None, "P1YT2H")], "t string")
     assert [r[0] for r in d.select(seed.stated_cadence(F.col("t"))).collect()] == ["P1M", None, "PT1M", "P1Y", "P1M", None, None, None, None, "P1YT2H"]
+
+
+def test_documents_of_records_without_children(spark):
+    d = spark.createDataFrame([(1, "a", 2, None, None, None, 3, None), (2, "b", None, "none", False, True, None, "confirmed")], "id long, title string, level int, restriction string, bulk boolean, reference_only boolean, tier int, review_state string")
+    t = lambda rows, schema: spark.createDataFrame(rows, schema)
+    fields = t([(1, "p", "v/x"), (1, "q", "v/x"), (1, "r", None), (9, "s", "v/x")], "id long, part string, concept string")
+    refs = t([(1, "data_domains", "v/d2"), (1, "data_domains", "v/d1"), (1, "data_domains", "v/d1")], "id long, kind string, iri string")
+    labels = t([("v/x", "Ex", "1"), ("v/x", "Ey", "2"), ("v/d2", "Two", None)], "iri string, label string, notation string")
+    paths = t([(1, "z", "csv", None, None, None, None, "verified"), (1, "a", None, "own", True, True, "opendap", None)], "id long, distribution_id string, media_type string, restriction string, bulk boolean, ranges boolean, protocol string, health string")
+    grades = t([(1, "provenance", "A"), (2, "provenance", "A"), (2, "documentation", "B"), (2, "currency", "C")], "id long, facet string, grade string")
+    pair = "id long, target long"
+    args = (t([("v/x", "v/top")], "node string, ancestor string"), paths, grades, t([(1, 5), (1, 5)], pair), t([(2, 4)], "id long, inbound long"), t([], "id long, principal string"))
+    got = {r.id: r for r in document.whole_documents(d, fields, refs, labels, *args).collect()}
+    a, b = got[1], got[2]
+    assert set(got) == {1, 2} and [tuple(c) for c in a.concepts] == [("v/x", "Ex", "1")] and a.concept_iris_expanded == ["v/top", "v/x"] and [c.label for c in a.data_domains] == ["d1", "Two"]
+    assert (a.field_count, a.distribution_count, [x.distribution_id for x in a.distributions], a.worst_link_health, a.all_unreachable, a.bulk_download, a.has_range_requests) == (3, 2, ["a", "z"], "verified", False, True, True)
+    assert (a.quality_assessed, a.provenance, a.upstream_count, a.reference_only, a.review_state) == (False, None, 1, True, "draft")
+    assert (b.concepts, b.distributions, b.formats, b.field_count, b.field_count_bucket, b.bulk_download, b.all_unreachable) == ([], [], [], 0, "none", False, False)
+    assert (b.quality_assessed, b.provenance, b.currency, b.inbound_link_count, b.reference_only, b.entitled_principals) == (False, None, "C", 4, True, [])
