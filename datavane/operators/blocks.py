@@ -14,36 +14,54 @@ STEP = 0.25
 SLACK = 1e-8
 
 
-def impacts(index: DataFrame, n_docs: int, boosts: dict[str, float] = search.BOOSTS) -> DataFrame:
-    """token, id, impact for postings (field, token, id, tf, len): what a token adds to the BM25 score of a document, all fields together."""
-    boost = F.create_map(*[F.lit(x) for kv in boosts.items() for x in kv])
-    df = index.groupBy("field", "token").agg(F.count("*").alias("df"))
-    rows = index.join(df, ["field", "token"]).join(F.broadcast(search.field_stats(index, n_docs)), "field")  # one row a field
-    idf = F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = F.col("tf") + search.K1 * (1 - search.B + search.B * F.col("len") / F.col("avg_len"))
-    one = F.coalesce(boost[F.col("field")], F.lit(1.0)) * idf * F.col("tf") * (search.K1 + 1) / norm
-    return rows.groupBy("token", "id").agg(F.sum(one).alias("impact"))
+#: A vocabulary is broadcast up to so many words and bytes, which are counted first; a larger one is joined by shuffling.
+FEW_WORDS, FEW_BYTES = 1 << 20, 32 << 20
 
 
 def _bucket(buckets: Column) -> Column:
     return F.pmod(F.xxhash64("id"), buckets)
 
 
-def build(scored: DataFrame, size: int = 128) -> DataFrame:
-    """token, buckets, bucket, level, best, n, rows (array of id, impact) for impacts().
+def vocabulary(index: DataFrame, n_docs: int, size: int) -> DataFrame:
+    """token, idf (map of field to weight), buckets: how many buckets of about `size` documents a token's documents are dealt over.
+
+    Counted with partial aggregation, so only words are shuffled, however often they occur."""
+    df = index.groupBy("token", "field").agg(F.count("*").alias("df"))
+    idf = F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    d = df.groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("field", idf))).alias("idf"), F.sum("df").alias("n"))  # an entry a field
+    return d.select("token", "idf", F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.col("n") / size, F.lit(1.0))))).cast("long").alias("buckets"))
+
+
+def build(index: DataFrame, n_docs: int, boosts: dict[str, float] = search.BOOSTS, size: int = 128, save=None) -> DataFrame:
+    """token, buckets, bucket, level, best, n, rows (array of id, impact) for postings (field, token, id, tf, len). An impact is what a token adds to the
+    BM25 score of a document, all fields together.
 
     A token's documents are dealt by a hash of the id over so many buckets that each holds about `size`, and by level of impact within
     a bucket. So a token of a third of all documents is many blocks in many tasks, and no block grows with it; there is no
-    sort of a token's postings. A block's best is the score that none of its documents exceeds."""
-    df = scored.groupBy("token").agg(F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.count("*") / F.lit(size), F.lit(1.0))))).cast("long").alias("buckets"))
-    rows = scored.join(df, "token").withColumn("bucket", _bucket(F.col("buckets"))).withColumn("level", F.floor(F.log2("impact") / STEP).cast("int"))
-    return rows.groupBy("token", "buckets", "bucket", "level").agg(F.max("impact").alias("best"), F.count("*").alias("n"), F.collect_list(F.struct("id", "impact")).alias("rows"))
+    sort of a token's postings. A block's best is the score that none of its documents exceeds.
+
+    Postings are shuffled once, by token and bucket, which serves both the sums over fields and the blocks; beyond FEW_WORDS they are shuffled
+    once more for the join with the vocabulary. save: writes the vocabulary, so that it is counted once."""
+    boost = F.create_map(*[F.lit(x) for kv in boosts.items() for x in kv])
+    words = vocabulary(index, n_docs, size)
+    if save is not None:
+        words = save(words, "words")
+        n, width = words.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("token")), F.lit(0))).first()
+        if n <= FEW_WORDS and width <= FEW_BYTES:
+            words = F.broadcast(words)
+    fields = F.broadcast(search.field_stats(index, n_docs))  # one row a field
+    norm = F.col("tf") + search.K1 * (1 - search.B + search.B * F.col("len") / F.col("avg_len"))
+    weight = F.coalesce(boost[F.col("field")], F.lit(1.0)) * F.col("tf") * (search.K1 + 1) / norm
+    rows = index.join(fields, "field").select("token", "field", "id", weight.alias("w")).join(words, "token")
+    rows = rows.select("token", "buckets", _bucket(F.col("buckets")).alias("bucket"), "id", (F.col("w") * F.col("idf")[F.col("field")]).alias("part")).repartition("token", "bucket")
+    whole = rows.groupBy("token", "bucket", "buckets", "id").agg(F.sum("part").alias("impact")).withColumn("level", F.floor(F.log2("impact") / STEP).cast("int"))
+    return whole.groupBy("token", "bucket", "buckets", "level").agg(F.max("impact").alias("best"), F.count("*").alias("n"), F.collect_list(F.struct("id", "impact")).alias("rows"))
 
 
-def write(scored: DataFrame, path: str, size: int = 128) -> None:
-    """The blocks as a table in order of token, bucket and level, so that a read of some tokens passes over the others' row groups."""
-    d = build(scored, size)
-    d.repartitionByRange("token", "bucket").sortWithinPartitions("token", "bucket", "level").write.mode("overwrite").parquet(path)
+def write(index: DataFrame, n_docs: int, path: str, boosts: dict[str, float] = search.BOOSTS, size: int = 128, save=None) -> None:
+    """The blocks of build() as a table whose files are in order of token, bucket and level, so that a read of some tokens passes over the
+    others' row groups."""
+    build(index, n_docs, boosts, size, save).sortWithinPartitions("token", "bucket", "level").write.mode("overwrite").parquet(path)
 
 
 def _hits(blocks: DataFrame, wanted: DataFrame) -> DataFrame:

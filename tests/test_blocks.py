@@ -22,7 +22,7 @@ def index(spark):
 @pytest.fixture(scope="module")
 def table(spark, index):
     at = shared.folder(spark, "test-blocks")
-    blocks.write(blocks.impacts(index, 1002), at, 16)
+    blocks.write(index, 1002, at, size=16)
     return spark.read.parquet(at)
 
 
@@ -61,6 +61,13 @@ def test_a_hot_token_is_many_small_blocks(spark, table):
     assert table.where("n <> size(rows) or best < array_max(transform(rows, r -> r.impact))").count() == 0
 
 
+def test_both_joins_with_the_vocabulary_build_the_same(spark, index, table):
+    at = shared.folder(spark, "test-blocks")
+    blocks.write(index, 1002, at, size=16, save=shared.saved)
+    rows = lambda d: {(r.token, r.bucket, r.level): (r.n, round(r.best, 9), sorted((x.id, round(x.impact, 9)) for x in r.rows)) for r in d.collect()}
+    assert rows(spark.read.parquet(at)) == rows(table)
+
+
 def test_empty_tables(spark, table):
     none = asked(spark).limit(0)
     assert blocks.scores(table, none, 5).count() == 0 and blocks.scores(table.limit(0), asked(spark), 5).count() == 0
