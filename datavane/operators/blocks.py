@@ -64,11 +64,11 @@ def write(index: DataFrame, n_docs: int, path: str, boosts: dict[str, float] = s
     build(index, n_docs, boosts, size, save).sortWithinPartitions("token", "bucket", "level").write.mode("overwrite").parquet(path)
 
 
-def _hits(blocks: DataFrame, wanted: DataFrame) -> DataFrame:
-    """request_id, token, id, part for wanted (request_id, token, bucket, level, damping)."""
+def _hits(blocks: DataFrame, wanted: DataFrame, *more: str) -> DataFrame:
+    """request_id, token, id, part and more for wanted (request_id, token, bucket, level, damping and more)."""
     keys = ["token", "bucket", "level"]
-    rows = wanted.join(blocks.select(*keys, "rows"), keys).select("request_id", "token", "damping", F.explode("rows").alias("r"))
-    return rows.select("request_id", "token", F.col("r.id").alias("id"), (F.col("damping") * F.col("r.impact")).alias("part"))
+    rows = wanted.join(blocks.select(*keys, "rows"), keys).select("request_id", "token", "damping", *more, F.explode("rows").alias("r"))
+    return rows.select("request_id", "token", F.col("r.id").alias("id"), (F.col("damping") * F.col("r.impact")).alias("part"), *more)
 
 
 def _bar(parts: DataFrame, k: int) -> DataFrame:
@@ -105,16 +105,19 @@ def needed(of: DataFrame, bar: DataFrame) -> DataFrame:
     return d.where(F.col("bar").isNull() | (most >= F.col("bar") - SLACK)).drop("tops", "bar")
 
 
-def candidates(blocks: DataFrame, of: DataFrame, read: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
+def candidates(blocks: DataFrame, of: DataFrame, read: DataFrame, k: int, allowed: DataFrame | None = None, save=None) -> DataFrame:
     """request_id, id of documents that can be among the k best, from the needed() blocks: what they add so far, with the bounds of the
-    blocks that were passed over for tokens not met yet, has to reach the k-th best of what is certain so far."""
+    blocks that were passed over for tokens not met yet, has to reach the k-th best of what is certain so far.
+
+    The bounds meet blocks, not documents, so documents are shuffled once, by request and id; save keeps their sums, which are read twice."""
     keys = ["request_id", "token", "bucket", "level"]
     rest = of.join(read.select(*keys), keys, "left_anti").groupBy("request_id", "token").agg(F.max("bound").alias("open"))
     all_open = rest.groupBy("request_id").agg(F.sum("open").alias("all_open"))
-    found = _hits(blocks, read)
+    found = _hits(blocks, read.join(rest, ["request_id", "token"], "left").withColumn("open", F.coalesce("open", F.lit(0.0))), "open")
     if allowed is not None:
         found = found.join(allowed.select("id").distinct(), "id", "left_semi")
-    per = found.join(rest, ["request_id", "token"], "left").groupBy("request_id", "id").agg(F.sum("part").alias("score"), F.sum(F.coalesce("open", F.lit(0.0))).alias("met"))
+    per = found.groupBy("request_id", "id").agg(F.sum("part").alias("score"), F.sum("open").alias("met"))
+    per = save(per, "sums") if save is not None else per
     d = per.join(all_open, "request_id", "left").join(_bar(per.select("request_id", "id", "score"), k), "request_id", "left")
     most = F.col("score") + F.coalesce("all_open", F.lit(0.0)) - F.col("met")
     return d.where(F.col("bar").isNull() | (most >= F.col("bar") - SLACK)).select("request_id", "id")
@@ -141,4 +144,4 @@ def scores(blocks: DataFrame, requests: DataFrame, k: int, allowed: DataFrame |
     requests = requests.groupBy("request_id", "token").agg(F.max("damping").alias("damping"))
     of = listed(blocks, requests)
     read = save(needed(of, first_bar(blocks, of, k, allowed)), "blocks")
-    return exact(blocks, requests, save(candidates(blocks, of, read, k, allowed), "found"))
+    return exact(blocks, requests, save(candidates(blocks, of, read, k, allowed, save), "found"))
