@@ -82,7 +82,7 @@ def _priced(price: np.ndarray, left: np.ndarray, capacity: int) -> tuple[np.ndar
         better = with_it > best[w:] + 1e-12
         took[i, w:] = better
         best[w:][better] = with_it[better]
-    out = np.zeros((len(lengths), capacity + 1), dtype=np.int64)
+    out = np.zeros((len(lengths), capacity + 1), dtype=np.int32)
     rows = np.arange(len(lengths))
     out[rows, lengths] = 1
     room = capacity - lengths
@@ -92,11 +92,22 @@ def _priced(price: np.ndarray, left: np.ndarray, capacity: int) -> tuple[np.ndar
         if on.any():
             out[on, size] += many
             room[on] -= size * many
-    return np.minimum(out, left), lengths
+    return np.minimum(out, left, out=out, casting="unsafe"), lengths
 
 
-def patterns(demand: np.ndarray, capacity: int = 1024, rounds: int = 3, step: float = 1.0, power: float = 1.1) -> tuple[list[tuple[np.ndarray, int]], dict]:
-    """[(pattern, times)] that hold the demand exactly (a pattern: copies of each length, index = length), and a report.
+def patterns(demand: np.ndarray, capacity: int = 1024, **how) -> tuple[list[tuple[np.ndarray, int]], dict]:
+    """[(pattern, times)] of short_patterns() with each pattern written out: copies of each length, index = length."""
+    found, report = short_patterns(demand, capacity, **how)
+    out = []
+    for at, copies, k in found:
+        p = np.zeros(capacity + 1, dtype=np.int64)
+        p[at] = copies
+        out.append((p, k))
+    return out, report
+
+
+def short_patterns(demand: np.ndarray, capacity: int = 1024, rounds: int = 3, step: float = 1.0, power: float = 1.1) -> tuple[list[tuple[np.ndarray, np.ndarray, int]], dict]:
+    """[(lengths, copies of each, times)] of patterns that hold the demand exactly, and a report. Only the lengths that a pattern has are kept.
 
     The linear program: fewest patterns that cover the demand. Multiplicative weights: a length starts at the price of its
     share of the capacity to `power`, a little over 1, as short pieces are easier to place; each round prices patterns by the
@@ -108,7 +119,7 @@ def patterns(demand: np.ndarray, capacity: int = 1024, rounds: int = 3, step: fl
     report: sequences, solutions, and bound: no packing has fewer sequences (whole sizes; lengths over half the capacity)."""
     left = demand.astype(np.int64).copy()
     sizes = np.arange(capacity + 1)
-    out: list[tuple[np.ndarray, int]] = []
+    out: list[tuple[np.ndarray, np.ndarray, int]] = []
     report = {"bound": int(max(-(-int((left * sizes).sum()) // capacity), int(left[capacity // 2 + 1 :].sum()))), "solutions": 0}
     while left.any():
         report["solutions"] += 1
@@ -119,16 +130,18 @@ def patterns(demand: np.ndarray, capacity: int = 1024, rounds: int = 3, step: fl
             share = np.maximum(left[seeds] - cover[seeds], 0.0) / (rounds - r)
             for p, t in zip(found, share, strict=True):
                 if t > 0:
-                    used.setdefault(p.tobytes(), [p, 0.0])[1] += t
+                    at = np.flatnonzero(p)  # only these few are kept, as a row of `found` would keep all of it
+                    key = np.concatenate([at, p[at]]).astype(np.int32).tobytes()
+                    used[key] = used.get(key, 0.0) + t
             cover += share @ found
             price = own * np.exp(-step * np.maximum(cover / np.maximum(left, 1) - (r + 1) / rounds, 0.0))
-        for p, t in sorted(used.values(), key=lambda x: (-int(np.flatnonzero(x[0])[-1]), -int((x[0] * sizes).sum()), -x[1])):
-            on = p > 0
-            k = min(max(1, int(t)), int((left[on] // p[on]).min()))
+        held = [(*np.frombuffer(key, dtype=np.int32).reshape(2, -1), t) for key, t in used.items()]
+        for at, copies, t in sorted(held, key=lambda x: (-int(x[0][-1]), -int((x[0] * x[1]).sum()), -x[2])):
+            k = min(max(1, int(t)), int((left[at] // copies).min()))
             if k > 0:
-                out.append((p, k))
-                left -= k * p
-    report["sequences"] = sum(k for _, k in out)
+                out.append((at, copies, k))
+                left[at] -= k * copies.astype(np.int64)
+    report["sequences"] = sum(k for *_, k in out)
     return out, report
 
 
@@ -147,10 +160,9 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     for r in histogram:
         demand[r.length] = r.n
     starts, rows, seq = np.zeros(capacity + 1, dtype=np.int64), [], 0
-    for p, k in patterns(demand, capacity)[0]:
+    for at, copies, k in short_patterns(demand, capacity)[0]:
         offset = 0
-        for size in np.flatnonzero(p)[::-1].tolist():
-            c = int(p[size])
+        for size, c in zip(at[::-1].tolist(), copies[::-1].tolist(), strict=True):
             rows.append((size, int(starts[size]), c, seq, offset))
             starts[size] += k * c
             offset += size * c

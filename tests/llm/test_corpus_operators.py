@@ -450,6 +450,20 @@ def test_patterns_hold_the_demand():
     assert sum(k for _, k in found) <= 1.02 * -(-(demand * np.arange(1025)).sum() // 1024)
 
 
+def test_patterns_keep_only_what_they_hold():
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    demand = np.bincount(np.minimum(1024, rng.lognormal(5.5, 0.9, 100_000).astype(int) + 1), minlength=1025)
+    tracemalloc.start()
+    packing.short_patterns(demand)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 60e6  # whole rows of every round took over 100 MB
+
+
 def best_fit_alone(demand, capacity=1024):
     """Sequences that best fit needs: the longest piece first, filled by a subset sum of the others, longest first."""
     left, n = {i: int(x) for i, x in enumerate(demand) if x}, 0
