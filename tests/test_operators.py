@@ -374,6 +374,19 @@ def test_answers_and_counts_agree_with_the_list(spark):
     assert counts == {i: (sum(k[0] == i for k in seen), sum(v for k, v in seen.items() if k[0] == i)) for i in range(8)}
 
 
+def test_a_name_that_all_have_makes_no_product(spark, monkeypatch):
+    rng = random.Random(3)
+    d = spark.createDataFrame([(i, rng.choice(["public", "allowlisted-metadata", "allowlisted-existence"])) for i in range(30)], "id long, visibility string")
+    g = spark.createDataFrame([(rng.randrange(32), "all", rng.choice([None, "A@x.org", "all"])) for _ in range(40)] + [(3, "p", None)], "dataset_id long, principal_id string, email string")
+    c = spark.createDataFrame([(i, rng.choice(["all", "p", None]), rng.choice([None, "a@X.org", "ALL", "none"]), i % 9 == 5, rng.choice([None, 3, 7, 31])) for i in range(60)], "caller_id long, principal_id string, email string, is_steward boolean, custodian_of long")
+    seen = {(r.caller_id, r.id): r.full for r in filters.visible(d, g, c).collect()}
+    monkeypatch.setattr(filters, "insiders", lambda *_: pytest.fail("a row for each caller and record of a name"))
+    asked = c.select("caller_id").join(d.select("id"), F.lit(True))
+    assert {(r.caller_id, r.id): r.full for r in filters.answered(asked, d, g, c).where("known").collect()} == seen
+    counts = {r.caller_id: (r.known, r.full) for r in filters.visible_counts(d, g, c).collect()}
+    assert counts == {i: (sum(k[0] == i for k in seen), sum(v for k, v in seen.items() if k[0] == i)) for i in range(60)}
+
+
 def test_an_origin_of_a_third_of_all_records_stays_a_list(spark):
     n = 30_000
     up = spark.range(n).where("id % 3 = 0 and id > 0").selectExpr("id AS node", "0L AS ancestor", "1 AS depth")
