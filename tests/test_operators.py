@@ -281,6 +281,25 @@ def test_lineage_makes_neighbours_origins_and_derivation(spark):
     assert got == {("b", "d"): ("a", 1, 2, True, False), ("d", "c"): ("a", 2, 1, True, True), ("a", "b"): (None, None, None, False, True), ("a", "z"): (None, None, None, False, False)}
 
 
+def test_shared_sets_count_as_pairs_with_their_sets_do(spark):
+    rng = random.Random(4)
+    rows = [(i, sorted({rng.randrange(12) for _ in range(4)} | ({99} if i % 2 else set())) if i % 7 else None, [f"m{rng.randrange(3)}"] if i % 5 else None) for i in range(40)]
+    profile = spark.createDataFrame(rows, "id long, x array<long>, y array<string>")
+    pairs = spark.createDataFrame([(i, j) for i in range(41) for j in range(41) if i != j and (i * j) % 3], "source long, target long")
+    names = {"of_x": "x", "of_y": "y"}
+    columns = ["source", "target", *[f"{n}{e}" for n in names for e in ("", "_shared", "_both")]]
+    want = {tuple(r) for r in linkage.with_overlaps(linkage.paired(pairs, profile), names).select(columns).collect()}
+    for often in (1, 6, 256):
+        got = linkage.shared_sets(pairs, profile, names, often)
+        assert {tuple(r) for r in got.select(columns).collect()} == want and got.count() == len(want)
+
+
+def test_a_repeated_key_takes_one_place(spark):
+    keys = spark.createDataFrame([(i, 1, "a") for i in (0, 1, 1, 1, 2)], "id long, rung int, key string")
+    got = linkage.candidates(keys, spark.createDataFrame([(i, f"t{i}") for i in range(3)], "id long, title string"), cap=3)
+    assert {(r.source, r.target) for r in got.collect()} == {(s, t) for s in range(3) for t in range(3) if s != t}
+
+
 def test_places_stand_in_for_missing_boxes(spark):
     rows = [(1, 0.0, 0.5, True), (2, None, 0.5, True), (3, None, 0.0, False)]
     df = spark.createDataFrame(rows, "id int, w double, p double, both boolean")
