@@ -21,12 +21,25 @@ def nearest_origin(origins: DataFrame) -> DataFrame:
     return origins.groupBy("request_id").agg(F.min(key).alias("m")).select("request_id", "m.origin", "m.depth_a", "m.depth_b")
 
 
-def lineage_neighbours(closure: DataFrame, nodes: DataFrame) -> DataFrame:
-    """a < b with a common ancestor-or-self. An origin of many nodes would join all of them with one another; see the origin
-    list instead where that is too much."""
-    own = closure.select("node", "ancestor").unionByName(nodes.select("node", F.col("node").alias("ancestor")))
-    x, y = own.select(F.col("node").alias("a"), "ancestor"), own.select(F.col("node").alias("b"), "ancestor")
-    return x.join(y, "ancestor").where("a < b").select("a", "b").distinct()
+def lineage_neighbours(closure: DataFrame, nodes: DataFrame, block: int = 2048) -> DataFrame:
+    """a < b of nodes (node) with a common ancestor-or-self, from the whole closure. Each pair is a row, so they are as many as the square of an
+    origin's nodes; see the origin list instead where that is too much.
+
+    Nodes that share an origin share its ancestors too, so an origin that has a root above it is left out. Pairs are made in tiles of `block`
+    nodes by as many, each where the least of their common origins is, so no pair is made twice and none is shuffled."""
+    roots = closure.select("ancestor").distinct().join(closure.select(F.col("node").alias("ancestor")), "ancestor", "left_anti")
+    below = closure.join(roots, "ancestor", "left_semi").select(F.col("node").alias("ancestor")).distinct()
+    own = closure.select("node", "ancestor").join(nodes.select("node"), "node", "left_semi").unionByName(nodes.select("node", F.col("node").alias("ancestor"))).distinct()
+    own = shared.saved(own.join(below, "ancestor", "left_anti"), "origins")
+    several = own.groupBy("node").agg(F.array_sort(F.collect_set("ancestor")).alias("all")).where(F.size("all") > 1)
+    sizes = own.groupBy("ancestor").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    own = own.join(sizes, "ancestor").join(several, "node", "left").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    x = own.select("ancestor", F.col("node").alias("a"), F.col("all").alias("all_a"), F.col("mine").alias("i"), every.alias("j"))
+    y = own.select("ancestor", F.col("node").alias("b"), F.col("all").alias("all_b"), F.col("mine").alias("j"), every.alias("i"))
+    least = F.coalesce(F.col("ancestor") == F.array_min(F.array_intersect("all_a", "all_b")), F.lit(True))  # null: one side has a single origin
+    n = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return x.repartition(n, "ancestor", "i", "j").join(y.repartition(n, "ancestor", "i", "j"), ["ancestor", "i", "j"]).where((F.col("a") < F.col("b")) & least).select("a", "b")
 
 
 def entailments(broader: DataFrame, related: DataFrame, in_scheme: DataFrame, exact: DataFrame, top_of: DataFrame | None = None) -> DataFrame:

@@ -300,6 +300,16 @@ def test_a_repeated_key_takes_one_place(spark):
     assert {(r.source, r.target) for r in got.collect()} == {(s, t) for s in range(3) for t in range(3) if s != t}
 
 
+def test_neighbours_of_several_origins_come_once(spark):
+    edges = [("a", "r"), ("b", "r"), ("a", "q"), ("b", "q"), ("c", "b"), ("d", "q"), ("x", "y"), ("y", "x")]
+    up = fixpoint.closure(spark.createDataFrame(edges, "child string, parent string"))
+    nodes = spark.createDataFrame([(i,) for i in "abcdxyz"], "node string")
+    own = {n: {n} | {r.ancestor for r in up.where(F.col("node") == n).collect()} for n in "abcdxyz"}
+    want = sorted((a, b) for a in own for b in own if a < b and own[a] & own[b])
+    for block in (1, 2048):
+        assert sorted(map(tuple, graph.lineage_neighbours(up, nodes, block).collect())) == want
+
+
 def test_places_stand_in_for_missing_boxes(spark):
     rows = [(1, 0.0, 0.5, True), (2, None, 0.5, True), (3, None, 0.0, False)]
     df = spark.createDataFrame(rows, "id int, w double, p double, both boolean")
