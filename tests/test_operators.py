@@ -561,3 +561,22 @@ def test_a_text_is_normalised_once_for_all_rules(spark):
     for made in (norm.cadence_from_phrase(F.col("x")), norm.license_to_spdx(F.col("x"))):
         plan = rows.select(made.alias("y"))._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("regexp_replace(") <= 2
+
+
+def test_texts_are_counted_in_runs_of_bounded_bytes():
+    import pyarrow as pa
+
+    texts = pa.array(["a" * 10, None, "b" * 3000000, "", *["c d"] * 700000])
+    got = list(search._runs(texts.slice(0, len(texts))))
+    assert [lo for lo, _ in got] == [0, *(lo + n for lo, n in got[:-1])] and sum(n for _, n in got) == len(texts)
+    assert all(n == 1 or 3 * n <= search.RUN_BYTES + 64 for _, n in got) and len(got) >= 4
+
+
+def test_scores_shuffle_postings_once_by_document(spark):
+    docs = spark.range(50).select("id", F.lit("grid map").alias("title"), F.concat(F.lit("load "), F.col("id").cast("string")).alias("description"))
+    index = search.shared.saved(search.postings(docs, "id", ["title", "description"]), "test-index")
+    asked = spark.createDataFrame([(1, "load", 1.0), (1, "map", 1.0), (2, "7", 1.0)], "request_id int, token string, damping double")
+    scores = search.bm25(index, asked, 50)
+    assert scores.count() == 51
+    plan = search.matches(scores, docs.select("id"))._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "hashpartitioning(request_id" not in plan and "hashpartitioning(field" not in plan
