@@ -15,6 +15,10 @@ from pyspark.sql.window import Window
 from . import bpe, common
 
 
+#: Texts are encoded in groups of so many bytes: a group's arrays are many times as large, and a pipeline's executor is nearly full by then.
+SLICE_BYTES = 1 << 20
+
+
 def token_pieces(docs: DataFrame, ranks_file: str, vocabulary: str, end_id: int = 2, capacity: int = 1024) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of the pieces of every whole text of docs (doc_id, text).
 
@@ -40,10 +44,11 @@ def token_pieces(docs: DataFrame, ranks_file: str, vocabulary: str, end_id: int
             rest = [np.array(core.encode_ordinary(t), dtype=np.uint32) for t in others]
             return np.concatenate([ids, *rest]), np.concatenate([np.diff(upto), np.array([len(r) for r in rest], dtype=np.int64)])
 
-        coder = bpe.ChunkEncoder(many, bpe.special_tokens(vocabulary))
+        coder = bpe.ChunkEncoder(many, bpe.special_tokens(vocabulary), limit=100_000)
+        del ranks
         tail = end_id.to_bytes(4, "little")
         for batch in batches:
-            for first, n_docs, raw, offs in common.text_slices(batch, limit=bpe.GROUP_BYTES):
+            for first, n_docs, raw, offs in common.text_slices(batch, limit=SLICE_BYTES):
                 flat, at = coder.encode(raw, offs)
                 doc, rows = [], []
                 for i in range(n_docs):

@@ -895,3 +895,11 @@ def test_filter_audit(spark, empty):
     got = {(r.part, r.filter_order, r.step): [r.kept, r.removed, r.redundant, r.unique_fails, r.good_lost, r.toxic_lost, r.shapley] for r in interactions.filter_audit(df, labels).collect()}
     assert got == {k: [*v, total[k[0], k[1][k[2] - 1]]] for k, v in want.items()} and len(got) == 3 * 600
     assert interactions.filter_audit(empty, labels).count() == 0 and interactions.filter_audit(df, labels.limit(0)).count() == 1800
+
+
+def test_packing_encodes_small_groups_and_keeps_few_chunks(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(packing.bpe, "ChunkEncoder", lambda many, special, limit=400_000: seen.setdefault("limit", limit) and None)
+    docs = type("Docs", (), {"schema": spark.range(1).select(F.col("id").alias("doc_id")).schema, "select": lambda self, *a: self, "mapInArrow": lambda self, f, t: f})()
+    list(packing.token_pieces(docs, queries.RANKS, queries.VOCABULARY)(iter([])))
+    assert packing.SLICE_BYTES <= 1 << 20 and seen["limit"] <= 100_000
