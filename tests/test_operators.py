@@ -580,3 +580,25 @@ def test_scores_shuffle_postings_once_by_document(spark):
     assert scores.count() == 51
     plan = search.matches(scores, docs.select("id"))._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan and "hashpartitioning(request_id" not in plan and "hashpartitioning(field" not in plan
+
+
+def test_network_faults_read_the_arcs_once(spark):
+    arcs = spark.createDataFrame([(1, 1, 1), (2, 1, 9), (3, 8, 8), (4, None, 1), (5, 1, 2)], "arc_id long, bus0 long, bus1 long")
+    got = rules.network_faults(spark.createDataFrame([(1,), (2,)], "bus_id long"), arcs)
+    want = [("dangling-bus0", 3), ("dangling-bus0", 4), ("dangling-bus1", 2), ("dangling-bus1", 3), ("self-loop", 1), ("self-loop", 3)]
+    assert sorted((r.rule, r.arc_id) for r in got.collect()) == want
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join LeftAnti") == 1
+
+
+def test_reach_broadcasts_no_round(spark, monkeypatch):
+    plans, cut = [], fixpoint.cut
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(fixpoint, "cut", noted)
+    edges = spark.createDataFrame([(2, 1), (3, 2), (4, 2)], "child long, parent long")
+    got = fixpoint.reach(edges, spark.createDataFrame([(7, 1)], "request_id int, node long"))
+    assert sorted((r.node, r.depth) for r in got.collect()) == [(2, 1), (3, 2), (4, 2)]
+    assert any("Join" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
