@@ -602,3 +602,29 @@ def test_reach_broadcasts_no_round(spark, monkeypatch):
     got = fixpoint.reach(edges, spark.createDataFrame([(7, 1)], "request_id int, node long"))
     assert sorted((r.node, r.depth) for r in got.collect()) == [(2, 1), (3, 2), (4, 2)]
     assert any("Join" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_scores_that_cannot_be_in_the_top_are_not_sorted(spark):
+    rows = [(r, i, float((i * 37 + r) % 50) / 4) for r in range(3) for i in range(400)]
+    scores = spark.createDataFrame(rows, "request_id int, id int, score double").coalesce(1)
+    titles = spark.createDataFrame([(i, f"t{i % 9}") for i in range(400)], "id int, title string")
+    want = {(r, k + 1, i) for r in range(3) for k, (_, _, i) in enumerate(sorted((-s, f"t{i % 9}", i) for q, i, s in rows if q == r and s > 0)[:11])}
+    assert {(r.request_id, r.rank, r.id) for r in search.top(scores, titles, 11).collect()} == want
+    assert "WindowGroupLimit" not in search._can_be_top(scores, 11)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    assert search._can_be_top(scores, 11).count() < 600
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_all_terms_in_one_field_with_and_without_rare_ones(spark):
+    index = spark.createDataFrame([(i, f, w) for i in range(20) for f in ("title", "description") for w in "abcd" if (i * (ord(w) - 95)) % 5 < 3 + (f == "title")], "id int, field string, token string")
+    asked = spark.createDataFrame([(q, w) for q, ws in enumerate(("ab", "abcd", "d", "az", "")) for w in ws], "request_id int, token string")
+    have = {}
+    for r in index.collect():
+        have.setdefault((r.id, r.field), set()).add(r.token)
+    want = {}
+    for q, ws in enumerate(("ab", "abcd", "d", "az")):
+        for (i, f), held in have.items():
+            if set(ws) <= held:
+                want[q, i] = max(want.get((q, i), 0), len(ws) * search.BOOSTS[f])
+    assert {(r.request_id, r.id): r.best for r in search.all_terms(index, asked).collect()} == want
