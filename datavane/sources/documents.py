@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import shared
+
 _MAP = "map<string,string>"
 
 
@@ -85,10 +87,12 @@ def network_tables(spark: SparkSession, glob: str) -> dict[str, DataFrame]:
     {components: {kind: [...]}, supplemental_attributes, supplemental_attribute_associations}; each with system, the document's file.
 
     A document's geometry reaches its components through the associations, whose attribute_id and system are joined; of several of a component the
-    last association counts. Kinds that a document lacks give no rows."""
+    last association counts. Kinds that a document lacks give no rows. Documents are small files that all tables and their joins need, so they are
+    opened and parsed once and their parts written as columns. They are parsed as texts: a reader of multi-line JSON goes back to the file for each of the coordinates."""
     parts = ", ".join(f"`{k}` array<struct<{v}>>" for k, v in COMPONENTS.items())
     schema = f"components struct<{parts}>, supplemental_attributes array<struct<id bigint, geo_json struct<type string, coordinates string>>>, supplemental_attribute_associations array<struct<attribute_type string, attribute_id bigint, component_id bigint>>"
-    d = spark.read.schema(schema).option("multiLine", True).json(glob).withColumn("system", F.input_file_name())
+    text = spark.read.text(glob, wholetext=True).select(F.ltrim("value", F.lit("\ufeff")).alias("text"), F.input_file_name().alias("system"))
+    d = shared.saved(text.select(F.from_json("text", schema).alias("d"), "system").select("d.*", "system"), "systems")
     out = {k: d.select("system", F.inline(f"components.{k}")) for k in COMPONENTS}
     shape = d.select("system", F.inline("supplemental_attributes")).select("system", F.col("id").alias("attribute_id"), F.col("geo_json.type").alias("type"), F.col("geo_json.coordinates").alias("at"))
     link = d.select("system", F.posexplode("supplemental_attribute_associations").alias("n", "a")).select("system", "n", "a.*").where("attribute_type = 'GeographicInfo'")

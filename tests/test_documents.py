@@ -72,3 +72,13 @@ def test_fields_that_files_describe(spark):
         + [("h", "csv-header", n.strip(), None, None, None) for n in next(csv.reader([HEADER])) if n.strip()],
         key=repr,
     )
+
+
+def test_documents_of_networks_are_read_once(spark, tmp_path):
+    at = tmp_path / "one.json"
+    at.write_text(json.dumps(system()))
+    tables = documents.network_tables(spark, f"{tmp_path}/*.json")
+    want = tables["ACBus"].count()
+    at.unlink()
+    spark.catalog.clearCache()
+    assert want == 3 and documents.network_elements(tables).count() == 11
