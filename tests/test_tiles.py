@@ -1,9 +1,12 @@
+import os
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from datavane.functions import fixpoint
+from datavane.functions import fixpoint, shared
 from datavane.operators import linkage, tiles
+from datavane.plans import catalog, demo
 
 
 def test_tiles_equal_brute_force_at_any_number_of_groups(spark, monkeypatch):
@@ -46,3 +49,13 @@ def test_labels_of_links_are_the_same_however_often_a_member_comes(spark):
     want = {(i, j): sorted(f"l{9 - m}" for m in own(i) & own(j))[:3] for i in range(10) for j in range(9) if i < j}
     for often in (1, 4, 256):
         assert {(r.source, r.target): r.x for r in linkage.shared_labels(links, sets, labels, "x", 3, often=often).collect()} == want
+
+
+def test_signals_that_need_no_sets_write_no_pairs(spark, monkeypatch):
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test tables here")
+    names, real = [], shared.saved
+    monkeypatch.setattr(shared, "saved", lambda df, name: (names.append(name), real(df, name))[1])
+    t = lambda n: demo.table(spark, "/root/testdata/sf0.001", n)
+    assert catalog._signals(t, ()).select("source", "target", "temporal_overlap").limit(1).count() == 1
+    assert "places" in names and not {"candidates", "overlaps"} & set(names)
