@@ -7,7 +7,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -77,7 +77,7 @@ def _frequencies(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n, digest (of the sorted set), node (its first 8 bytes), prefix (shingles that a similar set must share one of).
+    """doc_id, n, digest (of the sorted set), node (its first 5 bytes), prefix (shingles that a similar set must share one of).
 
     Two sets with Jaccard similarity of percent / 100 or more share at least l of the first n - ceil(percent * n / 100) + l
     shingles of each in any common order, for every l; here l = max(1, n // DEPTH) of the smaller one. The order takes shingles of seldom-hit sketch cells first, so that passages which other documents share
@@ -97,7 +97,7 @@ def _signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 n.append(m)
                 d = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                 digest.append(d)
-                node.append(int.from_bytes(d[:8], "little", signed=True))
+                node.append(int.from_bytes(d[:5], "little"))
                 if m:
                     p = m - (percent * m + 99) // 100 + max(1, m // DEPTH)
                     s = s[np.argsort(table[(s >> shift).astype(np.int64)], kind="stable")[:p]]
@@ -130,12 +130,32 @@ def _pairs_of(node: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
     return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
 
-def _shared_prefixes(sig: DataFrame, cap: int, group_bytes: int = 4 << 20, fold_rows: int = 50_000_000) -> DataFrame:
+def _planes(x: np.ndarray) -> bytes:
+    """64-bit numbers as eight runs of bytes of one place each: places that are zero in all of them take next to no room when compressed."""
+    return np.ascontiguousarray(x, "<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unplaned(rows) -> np.ndarray:
+    return np.concatenate([np.zeros(0, "<u8"), *(np.ascontiguousarray(np.frombuffer(r, np.uint8).reshape(8, -1).T).view("<u8").ravel() for r in rows)])
+
+
+def shared_at_least(m_a: Column, m_b: Column, percent: int) -> Column:
+    """How many of their prefix shingles two similar sets of these sizes share at least.
+
+    They have o = ceil(percent * (m_a + m_b) / (100 + percent)) shingles in common. Of the two prefixes take the one that ends first in the common order: at most
+    m - p of its set's common shingles lie behind it, and the others are in the other prefix too."""
+    both = F.floor((percent * (m_a + m_b) + 99 + percent) / F.lit(100 + percent))
+    ahead = lambda m: F.greatest(F.lit(1), F.floor(m / DEPTH)) - F.floor((percent * m + 99) / 100)  # noqa: E731  p - m
+    return F.greatest(F.lit(1), both + F.least(ahead(m_a), ahead(m_b)))
+
+
+def _shared_prefixes(sig: DataFrame, cap: int, percent: int = 80, group_bytes: int = 4 << 20, fold_rows: int = 50_000_000) -> DataFrame:
     """a, b: edges that connect all sets which may be similar by their prefixes.
 
-    The sets of a prefix shingle are counted pair by pair where there are at most `cap`; pairs with too few shared shingles
-    go. A shingle with more sets connects all of them with its smallest one instead, without a count, so the work
-    follows the number of sets either way and nothing is lost. A batch ships each shingle's sets packed by hash range, or the
+    The sets of a prefix shingle are counted pair by pair where there are at most `cap`; pairs whose sizes differ too much, or with
+    fewer shared shingles than shared_at_least(), go. A shingle with more sets (a frequent one) connects them with its smallest one instead, without a count, so the work
+    follows the number of sets either way. How many frequent shingles a set has is added to what its pairs share; a set with fewer of
+    them than similar sets must share is not connected by them, as its pairs share others too. So nothing is lost. A batch ships each shingle's sets packed by hash range, or the
     smallest alone where it has more than `cap` itself. Where there are so many batches that even `cap` sets of one shingle from each
     would make a large group (from fold_rows rows on), they are merged in salted groups first, of which each again passes on a
     shingle's sets, or the smallest alone. The number of hash ranges follows the bytes of all prefixes, so a group holds
@@ -146,7 +166,7 @@ def _shared_prefixes(sig: DataFrame, cap: int, group_bytes: int = 4 << 20, fold_
     step = np.uint64(2**64 // parts + 1)
 
     def folded(token, ids, flag):
-        """Rows of packed sets and of star edges, from the sets (ids) of shingles (token) and whether others have gone before."""
+        """Rows of packed sets and of star edges (set, smallest, number of shingles), from the sets (ids) of shingles (token) and whether others have gone before."""
         token, starts, sizes, (ids, flag) = _sorted(token, ids, flag)
         fresh = np.concatenate([[True], (token[1:] != token[:-1]) | (ids[1:] != ids[:-1])])  # a set in two batches
         hot = np.logical_or.reduceat(flag, starts)
@@ -157,11 +177,15 @@ def _shared_prefixes(sig: DataFrame, cap: int, group_bytes: int = 4 << 20, fold_
         keep = np.repeat(~hot, sizes)
         keep[starts[hot]] = True
         at, r = _spread(starts[hot], sizes[hot])
-        star = np.unique(np.stack([ids[at], ids[starts[hot][r]]], axis=1), axis=0)
+        star, times = np.unique(np.stack([ids[at], ids[starts[hot][r]]], axis=1), axis=0, return_counts=True)
+        star = np.concatenate([star, times[:, None]], axis=1)
         return token[keep], ids[keep], np.repeat(hot, sizes)[keep], star[star[:, 0] != star[:, 1]]
 
     def edge_row(star):
-        return (int(star[0, 0] % parts), 0, star[:, 0].tobytes(), star[:, 1].tobytes(), b"", True)
+        return (int(star[0, 0] % parts), 0, _planes(star[:, 0]), _planes(star[:, 1]), _planes(star[:, 2]), True)
+
+    def set_row(part, salt, token, ids, flag):
+        return (part, salt, _planes(np.diff(token, prepend=np.uint64(0))), _planes(ids), flag.tobytes(), False)  # shingles are in order: small steps
 
     def pack(batches):
         for b in batches:
@@ -177,7 +201,7 @@ def _shared_prefixes(sig: DataFrame, cap: int, group_bytes: int = 4 << 20, fold_
             cuts = np.flatnonzero(part[1:] != part[:-1]) + 1
             keys = part[np.concatenate([[0], cuts])]
             salt = int(node[0]) % salts
-            rows = [(int(k), salt, t.tobytes(), m.tobytes(), h.tobytes(), False) for k, t, m, h in zip(keys, np.split(token, cuts), np.split(ids, cuts), np.split(flag, cuts), strict=True)]
+            rows = [set_row(int(k), salt, t, m, h) for k, t, m, h in zip(keys, np.split(token, cuts), np.split(ids, cuts), np.split(flag, cuts), strict=True)]
             if len(star):
                 rows.append(edge_row(star))
             cols = list(zip(*rows, strict=True))
@@ -185,8 +209,9 @@ def _shared_prefixes(sig: DataFrame, cap: int, group_bytes: int = 4 << 20, fold_
 
     def unpacked(f: pd.DataFrame):
         e, t = f[f["edge"]], f[~f["edge"]]
-        star = np.stack([np.frombuffer(b"".join(e[c]), dtype=np.int64) for c in "xy"], axis=1)
-        return star, np.frombuffer(b"".join(t["x"]), dtype="<u8"), np.frombuffer(b"".join(t["y"]), dtype=np.int64), np.frombuffer(b"".join(t["hot"]), dtype=bool)
+        star = np.stack([_unplaned(e[c]).astype(np.int64) for c in ("x", "y", "hot")], axis=1)
+        token = np.concatenate([np.zeros(0, "<u8"), *(np.cumsum(_unplaned([x]), dtype=np.uint64) for x in t["x"])])
+        return star, token, _unplaned(t["y"]).astype(np.int64), np.frombuffer(b"".join(t["hot"]), dtype=bool)
 
     def fold(f: pd.DataFrame) -> pd.DataFrame:
         star, token, ids, flag = unpacked(f)
@@ -194,24 +219,23 @@ def _shared_prefixes(sig: DataFrame, cap: int, group_bytes: int = 4 << 20, fold_
         rows = [edge_row(star)] if len(star) else []
         if len(token):
             token, ids, flag, star = folded(token, ids, flag)
-            rows.append((part, 0, token.tobytes(), ids.tobytes(), flag.tobytes(), False))
+            rows.append(set_row(part, 0, token, ids, flag))
             if len(star):
                 rows.append(edge_row(star))
         return pd.DataFrame(rows, columns=["part", "salt", "x", "y", "hot", "edge"])
 
     def merge(f: pd.DataFrame) -> pd.DataFrame:
         star, token, ids, flag = unpacked(f)
-        out = [star]
-        n = np.zeros(len(star), dtype=np.int64)
+        out = [star * [1, 1, -1]]
         if len(token):
             token, ids, flag, star = folded(token, ids, flag)
             starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
             sizes = np.diff(np.append(starts, len(token)))
             few = ~flag[starts] & (sizes > 1)
             pair, times = np.unique(_pairs_of(ids, starts[few], sizes[few]), axis=0, return_counts=True)
-            out += [star, pair]
-            n = np.concatenate([n, np.zeros(len(star), np.int64), times])
-        a, b = np.concatenate(out).T
+            least, often = np.unique(ids[flag], return_counts=True)
+            out += [star * [1, 1, -1], np.stack([least, least, -often], axis=1), np.concatenate([pair, times[:, None]], axis=1)]
+        a, b, n = np.concatenate(out).T
         return pd.DataFrame({"a": a, "b": b, "n": n})
 
     packed = "part long, salt int, x binary, y binary, hot binary, edge boolean"
@@ -220,12 +244,20 @@ def _shared_prefixes(sig: DataFrame, cap: int, group_bytes: int = 4 << 20, fold_
         found = found.groupBy("part", "salt").applyInPandas(fold, packed)
     found = found.groupBy("part").applyInPandas(merge, "a long, b long, n long")
     found = common.saved(found, "prefix-pairs")
-    star = found.where("n = 0").select("a", "b").distinct()
+    star = found.where("n < 0 and a <> b").select("a", "b").distinct()
+    hot = found.where("n < 0").groupBy(F.col("a").alias("node")).agg((-F.sum("n")).alias("hot"))  # too many where equal sets are in several batches
+    passed = star.select(F.col("b").alias("node")).distinct().withColumn("passed", F.lit(True))  # others may hang on such a set
+    nodes = sig.where("n > 0").groupBy("node").agg(F.min("n").alias("m"), F.max("n").alias("most")).join(hot, "node", "left").join(passed, "node", "left")
+    nodes = common.saved(nodes.select("node", "m", (F.col("m") < F.col("most")).alias("mixed"), F.coalesce("hot", F.lit(0)).alias("hot"), F.coalesce("passed", F.lit(False)).alias("passed")), "nodes")
     pairs = found.where("n > 0").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    size = sig.where("n > 0").groupBy("node").agg(F.min("n").alias("m"))
     for side in ("a", "b"):
-        pairs = pairs.join(size.select(F.col("node").alias(side), F.col("m").alias(f"m_{side}")), side)
-    return pairs.where(f"n >= greatest(1, least(m_a, m_b) div {DEPTH})").select("a", "b").unionByName(star)
+        pairs = pairs.join(nodes.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("m", "mixed", "hot")]), side)
+    fit = 100 * F.least("m_a", "m_b") >= percent * F.greatest("m_a", "m_b")
+    many = F.col("n") + F.least("hot_a", "hot_b") >= shared_at_least(F.col("m_a"), F.col("m_b"), percent)
+    pairs = pairs.where(F.col("mixed_a") | F.col("mixed_b") | (fit & many))  # mixed: two sets with one node
+    enough = F.greatest(F.lit(1), F.floor(F.floor(percent * F.col("m") / 100) / DEPTH))
+    bound = star.join(nodes.where(F.col("mixed") | F.col("passed") | (F.col("hot") >= enough)).select(F.col("node").alias("a")), "a", "left_semi")
+    return pairs.select("a", "b").unionByName(bound)
 
 
 def linked_in_tile(ids: np.ndarray, sets: list[np.ndarray], percent: int, joined: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -345,7 +377,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, tile_bytes:
     spark = docs.sparkSession
     base = docs.select("doc_id", "text")
     sig = common.saved(_signatures(base, k, percent), "sets")
-    edges = _shared_prefixes(sig, cap)
+    edges = _shared_prefixes(sig, cap, percent)
     clusters = common.components(edges)
     members = common.saved(clusters.select("node", "root").unionByName(clusters.select(F.col("root").alias("node"), "root")).distinct(), "clusters")
     classes = sig.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("node").alias("node"))

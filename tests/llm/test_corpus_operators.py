@@ -605,6 +605,36 @@ def test_salted_prefix_groups_give_the_same_edges(docs):
     assert roots[0] == roots[1] and len(roots[0]) > 5
 
 
+def prefix_edges(spark, texts, cap=32):
+    sig = jaccard._signatures(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 5, 80).cache()
+    return jaccard._shared_prefixes(sig, cap).count()
+
+
+def test_sets_meet_only_if_their_prefixes_share_what_similar_sets_must(spark):
+    rng = random.Random(8)
+    base = passage(rng, 100, 50_000)
+    ended = lambda n: " ".join(base[: 100 - n] + passage(rng, n, 50_000))
+    assert prefix_edges(spark, [ended(8), ended(0)]) == 1  # Jaccard 0.85
+    assert prefix_edges(spark, [ended(18), ended(0), " ".join(base[:60])]) == 0  # 0.81 and less of the larger one, 0.58: some shared prefix shingles, but too few
+    # 40 sets with a frequent run: each has two of its shingles in its prefix, similar sets share more
+    assert prefix_edges(spark, [ended(21) for _ in range(40)]) == 0
+    assert prefix_edges(spark, [ended(6) for _ in range(40)]) == 39
+
+
+def test_shared_at_least_is_a_lower_bound(spark):
+    rng, rows = random.Random(9), []
+    length = lambda m: m - (80 * m + 99) // 100 + max(1, m // jaccard.DEPTH)
+    for _ in range(400):
+        a = set(rng.sample(range(1000), rng.choice([1, 2, 3, 7, 19, 20, 39, 40, 41, 100, 260])))
+        b = set(sorted(a, key=lambda x: rng.random())[: rng.randint(-(-len(a) * 8 // 10), len(a))]) | set(rng.sample(range(1000, 2000), rng.randint(0, len(a) // 8)))
+        if 100 * len(a & b) >= 80 * len(a | b):
+            order = rng.sample(range(2000), 2000)  # any order will do
+            head = lambda s: set(sorted(s, key=lambda x: order[x])[: length(len(s))])  # noqa: E731, B023
+            rows.append((len(a), len(b), len(head(a) & head(b))))
+    got = spark.createDataFrame(rows, "a long, b long, n long").withColumn("t", jaccard.shared_at_least(F.col("a"), F.col("b"), 80))
+    assert len(rows) > 100 and got.where("n < t").count() == 0 and got.where("n = t").count() > 0
+
+
 def test_joined_sets_are_compared_with_the_others_only():
     import numpy as np
 
