@@ -68,6 +68,38 @@ def test_both_joins_with_the_vocabulary_build_the_same(spark, index, table):
     assert rows(spark.read.parquet(at)) == rows(table)
 
 
+def test_postings_are_dealt_once_for_all_requests(spark, table):
+    """No exchange of the candidates' plan carries a request: it holds postings by document, however many requests ask for them."""
+    many = spark.range(30).select(F.col("id").alias("request_id"), F.explode(F.array(*[F.lit(f"w{i}") for i in range(8)])).alias("token"), F.lit(1.0).alias("damping"))
+    written = []
+
+    def save(d, name):
+        if name == "found":
+            written.append(d._jdf.queryExecution().executedPlan().toString())
+        return shared.saved(d, name)
+
+    got = {(r.request_id, r.id): round(r.score, 6) for r in blocks.scores(table, many, 5, save=save).collect()}
+    assert len(written) == 1 and written[0].count("hashpartitioning(id") == 1 and written[0].count("Exchange hashpartitioning") == 1
+    assert len({tuple(sorted((i, s) for (r, i), s in got.items() if r == x)) for x in range(30)}) == 1  # equal requests, equal rows
+
+
+def test_only_blocks_of_asked_tokens_are_built(spark, index, table):
+    at = shared.folder(spark, "test-blocks")
+    blocks.write(index, 1002, at, size=16, save=shared.saved, tokens=asked(spark).select("token").distinct())
+    rows = lambda d: {(r.token, r.bucket, r.level, r.n, round(r.best, 9)) for r in d.select("token", "bucket", "level", "n", "best").collect()}
+    some = spark.read.parquet(at)
+    assert rows(some) == rows(table.join(asked(spark).select("token").distinct(), "token", "left_semi")) and some.count() < table.count()
+
+
+def test_cuts_are_where_the_bounds_reach_the_bar(spark):
+    rng = random.Random(3)
+    tops = [(r, rng.random()) for r in range(40) for _ in range(rng.randint(1, 9))]
+    bars = [(r, rng.random() * sum(t for q, t in tops if q == r)) for r in range(39)]
+    got = {r.request_id: r.cut for r in blocks.cuts(spark.createDataFrame(tops, "request_id int, top double"), spark.createDataFrame(bars, "request_id int, bar double")).collect()}
+    most = lambda r, b: sum(min(t, b) for q, t in tops if q == r)
+    assert got[39] == 0 and all(abs(most(r, got[r]) - (bar - blocks.SLACK)) < 1e-9 for r, bar in bars)
+
+
 def test_empty_tables(spark, table):
     none = asked(spark).limit(0)
     assert blocks.scores(table, none, 5).count() == 0 and blocks.scores(table.limit(0), asked(spark), 5).count() == 0
