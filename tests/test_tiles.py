@@ -59,3 +59,13 @@ def test_signals_that_need_no_sets_write_no_pairs(spark, monkeypatch):
     t = lambda n: demo.table(spark, "/root/testdata/sf0.001", n)
     assert catalog._signals(t, ()).select("source", "target", "temporal_overlap").limit(1).count() == 1
     assert "places" in names and not {"candidates", "overlaps"} & set(names)
+
+
+@pytest.mark.parametrize("often", [0, 256])
+def test_parts_of_labels_come_from_the_same_pass(spark, often):
+    sets = {1: range(0, 30, 2), 2: range(0, 30, 3), 3: range(40, 50)}
+    rows = spark.createDataFrame([(i, m) for i, ms in sets.items() for m in ms] * 2, "id long, member long")  # a repeated row counts once
+    labels = spark.createDataFrame([(m, f"m{m:02d}") for m in range(50)], "member long, label string")
+    links = spark.createDataFrame([(1, 2), (2, 1), (1, 3), (9, 1)], "source long, target long")
+    got = {(r.source, r.target): (r.x, r.tens) for r in linkage.shared_labels(links, rows, labels, "x", 2, often=often, parts={"tens": F.col("member") % 12 == 0}).collect()}
+    assert got == {(1, 2): (["m00", "m06"], ["m00", "m12", "m24"]), (2, 1): (["m00", "m06"], ["m00", "m12", "m24"]), (1, 3): ([], []), (9, 1): ([], [])}
